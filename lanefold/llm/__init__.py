@@ -1,5 +1,5 @@
 """Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
 
-from lanefold.llm import cooccurrence, groups, packing, ranking
+from lanefold.llm import cooccurrence, groups, leakage, packing, ranking, vectors
 
-MODULES = [cooccurrence, groups, ranking, packing]
+MODULES = [cooccurrence, groups, vectors, ranking, packing, leakage]
