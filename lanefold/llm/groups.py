@@ -17,6 +17,7 @@ from lanefold.sources.shared import load, materialise
 
 BETA = 0.2
 STEPS = 5
+PART_EDGES = 20_000
 
 
 def _shift(vertex: F.Column, seed: int) -> F.Column:
@@ -25,6 +26,29 @@ def _shift(vertex: F.Column, seed: int) -> F.Column:
     return -F.log(u) / F.lit(BETA)
 
 
+def _salted(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(a, b, cost, salt, parts) with self-loops of cost 0: an end of many edges is spread over ``parts`` salts.
+
+    The loops let one join move both the messages of neighbours and a vertex's own state. A vertex has one part per
+    PART_EDGES of its edges, so the copies of its state stay below vertices + edges / PART_EDGES in all.
+    """
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    sided = materialise(pairs.select(F.explode(both).alias("e")).select("e.*"), "edges")
+    n = sided.count()
+    degrees = materialise(sided.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    parts = F.ceil(F.col("degree") / PART_EDGES).cast("int")
+    edges = attach(sided, degrees, "a", "degree", n).select(
+        "a", "b", F.lit(1).alias("cost"), F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"), parts.alias("parts")
+    )
+    loops = degrees.select("a", F.col("a").alias("b"), F.lit(0).alias("cost"), F.lit(0).alias("salt"), parts.alias("parts"))
+    return materialise(edges.unionByName(loops), "salted"), n
+
+
+def _copies(state: DataFrame) -> DataFrame:
+    """One copy of a vertex's state for each of its salts."""
+    return state.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).withColumnRenamed("v", "a")
+
+
 def connected_groups(links: DataFrame, a: str, b: str, steps: int = STEPS) -> DataFrame:
     """(id, group_id) for every id that a link joins to another one; group_id is the smallest id of the group.
 
@@ -32,47 +56,37 @@ def connected_groups(links: DataFrame, a: str, b: str, steps: int = STEPS) -> Da
     links are ignored, so an id that stands only in these has no row. An empty table gives no rows.
     """
     pair = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b"))
-    edges = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = materialise(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*"), "edges")
-    levels: list[tuple[DataFrame, int]] = []
-    carried = edges.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).select(F.col("a").alias("v"), F.col("v").alias("least"), "degree")
-    n_edges = edges.count()
+    pairs = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges, n_edges = _salted(pairs)
+    least = edges.where("cost = 0").select(F.col("a").alias("v"), F.col("a").alias("least"))
+    levels: list[tuple[DataFrame, DataFrame, int]] = []
     while n_edges:
-        vertices = materialise(carried, "vertices")
-        degree = vertices.select(F.col("v").alias("a"), "degree")
-        state = vertices.select("v", F.col("v").alias("centre"), (-_shift(F.col("v"), len(levels))).alias("key"))
-        for step in range(steps):
-            there = state.join(degree, state["v"] == degree["a"]).select("a", "degree", "centre", "key")
-            sent = attach(edges, there, "a", "degree", n_edges).select(F.col("b").alias("v"), "centre", (F.col("key") + 1).alias("key"))
-            state = sent.unionByName(state).groupBy("v").agg(F.min(F.struct("key", "centre")).alias("m")).select("v", "m.centre", "m.key")
-            if step == 2:
-                state = materialise(state, "grown")
+        own = edges.where("cost = 0").select(F.col("a").alias("v"), F.col("a").alias("centre"), "parts")
+        state = own.select("v", "centre", (-_shift(F.col("v"), len(levels))).alias("key"), "parts")
+        for _ in range(steps):
+            sent = edges.select("a", "b", "cost", "salt").join(_copies(state), ["a", "salt"])
+            state = sent.groupBy(F.col("b").alias("v")).agg(
+                F.min(F.struct((F.col("key") + F.col("cost")).alias("key"), "centre")).alias("m"), F.max(F.when(F.col("cost") == 0, F.col("parts"))).alias("parts")
+            ).select("v", "m.centre", "m.key", "parts")
         # a centre may itself have been taken over by another cluster: its followers are still connected through it
-        assign = materialise(vertices.join(state.select("v", "centre"), "v").select("v", "centre", "least", "degree"), "assigned")
-        clusters = assign.groupBy("centre").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("members"))
-        levels.append((assign, assign.count()))
-        side = assign.select(F.col("v").alias("a"), "degree", "centre")
-        half = attach(edges, side, "a", "degree", n_edges).select(F.col("centre").alias("ca"), F.col("b").alias("a"))
-        both = attach(half, side, "a", "degree", n_edges).select(F.col("ca").alias("a"), F.col("centre").alias("b"))
-        edges = materialise(both.where(F.col("a") != F.col("b")).distinct(), "edges")
-        n_edges = edges.count()
-        degrees = edges.groupBy(F.col("a").alias("centre")).agg(F.count(F.lit(1)).alias("degree"))
-        clusters = clusters.join(degrees, "centre", "left")
-        levels[-1] = (assign, levels[-1][1], clusters)
-        carried = clusters.where(F.col("degree") > 0).select(F.col("centre").alias("v"), "least", "degree")
+        assign = materialise(state.join(least, "v").select("v", "centre", "least", "parts"), "assigned")
+        clusters = materialise(assign.groupBy("centre").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("members")), "clusters")
+        levels.append((assign, clusters, assign.count()))
+        ends = edges.where("cost = 1").select("a", "b", "salt").join(_copies(assign.select("v", "centre", "parts")), ["a", "salt"])
+        cut = ends.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("centre").alias("a"), F.max("centre").alias("b"))
+        edges, n_edges = _salted(cut.where(F.col("a") != F.col("b")).select("a", "b").distinct())
+        least = clusters.select(F.col("centre").alias("v"), "least")
     group = None
-    for assign, n, clusters in reversed(levels):
-        # a cluster without edges is a whole group; the others have their group from the round after
-        final = clusters.select("centre", "members", "least")
+    for assign, clusters, n in reversed(levels):
+        # a cluster without edges to others is a whole group; the others have their group from the round after
+        final = clusters
         if group is not None:
-            final = final.join(group.select(F.col("id").alias("centre"), "group_id"), "centre", "left").select(
+            final = clusters.join(group.select(F.col("id").alias("centre"), "group_id"), "centre", "left").select(
                 "centre", "members", F.coalesce("group_id", "least").alias("least")
             )
         found = attach(assign.select("v", "centre"), final, "centre", "members", n)
         group = materialise(found.select(F.col("v").alias("id"), F.col("least").alias("group_id")), "groups")
-    if group is None:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("group_id"))
-    return group
+    return pairs.select(F.col("a").alias("id"), F.col("b").alias("group_id")) if group is None else group
 
 
 def entity_groups(matches: DataFrame) -> DataFrame:
