@@ -1,5 +1,5 @@
 """Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
 
-from lanefold.llm import cooccurrence, groups, leakage, packing, ranking, vectors
+from lanefold.llm import cooccurrence, groups, leakage, packing, ranking, spam, vectors
 
-MODULES = [cooccurrence, groups, vectors, ranking, packing, leakage]
+MODULES = [cooccurrence, groups, vectors, ranking, packing, leakage, spam]
