@@ -1,5 +1,5 @@
 """Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
 
-from lanefold.llm import cooccurrence, groups, leakage, names, packing, ranking, spam, vectors
+from lanefold.llm import cooccurrence, groups, leakage, names, packing, pairs, ranking, spam, vectors
 
-MODULES = [names, cooccurrence, groups, vectors, ranking, packing, leakage, spam]
+MODULES = [pairs, names, cooccurrence, groups, vectors, ranking, packing, leakage, spam]
