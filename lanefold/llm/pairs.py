@@ -24,17 +24,17 @@ from lanefold.sources.shared import load, materialise
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 SAMPLE_ROWS = 20_000
-EPOCHS, RATE, DECAY = 120, 0.15, 1e-3
+EPOCHS, RATE, DECAY = 400, 0.1, 1e-5
 
 #: Frequent function words by language, words of declining, and strings that stand for no answer.
 LANGUAGES = {
-    "en": "the a an of in to and is was were are it that this for on with as by at from who which what when where how did does do not no yes i am be been has have had their its his her they he she we you but or both same would could can before after first most likely according said so there my me".split(),
-    "de": "der die das den dem des ein eine einen einem einer und ist war wurde waren sind in im am an auf mit von vom zu zum zur für nicht kein keine es er sie ich wir ihr sein hat hatte haben wird werden dass als auch nach bei aus über wer was wann wo welche welcher welchem wie laut steht heißt beide ja nein so dazu darüber leider".split(),
-    "fr": "le la les l un une des du de d et est était fut a été en au aux à dans par pour sur avec sans il elle ils ce cette c qui que quoi quel quelle où quand comment ne pas je nous vous son sa ses se s selon d'après oui non les deux y ont sont sais peux aucune aucun".split(),
-    "es": "el la los las un una unos de del y es era fue en a al por para con sin que qué quién cuándo dónde cómo cuál no sí se su sus lo le yo nosotros según está este esta como más también los dos ha han son sé puedo sobre nada hay".split(),
-    "pt": "o os as um uma de do da dos das e é foi em no na nos nas por para com sem que quem quando onde como não sim se seu sua segundo trata ao à isso ele ela são está mais também ambos resposta aqui".split(),
-    "it": "il lo la i gli le un uno una di del della dei delle dello e è fu era in nel nella al alla per con senza che chi quando dove come non sì si suo sua secondo tratta questo questa sono ha più anche entrambi da dal dalla risposta dice tutti due".split(),
-    "nl": "de het een van en is was in op te met voor niet geen dat die dit er hij zij ze ik wij zijn haar wordt werd werden naar bij uit over wie wat wanneer waar hoe ja nee volgens zoals staat allebei beide ook om aan antwoord als bron".split(),
+    "en": "the a an of in to and is was were are it that this for on with as by at from who which what when where how did does do not no yes i am be been has have had their its his her they he she we you but or both same would could can before after first most likely according said so there my me because although while since however whose also then than if into about only other answer text passage passages document documents source name names named says states".split(),
+    "de": "der die das den dem des ein eine einen einem einer und ist war wurde waren sind in im am an auf mit von vom zu zum zur für nicht kein keine es er sie ich wir ihr sein hat hatte haben wird werden dass als auch nach bei aus über wer was wann wo welche welcher welchem wie laut steht heißt beide ja nein so dazu darüber leider weil während obwohl denn wenn ob deren dessen noch nur antwort text dokument dokumenten quelle genannt handelt niemand anderen".split(),
+    "fr": "le la les l un une des du de d et est était fut a été en au aux à dans par pour sur avec sans il elle ils ce cette c qui que quoi quel quelle où quand comment ne pas je nous vous son sa ses se s selon d'après oui non les deux y ont sont sais peux aucune aucun parce lorsque quand puis où réponse texte document documents passage premier deuxième trouve agit nommé selon".split(),
+    "es": "el la los las un una unos de del y es era fue en a al por para con sin que qué quién cuándo dónde cómo cuál no sí se su sus lo le yo nosotros según está este esta como más también los dos ha han son sé puedo sobre nada hay porque aunque mientras cuando respuesta texto documento documentos pasaje fuente dice indica trata primer segundo".split(),
+    "pt": "o os as um uma de do da dos das e é foi em no na nos nas por para com sem que quem quando onde como não sim se seu sua segundo trata ao à isso ele ela são está mais também ambos resposta aqui porque embora quando texto documento fonte acordo diz indica".split(),
+    "it": "il lo la i gli le un uno una di del della dei delle dello e è fu era in nel nella al alla per con senza che chi quando dove come non sì si suo sua secondo tratta questo questa sono ha più anche entrambi da dal dalla risposta dice tutti due perché mentre quando testo documento documenti fonte brano passo come".split(),
+    "nl": "de het een van en is was in op te met voor niet geen dat die dit er hij zij ze ik wij zijn haar wordt werd werden naar bij uit over wie wat wanneer waar hoe ja nee volgens zoals staat allebei beide ook om aan antwoord als bron omdat terwijl tekst bron antwoord gaat zegt".split(),
     "sv": "och att det som en ett är var i på av för med till den de inte jag han hon vi om från enligt svaret båda ja nej har hade blev".split(),
     "da": "og at det som en et er var i på af for med til den de ikke jeg han hun vi om fra ifølge svaret begge ja nej har havde blev".split(),
     "no": "og at det som en et er var i på av for med til den de ikke jeg han hun vi om fra ifølge svaret begge ja nei har hadde ble".split(),
@@ -69,6 +69,9 @@ _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
 _PIECE = regex.compile(r"[\p{L}\p{M}\p{Nd}]+|[^\w\s]")
 _CUT = regex.compile(r"(?<=[.!?;。！？；])\s+|\n+|(?<=[,:，：])\s+|(?<=[。！？])")
 YES_NO = set("yes no ja nein oui non sí si".split())
+LINKERS = set("of the for and de du des la le les el los del der die das und y et e".split())
+#: Words that open a further clause.
+HANGERS = set("and but or who which that where when while because although also und aber oder der die das wo weil obwohl et mais ou qui que où y pero o quien donde e".split())
 LATIN = regex.compile(r"\p{Latin}")
 
 
@@ -120,7 +123,7 @@ def similar(a: str, b: str) -> bool:
     """Equal but for one or two letters in longer words."""
     if a == b:
         return True
-    if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 1:
+    if min(len(a), len(b)) < 3 or max(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 1:
         return False
     i = 0
     while i < min(len(a), len(b)) and a[i] == b[i]:
@@ -154,6 +157,7 @@ FEATURES = [
     "copy_all", "copy_most", "copy_some", "question_covered", "rest_beside_copy",
     "foreign_script", "foreign_words", "foreign_only", "own_words", "foreign_elsewhere", "no_function_words",
     "last", "open_end", "comma_end", "function_end", "cut_word", "goes_on", "mostly_goes_on", "ends_here", "single",
+    "whole_name", "ellipsis_end", "open_bracket", "hanging", "stub_end", "answer_after_copy", "mostly_foreign", "mostly_own",
 ]
 NUMBER = {f: i for i, f in enumerate(FEATURES)}
 
@@ -172,15 +176,23 @@ def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tupl
         low = [w.lower() for w in words]
         copied = [w in q_set or any(similar(w, x) for x in q_set) for w in low]
         masked = " ".join(w for w in p.split() if not all(x.lower() in q_named for x in _WORD.findall(w)) or not _WORD.search(w))
-        free = [w for w, raw in zip(low, words) if w not in q_named and not raw[0].isdigit() and w not in g_words]
+        plain = [i for i, (w, raw) in enumerate(zip(low, words)) if w not in q_named and not raw[0].isdigit() and w not in g_words]
+        small = any(words[i][0].islower() for i in plain)
+        inside = lambda i: 0 < i < len(words) - 1 and not words[i - 1][0].islower() and not words[i + 1][0].islower()
+        free = [low[i] for i in plain if (words[i][0].islower() and not inside(i)) or (i == 0 and small) or not LATIN.match(words[i][0])]
         mine = sum(own in WORDS.get(w, ()) for w in free)
         others = max((sum(lang in WORDS.get(w, ()) and own not in WORDS.get(w, ()) for w in free) for lang in LANGUAGES if lang != own), default=0)
         letters = regex.findall(r"\p{L}", p)
         script = bool(letters) and sum(not LATIN.match(c) for c in letters) > 0 and all(LATIN.match(c) for c in regex.findall(r"\p{L}", question))
-        value = [w for w, raw, c in zip(low, words, copied) if (raw[0].isdigit() or (raw[0].isupper() and w not in WORDS) or w in g_words) and w not in q_set]
-        yes = any(w in YES_NO for w in low[:1]) or any(w in YES_NO for w in low[-1:])
         cues = REFUSALS.findall(masked)
-        info.append({"low": low, "copied": copied, "mine": mine, "others": others, "script": script, "value": bool(value) or yes, "cues": len(cues), "free": free, "end": p.rstrip()[-1:]})
+        new = [w not in q_set and w not in YES_NO for w in low]
+        capital = [raw[0].isupper() and n and w not in WORDS for raw, w, n in zip(words, low, new)]
+        value = any(n and (raw[0].isdigit() or w in g_words) for raw, w, n in zip(words, low, new))
+        value = value or any(a and b for a, b in zip(capital, capital[1:])) or (len(words) == 1 and any(capital) and not cues)
+        nominal = bool(words) and not cues and all(not raw[0].islower() or w in LINKERS for raw, w in zip(words, low)) and words[-1].lower() not in LINKERS
+        value = value or (nominal and (any(new) or len(parts) > 1))
+        yes = len(low) == 1 and low[0] in YES_NO or low[-1:] and low[-1] in YES_NO and not cues
+        info.append({"low": low, "copied": copied, "mine": mine, "others": others, "script": script, "value": bool(value or yes), "cues": len(cues), "free": free, "end": p.rstrip()[-1:]})
         sizes.append(max(1, len(words)))
     every = [c for x in info for c in x["copied"]]
     answered = {w for x in info for w in x["low"]}
@@ -190,9 +202,23 @@ def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tupl
     raw_last = _WORD.findall(end)[-1] if _WORD.findall(end) else ""
     known = set(q_words) | set(g_words)
     cut = (
-        bool(raw_last) and end.endswith(raw_last) and last_word not in known and last_word not in WORDS
+        bool(raw_last) and end.endswith(raw_last) and last_word not in known and (last_word not in WORDS or raw_last[0].isupper() and len(every) > 1)
         and any(len(w) > len(last_word) and w.startswith(last_word) for w in known) and (len(last_word) > 1 or len(every) > 1)
     )
+    cut = cut and last_word not in YES_NO
+    tail = info[-1]["low"]
+    flat = [w for x in info for w in x["low"]]
+    proper = [raw for raw in _WORD.findall(text)]
+    whole = bool(flat) and not proper[-1][0].islower() and all(not raw[0].islower() or w in LINKERS for raw, w in zip(proper, flat)) and flat[-1] not in LINKERS and any(
+        seq[i : i + len(flat)] == flat and not (i + len(flat) < len(seq) and (seq[i + len(flat)] in ("of", "&") or raws[i + len(flat)][0].isupper()))
+        for seq, raws in ((q_words, _WORD.findall(question)), (g_words, _WORD.findall(gold))) for i in range(len(seq) - len(flat) + 1)
+    )
+    opened = text.count("(") > text.count(")") or text.count("[") > text.count("]") or text.count('"') % 2 or text.count("“") > text.count("”") or text.count("«") > text.count("»")
+    hanging = len(info) > 1 and len(tail) <= 3 and bool(regex.search(r"[\p{L}\p{Nd}]\s*$", end)) and (
+        tail[0] in HANGERS or (tail[-1].isdigit() and len(tail) == 1 and len(tail[0]) < 3 and info[-2]["end"] == ",")
+    )
+    stub = len(every) > 1 and end.endswith(raw_last) and raw_last[:1].isupper() and len(raw_last) <= 3 and last_word not in known and not raw_last.isupper()
+    ratio = len(every) / max(1, len(q_words))
     for k, x in enumerate(info):
         f = np.zeros(len(FEATURES))
         on = lambda name, yes=True, f=f: f.__setitem__(NUMBER[name], float(bool(yes)))
@@ -202,7 +228,8 @@ def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tupl
         on("refusal_cue", x["cues"]), on("two_refusal_cues", x["cues"] > 1), on("cue_elsewhere", any(y["cues"] for y in info if y is not x))
         on("has_value", x["value"]), on("value_elsewhere", any(y["value"] for y in info if y is not x)), on("gold_here", g_words and all(w in x["low"] for w in g_words))
         on("copy_all", share == 1), on("copy_most", share >= 0.8), on("copy_some", share >= 0.5), on("question_covered", covered >= 0.75), on("rest_beside_copy", not all(every))
-        foreign = x["script"] or (x["others"] > x["mine"] and x["others"] >= 1)
+        foreign = x["script"] or x["others"] > x["mine"]
+        on("answer_after_copy", all(every) and 1.12 < ratio < 1.75), on("mostly_foreign", x["others"] >= 2 and x["others"] >= 2 * x["mine"]), on("mostly_own", x["mine"] > x["others"])
         on("foreign_script", x["script"]), on("foreign_words", foreign), on("foreign_only", x["mine"] == 0 and x["others"] >= 1), on("own_words", x["mine"] > 0)
         on("foreign_elsewhere", any(y["script"] or y["others"] > y["mine"] for y in info if y is not x)), on("no_function_words", x["mine"] + x["others"] == 0 and not x["script"])
         if final:
@@ -210,12 +237,12 @@ def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tupl
             on("open_end", not regex.search(r"[.!?…。！？)\]\"”»']\s*$", end))
             on("comma_end", end[-1:] in ",;:-–—(")
             on("function_end", end.endswith(raw_last) and len(every) > 1 and last_word in WORDS and last_word not in YES_NO and last_word not in {"it", "both", "so", "there", "me", "first", "dazu"} and own in WORDS[last_word])
-            on("cut_word", cut)
+            on("whole_name", whole), on("cut_word", cut), on("ellipsis_end", bool(regex.search(r"\w\s*(?:\.\.+|…)$", end))), on("open_bracket", opened), on("hanging", hanging), on("stub_end", stub)
             going = n_ext / max(1, n_ext + n_end)
             on("goes_on", n_ext >= 3 and going >= 0.5), on("mostly_goes_on", n_ext >= 5 and going >= 0.8), on("ends_here", n_end >= 3 and going < 0.3)
         rows.append(f)
     totals = {
-        "covered": covered, "all_copied": all(every), "words": len(every), "value": any(x["value"] for x in info), "cues": sum(x["cues"] for x in info),
+        "ratio": ratio, "covered": covered, "all_copied": all(every), "words": len(every), "value": any(x["value"] for x in info), "cues": sum(x["cues"] for x in info),
         "mine": sum(x["mine"] for x in info), "others": sum(x["others"] for x in info), "script": any(x["script"] for x in info),
     }
     return np.array(rows), np.array(sizes, float), totals
@@ -227,12 +254,13 @@ def weak_tags(f: np.ndarray) -> np.ndarray | None:
     tags = np.full(len(f), ANSWER)
     last = f[-1]
     is_ = lambda name: last[NUMBER[name]] > 0
-    echo = (g("copy_all") & g("question_covered") & ~g("rest_beside_copy")).all()
-    foreign = (g("foreign_words")).any() and not (g("own_words") & ~g("foreign_words")).any()
+    echo = (g("copy_all") & g("question_covered") & ~g("rest_beside_copy") & ~g("answer_after_copy")).all()
+    foreign = g("foreign_words").any() and not g("mostly_own").any()
     refusal = g("refusal_cue").any() and not g("has_value").any() and not foreign
-    cut = is_("open_end") and not is_("ends_here") and (is_("comma_end") or is_("cut_word") or (is_("function_end") and not is_("single") or is_("mostly_goes_on")))
-    cut = cut or (is_("comma_end") and not is_("ends_here"))
-    if sum([echo, foreign, refusal, cut and not refusal]) > 1:
+    surely = is_("ellipsis_end") or is_("open_bracket") or is_("hanging") or is_("comma_end") or (is_("open_end") and (is_("cut_word") or is_("stub_end") or is_("mostly_goes_on")))
+    surely = surely and not is_("whole_name")
+    cut = surely or (is_("open_end") and is_("function_end") and not is_("ends_here"))
+    if sum([echo, foreign, refusal]) > 1 or (echo and surely and not is_("mostly_goes_on")):
         return None
     if echo:
         tags[:] = ECHO
@@ -242,7 +270,7 @@ def weak_tags(f: np.ndarray) -> np.ndarray | None:
         tags[:] = REFUSAL
     elif cut:
         tags[-1] = UNFINISHED
-    elif g("refusal_cue").any() and not g("value_elsewhere").any() and not g("has_value").any():
+    elif g("refusal_cue").any() and not g("has_value").any():
         return None
     return tags
 
@@ -255,16 +283,19 @@ class ClauseCRF:
         self.t = np.zeros((len(TAGS), len(TAGS)))
 
     def fit(self, xs: list[np.ndarray], ys: list[np.ndarray]) -> ClauseCRF:
-        """Maximum likelihood by adaptive full-batch gradient steps; sequences are grouped by length."""
-        groups: dict[int, list[int]] = {}
-        for i, x in enumerate(xs):
-            groups.setdefault(len(x), []).append(i)
-        batches = [(np.stack([xs[i] for i in ids]), np.stack([ys[i] for i in ids])) for ids in groups.values()]
-        n = max(1, len(xs))
-        sw, st = np.full_like(self.w, 1e-6), np.full_like(self.t, 1e-6)
-        for _ in range(EPOCHS):
+        """Maximum likelihood by adaptive gradient steps over the distinct sequences, weighted by their number."""
+        distinct: dict[bytes, list] = {}
+        for x, y in zip(xs, ys):
+            distinct.setdefault(x.tobytes() + y.tobytes(), [x, y, 0])[2] += 1
+        groups: dict[int, list] = {}
+        for row in distinct.values():
+            groups.setdefault(len(row[0]), []).append(row)
+        batches = [(np.stack([r[0] for r in g]), np.stack([r[1] for r in g]), np.array([r[2] ** 0.5 for r in g])) for g in groups.values()]
+        n = max(1.0, sum(c.sum() for _, _, c in batches))
+        mw, mt, vw, vt = np.zeros_like(self.w), np.zeros_like(self.t), np.zeros_like(self.w), np.zeros_like(self.t)
+        for step in range(1, EPOCHS + 1):
             gw, gt = -DECAY * self.w, -DECAY * self.t
-            for x, y in batches:
+            for x, y, c in batches:
                 score = x @ self.w
                 steps = x.shape[1]
                 alpha = [score[:, 0]]
@@ -276,14 +307,16 @@ class ClauseCRF:
                 z = _lse(alpha[-1], 1)
                 for k in range(steps):
                     p = np.exp(alpha[k] + beta[k] - z[:, None])
-                    gw = gw + x[:, k].T @ (np.eye(len(TAGS))[y[:, k]] - p) / n
+                    gw = gw + x[:, k].T @ ((np.eye(len(TAGS))[y[:, k]] - p) * c[:, None]) / n
                     if k:
                         both = np.exp(alpha[k - 1][:, :, None] + self.t[None] + (score[:, k] + beta[k])[:, None, :] - z[:, None, None])
                         seen = np.zeros_like(self.t)
-                        np.add.at(seen, (y[:, k - 1], y[:, k]), 1)
-                        gt = gt + (seen - both.sum(0)) / n
-            sw, st = sw + gw**2, st + gt**2
-            self.w, self.t = self.w + RATE * gw / np.sqrt(sw), self.t + RATE * gt / np.sqrt(st)
+                        np.add.at(seen, (y[:, k - 1], y[:, k]), c)
+                        gt = gt + (seen - (both * c[:, None, None]).sum(0)) / n
+            mw, mt = 0.9 * mw + 0.1 * gw, 0.9 * mt + 0.1 * gt
+            vw, vt = 0.999 * vw + 0.001 * gw**2, 0.999 * vt + 0.001 * gt**2
+            scale = RATE * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
+            self.w, self.t = self.w + scale * mw / (np.sqrt(vw) + 1e-8), self.t + scale * mt / (np.sqrt(vt) + 1e-8)
         return self
 
     def tag(self, x: np.ndarray) -> np.ndarray:
@@ -312,7 +345,7 @@ def defect(question: str, gold: str, answer: str | None, n_end: int, n_ext: int,
     f, sizes, total = clauses(question, gold, text, n_end, n_ext)
     tags = crf.tag(f)
     share = np.bincount(tags, sizes, len(TAGS)) / sizes.sum()
-    if share[ECHO] >= 0.8 and total["all_copied"]:
+    if share[ECHO] >= 0.8 and total["all_copied"] and not 1.12 < total["ratio"] < 1.75:
         return "question_copy"
     if share[FOREIGN] >= 0.5:
         return "wrong_language"
