@@ -68,7 +68,7 @@ def offset_chunks(rows: DataFrame, keys: Sequence[str], chunk_rows: int, within:
     offsets = ordered.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_pid").alias("_p"), (first - F.col("_base")).alias("_shift")
     )
-    on = [placed["_pid"] == offsets["_p"], *[placed[k].eqNullSafe(offsets[f"_k{i}"]) for i, k in enumerate(keys)]]
+    on = [F.col("_pid") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
     row = F.col("_shift") + F.col("_pos")
     return placed.join(offsets, on).select(*rows.columns, row.alias("_row"), F.floor(row / F.lit(chunk_rows)).cast("long").alias("_chunk"))
 
@@ -84,3 +84,28 @@ def chunked_agg(numbered: DataFrame, keys: Sequence[str], states: dict[str, Colu
         numbered.repartition(F.col("_chunk")).groupBy("_chunk", *keys).agg(*[c.alias(n) for n, c in states.items()])
     )
     return per_chunk.groupBy(*keys).agg(*[c.alias(n) for n, c in merges.items()])
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], order: dict[str, Column], chunk_rows: int = 100_000) -> DataFrame:
+    """rows with ``_place`` (1-based within keys, by the named order columns) and ``_chunk``, however many rows a key has.
+
+    ``order`` must place rows totally; its columns are added to the rows under their names.
+    """
+    keys = list(keys)
+    named = rows.withColumns(order)
+    placed = offset_chunks(named.repartitionByRange(*keys, *order), keys, chunk_rows, list(order))
+    firsts = placed.groupBy(*[F.col(k).alias(f"_f{i}") for i, k in enumerate(keys)]).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    on = [F.col(k).eqNullSafe(F.col(f"_f{i}")) for i, k in enumerate(keys)]
+    return placed.join(firsts, on).select(*placed.columns, "_n", (F.col("_row") - F.col("_first") + 1).alias("_place"))
+
+
+def prefix_sums(placed: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
+    """placed (from ``numbered``) with the running sum of ``value`` in order: chunk totals are summed, then each chunk."""
+    keys = list(keys)
+    held = placed.withColumn("_v", value)
+    totals = held.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_t"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_sc"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
+    on = [F.col("_chunk") == F.col("_sc"), *[F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(keys)]]
+    local = Window.partitionBy(*keys, "_chunk").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return held.join(starts, on).withColumn(name, F.col("_start") + F.sum("_v").over(local)).select(*placed.columns, name)
