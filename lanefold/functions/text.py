@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 EDGES = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 WORD = r"[\p{L}\p{N}_]+"
@@ -99,3 +103,9 @@ def normal_name(c: Column, kind: Column) -> Column:
         keep = keep | s.endswith(a)
     s = F.when(s.endswith(".") & ~keep, F.regexp_replace(s, r"\.$", "")).otherwise(s)
     return F.when(kind.isin(ARTICLE_TYPES), F.regexp_replace(s, r"^(?:The|A|An) (?=..)", "")).otherwise(s)
+
+
+@F.pandas_udf(StringType())
+def nfkc(names: pd.Series) -> pd.Series:
+    """Unicode compatibility composition, for which Spark has no built-in."""
+    return names.map(lambda s: unicodedata.normalize("NFKC", s) if isinstance(s, str) else s)
