@@ -55,16 +55,38 @@ def share_of(hit: Column, base: Column) -> Column:
     return F.round(F.when(n > 0, F.count(F.when(base & hit, 1)) / n).otherwise(F.lit(0.0)), 6)
 
 
-GOLD, EM, SOFT, ERR = F.col("all_gold_retrieved"), F.col("exact_match"), F.col("answer_correct"), F.col("llm_error")
+def gold_() -> Column:
+    return F.col("all_gold_retrieved")
+
+
+def em_() -> Column:
+    return F.col("exact_match")
+
+
+def soft_() -> Column:
+    return F.col("answer_correct")
+
+
+def err_() -> Column:
+    return F.col("llm_error")
+
+
+def level_() -> Column:
+    return confidence_level(F.col("confidence"))
+
+
+def right_() -> Column:
+    """Correct in the soft sense."""
+    return F.coalesce(F.col("f1_score"), F.lit(0.0)) >= SOFT_F1
 
 
 def outcome_columns() -> list[Column]:
     """The rates of a configuration: accuracy, retrieval, delivery and the four-way split of outcomes."""
     return [
-        F.count(F.lit(1)).alias("n"), rate(EM).alias("em"), rate(SOFT).alias("soft_em"), mean("f1_score").alias("f1"),
-        mean("time_ms").alias("avg_time_ms"), rate(F.col("retrieval_count") > 0).alias("coverage"), rate(GOLD).alias("sf_recall"),
-        share_of(SOFT, GOLD).alias("retrieval_only_em"), share_of(EM, GOLD).alias("em_given_retrieval_ok"), rate(ERR).alias("llm_error_rate"),
-        rate(~GOLD).alias("pipeline_failed_rate"), rate(GOLD & ERR).alias("ok_llm_failed_rate"), rate(GOLD & ~ERR & ~SOFT).alias("ok_llm_wrong_rate"), rate(GOLD & SOFT).alias("ok_llm_ok_rate"),
+        F.count(F.lit(1)).alias("n"), rate(em_()).alias("em"), rate(soft_()).alias("soft_em"), mean("f1_score").alias("f1"),
+        mean("time_ms").alias("avg_time_ms"), rate(F.col("retrieval_count") > 0).alias("coverage"), rate(gold_()).alias("sf_recall"),
+        share_of(soft_(), gold_()).alias("retrieval_only_em"), share_of(em_(), gold_()).alias("em_given_retrieval_ok"), rate(err_()).alias("llm_error_rate"),
+        rate(~gold_()).alias("pipeline_failed_rate"), rate(gold_() & err_()).alias("ok_llm_failed_rate"), rate(gold_() & ~err_() & ~soft_()).alias("ok_llm_wrong_rate"), rate(gold_() & soft_()).alias("ok_llm_ok_rate"),
     ]
 
 
@@ -108,7 +130,7 @@ def by_key(key: str):
 def retrieved(r: DataFrame) -> Column:
     """Whether the gold reached the model; the strict signal where it is known, else recall above nothing."""
     del r
-    return F.coalesce(GOLD, F.col("retrieval_recall") > 0, F.lit(False))
+    return F.coalesce(gold_(), F.col("retrieval_recall") > 0, F.lit(False))
 
 
 def failure_bucket() -> Column:
@@ -116,7 +138,7 @@ def failure_bucket() -> Column:
     pred = F.lower(strip(F.coalesce("predicted_answer", F.lit(""))))
     yes_no = lambda c: normalise_answer(F.col(c)).isin("yes", "no")
     return (
-        F.when(~F.coalesce(GOLD, F.col("retrieval_recall") > 0, F.lit(False)), "a_retrieval_miss")
+        F.when(~F.coalesce(gold_(), F.col("retrieval_recall") > 0, F.lit(False)), "a_retrieval_miss")
         .when((pred == "") | contains_any(pred, ABSTENTION), "d_abstention")
         .when(F.coalesce("f1_score", F.lit(0.0)) >= 0.5, "e_close_miss")
         .when(yes_no("gold_answer") != yes_no("predicted_answer"), "c_format_mismatch")
@@ -142,7 +164,7 @@ _BUCKET = f"""CASE WHEN NOT coalesce(all_gold_retrieved, retrieval_recall > 0, F
 
 
 def wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).where(~F.coalesce(EM, F.lit(False)))
+    return records(spark, sf_dir).where(~F.coalesce(em_(), F.lit(False)))
 
 
 def a13_failure_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,21 +191,21 @@ def a15_halluc_subbucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a19_failure_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failure class of every wrong answer, with the navigator row of the same question as baseline."""
     r = records(spark, sf_dir)
-    base = r.where(F.col("row_name") == ROWS[1]).select("question_id", EM.alias("base_em"))
+    base = r.where(F.col("row_name") == ROWS[1]).select("question_id", em_().alias("base_em"))
     pred, gold = F.lower(strip(F.coalesce("predicted_answer", F.lit("")))), F.lower(strip(F.coalesce("gold_answer", F.lit(""))))
     cls = (
-        F.when(ERR, "llm_error").when(~F.coalesce(GOLD, F.lit(False)), "retrieval_miss")
+        F.when(err_(), "llm_error").when(~F.coalesce(gold_(), F.lit(False)), "retrieval_miss")
         .when(pred.isin(YESNO_ANSWERS) & ~gold.isin("yes", "no"), "format_yn")
         .when(contains_any(pred, ABSTENTION_SHORT), "format_abstention")
         .when((pred != "") & F.lower("question").contains(pred) & (pred != gold), "bridge_confusion")
         .when(F.col("base_em"), "context_dilution").otherwise("unclassified")
     )
-    return r.where(~EM).join(base, "question_id", "left").groupBy("row_name", cls.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return r.where(~em_()).join(base, "question_id", "left").groupBy("row_name", cls.alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def pairs_of_rows(r: DataFrame) -> DataFrame:
     """Each question under two adjacent rows: row_a, row_b and both records' answer, match and f1."""
-    side = lambda s, rows: r.where(F.col("row_name").isin(rows)).select("question_id", F.col("row_name").alias(f"row_{s}"), EM.alias(f"em_{s}"), F.col("f1_score").alias(f"f1_{s}"), F.col("predicted_answer").alias(f"answer_{s}"))
+    side = lambda s, rows: r.where(F.col("row_name").isin(rows)).select("question_id", F.col("row_name").alias(f"row_{s}"), em_().alias(f"em_{s}"), F.col("f1_score").alias(f"f1_{s}"), F.col("predicted_answer").alias(f"answer_{s}"))
     follows = F.create_map(*[F.lit(x) for ab in zip(ROWS, ROWS[1:]) for x in ab])
     a, b = side("a", ROWS[:-1]).withColumn("row_b", follows[F.col("row_a")]), side("b", ROWS[1:])
     return a.join(b, ["question_id", "row_b"])
@@ -212,7 +234,7 @@ _PAIR = _REC + """, o(row_a, row_b) AS (VALUES ('row1_llm_only', 'row2_navigator
 
 def a21_row_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).groupBy("row_name").agg(
-        F.count(F.lit(1)).alias("n"), rate(EM).alias("em"), rate(GOLD).alias("sf_recall"), share_of(EM, GOLD).alias("em_given_retr_ok"),
+        F.count(F.lit(1)).alias("n"), rate(em_()).alias("em"), rate(gold_()).alias("sf_recall"), share_of(em_(), gold_()).alias("em_given_retr_ok"),
         mean("retrieval_count").alias("avg_retrieval_count"), F.max("retrieval_count").alias("max_retrieval_count"),
         mean("verifier_iterations").alias("avg_verifier_iters"), F.max("verifier_iterations").alias("max_verifier_iters"),
     )
@@ -252,7 +274,7 @@ def a24_latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a25_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).groupBy("row_name").agg(
-        F.count(F.lit(1)).alias("n_queries"), rate(F.col("time_ms") <= BUDGET_MS).alias("within_budget_rate"), rate(EM).alias("exact_match_rate"), rate(ERR).alias("llm_error_rate"), rate(GOLD).alias("all_gold_retrieved_rate")
+        F.count(F.lit(1)).alias("n_queries"), rate(F.col("time_ms") <= BUDGET_MS).alias("within_budget_rate"), rate(em_()).alias("exact_match_rate"), rate(err_()).alias("llm_error_rate"), rate(gold_()).alias("all_gold_retrieved_rate")
     )
 
 
@@ -267,16 +289,14 @@ def a37_time_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("row_name").agg(*out)
 
 
-LEVEL = confidence_level(F.col("confidence"))
 _LEVEL = "CASE WHEN lower(§confidence§) IN ('high', 'medium', 'low') THEN lower(§confidence§) ELSE 'error' END"
-SOFTC = F.coalesce(F.col("f1_score"), F.lit(0.0)) >= SOFT_F1
 
 
 def a26_risk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage and accuracy under ever stricter abstention."""
     drops = {"answer all": [], "abstain on error": ["error"], "abstain on error+low": ["error", "low"], "abstain on error+low+medium": ["error", "low", "medium"]}
     rules = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.array(*[F.lit(d) for d in ds]).cast("array<string>").alias("dropped")) for n, ds in drops.items()]))
-    r = records(spark, sf_dir).groupBy("row_name", LEVEL.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(EM, 1)).alias("em"), F.count(F.when(SOFTC, 1)).alias("soft"))
+    r = records(spark, sf_dir).groupBy("row_name", level_().alias("level")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(em_(), 1)).alias("em"), F.count(F.when(right_(), 1)).alias("soft"))
     r = r.select("*", rules.alias("x")).select("row_name", "level", "n", "em", "soft", "x.*").withColumn("kept", ~F.array_contains("dropped", F.col("level")))
     s = lambda c, k: F.coalesce(F.sum(F.when(F.col("kept") == k, F.col(c))), F.lit(0))
     return r.groupBy("row_name", "rule").agg(
@@ -289,15 +309,15 @@ def a26_risk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a27_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).groupBy("row_name", LEVEL.alias("level")).agg(
-        F.count(F.when(EM, 1)).alias("correct_em"), F.count(F.when(~EM, 1)).alias("wrong_em"), F.count(F.when(SOFTC, 1)).alias("correct_soft"), F.count(F.when(~SOFTC, 1)).alias("wrong_soft")
+    return records(spark, sf_dir).groupBy("row_name", level_().alias("level")).agg(
+        F.count(F.when(em_(), 1)).alias("correct_em"), F.count(F.when(~em_(), 1)).alias("wrong_em"), F.count(F.when(right_(), 1)).alias("correct_soft"), F.count(F.when(~right_(), 1)).alias("wrong_soft")
     )
 
 
 def a28_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected calibration error over the levels with a proxy probability."""
     proxy = F.create_map(*[F.lit(x) for kv in PROXY.items() for x in kv])
-    r = records(spark, sf_dir).groupBy("row_name", LEVEL.alias("level")).agg(F.count(F.lit(1)).alias("n"), rate(EM, 12).alias("em"), rate(SOFTC, 12).alias("soft")).where(F.col("level").isin(list(PROXY)))
+    r = records(spark, sf_dir).groupBy("row_name", level_().alias("level")).agg(F.count(F.lit(1)).alias("n"), rate(em_(), 12).alias("em"), rate(right_(), 12).alias("soft")).where(F.col("level").isin(list(PROXY)))
     p = proxy[F.col("level")]
     return r.groupBy("row_name").agg(F.round(F.sum(F.col("n") * F.abs(F.col("em") - p)) / F.sum("n"), 6).alias("ece_em"), F.round(F.sum(F.col("n") * F.abs(F.col("soft") - p)) / F.sum("n"), 6).alias("ece_soft"))
 
@@ -305,8 +325,8 @@ def a28_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a29_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mann-Whitney area with ties, from the counts of each confidence level."""
     rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])
-    r = records(spark, sf_dir).groupBy("row_name", rank[LEVEL].alias("rank"))
-    r = r.agg(F.count(F.when(EM, 1)).alias("p1"), F.count(F.when(~EM, 1)).alias("n1"), F.count(F.when(SOFTC, 1)).alias("p2"), F.count(F.when(~SOFTC, 1)).alias("n2"))
+    r = records(spark, sf_dir).groupBy("row_name", rank[level_()].alias("rank"))
+    r = r.agg(F.count(F.when(em_(), 1)).alias("p1"), F.count(F.when(~em_(), 1)).alias("n1"), F.count(F.when(right_(), 1)).alias("p2"), F.count(F.when(~right_(), 1)).alias("n2"))
     below = Window.partitionBy("row_name").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     area = lambda i: F.round(F.sum(F.col(f"p{i}") * (F.coalesce(F.col(f"b{i}"), F.lit(0)) + 0.5 * F.col(f"n{i}"))) / F.nullif(F.sum(f"p{i}") * F.sum(f"n{i}"), F.lit(0)), 6)
     r = r.withColumn("b1", F.sum("n1").over(below)).withColumn("b2", F.sum("n2").over(below))
@@ -316,7 +336,7 @@ def a29_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deferral_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per row, worst confidence first, then lower f1, then question_id; _place counts from 1."""
     order = F.create_map(F.lit("error"), F.lit(0), F.lit("low"), F.lit(1), F.lit("medium"), F.lit(2), F.lit("high"), F.lit(3))
-    r = records(spark, sf_dir).select("row_name", "question_id", LEVEL.alias("level"), F.coalesce("f1_score", F.lit(0.0)).alias("f1"), SOFTC.alias("correct"), F.coalesce("time_ms", F.lit(0.0)).alias("ms"))
+    r = records(spark, sf_dir).select("row_name", "question_id", level_().alias("level"), F.coalesce("f1_score", F.lit(0.0)).alias("f1"), right_().alias("correct"), F.coalesce("time_ms", F.lit(0.0)).alias("ms"))
     return numbered(r, ["row_name"], {"_o": order[F.col("level")], "_f": F.col("f1"), "_q": F.col("question_id")})
 
 
@@ -373,7 +393,7 @@ def m02_answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower(F.coalesce(p, F.lit("")))
     return records(spark, sf_dir).select(
         "question_id", "row_name", normalise_answer(p).alias("answer_norm"), exact_match(p, g).alias("em"), F.round(f1, 6).alias("f1"), (f1 >= SOFT_F1).alias("soft_em"),
-        (F.lower(strip(p)) == F.lower(strip(g))).alias("plain_em"), (low.startswith("[error") | low.contains("timed out")).alias("llm_error_text"), LEVEL.alias("level"),
+        (F.lower(strip(p)) == F.lower(strip(g))).alias("plain_em"), (low.startswith("[error") | low.contains("timed out")).alias("llm_error_text"), level_().alias("level"),
     )
 
 
