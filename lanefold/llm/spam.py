@@ -163,7 +163,7 @@ def judge(text: str, model: ClassModel) -> tuple[float, float, float, int]:
     keywords = _around(often, WINDOW) / np.maximum(_around(content.astype(float), WINDOW), 1e-9) >= 0.5
     echo_words = _echoes(names)
     echo = _around(echo_words, ECHO_WINDOW)
-    stuffed = keywords & (((function <= 0.27) & (ppl > UNUSUAL) & (echo >= 0.4)) | ((ppl > FOREIGN) & (echo >= 0.5)) | (echo >= 0.8))
+    stuffed = keywords & (((function <= 0.27) & (ppl > UNUSUAL) & (echo >= 0.4)) | ((ppl > FOREIGN) & (echo >= 0.5)) | ((echo >= 0.8) & (function <= 0.35)))
     linked = (links >= 0.15) | (hashes >= 0.3)
     tags = (function <= 0.1) & (plain >= 0.7) & (ppl > UNUSUAL)
     products = (codes >= 0.08) & (function <= 0.12) & (ppl > UNUSUAL)
