@@ -156,8 +156,9 @@ def test_one_edit_is_near(word, at, op, letter):
 
 
 def test_two_edits_are_close_only_in_long_words():
-    assert not names.near("abcdefghij", "xbcdefghix") and names.close("abcdefghij", "xbcdefghix")
-    assert not names.close("abcdef", "xbcdex") and names.near("turner", "tumer")
+    assert not names.near("abcdefghij", "abdcefghijk") and names.close("abcdefghij", "abdcefghijk")
+    assert not names.close("abcdef", "abdcefg") and names.near("turner", "tumer")
+    assert not names.close("abcdefghij", "axcdefghxj") and not names.close("abcdefghij", "xbcdefghi")
 
 
 # --- vectors ----------------------------------------------------------------------------------------------------------
