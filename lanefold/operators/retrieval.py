@@ -28,9 +28,8 @@ def corpus_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), lexical_tokens(F.col(text_col)).alias("tokens"))
 
 
-def bm25_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, df, idf) of the corpus; negative idf becomes a quarter of the mean idf."""
-    terms = corpus_terms(docs, id_col, text_col)
+def bm25_index(terms: DataFrame) -> DataFrame:
+    """(term, df, idf) of a corpus of (doc, tokens); negative idf becomes a quarter of the mean idf."""
     n = terms.agg(F.count(F.lit(1)).alias("n"))
     df = terms.select("doc", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
@@ -46,7 +45,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, qid: str, qtext: str, did: st
     """
     q = queries.where(F.col(qtext).isNotNull()).select(F.col(qid).alias("query_id"), F.explode(lexical_tokens(F.col(qtext))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     terms = materialise(corpus_terms(docs, did, dtext), "bm25-docs")
-    idf = bm25_index(docs, did, dtext)
+    idf = bm25_index(terms)
     stats = terms.agg(F.avg(F.size("tokens")).alias("avgdl"))
     wanted = q.select("term").distinct()
     post = terms.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -243,7 +242,7 @@ def r05_lexical_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r06_term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25_index(load(spark, sf_dir, "documents"), "doc_id", "text").withColumn("idf", F.round("idf", 6))
+    return bm25_index(corpus_terms(load(spark, sf_dir, "documents"), "doc_id", "text")).withColumn("idf", F.round("idf", 6))
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
