@@ -171,17 +171,26 @@ def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tupl
     g_words = [w.lower() for w in _WORD.findall(gold)]
     own = question_language(question)
     rows, sizes, info = [], [], []
-    for p in parts:
-        words = _WORD.findall(p)
-        low = [w.lower() for w in words]
-        copied = [w in q_set or any(similar(w, x) for x in q_set) for w in low]
-        masked = " ".join(w for w in p.split() if not all(x.lower() in q_named for x in _WORD.findall(w)) or not _WORD.search(w))
+
+    def free_words(words: list[str], low: list[str]) -> list[str]:
+        """Words that are no names, numbers or gold words, lower-cased."""
         plain = [i for i, (w, raw) in enumerate(zip(low, words)) if w not in q_named and not raw[0].isdigit() and w not in g_words]
         small = any(words[i][0].islower() for i in plain)
         inside = lambda i: 0 < i < len(words) - 1 and not words[i - 1][0].islower() and not words[i + 1][0].islower()
-        free = [low[i] for i in plain if (words[i][0].islower() and not inside(i)) or (i == 0 and small) or not LATIN.match(words[i][0])]
-        mine = sum(own in WORDS.get(w, ()) for w in free)
-        others = max((sum(lang in WORDS.get(w, ()) and own not in WORDS.get(w, ()) for w in free) for lang in LANGUAGES if lang != own), default=0)
+        return [low[i] for i in plain if (words[i][0].islower() and not inside(i)) or (i == 0 and small) or not LATIN.match(words[i][0])]
+
+    split = [(p, _WORD.findall(p)) for p in parts]
+    frees = [free_words(words, [w.lower() for w in words]) for _, words in split]
+    cover = {lang: sum(lang in WORDS.get(w, ()) for f in frees for w in f) for lang in LANGUAGES}
+    alien = max((lang for lang in LANGUAGES if lang != own), key=lambda x: cover[x])
+    if cover[alien] - cover[own] < 2:
+        alien = None  # words shared with the question's language count for it
+    for (p, words), free in zip(split, frees):
+        low = [w.lower() for w in words]
+        copied = [w in q_set or any(similar(w, x) for x in q_set) for w in low]
+        masked = " ".join(w for w in p.split() if not all(x.lower() in q_named for x in _WORD.findall(w)) or not _WORD.search(w))
+        mine = sum(own in WORDS.get(w, ()) and alien not in WORDS.get(w, ()) for w in free)
+        others = max((sum(lang in WORDS.get(w, ()) and (lang == alien or own not in WORDS.get(w, ())) for w in free) for lang in LANGUAGES if lang != own), default=0)
         letters = regex.findall(r"\p{L}", p)
         script = bool(letters) and sum(not LATIN.match(c) for c in letters) > 0 and all(LATIN.match(c) for c in regex.findall(r"\p{L}", question))
         cues = REFUSALS.findall(masked)
