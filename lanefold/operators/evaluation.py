@@ -46,7 +46,7 @@ def rate(c: Column, digits: int = 6) -> Column:
 
 
 def mean(c: str) -> Column:
-    return F.round(F.avg(F.coalesce(F.col(c), F.lit(0.0))), 6)
+    return F.round(F.avg(F.coalesce(F.col(c), F.lit(0.0))), 8)
 
 
 def share_of(hit: Column, base: Column) -> Column:
@@ -91,8 +91,8 @@ def outcome_columns() -> list[Column]:
 
 
 _OUT = """count(*) AS n, round(avg(CASE WHEN exact_match THEN 1.0::DOUBLE ELSE 0 END), 6) AS em,
-    round(avg(CASE WHEN answer_correct THEN 1.0::DOUBLE ELSE 0 END), 6) AS soft_em, round(avg(coalesce(f1_score, 0)), 6) AS f1,
-    round(avg(coalesce(time_ms, 0)), 6) AS avg_time_ms, round(avg(CASE WHEN retrieval_count > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage,
+    round(avg(CASE WHEN answer_correct THEN 1.0::DOUBLE ELSE 0 END), 6) AS soft_em, round(avg(coalesce(f1_score, 0)), 8) AS f1,
+    round(avg(coalesce(time_ms, 0)), 8) AS avg_time_ms, round(avg(CASE WHEN retrieval_count > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage,
     round(avg(CASE WHEN all_gold_retrieved THEN 1.0::DOUBLE ELSE 0 END), 6) AS sf_recall,
     round(coalesce(count(*) FILTER (all_gold_retrieved AND answer_correct) / nullif(count(*) FILTER (all_gold_retrieved), 0), 0), 6) AS retrieval_only_em,
     round(coalesce(count(*) FILTER (all_gold_retrieved AND exact_match) / nullif(count(*) FILTER (all_gold_retrieved), 0), 0), 6) AS em_given_retrieval_ok,
@@ -469,7 +469,7 @@ ORACLE = {
     "a20_transitions": _PAIR + " SELECT row_a, row_b, CASE WHEN em_a AND em_b THEN 'stayed_correct' WHEN NOT em_a AND NOT em_b THEN 'stayed_wrong' WHEN NOT em_a AND em_b THEN 'gained' ELSE 'lost' END AS transition, count(*) AS n FROM p GROUP BY 1, 2, 3",
     "a21_row_summary": _REC + """ SELECT row_name, count(*) AS n, round(avg(exact_match::INT), 6) AS em, round(avg(coalesce(all_gold_retrieved, FALSE)::INT), 6) AS sf_recall,
         round(coalesce(count(*) FILTER (all_gold_retrieved AND exact_match) / nullif(count(*) FILTER (all_gold_retrieved), 0), 0), 6) AS em_given_retr_ok,
-        round(avg(coalesce(retrieval_count, 0)), 6) AS avg_retrieval_count, max(retrieval_count) AS max_retrieval_count, round(avg(coalesce(verifier_iterations, 0)), 6) AS avg_verifier_iters, max(verifier_iterations) AS max_verifier_iters FROM r GROUP BY 1""",
+        round(avg(coalesce(retrieval_count, 0)), 8) AS avg_retrieval_count, max(retrieval_count) AS max_retrieval_count, round(avg(coalesce(verifier_iterations, 0)), 8) AS avg_verifier_iters, max(verifier_iterations) AS max_verifier_iters FROM r GROUP BY 1""",
     "a22_planner_routing": _REC + """ SELECT row_name, field, value, count(*) AS n FROM (SELECT row_name, 'query_type' AS field, coalesce(planner_query_type, 'unknown') AS value FROM r
         UNION ALL SELECT row_name, 'hop_count', coalesce(hop_count::VARCHAR, '0') FROM r UNION ALL SELECT row_name, 'n_entities', coalesce(n_entities::VARCHAR, '0') FROM r) GROUP BY 1, 2, 3""",
     "a23_answer_flips": _PAIR + " SELECT row_a, row_b, count(*) AS answer_changed, count(*) FILTER (NOT em_a AND em_b) AS fixed, count(*) FILTER (em_a AND NOT em_b) AS broke, count(*) FILTER (em_a = em_b) AS churn FROM p WHERE pa <> pb GROUP BY 1, 2",

@@ -38,11 +38,11 @@ def unique_events(events: DataFrame) -> DataFrame:
 
 def running_mean(events: DataFrame) -> DataFrame:
     """Count and mean of value per type so far (complete mode)."""
-    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 8).alias("mean_value"))
 
 
 def _agg(grouped) -> DataFrame:
-    g = grouped.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+    g = grouped.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 8).alias("mean_value"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "n", "mean_value")
 
 
@@ -65,9 +65,9 @@ def a48_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (x01_tumbling, x02_sliding, x03_sessions, a48_running_mean)}
 ORACLE = {
-    "x01_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3",
-    "x02_sliding": "SELECT time_bucket(INTERVAL 1 HOUR, ts) - s * INTERVAL 1 HOUR AS window_start, time_bucket(INTERVAL 1 HOUR, ts) - s * INTERVAL 1 HOUR + INTERVAL 2 HOUR AS window_end, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events, (VALUES (0), (1)) v(s) WHERE ts IS NOT NULL GROUP BY 1, 2, 3",
+    "x01_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(avg(value), 8) AS mean_value FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3",
+    "x02_sliding": "SELECT time_bucket(INTERVAL 1 HOUR, ts) - s * INTERVAL 1 HOUR AS window_start, time_bucket(INTERVAL 1 HOUR, ts) - s * INTERVAL 1 HOUR + INTERVAL 2 HOUR AS window_end, event_type, count(*) AS n, round(avg(value), 8) AS mean_value FROM events, (VALUES (0), (1)) v(s) WHERE ts IS NOT NULL GROUP BY 1, 2, 3",
     "x03_sessions": """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         g AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o) SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, user_id, count(*) AS n FROM g GROUP BY user_id, s""",
-    "a48_running_mean": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1",
+    "a48_running_mean": "SELECT event_type, count(*) AS n, round(avg(value), 8) AS mean_value FROM events GROUP BY 1",
 }
