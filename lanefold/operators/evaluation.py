@@ -36,8 +36,8 @@ TARGETS = [0.5, 0.6, 0.7, 0.8, 0.85, 0.95]
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation records, repeated rows once."""
-    return load(spark, sf_dir, "agentic_ablation").drop("finished_at").distinct()
+    """Evaluation records, one per (question_id, row_name); only the columns that a query uses are read and moved."""
+    return load(spark, sf_dir, "agentic_ablation").dropDuplicates(["question_id", "row_name"])
 
 
 def rate(c: Column, digits: int = 6) -> Column:

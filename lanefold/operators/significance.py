@@ -41,8 +41,8 @@ def a38_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and its 95 % interval per row and metric."""
     v = metric_values(spark, sf_dir)
     means = resampled(v, ["row_name", "metric"], ["value"]).groupBy("row_name", "metric").agg(F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"))
-    point = v.groupBy("row_name", "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
-    return point.join(means, ["row_name", "metric"]).select("row_name", "metric", "n", "mean", F.round("lo", 5).alias("ci_low"), F.round("hi", 5).alias("ci_high"))
+    point = v.groupBy("row_name", "metric").agg(F.round(F.avg("value"), 9).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return point.join(means, ["row_name", "metric"]).select("row_name", "metric", "n", "mean", F.round("lo", 9).alias("ci_low"), F.round("hi", 9).alias("ci_high"))
 
 
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = resampled(p, ["row_a", "row_b"], ["d"]).join(point, ["row_a", "row_b"])
     far = F.round(F.abs(F.col("d") - F.col("delta")), 9) >= F.round(F.abs("delta"), 9)
     g = r.groupBy("row_a", "row_b").agg(F.first("delta").alias("delta"), F.first("n").alias("n"), F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"), F.count(F.when(far, 1)).alias("extreme"))
-    return g.select("row_a", "row_b", "n", F.round("delta", 6).alias("delta"), F.round("lo", 6).alias("ci_low"), F.round("hi", 6).alias("ci_high"), F.round((F.col("extreme") + 1) / (RESAMPLES + 1), 6).alias("p_value"))
+    return g.select("row_a", "row_b", "n", F.round("delta", 6).alias("delta"), F.round("lo", 9).alias("ci_low"), F.round("hi", 9).alias("ci_high"), F.round((F.col("extreme") + 1) / (RESAMPLES + 1), 6).alias("p_value"))
 
 
 def holm(tests: DataFrame, p: str, tie: str, alpha: float = ALPHA) -> DataFrame:
@@ -76,11 +76,11 @@ _U = "('0x' || substring(md5('42:' || b || ':' || question_id), 1, 8))::BIGINT /
 _R = "WITH r AS (SELECT DISTINCT * EXCLUDE (finished_at) FROM agentic_ablation)"
 _P = _R + f""", o(row_a, row_b) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in zip(ROWS, ROWS[1:]))}), d AS (SELECT row_a, row_b, x.question_id, (y.exact_match::INT - x.exact_match::INT)::DOUBLE AS d FROM o JOIN r x ON x.row_name = row_a JOIN r y ON y.row_name = row_b AND x.question_id = y.question_id),
     pt AS (SELECT row_a, row_b, avg(d) AS delta, count(*) AS n FROM d GROUP BY 1, 2), u AS (SELECT row_a, row_b, d, b, {_U} AS u FROM d, range(1, {RESAMPLES + 1}) t(b)), w AS (SELECT row_a, row_b, b, sum(({_W}) * d) / sum({_W}) AS m FROM u GROUP BY 1, 2, 3),
-    g AS (SELECT row_a, row_b, any_value(n) AS n, round(any_value(delta), 6) AS delta, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, round((count(*) FILTER (round(abs(m - delta), 9) >= round(abs(delta), 9)) + 1) / {RESAMPLES + 1}, 6) AS p_value FROM w JOIN pt USING (row_a, row_b) GROUP BY 1, 2)"""
+    g AS (SELECT row_a, row_b, any_value(n) AS n, round(any_value(delta), 6) AS delta, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_cont(m, 0.975), 9) AS ci_high, round((count(*) FILTER (round(abs(m - delta), 9) >= round(abs(delta), 9)) + 1) / {RESAMPLES + 1}, 6) AS p_value FROM w JOIN pt USING (row_a, row_b) GROUP BY 1, 2)"""
 ORACLE = {
     "a38_bootstrap_ci": _R + f""", v AS (SELECT row_name, question_id, 'em' AS metric, exact_match::INT::DOUBLE AS x FROM r UNION ALL SELECT row_name, question_id, 'f1', coalesce(f1_score, 0) FROM r UNION ALL SELECT row_name, question_id, 'recall', coalesce(retrieval_recall, 0) FROM r),
-        u AS (SELECT row_name, metric, x, b, {_U} AS u FROM v, range(1, {RESAMPLES + 1}) t(b)), w AS (SELECT row_name, metric, b, sum(({_W}) * x) / sum({_W}) AS m FROM u GROUP BY 1, 2, 3), c AS (SELECT row_name, metric, round(quantile_cont(m, 0.025), 5) AS ci_low, round(quantile_cont(m, 0.975), 5) AS ci_high FROM w GROUP BY 1, 2)
-        SELECT row_name, metric, count(*) AS n, round(avg(coalesce(x, 0)), 6) AS mean, any_value(ci_low) AS ci_low, any_value(ci_high) AS ci_high FROM v JOIN c USING (row_name, metric) GROUP BY 1, 2""",
+        u AS (SELECT row_name, metric, x, b, {_U} AS u FROM v, range(1, {RESAMPLES + 1}) t(b)), w AS (SELECT row_name, metric, b, sum(({_W}) * x) / sum({_W}) AS m FROM u GROUP BY 1, 2, 3), c AS (SELECT row_name, metric, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_cont(m, 0.975), 9) AS ci_high FROM w GROUP BY 1, 2)
+        SELECT row_name, metric, count(*) AS n, round(avg(coalesce(x, 0)), 9) AS mean, any_value(ci_low) AS ci_low, any_value(ci_high) AS ci_high FROM v JOIN c USING (row_name, metric) GROUP BY 1, 2""",
     "a39_paired_bootstrap": _P + " SELECT * FROM g",
     "a42_holm": _P + ", h AS (SELECT *, row_number() OVER (ORDER BY p_value, row_a) AS holm_rank, count(*) OVER () AS m FROM g), q AS (SELECT *, round(max(least(1, (m - holm_rank + 1) * p_value)) OVER (ORDER BY holm_rank), 6) AS p_adjusted FROM h) SELECT * EXCLUDE (m), p_adjusted <= 0.05 AS significant FROM q",
 }
