@@ -219,6 +219,40 @@ def test_ranking_resists_ranges_outliers_nulls_and_ties(spark):
     assert ranking.leaders(spark.createDataFrame([], RESULTS)).count() == 0 and ranking.ranking(spark.createDataFrame([], RESULTS)).count() == 0
 
 
+def brute_closeness(x):
+    """Closeness of the rows of a small score matrix (nan: not returned), by the definition."""
+    ideal, anti = np.zeros(len(x)), np.zeros(len(x))
+    for col in x.T:
+        v = np.sort(col[~np.isnan(col)])
+        if not len(v):
+            continue
+        q1, q3 = v[max(0, int(np.ceil(0.25 * len(v))) - 1)], v[max(0, int(np.ceil(0.75 * len(v))) - 1)]
+        lo, hi = max(v[0], q1 - 3 * (q3 - q1)), min(v[-1], q3 + 3 * (q3 - q1))
+        w = np.where(np.isnan(col), 0, np.clip(np.nan_to_num(col), lo, hi) - lo)
+        w = w / (np.sqrt((w**2).sum()) or 1)
+        ideal += 0.25 * (w.max() - w) ** 0.25
+        anti += 0.25 * w**0.25
+    ideal, anti = ideal**4, anti**4
+    return np.where(ideal + anti > 0, anti / np.where(ideal + anti > 0, ideal + anti, 1), 0)
+
+
+def test_closeness_matches_the_definition_also_in_a_hot_query(spark):
+    rng = np.random.default_rng(4)
+    data, want = [], {}
+    for q, n in [("hot", 3000)] + [(f"q{i}", int(rng.integers(1, 30))) for i in range(60)]:
+        x = np.column_stack([rng.random(n), rng.exponential(20, n), rng.random(n) * 0.3, rng.random(n) / 60])
+        x[rng.random(x.shape) < 0.2] = np.nan
+        x[0, 1] = 1e6
+        for j, c in enumerate(brute_closeness(x)):
+            want[q, f"c{j:05d}"] = c
+        data += [(q, f"c{j:05d}", *[None if np.isnan(v) else float(v) for v in r], 0) for j, r in enumerate(x)]
+    out = ranking.ranking(spark.createDataFrame(data, RESULTS), chunk_rows=500).collect()
+    assert len(out) == len(want)
+    assert max(abs(r["closeness"] - want[r["query_id"], r["chunk_id"]]) for r in out) < 1e-6
+    hot = sorted((r for r in out if r["query_id"] == "hot"), key=lambda r: r["rank"])
+    assert [r["rank"] for r in hot] == list(range(1, 3001)) and all(a["closeness"] >= b["closeness"] for a, b in zip(hot, hot[1:]))
+
+
 def test_leaders_need_three_strict_firsts_and_a_fair_fourth(spark):
     base = [("q", f"c{i}", i / 10, i / 10, i / 10, (5 - i) / 10, 0) for i in range(6)]
     assert ranking.leaders(spark.createDataFrame(base, RESULTS)).count() == 0
