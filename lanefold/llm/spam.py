@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,34 +53,49 @@ UNUSUAL, FOREIGN = 1.1, 1.5
 SHARE = 0.42
 
 
+_PLAIN_TOKEN = re.compile(re.sub(r"\(\?P<\w+>", "(?:", _TOKEN.pattern))
+_seen: dict[str, tuple[int, str, float]] = {}
+MAX_SEEN = 300_000
+
+
+def _token(s: str) -> tuple[int, str, float]:
+    """(symbol number, lower-cased token, words it holds) of one token; kept for the next time it comes."""
+    low = s.lower()
+    kind, weight = _TOKEN.fullmatch(s).lastgroup, 0
+    if kind == "word":
+        c, weight = FUNCTION_CLASS.get(low), 1
+        if c is None:
+            if s.isdigit():
+                c = "Y" if len(s) == 4 else "N"
+            elif any(ch.isdigit() for ch in s):
+                c = "K"
+            else:
+                c = "B" if s[0].isupper() else "w"
+    elif kind == "url":
+        c, weight = "U", len(_RUN.findall(s))
+    elif kind == "tag":
+        link = "http" in s or "href" in s or "url=" in s
+        c, weight = ("U", len(_RUN.findall(s))) if link else ("M", 0)
+    elif kind == "hash":
+        c, weight = "H", 1
+    elif kind == "line":
+        c = "\n"
+    else:
+        c = s if s in NUMBER and not s.isalnum() else "x"
+    if len(_seen) >= MAX_SEEN:
+        _seen.clear()
+    out = _seen[s] = (NUMBER[c], low, float(weight))
+    return out
+
+
 def classify(text: str) -> tuple[np.ndarray, list[str], np.ndarray]:
     """(symbol numbers, lower-cased tokens, words each token holds)."""
-    kinds, tokens, weight = [], [], []
-    for m in _TOKEN.finditer(text):
-        kind, s = m.lastgroup, m.group()
-        if kind == "word":
-            low = s.lower()
-            c = FUNCTION_CLASS.get(low)
-            if c is None:
-                if s.isdigit():
-                    c = "Y" if len(s) == 4 else "N"
-                elif any(ch.isdigit() for ch in s):
-                    c = "K"
-                else:
-                    c = "B" if s[0].isupper() else "w"
-            kinds.append(c), tokens.append(low), weight.append(1)
-        elif kind == "url":
-            kinds.append("U"), tokens.append(s.lower()), weight.append(len(_RUN.findall(s)))
-        elif kind == "tag":
-            link = "http" in s or "href" in s or "url=" in s
-            kinds.append("U" if link else "M"), tokens.append(s.lower()), weight.append(len(_RUN.findall(s)) if link else 0)
-        elif kind == "hash":
-            kinds.append("H"), tokens.append(s.lower()), weight.append(1)
-        elif kind == "line":
-            kinds.append("\n"), tokens.append(s), weight.append(0)
-        else:
-            kinds.append(s if s in NUMBER and not s.isalnum() else "x"), tokens.append(s), weight.append(0)
-    return np.array([NUMBER[k] for k in kinds], np.int64), tokens, np.array(weight, float)
+    get = _seen.get
+    rows = [get(s) or _token(s) for s in _PLAIN_TOKEN.findall(text)]
+    if not rows:
+        return np.empty(0, np.int64), [], np.empty(0)
+    kinds, tokens, weight = zip(*rows)
+    return np.array(kinds, np.int64), list(tokens), np.array(weight, float)
 
 
 def _function_share(kinds: np.ndarray, weight: np.ndarray) -> float:
@@ -123,6 +139,12 @@ class ClassModel:
         return self.nats[(s[:-2] * N_SYMBOLS + s[1:-1]) * N_SYMBOLS + s[2:]]
 
 
+@lru_cache(None)
+def _among(symbols: str) -> np.ndarray:
+    """By symbol number, whether it is one of the given ones."""
+    return np.array([s in symbols for s in SYMBOLS])
+
+
 def _around(values: np.ndarray, half: int) -> np.ndarray:
     """Mean of values within ``half`` places."""
     total = np.concatenate([[0.0], np.cumsum(values, dtype=float)])
@@ -150,15 +172,14 @@ def judge(text: str, model: ClassModel) -> tuple[float, float, float, int]:
         return 0.0, 0.0, 0.0, 0
     nats = model.score(kinds)
     k, w = kinds[at], weight[at]
-    sym = [SYMBOLS[i] for i in k]
-    content = np.array([s in "wBKHU" for s in sym])
+    content = _among("wBKHU")[k]
     names = [tokens[i] for i in at]
     repeats = Counter(n for n, c in zip(names, content) if c)
     often = np.array([c and repeats[n] >= MIN_REPEATS for n, c in zip(names, content)], float)
     lo, hi = at[np.maximum(0, np.arange(len(at)) - WINDOW)], at[np.minimum(len(at) - 1, np.arange(len(at)) + WINDOW)] + 1
     total = np.concatenate([[0.0], np.cumsum(nats)])
     ppl = (total[hi] - total[lo]) / (hi - lo) / model.prose
-    share = lambda symbols: _around(np.array([s in symbols for s in sym], float), WINDOW)
+    share = lambda symbols: _around(_among(symbols)[k].astype(float), WINDOW)
     function, plain, codes, links, hashes = share("APCRVD"), share("wH"), share("K"), share("U"), share("H")
     keywords = _around(often, WINDOW) / np.maximum(_around(content.astype(float), WINDOW), 1e-9) >= 0.5
     echo_words = _echoes(names)
