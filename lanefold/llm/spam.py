@@ -164,32 +164,51 @@ def _echoes(words: list[str]) -> np.ndarray:
     return out
 
 
-def judge(text: str, model: ClassModel) -> tuple[float, float, float, int]:
-    """(share of words in stuffed or listed stretches, class perplexity, share of echoing words, words)."""
+def judge(text: str, model: ClassModel) -> tuple[float, float, int]:
+    """(share of words in stuffed or listed stretches, class perplexity of the whole text, words).
+
+    A rule is worked out only where the text holds what it asks for (a link, a code, repeated words, a stretch without
+    function words); its outcome is the same as if it always were.
+    """
     kinds, tokens, weight = classify(text)
     at = np.flatnonzero(weight > 0)
-    if not len(at):
-        return 0.0, 0.0, 0.0, 0
+    n = len(at)
+    if not n:
+        return 0.0, 0.0, 0
     nats = model.score(kinds)
     k, w = kinds[at], weight[at]
-    content = _among("wBKHU")[k]
     names = [tokens[i] for i in at]
-    repeats = Counter(n for n, c in zip(names, content) if c)
-    often = np.array([c and repeats[n] >= MIN_REPEATS for n, c in zip(names, content)], float)
-    lo, hi = at[np.maximum(0, np.arange(len(at)) - WINDOW)], at[np.minimum(len(at) - 1, np.arange(len(at)) + WINDOW)] + 1
-    total = np.concatenate([[0.0], np.cumsum(nats)])
-    ppl = (total[hi] - total[lo]) / (hi - lo) / model.prose
-    share = lambda symbols: _around(_among(symbols)[k].astype(float), WINDOW)
-    function, plain, codes, links, hashes = share("APCRVD"), share("wH"), share("K"), share("U"), share("H")
-    keywords = _around(often, WINDOW) / np.maximum(_around(content.astype(float), WINDOW), 1e-9) >= 0.5
-    echo_words = _echoes(names)
-    echo = _around(echo_words, ECHO_WINDOW)
-    stuffed = keywords & (((function <= 0.27) & (ppl > UNUSUAL) & (echo >= 0.4)) | ((ppl > FOREIGN) & (echo >= 0.5)) | ((echo >= 0.8) & (function <= 0.35)))
-    linked = (links >= 0.15) | (hashes >= 0.3)
-    tags = (function <= 0.1) & (plain >= 0.7) & (ppl > UNUSUAL)
-    products = (codes >= 0.08) & (function <= 0.12) & (ppl > UNUSUAL)
-    bad = stuffed | linked | tags | products
-    return float((w * bad).sum() / w.sum()), float(np.exp(nats.mean())), float(echo_words.mean()), int(w.sum())
+    place = np.arange(n)
+    lo, hi = np.maximum(0, place - WINDOW), np.minimum(n, place + WINDOW + 1)
+
+    def share(values: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0.0], np.cumsum(values)])
+        return (total[hi] - total[lo]) / (hi - lo)
+
+    def perplexity() -> np.ndarray:
+        total = np.concatenate([[0.0], np.cumsum(nats)])
+        first, last = at[lo], at[hi - 1] + 1
+        return (total[last] - total[first]) / (last - first) / model.prose
+
+    bad = np.zeros(n, bool)
+    if _among("UH")[k].any():
+        bad |= (share(_among("U")[k]) >= 0.15) | (share(_among("H")[k]) >= 0.3)
+    function = share(_among("APCRVD")[k])
+    coded = (function <= 0.12) & (share(_among("K")[k]) >= 0.08) if _among("K")[k].any() else bad & False
+    tagged = (function <= 0.1) & (share(_among("wH")[k]) >= 0.7) if (function <= 0.1).any() else bad & False
+    content = _among("wBKHU")[k]
+    repeats = Counter(x for x, c in zip(names, content) if c)
+    keywords = bad & False
+    if repeats and max(repeats.values()) >= MIN_REPEATS:
+        often = np.array([c and repeats[x] >= MIN_REPEATS for x, c in zip(names, content)], float)
+        keywords = share(often) / np.maximum(share(content), 1e-9) >= 0.5
+    if coded.any() or tagged.any() or keywords.any():
+        ppl = perplexity()
+        bad |= (coded | tagged) & (ppl > UNUSUAL)
+        if keywords.any():
+            echo = _around(_echoes(names), ECHO_WINDOW)
+            bad |= keywords & (((function <= 0.27) & (ppl > UNUSUAL) & (echo >= 0.4)) | ((ppl > FOREIGN) & (echo >= 0.5)) | ((echo >= 0.8) & (function <= 0.35)))
+    return float((w * bad).sum() / w.sum()), float(np.exp(nats.mean())), int(w.sum())
 
 
 def class_model(documents: DataFrame) -> ClassModel:
@@ -200,7 +219,7 @@ def class_model(documents: DataFrame) -> ClassModel:
 
 
 def page_scores(documents: DataFrame) -> DataFrame:
-    """doc_id, share, perplexity, echo, n_words for every text with a word; null, empty and blank texts have no row.
+    """doc_id, share, perplexity, n_words for every text with a word; null, empty and blank texts have no row.
 
     Repeated texts under other doc_id get rows of their own; a table without texts gives none.
     """
@@ -209,11 +228,11 @@ def page_scores(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [judge(t, model.value) for t in batch["text"]]
-            share, perplexity, echo, n = (list(x) for x in zip(*rows)) if rows else ([], [], [], [])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "share": share, "perplexity": perplexity, "echo": echo, "n_words": n})
+            share, perplexity, n = (list(x) for x in zip(*rows)) if rows else ([], [], [])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "share": share, "perplexity": perplexity, "n_words": n})
 
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    return texts.mapInPandas(run, "doc_id long, share double, perplexity double, echo double, n_words long").where("n_words > 0")
+    return texts.mapInPandas(run, "doc_id long, share double, perplexity double, n_words long").where("n_words > 0")
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
