@@ -37,7 +37,7 @@ FUNCTION_CLASS = {w: c for c, words in reversed(FUNCTION_WORDS.items()) for w in
 SYMBOLS = [*"APCRVD", *"wBYNKUHM", "\n", *".,;:!?|()-–\"#*/", "x"]
 NUMBER = {s: i for i, s in enumerate(SYMBOLS)}
 N_SYMBOLS = 32
-_HOST = r"[\w-]{1,63}(?:\.[\w-]{1,63}){0,6}\.(?:com|net|org|example|test|invalid|info|io|biz)\b(?:/[^\s<>\"')\]]*)?"
+_HOST = r"[\w-]{1,63}+(?=\.)(?:\.[\w-]{1,63}+){0,6}\.(?:com|net|org|example|test|invalid|info|io|biz)\b(?:/[^\s<>\"')\]]*)?"
 _TOKEN = re.compile(
     r"(?P<url>(?:https?://|www\.)[^\s<>\"')\]]+|\b" + _HOST + r")|(?P<tag><[^>]{0,300}>|\[/?url[^\]]{0,300}\])"
     r"|(?P<hash>#\w+)|(?P<word>[^\W_]+)|(?P<line>\n+)|(?P<mark>[^\w\s])"
@@ -111,11 +111,13 @@ def count_classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Trigram counts of the prose-like texts of a task: at most N_SYMBOLS^3 rows."""
     total = np.zeros(N_SYMBOLS**3, np.int64)
     for batch in batches:
+        held = [np.empty(0, np.int64)]
         for text in batch["text"]:
             kinds, _, weight = classify(text)
             if _function_share(kinds, weight) >= PROSE_SHARE:
                 s = _padded(kinds)
-                total += np.bincount((s[:-2] * N_SYMBOLS + s[1:-1]) * N_SYMBOLS + s[2:], minlength=len(total))
+                held.append((s[:-2] * N_SYMBOLS + s[1:-1]) * N_SYMBOLS + s[2:])
+        total += np.bincount(np.concatenate(held), minlength=len(total))
     at = np.flatnonzero(total)
     yield pd.DataFrame({"trigram": at, "n": total[at]})
 
