@@ -127,18 +127,16 @@ def by_key(key: str):
     return query
 
 
-def retrieved(r: DataFrame) -> Column:
-    """Whether the gold reached the model; the strict signal where it is known, else recall above nothing."""
-    del r
-    return F.coalesce(gold_(), F.col("retrieval_recall") > 0, F.lit(False))
+def failure_bucket(present: Column | None = None) -> Column:
+    """The bucket of a wrong answer; ``present`` tells whether the gold reached the model.
 
-
-def failure_bucket() -> Column:
-    """The bucket of a wrong answer."""
+    Without it, the strict signal counts where it is known, else recall above nothing.
+    """
+    present = F.coalesce(gold_(), F.col("retrieval_recall") > 0, F.lit(False)) if present is None else present
     pred = F.lower(strip(F.coalesce("predicted_answer", F.lit(""))))
     yes_no = lambda c: normalise_answer(F.col(c)).isin("yes", "no")
     return (
-        F.when(~F.coalesce(gold_(), F.col("retrieval_recall") > 0, F.lit(False)), "a_retrieval_miss")
+        F.when(~present, "a_retrieval_miss")
         .when((pred == "") | contains_any(pred, ABSTENTION), "d_abstention")
         .when(F.coalesce("f1_score", F.lit(0.0)) >= 0.5, "e_close_miss")
         .when(yes_no("gold_answer") != yes_no("predicted_answer"), "c_format_mismatch")
@@ -404,6 +402,14 @@ def d01_dev_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("dataset", "question_id", F.when(F.col("_place") > F.col("_n") - 100, "dev").otherwise("test").alias("split"))
 
 
+def d02_split_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per dataset, questions in both splits and questions in neither; both are 0 for a sound split."""
+    split = d01_dev_split(spark, sf_dir)
+    every = records(spark, sf_dir).where(F.col("dataset").isNotNull()).select("dataset", "question_id").distinct()
+    per = every.join(split, ["dataset", "question_id"], "left").groupBy("dataset", "question_id").agg(F.countDistinct("split").alias("k"))
+    return per.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("k") > 1, 1)).alias("in_both"), F.count(F.when(F.col("k") == 0, 1)).alias("in_neither"))
+
+
 def d03_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions that the full row would still have to answer: those without a usable answer there."""
     r = records(spark, sf_dir)
@@ -434,7 +440,7 @@ QUERIES = {
     f.__name__: f for f in (
         a02_config_summary, a04_marginal_utility, a13_failure_bucket, a15_halluc_subbucket, a16_bucket_histogram, a17_bucket_comparison, a19_failure_class, a20_transitions, a21_row_summary,
         a22_planner_routing, a23_answer_flips, a24_latency_stats, a25_within_budget, a26_risk_coverage, a27_contingency, a28_calibration, a29_auroc, a31_deferral_order, a34_knee, a35_cost_targets,
-        a37_time_percentiles, a46_coverage_check, a47_batch_accuracy, a53_coverage_points, m02_answer_metrics, d01_dev_split, d03_resume, d08_query_cache_keys,
+        a37_time_percentiles, a46_coverage_check, a47_batch_accuracy, a53_coverage_points, m02_answer_metrics, d01_dev_split, d02_split_check, d03_resume, d08_query_cache_keys,
     )
 } | {"a05_row_aggregate": by_key("row_name"), "a06_dataset_aggregate": by_key("dataset"), "a10_type_aggregate": by_key("question_type"), "a32_deferral_sweep": sweep}
 
@@ -503,6 +509,7 @@ ORACLE = {
     "a47_batch_accuracy": _REC + " SELECT row_name, count(*) AS total, count(*) FILTER (lower(§predicted_answer§) = lower(§gold_answer§)) AS correct, round(avg((lower(§predicted_answer§) = lower(§gold_answer§))::INT), 6) AS accuracy FROM r GROUP BY 1",
     "a53_coverage_points": _SWEEP + " SELECT row_name, cloud_mode, round(1 - fraction, 6) AS coverage, round(1 - accuracy, 6) AS risk FROM s",
     "d01_dev_split": _REC + ", q AS (SELECT DISTINCT dataset, question_id FROM r WHERE dataset IS NOT NULL) SELECT dataset, question_id, CASE WHEN row_number() OVER (PARTITION BY dataset ORDER BY question_id) > count(*) OVER (PARTITION BY dataset) - 100 THEN 'dev' ELSE 'test' END AS split FROM q",
+    "d02_split_check": _REC + " SELECT dataset, count(DISTINCT question_id) AS n, 0::BIGINT AS in_both, 0::BIGINT AS in_neither FROM r WHERE dataset IS NOT NULL GROUP BY 1",
     "d03_resume": _REC + " SELECT DISTINCT question_id FROM r WHERE question_id NOT IN (SELECT question_id FROM r WHERE row_name = 'row5_full' AND §predicted_answer§ <> '')",
     "d08_query_cache_keys": _REC + " SELECT substring(sha256(lower(trim(question))), 1, 16) AS cache_key, count(*) AS n_records, count(DISTINCT question_id) AS n_questions FROM r GROUP BY 1",
 }

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanefold.functions.metrics import ABSTENTION, normalise_answer
 from lanefold.functions.text import strip, strip_sql
-from lanefold.operators.evaluation import records
+from lanefold.operators.evaluation import _PRED, _any, _norm, failure_bucket, records
 from lanefold.operators.filters import ranked
 from lanefold.operators.graph import _QE, e27_question_entities
 from lanefold.operators.retrieval import _ALL
@@ -150,7 +153,24 @@ def f19_expanded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("question_id", "row_name", F.concat_ws(" ", "question", "predicted_answer", F.array_join("e", " ")).alias("expanded"))
 
 
-QUERIES = {f.__name__: f for f in (v02_entity_coverage, v04_conflicts, v07_credibility, v09_claims, v10_claim_support, v12_answer_checks, v21_first_chunk_answer, f19_expanded_query)}
+def a18_verifier_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of wrong answers of questions with evidence, gold present meaning that the evidence holds it."""
+    r = records(spark, sf_dir).where(~F.col("exact_match")).join(evidence(spark, sf_dir), "question_id")
+    gold = normalise_answer(F.col("gold_answer"))
+    held = (gold != "") & normalise_answer(F.col("context")).contains(gold)
+    bucket = F.when(held, failure_bucket(F.lit(True))).otherwise("a_retrieval_miss")
+    return r.groupBy("row_name", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def w33_retrieval_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's chunks in order as one JSON list of text, score, hop and whether the graph found it."""
+    r = ranked(spark, sf_dir)
+    item = F.struct("text", F.round("rrf", 6).alias("score"), F.col("hop_distance").alias("hop_index"), F.col("method").isin("graph", "hybrid").alias("is_graph_based"))
+    g = r.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("x")))), lambda y: y["x"]).alias("c"))
+    return g.select("query_id", F.size("c").alias("n_chunks"), F.to_json("c").alias("chunks"))
+
+
+QUERIES = {f.__name__: f for f in (a18_verifier_taxonomy, w33_retrieval_cache, v02_entity_coverage, v04_conflicts, v07_credibility, v09_claims, v10_claim_support, v12_answer_checks, v21_first_chunk_answer, f19_expanded_query)}
 
 
 def _in(c: str, phrases: list[str]) -> str:
@@ -161,7 +181,10 @@ _A = _ALL + """, kx AS (SELECT query_id, chunk_id, rrf, method, rank FROM t WHER
     ev AS (SELECT query_id AS question_id, string_agg(lower(text), chr(10) ORDER BY rank) AS context FROM kt WHERE rank <= 10 GROUP BY 1), rc AS (SELECT DISTINCT * EXCLUDE (finished_at) FROM agentic_ablation)"""
 _CLAIM = rf""", sp AS (SELECT question_id, row_name, string_split(regexp_replace(coalesce(predicted_answer, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM rc WHERE NOT starts_with(coalesce(predicted_answer, ''), '[Error:')),
     fl AS (SELECT question_id, row_name, list_filter(list_transform(s, lambda x: {strip_sql('x')}), lambda x: length(x) > 15 AND NOT {_in('lower(x)', META)}) AS c FROM sp), ca AS (SELECT question_id, row_name, unnest(c) AS claim, (generate_subscripts(c, 1) - 1)::INT AS pos FROM fl)"""
+_HELD = f"{_norm('gold_answer')} <> '' AND contains({_norm('context')}, {_norm('gold_answer')})"
 ORACLE = {
+    "a18_verifier_taxonomy": _A + f""" SELECT row_name, CASE WHEN NOT ({_HELD}) THEN 'a_retrieval_miss' WHEN {_PRED} = '' OR {_any(_PRED, ABSTENTION)} THEN 'd_abstention' WHEN coalesce(f1_score, 0) >= 0.5 THEN 'e_close_miss'
+        WHEN ({_norm('gold_answer')} IN ('yes', 'no')) <> ({_norm('predicted_answer')} IN ('yes', 'no')) THEN 'c_format_mismatch' ELSE 'b_grounded_halluc' END AS bucket, count(*) AS n FROM rc JOIN ev USING (question_id) WHERE NOT exact_match GROUP BY 1, 2""",
     "v09_claims": _A + _CLAIM + " SELECT question_id, row_name, pos, claim FROM ca",
     "v10_claim_support": _A + _CLAIM + rf""", mk AS (SELECT question_id, row_name, list_distinct(list_concat(regexp_extract_all(claim, '{NAME}', 1), regexp_extract_all(claim, '\b(\d{{2,}})\b', 1))) AS m FROM ca),
         g AS (SELECT mk.question_id, row_name, count(*) AS n_claims, count(*) FILTER (len(list_filter(m, lambda x: NOT contains(coalesce(context, ''), lower(x)))) = 0) AS n_verified FROM mk LEFT JOIN ev USING (question_id) GROUP BY 1, 2)
@@ -173,3 +196,4 @@ ORACLE = {
     "v21_first_chunk_answer": _A + " SELECT query_id, text AS answer FROM kt WHERE rank = 1",
     "f19_expanded_query": _A + ", " + _QE + ", ge AS (SELECT query_id AS question_id, array_to_string(list_sort(list(DISTINCT key))[:3], ' ') AS e FROM qk GROUP BY 1) SELECT question_id, row_name, concat_ws(' ', question, predicted_answer, e) AS expanded FROM rc LEFT JOIN ge USING (question_id)",
 }
+ORACLE["a18_verifier_taxonomy"] = re.sub("§([^§]+)§", lambda m: strip_sql(f"coalesce({m[1]}, '')"), ORACLE["a18_verifier_taxonomy"])
