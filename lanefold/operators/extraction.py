@@ -15,15 +15,26 @@ PROPER = r"([\p{Lu}][\p{Ll}]+(?:\s+[\p{Lu}][\p{Ll}]+)+)"
 LEADING = r"(?i)^(is|are|was|were|do|does|did|both|either|neither)\s+"
 #: Label words of extractors by canonical type.
 LABELS = {
-    "PERSON": "person director actor politician scientist athlete per".split(),
-    "ORGANIZATION": "organization organisation company studio institution org".split(),
-    "GPE": "city country state gpe".split(),
-    "LOCATION": "location place river mountain loc fac".split(),
-    "DATE": "date year time".split(),
-    "EVENT": "event war battle festival".split(),
-    "WORK_OF_ART": "film movie album song book work_of_art".split(),
-    "PRODUCT": "product".split(),
+    "PERSON": ["person", "director", "actor", "politician", "scientist", "athlete"],
+    "ORGANIZATION": ["organization", "company", "studio", "institution", "org"],
+    "GPE": ["city", "country", "state", "gpe"],
+    "LOCATION": ["location", "place", "landmark", "monument", "building", "loc", "fac"],
+    "WORK_OF_ART": ["film", "movie", "book", "album", "song", "work_of_art", "work of art", "award", "prize"],
+    "DATE": ["date", "year", "time"],
+    "EVENT": ["event"],
+    "PRODUCT": ["product"],
+    "TECHNOLOGY": ["technology"],
 }
+#: Words of roles, which no person's name holds, and question words without weight for bridges.
+ROLES = (
+    "investigator director producer manager president chairman founder owner captain coach lawyer attorney officer secretary minister governor actor "
+    "actress author writer composer pictures studios movie film company corporation investigations agency department division group industries limited "
+    "incorporated associates private public"
+).split()
+BRIDGE_STOPS = (
+    "a an and are as at be by do does for from has have he her him his how in is it its of on or that the their they this to was were what when where "
+    "which who whom whose why will with would you your i we us our she them"
+).split()
 #: Words that are no entity of a question, and nouns of measure.
 JUNK = (
     "year years month months day days date dates time times person people thing things place places name names kind kinds sort sorts type types "
@@ -120,40 +131,53 @@ def e31_outer_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expected_type(c: Column) -> Column:
-    """the answer type a question word asks for."""
+    """the answer type of the first question word in the order who, whose, whom, where, when."""
     q = F.lower(strip(F.coalesce(c, F.lit(""))))
-    return F.when(q.rlike(r"(^|\s)(who|whom|whose)\s"), "PERSON").when(q.rlike(r"(^|\s)where\s"), "GPE").when(q.rlike(r"\bthe\s+\w+\s+who\b"), "PERSON")
+    said = lambda w: q.startswith(w + " ") | q.contains(f" {w} ")
+    return F.when(said("who") | said("whose") | said("whom"), "PERSON").when(said("where"), "GPE").when(said("when"), "DATE").when(q.rlike(r"\bthe\s+\w+\s+who\b"), "PERSON")
 
 
 def f21_bridge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best bridge candidates of each question among its five best chunks.
 
-    A candidate is a capitalised name of the chunk that the question lacks; its score is the nearness to a question word
-    (1 / (1 + distance / 200)), plus a bonus for two words and for two to three words where a person is asked for, minus
-    up to 0.2 for standing late, over 1 + the chunk's place; candidates without a question word near score 0 and are out.
+    A candidate is a capitalised name of the chunk that the question lacks. Its score is the nearness to a question word,
+    1 / (1 + distance / 200), plus 0.5 for two or three words where a person is asked for (or minus 0.3 with a word of
+    role), plus 0.3 for at most two words where a place is, plus 0.1 for two words, minus 0.2 for four or more, minus up
+    to 0.5 for standing late, not below 0, over the chunk's rank. Without a question word in the chunk there is none.
     """
     q = load(spark, sf_dir, "agentic_ablation").where(F.col("question").isNotNull()).groupBy(F.col("question_id").alias("query_id")).agg(F.max("question").alias("question"))
-    keys = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("question"), F.lit(r"([a-z]{3,})"), F.lit(1)), lambda w: ~w.isin(JUNK + "and the was were did does has had for from with that this its are".split())))
-    q = q.select("query_id", "question", keys.alias("keys"), expected_type(F.col("question")).alias("want"))
+    keys = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("question"), F.lit(r"([\p{L}\p{N}_]{3,})"), F.lit(1)), lambda w: ~w.isin(BRIDGE_STOPS)))
+    q = q.select("query_id", "question", keys.alias("keys"), F.coalesce(expected_type(F.col("question")), F.lit("")).alias("want"))
     r = ranked(spark, sf_dir).where(F.col("rank") <= 5).join(q, "query_id").withColumn("low", F.lower("text"))
     c = r.select("query_id", "question", "want", "keys", "low", "rank", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PROPER), F.lit(1)))).alias("candidate")).where(~F.lower("question").contains(F.lower("candidate")))
-    at = F.instr("low", F.lower("candidate")) - 1
+    c = c.withColumn("at", F.instr("low", F.lower("candidate")) - 1)
     places = F.transform(F.filter("keys", lambda k: F.col("low").contains(k)), lambda k: F.abs(F.position(k, F.col("low")) - 1 - F.col("at")))
-    c = c.withColumn("at", at)
     c = c.withColumn("near", F.array_min(places)).where(F.col("near").isNotNull())
-    n = F.size(F.split("candidate", r"\s+"))
-    score = 1 / (1 + F.col("near") / 200) + F.when((F.col("want") == "PERSON") & n.between(2, 3), 0.3).otherwise(0.0) + F.when(n == 2, 0.1).otherwise(0.0) - F.least(F.lit(0.2), F.col("at") / 2000)
+    words = F.split("candidate", r"\s+")
+    n, role = F.size(words), F.exists(words, lambda w: F.lower(w).isin(ROLES))
+    kind = F.when((F.col("want") == "PERSON") & role, -0.3).when((F.col("want") == "PERSON") & n.between(2, 3), 0.5).when((F.col("want") == "GPE") & (n <= 2), 0.3).otherwise(0.0)
+    length = F.when(n == 2, 0.1).when(n >= 4, -0.2).otherwise(0.0)
+    score = 1 / (1 + F.col("near") / 200) + kind + length - F.least(F.lit(0.5), F.col("at") / 600)
     c = c.withColumn("score", F.round(F.greatest(F.lit(0.0), score) / F.col("rank"), 6)).groupBy("query_id", "question", "candidate").agg(F.max("score").alias("score")).where("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate")
     top = c.withColumn("place", F.row_number().over(w)).where("place <= 3")
     return top.select("query_id", "candidate", "score", "place", F.concat(F.regexp_replace("question", r"\s*\?+$", ""), F.lit(" — about "), F.col("candidate")).alias("next_query"))
 
 
-QUERIES = {f.__name__: f for f in (e01_pattern_entities, e06_normal_names, e10_triples, e25_extraction_summary, e28_query_spans, e31_outer_spans, f21_bridge_entities)}
+def e04_label_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E04, E05, E37 over the labels of the extraction lists: canonical type, and confidence raised by up to 0.1 for length."""
+    e = load(spark, sf_dir, "chunk_extractions").select(F.explode("entities").alias("e")).select("e.name", "e.entity_type", "e.confidence").where(F.col("name").isNotNull()).distinct()
+    n = F.size(F.split(strip(F.col("name")), r"\s+"))
+    raised = F.round(F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0)) + F.least(F.lit(0.1), 0.03 * n)), 6)
+    return e.groupBy("entity_type").agg(F.max(label_type(F.col("entity_type"))).alias("canonical_type"), F.count(F.lit(1)).alias("n"), F.round(F.avg(raised), 8).alias("mean_raised"))
+
+
+QUERIES = {f.__name__: f for f in (e01_pattern_entities, e04_label_types, e06_normal_names, e10_triples, e25_extraction_summary, e28_query_spans, e31_outer_spans, f21_bridge_entities)}
 
 _JUNK = ", ".join(f"'{x}'" for x in JUNK)
 _KEEP = " OR ".join(f"ends_with(s, '{a}')" for a in ABBREVIATIONS)
-_KEY_OUT = ", ".join(f"'{x}'" for x in JUNK + "and the was were did does has had for from with that this its are".split())
+_KEY_OUT = ", ".join(f"'{x}'" for x in BRIDGE_STOPS)
+_ROLE = ", ".join(f"'{x}'" for x in ROLES)
 ORACLE = {
     "e01_pattern_entities": rf"SELECT doc_id, name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{PROPER}', 1)) AS name FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2",
     "e06_normal_names": f"""WITH e AS (SELECT DISTINCT name, entity_type, regexp_replace({strip_sql('name')}, '[,;:]+$', '') AS s FROM extracted_entities WHERE name IS NOT NULL),
@@ -172,9 +196,15 @@ ORACLE = {
     "e31_outer_spans": """WITH s AS (SELECT DISTINCT chunk_id, e.entity_id AS entity_id, e.mention_span[1] AS a, e.mention_span[2] AS z FROM (SELECT chunk_id, unnest(entities) AS e FROM chunk_extractions) WHERE len(e.mention_span) = 2)
         SELECT * FROM s WHERE entity_id IS NOT NULL AND a IS NOT NULL AND z IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s o WHERE o.chunk_id = s.chunk_id AND o.entity_id IS NOT NULL AND o.a <= s.a AND s.z <= o.z AND o.z - o.a > s.z - s.a)""",
     "f21_bridge_entities": _ALL + rf""", kx AS (SELECT query_id, chunk_id, rank FROM t WHERE rank <= 5), xt AS (SELECT chunk_id, max(text) AS text FROM chunk_extractions GROUP BY 1), qs AS (SELECT question_id AS query_id, max(question) AS question FROM agentic_ablation WHERE question IS NOT NULL GROUP BY 1),
-        qk AS (SELECT query_id, question, list_distinct(list_filter(regexp_extract_all(lower(question), '[a-z]{{3,}}'), lambda w: w NOT IN ({_KEY_OUT}))) AS ks, regexp_matches(lower(question), '(^|\s)(who|whom|whose)\s|\bthe\s+\w+\s+who\b') AND NOT (NOT regexp_matches(lower(question), '(^|\s)(who|whom|whose)\s') AND regexp_matches(lower(question), '(^|\s)where\s')) AS person FROM qs),
-        ca AS (SELECT query_id, question, ks, person, lower(text) AS low, rank, unnest(list_distinct(regexp_extract_all(text, '{PROPER}', 1))) AS candidate FROM kx JOIN xt USING (chunk_id) JOIN qk USING (query_id)),
-        ps AS (SELECT *, instr(low, lower(candidate)) - 1 AS cpos FROM ca WHERE NOT contains(lower(question), lower(candidate))), nr AS (SELECT *, list_min(list_transform(list_filter(ks, lambda k: contains(low, k)), lambda k: abs(instr(low, k) - 1 - cpos))) AS near, len(regexp_split_to_array(candidate, '\s+')) AS n FROM ps),
-        sc AS (SELECT query_id, question, candidate, max(round(greatest(0, 1 / (1 + near / 200) + CASE WHEN person AND n BETWEEN 2 AND 3 THEN 0.3 ELSE 0 END::DOUBLE + CASE WHEN n = 2 THEN 0.1 ELSE 0 END::DOUBLE - least(0.2, cpos / 2000)) / rank, 6)) AS score FROM nr WHERE near IS NOT NULL GROUP BY 1, 2, 3)
+        ql AS (SELECT query_id, question, lower({strip_sql('question')}) AS ql FROM qs), qk AS (SELECT query_id, question, list_distinct(list_filter(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]{{3,}}'), lambda w: w NOT IN ({_KEY_OUT}))) AS ks,
+            CASE WHEN regexp_matches(ql, '(^| )(who|whose|whom) ') THEN 'PERSON' WHEN regexp_matches(ql, '(^| )where ') THEN 'GPE' WHEN regexp_matches(ql, '(^| )when ') THEN 'DATE' WHEN regexp_matches(ql, '\bthe\s+\w+\s+who\b') THEN 'PERSON' ELSE '' END AS want FROM ql),
+        ca AS (SELECT query_id, question, ks, want, lower(text) AS low, rank, unnest(list_distinct(regexp_extract_all(text, '{PROPER}', 1))) AS candidate FROM kx JOIN xt USING (chunk_id) JOIN qk USING (query_id)),
+        ps AS (SELECT *, instr(low, lower(candidate)) - 1 AS cpos, regexp_split_to_array(candidate, '\s+') AS cw FROM ca WHERE NOT contains(lower(question), lower(candidate))),
+        nr AS (SELECT *, list_min(list_transform(list_filter(ks, lambda k: contains(low, k)), lambda k: abs(instr(low, k) - 1 - cpos))) AS near, len(cw) AS n, len(list_filter(cw, lambda w: lower(w) IN ({_ROLE}))) > 0 AS role FROM ps),
+        sc AS (SELECT query_id, question, candidate, max(round(greatest(0, 1 / (1 + near / 200) + CASE WHEN want = 'PERSON' AND role THEN -0.3 WHEN want = 'PERSON' AND n BETWEEN 2 AND 3 THEN 0.5 WHEN want = 'GPE' AND n <= 2 THEN 0.3 ELSE 0 END::DOUBLE
+            + CASE WHEN n = 2 THEN 0.1 WHEN n >= 4 THEN -0.2 ELSE 0 END::DOUBLE - least(0.5, cpos / 600)) / rank, 6)) AS score FROM nr WHERE near IS NOT NULL GROUP BY 1, 2, 3)
         SELECT query_id, candidate, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate) AS place, regexp_replace(question, '\s*\?+$', '') || ' — about ' || candidate AS next_query FROM sc WHERE score > 0 QUALIFY place <= 3""",
+    "e04_label_types": f"""WITH e AS (SELECT DISTINCT e.name AS name, e.entity_type AS entity_type, e.confidence AS confidence FROM (SELECT unnest(entities) AS e FROM chunk_extractions) WHERE e.name IS NOT NULL)
+        SELECT entity_type, CASE {' '.join(f"WHEN lower(coalesce(entity_type, '')) IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in LABELS.items())} WHEN coalesce(entity_type, '') = '' THEN 'CONCEPT' ELSE upper(entity_type) END AS canonical_type, count(*) AS n,
+            round(avg(least(1, coalesce(confidence, 0) + least(0.1::DOUBLE, 0.03::DOUBLE * len(regexp_split_to_array({strip_sql('name')}, '\\s+'))))), 8) AS mean_raised FROM e GROUP BY 1""",
 }

@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lanefold.functions.text import blank_tokens, jaccard
-from lanefold.operators.graph import e27_question_entities
+from lanefold.operators.graph import _QE, e27_question_entities
 from lanefold.operators.retrieval import _ALL, r08_rrf_fusion
 from lanefold.sources.shared import load
 
 RELEVANCE, REDUNDANCY, CHAR_BUDGET, BUDGET, SHRINK = 0.6, 0.8, 1200, 8, 120
 OVERLAP, RATIO, LEAST, AROUND, YEARS = 0.3, 2.0, 100, 25, (1000, 2100)
 #: Words that mark a number as a count or as a year; words without weight in questions.
-COUNT_WORDS = "population people inhabitants residents members employees students votes seats copies units".split()
-YEAR_WORDS = "born died founded established year century since until during".split()
+COUNT_WORDS = (
+    "population people inhabitants residents members employees employs employ staff workers users subscribers votes voters seats kilometers km "
+    "miles dollars euros pounds versus vs"
+).split()
+YEAR_WORDS = "year born founded established released published elected incorporated".split() + ["ad ", "bc ", "ce "]
 QUERY_STOPS = (
     "a an and are as at be been by did do does for from had has have he her his in into is it its of on or she that the their this to was were "
     "what when where which who whom whose will with would they them you your we our i than more most less fewer first used during"
@@ -99,16 +102,26 @@ def f07_entity_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tier(text: str, entities: list[str], content: set[str]) -> int:
-    """0 a specific entity, 1 a generic one or strong overlap with the question's words, 2 neither."""
+    """0 a specific entity, 1 a generic one or strong overlap with the question's words, 2 neither.
+
+    An entity of several words is found as a whole, by one word of eight letters or more, or by all of its words of three
+    or more; a single word of five letters or more as a word. Several words, or eight letters, make an entity specific.
+    """
     low, generic = text.lower(), False
+    word = lambda w: re.search(rf"\b{re.escape(w.lower())}\b", low) is not None
     for name in entities:
-        parts = name.lower().split()
-        if name.lower() in low or (len(parts) > 1 and any(len(p) >= 5 and re.search(rf"\b{re.escape(p)}\b", low) for p in parts)):
+        parts = name.split()
+        if len(parts) > 1:
+            rest = [p for p in parts if len(p) >= 3 and p.lower() not in QUERY_STOPS]
+            hit = name.lower() in low or any(len(p) >= 8 and word(p) for p in parts) or (bool(rest) and all(map(word, rest)))
+        else:
+            hit = any(len(p) >= 5 and word(p) for p in parts)
+        if hit:
             if len(parts) > 1 or len(name) >= 8:
                 return 0
             generic = True
-    shared = sum(bool(re.search(rf"\b{re.escape(w)}\b", low)) for w in content)
-    return 1 if generic or (content and shared >= 2 and shared / len(content) >= 0.4) else 2
+    shared = sum(map(word, content))
+    return 1 if generic or (content and shared >= 2 and shared / len(content) >= 0.5) else 2
 
 
 def f08_entity_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,11 +226,18 @@ def f15_prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f16_retrieval_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F16: high if the first chunk leads by half or more and stands in two lanes, low if neither, else medium."""
-    r = r08_rrf_fusion(spark, sf_dir).groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("rrf"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("rrf"))).alias("b"), F.max(F.when(F.col("rank") == 1, (F.col("method") == "hybrid").cast("int"))).alias("h"))
-    gap = F.col("b").isNull() | (F.col("a") >= 1.5 * F.col("b"))
-    n = gap.cast("int") + F.col("h")
-    return r.select("query_id", F.when(n == 2, "high").when(n == 1, "medium").otherwise("low").alias("level"))
+    """F16: high if two of three signals fire, medium if one: the first score is 1.5 times the second or more, the first
+    chunk stands in two lanes, all question entities stand in the three first texts. A list of one is low."""
+    e = e27_question_entities(spark, sf_dir).groupBy("query_id").agg(F.collect_set(F.lower("key")).alias("e"))
+    r = ranked(spark, sf_dir).where(F.col("rank") <= 3)
+    at = lambda k, c: F.max(F.when(F.col("rank") == k, c))
+    g = r.groupBy("query_id").agg(
+        at(1, F.col("rrf")).alias("a"), at(2, F.col("rrf")).alias("b"), at(1, (F.col("method") == "hybrid").cast("int")).alias("h"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.lower("text").alias("t")))), lambda x: x["t"]), " ").alias("t"),
+    ).join(e, "query_id", "left")
+    named = F.coalesce(F.forall("e", lambda x: F.col("t").contains(x)), F.lit(False))
+    n = (F.col("a") / F.greatest("b", F.lit(1e-6)) >= 1.5).cast("int") + F.col("h") + named.cast("int")
+    return g.select("query_id", F.when(F.col("b").isNull(), "low").when(n >= 2, "high").when(n == 1, "medium").otherwise("low").alias("level"))
 
 
 QUERIES = {f.__name__: f for f in (f03_relevance, f04_redundancy, f05_jaccard_to_first, f06_contradiction, f07_entity_overlap, f08_entity_tiers, f09_fair_cap, f11_context, f12_hop_merge, f15_prompt_context, f16_retrieval_confidence)}
@@ -235,6 +255,7 @@ ORACLE = {
         j AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN i <= floor(8 / n) THEN 0 ELSE 1 END, rank) <= 8) SELECT query_id, chunk_id, hop_distance, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM j""",
     "f15_prompt_context": _T + """, ln2 AS (SELECT query_id, rank, '[' || rank || '] ' || text AS line FROM kt WHERE rank <= 8), u AS (SELECT * FROM ln2 QUALIFY sum(length(line)) OVER (PARTITION BY query_id ORDER BY rank) <= 1200)
         SELECT query_id, string_agg(line, chr(10) ORDER BY rank) AS context, count(*) AS n_chunks FROM u GROUP BY 1""",
-    "f16_retrieval_confidence": _T + """, cf2 AS (SELECT query_id, max(rrf) FILTER (rank = 1) AS a, max(rrf) FILTER (rank = 2) AS b, bool_or(method = 'hybrid') FILTER (rank = 1) AS h FROM k GROUP BY 1)
-        SELECT query_id, CASE (b IS NULL OR a >= 1.5 * b)::INT + h::INT WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS level FROM cf2""",
+    "f16_retrieval_confidence": _T + ", " + _QE + """, en2 AS (SELECT query_id, list(DISTINCT lower(key)) AS e FROM qk GROUP BY 1), cf2 AS (SELECT query_id, max(rrf) FILTER (rank = 1) AS a, max(rrf) FILTER (rank = 2) AS b, bool_or(method = 'hybrid') FILTER (rank = 1) AS h, string_agg(lower(text), ' ' ORDER BY rank) FILTER (rank <= 3) AS tx FROM kt GROUP BY 1)
+        SELECT query_id, CASE WHEN b IS NULL THEN 'low' WHEN (a / greatest(b, 0.000001) >= 1.5)::INT + h::INT + coalesce(len(list_filter(e, lambda x: NOT contains(tx, x))) = 0, FALSE)::INT >= 2 THEN 'high'
+            WHEN (a / greatest(b, 0.000001) >= 1.5)::INT + h::INT + coalesce(len(list_filter(e, lambda x: NOT contains(tx, x))) = 0, FALSE)::INT = 1 THEN 'medium' ELSE 'low' END AS level FROM cf2 LEFT JOIN en2 USING (query_id)""",
 }

@@ -18,9 +18,10 @@ CLAIM_CHARS, COVERAGE, CONFLICT = 15, 0.34, 0.5
 W_REF, W_ENTITY, W_PROVENANCE, REF_MAX, BASELINE, ENTITY_NORM, MAX_PHRASES = 0.4, 0.3, 0.3, 3.0, 0.5, 10.0, 10
 #: Phrases of answers that decline, phrases that make a sentence no claim, question words.
 DISCLAIMERS = [
-    "i don't know", "i do not know", "i cannot answer", "cannot answer", "not enough information", "unable to determine", "unable to answer", "no information",
-    "not mentioned", "not specified", "not provided", "the context does not", "the context doesn't", "context does not contain", "context doesn't contain",
-    "insufficient evidence", "insufficient information", "no answer can be", "cannot be determined", "however, there is no",
+    "i don't know", "i do not know", "i cannot determine", "i can't determine", "i cannot find", "i can't find", "i was unable to find", "unable to find",
+    "no information", "no specific information", "not provided in the context", "not provided", "not mentioned", "not specified", "not stated", "not available",
+    "is not in the context", "the context does not", "the context doesn't", "context does not contain", "context doesn't contain", "insufficient evidence",
+    "insufficient information", "based on the available", "no answer can be", "cannot be determined", "however, there is no",
 ]
 META = [
     "based on the context", "according to the", "i cannot answer", "i don't know", "not enough information", "the context does not",
