@@ -73,6 +73,9 @@ LINKERS = set("of the for and de du des la le les el los del der die das und y e
 #: Words that open a further clause.
 HANGERS = set("and but or who which that where when while because although also und aber oder der die das wo weil obwohl et mais ou qui que où y pero o quien donde e".split())
 LATIN = regex.compile(r"\p{Latin}")
+OTHER_SCRIPT = regex.compile(r"(?V1)[\p{L}--\p{Latin}]")
+OPEN_END, DOTS_END, WORD_END = regex.compile(r"[.!?…。！？)\]\"”»']\s*$"), regex.compile(r"\w\s*(?:\.\.+|…)$"), regex.compile(r"[\p{L}\p{Nd}]\s*$")
+END_MARKS = regex.compile(r"[\s.!?…,;:\"'”»)\]]+$")
 
 
 def _plain(text: str) -> str:
@@ -108,7 +111,7 @@ def template(question: str, gold: str, text: str) -> str:
             slot = low
         if not (out and slot in ("Q", "N", "D") and out[-1] == slot):
             out.append(slot)
-    return regex.sub(r"[\s.!?…,;:\"'”»)\]]+$", "", " ".join(out))
+    return END_MARKS.sub("", " ".join(out))
 
 
 def prefix_hashes(s: str) -> np.ndarray:
@@ -134,6 +137,14 @@ def similar(a: str, b: str) -> bool:
     return max(len(a), len(b)) - i - j <= 2
 
 
+def alike(word: str, pool: set[str]) -> bool:
+    """Whether the word or one similar to it is in the pool; similar words share their first or last letter."""
+    if word in pool:
+        return True
+    n, a, z = len(word), word[0], word[-1]
+    return n > 2 and any((x[0] == a or x[-1] == z) and -2 < len(x) - n < 2 and similar(word, x) for x in pool)
+
+
 def language(words: list[str]) -> str:
     """The language whose function words the text holds most of; English where undecided."""
     score = dict.fromkeys(LANGUAGES, 0.0)
@@ -179,6 +190,7 @@ def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tupl
         inside = lambda i: 0 < i < len(words) - 1 and not words[i - 1][0].islower() and not words[i + 1][0].islower()
         return [low[i] for i in plain if (words[i][0].islower() and not inside(i)) or (i == 0 and small) or not LATIN.match(words[i][0])]
 
+    latin_question = OTHER_SCRIPT.search(question) is None
     split = [(p, _WORD.findall(p)) for p in parts]
     frees = [free_words(words, [w.lower() for w in words]) for _, words in split]
     cover = {lang: sum(lang in WORDS.get(w, ()) for f in frees for w in f) for lang in LANGUAGES}
@@ -187,12 +199,11 @@ def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tupl
         alien = None  # words shared with the question's language count for it
     for (p, words), free in zip(split, frees):
         low = [w.lower() for w in words]
-        copied = [w in q_set or any(similar(w, x) for x in q_set) for w in low]
+        copied = [alike(w, q_set) for w in low]
         masked = " ".join(w for w in p.split() if not all(x.lower() in q_named for x in _WORD.findall(w)) or not _WORD.search(w))
         mine = sum(own in WORDS.get(w, ()) and alien not in WORDS.get(w, ()) for w in free)
         others = max((sum(lang in WORDS.get(w, ()) and (lang == alien or own not in WORDS.get(w, ())) for w in free) for lang in LANGUAGES if lang != own), default=0)
-        letters = regex.findall(r"\p{L}", p)
-        script = bool(letters) and sum(not LATIN.match(c) for c in letters) > 0 and all(LATIN.match(c) for c in regex.findall(r"\p{L}", question))
+        script = latin_question and OTHER_SCRIPT.search(p) is not None
         cues = REFUSALS.findall(masked)
         new = [w not in q_set and w not in YES_NO for w in low]
         capital = [raw[0].isupper() and n and w not in WORDS for raw, w, n in zip(words, low, new)]
@@ -205,7 +216,7 @@ def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tupl
         sizes.append(max(1, len(words)))
     every = [c for x in info for c in x["copied"]]
     answered = {w for x in info for w in x["low"]}
-    covered = sum(w in answered or any(similar(w, a) for a in answered) for w in q_words) / max(1, len(q_words))
+    covered = sum(alike(w, answered) for w in q_words) / max(1, len(q_words))
     end = text.rstrip()
     last_word = info[-1]["low"][-1] if info[-1]["low"] else ""
     raw_last = _WORD.findall(end)[-1] if _WORD.findall(end) else ""
@@ -223,7 +234,7 @@ def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tupl
         for seq, raws in ((q_words, _WORD.findall(question)), (g_words, _WORD.findall(gold))) for i in range(len(seq) - len(flat) + 1)
     )
     opened = text.count("(") > text.count(")") or text.count("[") > text.count("]") or text.count('"') % 2 or text.count("“") > text.count("”") or text.count("«") > text.count("»")
-    hanging = len(info) > 1 and len(tail) <= 3 and bool(regex.search(r"[\p{L}\p{Nd}]\s*$", end)) and (
+    hanging = len(info) > 1 and len(tail) <= 3 and WORD_END.search(end) is not None and (
         tail[0] in HANGERS or (tail[-1].isdigit() and len(tail) == 1 and len(tail[0]) < 3 and info[-2]["end"] == ",")
     )
     stub = len(every) > 1 and end.endswith(raw_last) and raw_last[:1].isupper() and len(raw_last) <= 3 and last_word not in known and not raw_last.isupper()
@@ -243,10 +254,10 @@ def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tupl
         on("foreign_elsewhere", any(y["script"] or y["others"] > y["mine"] for y in info if y is not x)), on("no_function_words", x["mine"] + x["others"] == 0 and not x["script"])
         if final:
             on("last")
-            on("open_end", not regex.search(r"[.!?…。！？)\]\"”»']\s*$", end))
+            on("open_end", not OPEN_END.search(end))
             on("comma_end", end[-1:] in ",;:-–—(")
             on("function_end", end.endswith(raw_last) and len(every) > 1 and last_word in WORDS and last_word not in YES_NO and last_word not in {"it", "both", "so", "there", "me", "first", "dazu"} and own in WORDS[last_word])
-            on("whole_name", whole), on("cut_word", cut), on("ellipsis_end", bool(regex.search(r"\w\s*(?:\.\.+|…)$", end))), on("open_bracket", opened), on("hanging", hanging), on("stub_end", stub)
+            on("whole_name", whole), on("cut_word", cut), on("ellipsis_end", DOTS_END.search(end) is not None), on("open_bracket", opened), on("hanging", hanging), on("stub_end", stub)
             going = n_ext / max(1, n_ext + n_end)
             on("goes_on", n_ext >= 3 and going >= 0.5), on("mostly_goes_on", n_ext >= 5 and going >= 0.8), on("ends_here", n_end >= 3 and going < 0.3)
         rows.append(f)
