@@ -6,6 +6,8 @@ reading it again: the table outlives any executor, is columnar, and costs one wr
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="lanefold-")
+        own = tempfile.mkdtemp(prefix="lanefold-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own_dir[app] = f"file://{own}"
     return _own_dir[app]
 
 
