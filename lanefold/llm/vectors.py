@@ -1,7 +1,8 @@
 """Problem 6: the k most similar vectors for every vector, by collision-counting hashing.
 
 Directions are laid out several times; a layout is a random-projection tree whose split points come from a bounded
-sample, so its cells have about CELL rows at any input size and every row is indexed in every layout. In a cell, M
+sample down to MAX_DEPTH levels, and from all rows of a branch below them. So its cells have about CELL rows at any input
+size, every row is indexed in every layout, and the number of layouts follows the whole depth. In a cell, M
 random single projections are kept as sorted arrays. A query-centred window in each array is widened in rounds (virtual
 rehashing); each other vector inside a window is a collision, and vectors that reach the collision threshold are
 verified by their exact cosine. Exact copies are represented once, so a large group of them fills no cell.
@@ -22,6 +23,7 @@ from lanefold.sources.shared import load, materialise
 
 K = 5
 CELL = 1024
+#: levels whose cuts come from the sample; a branch below them is worked on by one task, which halves it further
 MAX_DEPTH = 10
 SAMPLE_ROWS = 65_536
 M = 32
@@ -63,6 +65,16 @@ def cells_of(x: np.ndarray, directions: np.ndarray, cuts: np.ndarray, depth: int
     return out
 
 
+def halved(x: np.ndarray, layout: int, levels: int) -> list[np.ndarray]:
+    """The row numbers of the 2^levels cells of one branch of a layout, halved at the median of one projection a level."""
+    p = x @ np.random.default_rng([13, layout]).standard_normal((x.shape[1], levels)).astype(np.float32)
+    parts = [np.arange(len(x))]
+    for level in range(levels):
+        ordered = [at[np.argsort(p[at, level], kind="stable")] for at in parts]
+        parts = [half for at in ordered for half in np.split(at, [len(at) // 2])]
+    return parts
+
+
 def collide(x: np.ndarray, k: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, other, cosine): up to k best verified others of each row of one cell; rows of x are unit vectors."""
     s = len(x)
@@ -137,8 +149,9 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int
     n = reps.count()
     if n == 0:
         return spark.createDataFrame([], "id string, other string, cosine double")
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(n / CELL))))
-    layouts = n_layouts(depth) if depth else 1
+    whole = max(0, math.ceil(math.log2(n / CELL)))
+    depth = min(MAX_DEPTH, whole)
+    layouts = n_layouts(whole) if whole else 1
     every = max(1, n // SAMPLE_ROWS)
     sampled = reps.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("unit").limit(2 * SAMPLE_ROWS).toPandas()["unit"]
     sample = np.frombuffer(b"".join(sampled), np.float32).reshape(-1, dim)
@@ -151,19 +164,25 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int
             x = np.frombuffer(b"".join(batch["unit"]), np.float32).reshape(-1, dim)
             cell = cells_of(x, directions, cuts, depth) if depth else np.ones((len(x), 1), np.int64)
             for t in range(layouts):
-                yield pd.DataFrame({"layout": t, "cell": cell[:, t], "slice": 0, "rep": batch["rep"], "unit": batch["unit"]})
+                yield pd.DataFrame({"layout": t, "cell": cell[:, t], "rep": batch["rep"], "unit": batch["unit"]})
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(group["unit"]), np.float32).reshape(-1, dim)
-        q, o, c = collide(x, k)
+        if whole == depth:
+            x = np.frombuffer(b"".join(group["unit"]), np.float32).reshape(-1, dim)
+            parts = [np.arange(len(x))]
+        else:
+            group = group.sort_values("rep")
+            x = np.frombuffer(b"".join(group["unit"]), np.float32).reshape(-1, dim)
+            parts = [at for at in halved(x, int(group["layout"].iloc[0]), whole - depth) if len(at) > 1]
         rep = group["rep"].to_numpy()
-        return pd.DataFrame({"rep": rep[q], "near": rep[o], "cosine": c.astype(float)})
-
-    placed = reps.mapInPandas(place, "layout int, cell long, slice int, rep string, unit binary")
-    if n / (1 << depth) > CELL:  # beyond MAX_DEPTH, cells are cut along the order of a hash of the rounded vector
-        in_cell = Window.partitionBy("layout", "cell").orderBy("unit")
-        placed = placed.withColumn("slice", F.floor((F.row_number().over(in_cell) - 1) / CELL).cast("int"))
-    met = placed.groupBy("layout", "cell", "slice").applyInPandas(search, "rep string, near string, cosine double")
+        out = [pd.DataFrame({"rep": [], "near": [], "cosine": []})]
+        for at in parts:
+            q, o, c = collide(x[at], k)
+            out.append(pd.DataFrame({"rep": rep[at[q]], "near": rep[at[o]], "cosine": c.astype(float)}))
+        return pd.concat(out[1:] or out)
+
+    placed = reps.mapInPandas(place, "layout int, cell long, rep string, unit binary")
+    met = placed.groupBy("layout", "cell").applyInPandas(search, "rep string, near string, cosine double")
     ranked = Window.partitionBy("rep").orderBy(F.desc("cosine"), "near")
     pairs = met.groupBy("rep", "near").agg(F.max("cosine").alias("cosine"))
     pairs = pairs.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k).select("rep", "near", "cosine")

@@ -203,6 +203,18 @@ def test_cells_beyond_the_depth_limit_are_cut(spark, monkeypatch):
     assert vectors.nearest(df, "id", "v", dim=8).select("id").distinct().count() == 400
 
 
+def test_neighbours_are_found_beyond_the_depth_limit(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MAX_DEPTH", 2)
+    monkeypatch.setattr(vectors, "CELL", 64)
+    rng = np.random.default_rng(4)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.standard_normal((2, 1500, 64)))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.87 * a + (1 - 0.87**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)  # 12 times the rows of four cells
+    df = spark.createDataFrame([(f"{s}{i}", v.tolist()) for s, x in (("a", a), ("b", b)) for i, v in enumerate(x)], "id string, v array<double>")
+    got = {(r["id"], r["other"]) for r in vectors.nearest(df, "id", "v").collect()}
+    assert sum((f"a{i}", f"b{i}") in got for i in range(1500)) / 1500 > 0.95
+
+
 # --- ranking ----------------------------------------------------------------------------------------------------------
 
 RESULTS = "query_id string, chunk_id string, vector_score double, bm25_score double, graph_score double, rrf_score double, rank int"
