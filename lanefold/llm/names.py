@@ -2,8 +2,8 @@
 
 Names become lists of plain tokens (case, accents, titles, legal marks and known short forms resolved). Distinct lists
 are the classes that are compared. Distinct tokens are joined with each other on their q-gram sets: a token's grams are
-ordered by their frequency, and only the rarest ones needed for the least overlap are joined. So each token learns its
-most frequent near-spelling. A class is then compared with others that share (a spelling of) one of its weighty tokens
+ordered by their frequency, and only the rarest ones needed for the least overlap are joined. So each token learns all
+its near spellings. A class is then compared with others that share one of its weighty tokens or any near spelling of it,
 and a leading letter of another token; the soft token similarity weighs tokens by rarity and matches equal, misspelt,
 shortened, initial and acronym tokens. Links are made from the surest kind to the weakest, and a shortened name is only
 linked where its longer names are one entity. Linked classes are consolidated by the groups operator.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 import regex
@@ -195,8 +196,12 @@ def compare(x: list[str], y: list[str], kind: str, weight: dict[str, float], key
     return (SUBSET, not left) if left or right else (SURE, False)
 
 
-def link_bucket(rows: list[tuple[str, list[str], dict[str, float], str]], kind: str) -> list[tuple[str, str]]:
-    """Links (class, class) among the classes of one bucket; rows: (class, tokens, weights, spelling of the key token)."""
+def link_bucket(rows: list[tuple[str, list[str], dict[str, float], str]], kind: str, key: str) -> list[tuple[str, str]]:
+    """Links (class, class) among the classes of one bucket; rows: (class, tokens, weights, spelling of the key token).
+
+    Classes that spell the key as it stands are compared with all others. Two of the others meet in their own buckets; here
+    they are only compared where both could be the longer name of one that spells the key, to know whether they are one.
+    """
     n = len(rows)
     root = list(range(n))
 
@@ -206,12 +211,41 @@ def link_bucket(rows: list[tuple[str, list[str], dict[str, float], str]], kind:
             i = root[i]
         return i
 
+    own = [r[3] == key for r in rows]
     found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for i in range(n):
-        for j in range(i + 1, n):
-            link, i_less = compare(rows[i][1], rows[j][1], kind, rows[i][2] | rows[j][2], (rows[i][3], rows[j][3]))
-            if link:
-                found[link].append((i, j) if i_less else (j, i))
+    foreign: dict[tuple[int, int], int] = {}
+    longer: dict[int, set[int]] = defaultdict(set)
+
+    def judge(i: int, j: int) -> tuple[int, int, int]:
+        link, i_less = compare(rows[i][1], rows[j][1], kind, rows[i][2] | rows[j][2], (rows[i][3], rows[j][3]))
+        return (link, i, j) if i_less else (link, j, i)
+
+    centre = [i for i in range(n) if own[i]]
+    for i in centre:
+        for j in range(n):
+            if rows[i][0] == rows[j][0] or own[j] and j < i:
+                continue
+            link, less, more = judge(min(i, j), max(i, j))
+            if link == SURE or link and own[less]:
+                found[link].append((less, more))
+            elif link:
+                foreign[less, more] = link
+            if link and link != SURE and own[less]:
+                longer[less].add(more)
+    done = set()
+    for targets in longer.values():
+        for i, j in combinations(sorted(targets), 2):
+            if (i, j) in done or rows[i][0] == rows[j][0] or own[i] and own[j]:
+                continue
+            done.add((i, j))
+            if own[i] or own[j]:
+                for less, more in ((i, j), (j, i)):
+                    if (less, more) in foreign:
+                        found[foreign[less, more]].append((less, more))
+            else:
+                link, less, more = judge(i, j)
+                if link:
+                    found[link].append((less, more))
     for i, j in found[SURE]:
         root[find(i)] = find(j)
     for level in (SUBSET, WEAK, WEAK, WEAK):
@@ -272,7 +306,7 @@ def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for kind, key, letter, sig, spelling, weights in rows:
             if (kind, key, letter) != at:
                 if len(held) > 1:
-                    out += [(at[0], *x) for x in link_bucket(held, at[0])]
+                    out += [(at[0], *x) for x in link_bucket(held, at[0], at[1])]
                 held, at = [], (kind, key, letter)
             if sig is not None:
                 parts = sig.split(" ")
@@ -295,26 +329,23 @@ def variant_groups(entities: DataFrame) -> DataFrame:
     vocabulary = materialise(words.groupBy("entity_type", "token").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
     pairs = similar_tokens(vocabulary)
     other = vocabulary.select("entity_type", F.col("token").alias("b"), F.col("df").alias("df_b"))
-    best = pairs.join(other, ["entity_type", "b"]).groupBy("entity_type", F.col("a").alias("token")).agg(F.max(F.struct("df_b", "b")).alias("m"))
+    best = pairs.join(other, ["entity_type", "b"]).groupBy("entity_type", F.col("a").alias("token")).agg(F.max("df_b").alias("df_b"), F.collect_set("b").alias("near"))
     known = vocabulary.join(best, ["entity_type", "token"], "left").select(
         F.concat_ws("\u0001", "entity_type", "token").alias("word"), "df",
-        F.when(F.struct(F.col("m.df_b"), F.col("m.b")) > F.struct("df", "token"), F.col("m.b")).otherwise(F.col("token")).alias("rep"),
-        F.greatest("df", F.coalesce("m.df_b", "df")).alias("soft_df"),
+        F.coalesce("near", F.array().cast("array<string>")).alias("near"), F.greatest("df", F.coalesce("df_b", "df")).alias("soft_df"),
     )
     known = materialise(known, "spellings")
     n = classes.count()
     weighed = attach(words.withColumn("word", F.concat_ws("\u0001", "entity_type", "token")), known, "word", "df", words.count())
     weighed = weighed.withColumn("weight", F.when(F.length("token") == 1, 0.5).otherwise(F.log(F.lit(float(n + 1)) / F.col("soft_df")) + 0.1))
-    per = weighed.groupBy("entity_type", "sig").agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct("weight", "rep")))).alias("w"), F.max("weight").alias("top"))
+    per = weighed.groupBy("entity_type", "sig").agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct("weight", "near")))).alias("w"), F.max("weight").alias("top"))
     parts = F.split("sig", " ")
     listed = per.select("entity_type", "sig", "top", "w", parts.alias("t"), F.transform(parts, lambda x: F.col("w")[x]["weight"]).alias("weights"))
     keyed = listed.select("entity_type", "sig", "t", "weights", "top", "w", F.explode(F.array_distinct("t")).alias("spelling"))
     keyed = keyed.where((F.col("w")[F.col("spelling")]["weight"] >= F.col("top") * KEY_SHARE) & (F.length("spelling") > 2))
     letters = F.flatten(F.transform(F.filter("t", lambda x: x != F.col("spelling")), lambda x: F.array(F.substring(x, 1, 1), F.substring(x, 2, 1))))
-    buckets = keyed.select(
-        "entity_type", F.col("w")[F.col("spelling")]["rep"].alias("key"), "sig", "spelling", "weights",
-        F.explode(F.filter(F.array_distinct(letters), lambda c: c != "")).alias("letter"),
-    )
+    spelt = keyed.withColumn("key", F.explode(F.array_union(F.array("spelling"), F.col("w")[F.col("spelling")]["near"])))
+    buckets = spelt.select("entity_type", "key", "sig", "spelling", "weights", F.explode(F.filter(F.array_distinct(letters), lambda c: c != "")).alias("letter"))
     links = buckets.repartition("entity_type", "key", "letter").sortWithinPartitions("entity_type", "key", "letter", "sig")
     links = materialise(links.mapInPandas(_buckets, "entity_type string, a string, b string").distinct(), "name-links")
     tagged = links.select(*[F.concat_ws("\u0001", "entity_type", c).alias(c) for c in ("a", "b")])

@@ -143,6 +143,11 @@ def test_organisation_variants_are_linked_and_namesakes_are_not(spark):
     assert got == sorted([sorted(named[:5]), sorted(named[5:7]), sorted(named[8:])])
 
 
+def test_a_typo_meets_its_name_beside_a_more_frequent_near_name(spark):
+    named = ["Robert Feldavlot", "Robert Feldavolt", "Rowan Feldvolt", "Margaret Feldvolt"]
+    assert grouped(spark, named) == [["Robert Feldavlot", "Robert Feldavolt"]]
+
+
 def test_variants_of_nothing(spark):
     assert names.variant_groups(spark.createDataFrame([], ENTITIES)).count() == 0
 
