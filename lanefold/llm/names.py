@@ -1,8 +1,9 @@
 """Problem 2: variant spellings of names, by a prefix-filtered q-gram join and soft weighted token similarity.
 
 Names become lists of plain tokens (case, accents, titles, legal marks and known short forms resolved). Distinct lists
-are the classes that are compared. Distinct tokens are joined with each other on their q-gram sets: a token's grams are
-ordered by their frequency, and only the rarest ones needed for the least overlap are joined. So each token learns all
+are the classes that are compared. Distinct tokens are joined with each other on what is left of them without a letter or two,
+long ones on their q-gram sets: a token's grams are ordered by their frequency, and only the rarest ones needed for the
+least overlap are joined. Both ways meet every pair that ``close`` accepts. So each token learns all
 its near spellings. A class is then compared with others that share one of its weighty tokens or any near spelling of it,
 and a leading letter of another token; the soft token similarity weighs tokens by rarity and matches equal, misspelt,
 shortened, initial and acronym tokens. Links are made from the surest kind to the weakest, and a shortened name is only
@@ -28,8 +29,8 @@ from lanefold.operators.skew import attach
 from lanefold.sources.shared import load, materialise
 
 TYPES = ("PERSON", "ORGANIZATION")
-#: q-gram length -> (least and greatest token length, least Jaccard similarity)
-QGRAMS = {3: (5, 8, 0.25), 4: (7, 10_000, 0.18)}
+#: tokens up to MOST_SHORTENED letters meet without some letters, from LEAST_GRAMS on by Q-grams; close tokens differ by two letters
+MOST_SHORTENED, LEAST_GRAMS, Q = 18, 17, 4
 KEY_SHARE = 0.6
 THRESHOLD = 0.6
 LONG = 9
@@ -265,28 +266,49 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"entity_id": b["entity_id"], "entity_type": b["entity_type"], "sig": [" ".join(x) for x in lists]})
 
 
+def shortened(token: str) -> set[str]:
+    """The token with up to one letter left out (two from LONG letters on), and with each pair that may be misread as one letter.
+
+    Every edit that ``close`` accepts leaves out at most one letter of either side, so two close tokens share one of these.
+    """
+    once = {token[:i] + token[i + 1 :] for i in range(len(token))}
+    out = {token} | once
+    if len(token) >= LONG:
+        out |= {t[:i] + t[i + 1 :] for t in once for i in range(len(t))}
+    for two, single in (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ph", "f")):
+        out |= {token[:i] + single + token[i + 2 :] for i in range(len(token) - 1) if token[i : i + 2] == two}
+    return out
+
+
+def _shortened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        b = b.assign(key=[list(shortened(t)) for t in b["token"]])
+        yield b.explode("key")[["entity_type", "token", "key"]]
+
+
 def similar_tokens(vocabulary: DataFrame) -> DataFrame:
-    """(entity_type, a, b), both orders, of different tokens that are near spellings; by a prefix-filtered q-gram join."""
-    found = None
-    for q, (least, most, t) in QGRAMS.items():
-        words = vocabulary.where(F.length("token").between(least, most))
-        padded = F.concat(F.lit("^"), F.col("token"), F.lit("$"))
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: F.substring(padded, i, F.lit(q))))
-        sets = words.select("entity_type", "token", grams.alias("grams")).withColumn("size", F.size("grams"))
-        rows = sets.select("entity_type", "token", "size", F.explode("grams").alias("gram"))
-        counts = rows.groupBy("entity_type", "gram").agg(F.count(F.lit(1)).alias("n"))
-        order = Window.partitionBy("entity_type", "token").orderBy("n", "gram")
-        ranked = rows.join(counts, ["entity_type", "gram"]).withColumn("place", F.row_number().over(order))
-        prefix = materialise(ranked.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * t) + 1).select("entity_type", "gram", "token", "size", "place"), "prefixes")
-        a, b = (prefix.select("entity_type", "gram", *[F.col(c).alias(f"{c}_{s}") for c in ("token", "size", "place")]) for s in "ab")
-        overlap = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + F.least("place_a", "place_b")
-        needed = F.ceil((F.col("size_a") + F.col("size_b")) * (t / (1 + t)))
-        pairs = a.join(b, ["entity_type", "gram"]).where(
-            (F.col("token_a") < F.col("token_b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= 2) & (overlap >= needed)
-            & (F.levenshtein("token_a", "token_b", 3) >= 0)
-        )
-        part = pairs.select("entity_type", F.col("token_a").alias("a"), F.col("token_b").alias("b"))
-        found = part if found is None else found.unionByName(part)
+    """(entity_type, a, b), both orders, of all different tokens of three letters or more that are close.
+
+    Tokens of up to MOST_SHORTENED letters meet on what is left of them without one or two letters. Tokens of LEAST_GRAMS
+    letters or more meet in a prefix-filtered q-gram join: two edits touch at most 2 * (Q + 1) grams, the others are shared.
+    """
+    words = vocabulary.select("entity_type", "token")
+    short = words.where(F.length("token").between(3, MOST_SHORTENED)).mapInPandas(_shortened, "entity_type string, token string, key string")
+    short = materialise(short.select("entity_type", "token", F.xxhash64("key").alias("key")), "shortened")
+    a, b = (short.select("entity_type", "key", F.col("token").alias(s)) for s in "ab")
+    found = a.join(b, ["entity_type", "key"]).where(F.col("a") < F.col("b")).select("entity_type", "a", "b")
+    padded = F.concat(F.lit("^"), F.col("token"), F.lit("$"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (Q - 1)), lambda i: F.substring(padded, i, F.lit(Q))))
+    sets = words.where(F.length("token") >= LEAST_GRAMS).select("entity_type", "token", grams.alias("grams"))
+    rows = sets.select("entity_type", "token", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    counts = rows.groupBy("entity_type", "gram").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("entity_type", "token").orderBy("n", "gram")
+    ranked = rows.join(counts, ["entity_type", "gram"]).withColumn("place", F.row_number().over(order))
+    shared = F.greatest(F.lit(1), F.col("size") - 2 * (Q + 1))
+    prefix = materialise(ranked.where(F.col("place") <= F.col("size") - shared + 1).select("entity_type", "gram", "token"), "prefixes")
+    a, b = (prefix.select("entity_type", "gram", F.col("token").alias(s)) for s in "ab")
+    pairs = a.join(b, ["entity_type", "gram"]).where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2))
+    found = found.unionByName(pairs.select("entity_type", "a", "b"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:

@@ -148,6 +148,24 @@ def test_a_typo_meets_its_name_beside_a_more_frequent_near_name(spark):
     assert grouped(spark, named) == [["Robert Feldavlot", "Robert Feldavolt"]]
 
 
+def test_similar_tokens_match_brute_force(spark):
+    rng = random.Random(3)
+    words = {"kim", "kym", "cruz", "curz", "cruuz", "smith", "smtih", "miller", "mliler", "hedda", "hdeda", "turner", "tumer", "vvilms", "wilms", "a" * 30, "a" * 32, "ab"}
+    for n in range(3, 25):
+        for _ in range(6):
+            w = "".join(rng.choice("abcdefgrn") for _ in range(n))
+            words.add(w)
+            for _ in range(4):
+                at = rng.randrange(len(w))
+                w = rng.choice([w[:at] + w[at + 1 :], w[:at] + rng.choice("abcx") + w[at:], w[:at] + w[at : at + 2][::-1] + w[at + 2 :]])
+                words.add(w)
+    words = sorted(w for w in words if w)
+    df = spark.createDataFrame([("PERSON", w) for w in words], "entity_type string, token string")
+    got = [(r["a"], r["b"]) for r in names.similar_tokens(df).collect()]
+    want = {(a, b) for a, b in itertools.permutations((w for w in words if len(w) > 2), 2) if names.close(a, b)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_variants_of_nothing(spark):
     assert names.variant_groups(spark.createDataFrame([], ENTITIES)).count() == 0
 
