@@ -86,6 +86,24 @@ def chunked_agg(numbered: DataFrame, keys: Sequence[str], states: dict[str, Colu
     return per_chunk.groupBy(*keys).agg(*[c.alias(n) for n, c in merges.items()])
 
 
+def extension_sums(counts: DataFrame, text: str, weight: str, name: str) -> DataFrame:
+    """(text, name): for each distinct text the weight of all texts that begin with it and go on.
+
+    In byte order these follow the text directly, up to the text with the last code point behind it. So texts and such
+    end marks are sorted together, running sums are taken over the range partitions, and each text subtracts the sum at
+    itself from that at its end mark: two rows a text, whatever its length. Null texts are left out.
+    """
+    held = counts.where(F.col(text).isNotNull())
+    sides = F.explode(F.array(F.struct(F.col(text).alias("_k"), F.col(weight).alias("_w"), F.lit(0).alias("_end")), F.struct(F.concat(text, F.lit("\U0010ffff")).alias("_k"), F.lit(0).cast("long").alias("_w"), F.lit(1).alias("_end"))))
+    rows = materialise(held.select(text, sides.alias("x")).select(text, "x.*").repartitionByRange("_k", "_end").withColumn("_part", F.spark_partition_id()), "text-order")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    parts = rows.groupBy("_part").agg(F.sum("_w").alias("_s")).select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    running = F.sum("_w").over(Window.partitionBy("_part").orderBy("_k", "_end"))
+    placed = rows.withColumn("_run", running).join(F.broadcast(parts), "_part").withColumn("_run", F.col("_run") + F.col("_before"))
+    at = lambda end: F.max(F.when(F.col("_end") == end, F.col("_run")))
+    return placed.groupBy(text).agg((at(1) - at(0)).alias(name))
+
+
 def numbered(rows: DataFrame, keys: Sequence[str], order: dict[str, Column], chunk_rows: int = 100_000) -> DataFrame:
     """rows with ``_place`` (1-based within keys, by the named order columns) and ``_chunk``, however many rows a key has.
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanefold.operators.mentions import entity_profile, heavy_entities
-from lanefold.operators.skew import attach, numbered, offset_chunks, prefix_sums
+from lanefold.operators.skew import attach, extension_sums, numbered, offset_chunks, prefix_sums
 
 
 def edges(spark, rows):
@@ -51,3 +51,11 @@ def test_attach_keeps_every_row_of_heavy_and_light_keys(spark):
     unique = rows.where("k is not null").groupBy("k").agg(F.count("k").alias("n"))
     assert attach(rows, unique, "k", "n", 3003).count() == 3002
     assert attach(rows, unique, "k", "n", 3003, "left").count() == 3003
+
+
+def test_extension_sums_match_brute_force(spark):
+    texts = ["a", "ab", "abc", "b", "", "ab\u00e9", "abz", "\U0010ffff", "a\U0001f600", "ba"]
+    df = spark.createDataFrame([(t, i + 1) for i, t in enumerate(texts)] + [(None, 5)], "t string, n long")
+    got = {r["t"]: r["x"] for r in extension_sums(df, "t", "n", "x").collect()}
+    assert got == {t: sum(j + 1 for j, u in enumerate(texts) if u != t and u.startswith(t)) for t in texts}
+    assert extension_sums(df.limit(0), "t", "n", "x").count() == 0
