@@ -2,14 +2,22 @@
 
 A response is cut into clauses; each gets features from the question and gold answer at hand (wording shared with the
 question, words of declining, function words of a dozen languages and the script, how it ends) and from the whole table
-(how often responses of the same masked wording go on after this point, instead of ending). A linear-chain CRF, trained
-on a bounded sample whose clauses were labelled by cautious rules, tags the clauses as answer, refusal, echo, foreign or
-unfinished. The share of words under each tag then gives the pair's defect, if any.
+(how often responses of the same masked wording go on after this point, instead of ending). A linear-chain CRF tags the
+clauses as answer, refusal, echo, foreign or unfinished, and the share of words under each tag gives the pair's defect.
+
+There are no labelled rows, so the CRF learns from pairs of a bounded sample whose tags are known by the way they come
+about, not by its features: sound responses (those that hold the gold answer, and those worded like one that does) are
+answers; the same responses broken off at a random letter are unfinished at the end; questions retyped with slips are
+echoes; responses to questions in another language, with the names exchanged, or put into another script, are foreign;
+sentences of declining that answer many different questions without a value of their own are refusals. Sound responses
+that end as a broken one does to the first model are left out, and a second one is trained.
 """
 
 from __future__ import annotations
 
+import random
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +26,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanefold.operators.skew import attach
+from lanefold.llm.planted import Donors, sequences, wordy
+from lanefold.operators.skew import attach, extension_sums
 from lanefold.sources.shared import load, materialise
 
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-SAMPLE_ROWS = 20_000
-EPOCHS, RATE, DECAY = 400, 0.1, 1e-5
+SAMPLE_ROWS = 10_000
+EPOCHS, RATE, DECAY = 300, 0.1, 1e-5
+#: a response's clauses enter training in runs of at most RUN; shares of words from which a tag is the pair's defect
+RUN, ECHO_SHARE, FOREIGN_SHARE, REFUSAL_SHARE = 12, 0.999, 0.5, 0.5
 
 #: Frequent function words by language, words of declining, and strings that stand for no answer.
 LANGUAGES = {
@@ -101,11 +112,14 @@ def template(question: str, gold: str, text: str) -> str:
     """The response's wording with names and numbers masked, lower-cased, without end marks."""
     asked, known = _named(question), _named(gold)
     out: list[str] = []
-    for i, w in enumerate(_PIECE.findall(text)):
+    pieces = _PIECE.findall(text)
+    bare = OTHER_SCRIPT.search(text) is None and not any(w.lower() in WORDS for w in pieces)  # nothing but names
+    for i, w in enumerate(pieces):
         low = w.lower()
+        inner = i > 0 or pieces[1:2] and pieces[1][0].isupper()  # a first word is a name only beside another capitalised one
         if low in asked:
             slot = "Q"
-        elif low in known or w[0].isdigit() or (i > 0 and w[0].isupper() and low not in WORDS):
+        elif low in known or w[0].isdigit() or (bare and w[0].isalpha()) or (inner and w[0].isupper() and low not in WORDS):
             slot = "D" if w[0].isdigit() else "N"
         else:
             slot = low
@@ -114,14 +128,6 @@ def template(question: str, gold: str, text: str) -> str:
     return END_MARKS.sub("", " ".join(out))
 
 
-def prefix_hashes(s: str) -> np.ndarray:
-    """A 64-bit hash of every prefix of s."""
-    codes = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(len(codes), 1099511628211, np.uint64))
-        return np.cumsum((codes + np.uint64(11)) * power * (power ^ np.uint64(0x9E3779B97F4A7C15))).astype(np.int64)
-
-
 def similar(a: str, b: str) -> bool:
     """Equal but for one or two letters in longer words."""
     if a == b:
@@ -173,8 +179,8 @@ FEATURES = [
 NUMBER = {f: i for i, f in enumerate(FEATURES)}
 
 
-def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tuple[np.ndarray, np.ndarray, dict]:
-    """(clauses x features, words per clause, facts about the whole) of a response with content."""
+def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tuple[np.ndarray, np.ndarray]:
+    """(clauses x features, words per clause) of a response with content."""
     text = LABEL.sub("", text)
     parts = [p for p in _CUT.split(text) if p and _WORD.search(p)] or [text]
     q_words = [w.lower() for w in _WORD.findall(question)]
@@ -193,7 +199,11 @@ def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tupl
     latin_question = OTHER_SCRIPT.search(question) is None
     split = [(p, _WORD.findall(p)) for p in parts]
     frees = [free_words(words, [w.lower() for w in words]) for _, words in split]
-    cover = {lang: sum(lang in WORDS.get(w, ()) for f in frees for w in f) for lang in LANGUAGES}
+    cover = dict.fromkeys(LANGUAGES, 0)
+    for free in frees:
+        for w in free:
+            for lang in WORDS.get(w, ()):
+                cover[lang] += 1
     alien = max((lang for lang in LANGUAGES if lang != own), key=lambda x: cover[x])
     if cover[alien] - cover[own] < 2:
         alien = None  # words shared with the question's language count for it
@@ -202,7 +212,8 @@ def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tupl
         copied = [alike(w, q_set) for w in low]
         masked = " ".join(w for w in p.split() if not all(x.lower() in q_named for x in _WORD.findall(w)) or not _WORD.search(w))
         mine = sum(own in WORDS.get(w, ()) and alien not in WORDS.get(w, ()) for w in free)
-        others = max((sum(lang in WORDS.get(w, ()) and (lang == alien or own not in WORDS.get(w, ())) for w in free) for lang in LANGUAGES if lang != own), default=0)
+        held = Counter(lang for w in free for lang in WORDS.get(w, ()) if lang != own and (lang == alien or own not in WORDS[w]))
+        others = max(held.values(), default=0)
         script = latin_question and OTHER_SCRIPT.search(p) is not None
         cues = REFUSALS.findall(masked)
         new = [w not in q_set and w not in YES_NO for w in low]
@@ -239,19 +250,22 @@ def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tupl
     )
     stub = len(every) > 1 and end.endswith(raw_last) and raw_last[:1].isupper() and len(raw_last) <= 3 and last_word not in known and not raw_last.isupper()
     ratio = len(every) / max(1, len(q_words))
+    n_cued, n_valued = sum(x["cues"] > 0 for x in info), sum(x["value"] for x in info)
+    n_alien = sum(x["script"] or x["others"] > x["mine"] for x in info)
+    copied_all = all(every)
     for k, x in enumerate(info):
         f = np.zeros(len(FEATURES))
         on = lambda name, yes=True, f=f: f.__setitem__(NUMBER[name], float(bool(yes)))
         final = k == len(info) - 1
         share = sum(x["copied"]) / max(1, len(x["copied"]))
         on("bias"), on("single", len(info) == 1)
-        on("refusal_cue", x["cues"]), on("two_refusal_cues", x["cues"] > 1), on("cue_elsewhere", any(y["cues"] for y in info if y is not x))
-        on("has_value", x["value"]), on("value_elsewhere", any(y["value"] for y in info if y is not x)), on("gold_here", g_words and all(w in x["low"] for w in g_words))
-        on("copy_all", share == 1), on("copy_most", share >= 0.8), on("copy_some", share >= 0.5), on("question_covered", covered >= 0.75), on("rest_beside_copy", not all(every))
+        on("refusal_cue", x["cues"]), on("two_refusal_cues", x["cues"] > 1), on("cue_elsewhere", n_cued > (x["cues"] > 0))
+        on("has_value", x["value"]), on("value_elsewhere", n_valued > x["value"]), on("gold_here", g_words and all(w in x["low"] for w in g_words))
+        on("copy_all", share == 1), on("copy_most", share >= 0.8), on("copy_some", share >= 0.5), on("question_covered", covered >= 0.75), on("rest_beside_copy", not copied_all)
         foreign = x["script"] or x["others"] > x["mine"]
-        on("answer_after_copy", all(every) and 1.12 < ratio < 1.75), on("mostly_foreign", x["others"] >= 2 and x["others"] >= 2 * x["mine"]), on("mostly_own", x["mine"] > x["others"])
+        on("answer_after_copy", copied_all and 1.12 < ratio < 1.75), on("mostly_foreign", x["others"] >= 2 and x["others"] >= 2 * x["mine"]), on("mostly_own", x["mine"] > x["others"])
         on("foreign_script", x["script"]), on("foreign_words", foreign), on("foreign_only", x["mine"] == 0 and x["others"] >= 1), on("own_words", x["mine"] > 0)
-        on("foreign_elsewhere", any(y["script"] or y["others"] > y["mine"] for y in info if y is not x)), on("no_function_words", x["mine"] + x["others"] == 0 and not x["script"])
+        on("foreign_elsewhere", n_alien > foreign), on("no_function_words", x["mine"] + x["others"] == 0 and not x["script"])
         if final:
             on("last")
             on("open_end", not OPEN_END.search(end))
@@ -261,38 +275,7 @@ def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tupl
             going = n_ext / max(1, n_ext + n_end)
             on("goes_on", n_ext >= 3 and going >= 0.5), on("mostly_goes_on", n_ext >= 5 and going >= 0.8), on("ends_here", n_end >= 3 and going < 0.3)
         rows.append(f)
-    totals = {
-        "ratio": ratio, "covered": covered, "all_copied": all(every), "words": len(every), "value": any(x["value"] for x in info), "cues": sum(x["cues"] for x in info),
-        "mine": sum(x["mine"] for x in info), "others": sum(x["others"] for x in info), "script": any(x["script"] for x in info),
-    }
-    return np.array(rows), np.array(sizes, float), totals
-
-
-def weak_tags(f: np.ndarray) -> np.ndarray | None:
-    """Clause tags of a response by cautious rules; None where the rules do not agree on one reading."""
-    g = lambda name: f[:, NUMBER[name]] > 0
-    tags = np.full(len(f), ANSWER)
-    last = f[-1]
-    is_ = lambda name: last[NUMBER[name]] > 0
-    echo = (g("copy_all") & g("question_covered") & ~g("rest_beside_copy") & ~g("answer_after_copy")).all()
-    foreign = g("foreign_words").any() and not g("mostly_own").any()
-    refusal = g("refusal_cue").any() and not g("has_value").any() and not foreign
-    surely = is_("ellipsis_end") or is_("open_bracket") or is_("hanging") or is_("comma_end") or (is_("open_end") and (is_("cut_word") or is_("stub_end") or is_("mostly_goes_on")))
-    surely = surely and not is_("whole_name")
-    cut = surely or (is_("open_end") and is_("function_end") and not is_("ends_here"))
-    if sum([echo, foreign, refusal]) > 1 or (echo and surely and not is_("mostly_goes_on")):
-        return None
-    if echo:
-        tags[:] = ECHO
-    elif foreign:
-        tags[:] = FOREIGN
-    elif refusal:
-        tags[:] = REFUSAL
-    elif cut:
-        tags[-1] = UNFINISHED
-    elif g("refusal_cue").any() and not g("has_value").any():
-        return None
-    return tags
+    return np.array(rows), np.array(sizes, float)
 
 
 class ClauseCRF:
@@ -310,7 +293,7 @@ class ClauseCRF:
         groups: dict[int, list] = {}
         for row in distinct.values():
             groups.setdefault(len(row[0]), []).append(row)
-        batches = [(np.stack([r[0] for r in g]), np.stack([r[1] for r in g]), np.array([r[2] ** 0.5 for r in g])) for g in groups.values()]
+        batches = [(np.stack([r[0] for r in g]), np.stack([r[1] for r in g]), np.array([float(r[2]) for r in g])) for g in groups.values()]
         n = max(1.0, sum(c.sum() for _, _, c in batches))
         mw, mt, vw, vt = np.zeros_like(self.w), np.zeros_like(self.t), np.zeros_like(self.w), np.zeros_like(self.t)
         for step in range(1, EPOCHS + 1):
@@ -358,20 +341,19 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
 
 
 def defect(question: str, gold: str, answer: str | None, n_end: int, n_ext: int, crf: ClauseCRF) -> str | None:
-    """The defect of a pair, or None."""
+    """The defect of a pair by the share of its response's words under each tag, or None."""
     text = content(answer)
     if not text:
         return "empty"
-    f, sizes, total = clauses(question, gold, text, n_end, n_ext)
-    tags = crf.tag(f)
-    share = np.bincount(tags, sizes, len(TAGS)) / sizes.sum()
-    if share[ECHO] >= 0.8 and total["all_copied"] and not 1.12 < total["ratio"] < 1.75:
+    f, sizes = clauses(question, gold, text, n_end, n_ext)
+    share = np.bincount(crf.tag(f), sizes, len(TAGS)) / sizes.sum()
+    if share[ECHO] >= ECHO_SHARE:
         return "question_copy"
-    if share[FOREIGN] >= 0.5:
+    if share[FOREIGN] >= FOREIGN_SHARE:
         return "wrong_language"
-    if tags[-1] == UNFINISHED:
+    if share[UNFINISHED] > 0:
         return "truncated"
-    if share[REFUSAL] >= 0.4 and not total["value"]:
+    if share[REFUSAL] >= REFUSAL_SHARE:
         return "refusal"
     return None
 
@@ -386,40 +368,79 @@ def _masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(template=t)
 
 
-def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        hashes = [prefix_hashes(t)[:-1] for t in b["template"]]
-        yield pd.DataFrame({"hash": np.concatenate([*hashes, np.empty(0, np.int64)]), "n": np.repeat(b["n"].to_numpy(), [len(h) for h in hashes])})
-
-
-def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield b.assign(hash=[int(prefix_hashes(t)[-1]) if t else 0 for t in b["template"]])
-
-
 def with_endings(pairs: DataFrame) -> DataFrame:
     """pairs with template, n_end (responses of just this masked wording) and n_ext (those that go on after it)."""
     fields = pairs.schema.simpleString()[len("struct<"):-1].replace(":", " ")
     rows = materialise(pairs.mapInPandas(_masked, fields + ", template string"), "responses")
-    counts = materialise(rows.groupBy("template").agg(F.count(F.lit(1)).alias("n")).mapInPandas(_hashed, "template string, n long, hash long"), "templates")
-    longer = counts.mapInPandas(_prefixes, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n_ext"))
-    endings = counts.join(longer, "hash", "left").select("template", F.col("n").alias("n_end"), F.coalesce("n_ext", F.lit(0)).alias("n_ext"))
+    counts = materialise(rows.groupBy("template").agg(F.count(F.lit(1)).alias("n_end")), "templates")
+    endings = counts.join(extension_sums(counts, "template", "n_end", "n_ext"), "template")
     return attach(rows, materialise(endings, "endings"), "template", "n_end", rows.count())
 
 
+def sample_row(q: str | None, g: str | None, a: str | None) -> tuple[str, str, str, str, str, bool, bool] | None:
+    """A sampled pair as the donors take it; None without content."""
+    text = content(a)
+    if not text:
+        return None
+    q, g = q or "", g or ""
+    text = LABEL.sub("", text)
+    wording, lang = template(q, g, text), question_language(q)
+    plain = [w for w in wording.split() if w not in ("Q", "N", "D")]
+    own = (OTHER_SCRIPT.search(q) is not None or OTHER_SCRIPT.search(text) is None) and (not wordy(wording) or language(plain) == lang)
+    return q, g, text, wording, lang, REFUSALS.search(text) is not None, own
+
+
+def tagged(pair: tuple[str, str, str, str, str, bool, bool], donors: Donors, rng: random.Random) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(kind, features, tags) of the training sequences made from one pair."""
+    q, g = pair[:2]
+    for kind, made, part in sequences(pair, donors, rng):
+        text = content(made)
+        if not text:
+            continue
+        wording = part if kind == "foreign" else template(q, g, LABEL.sub("", text))
+        f, _ = clauses(q, g, text, *donors.endings(wording))
+        y = np.full(len(f), {"refusal": REFUSAL, "echo": ECHO, "foreign": FOREIGN}.get(kind, ANSWER))
+        if kind == "unfinished":
+            y[-1] = UNFINISHED
+        elif kind == "echo+answer":
+            y[: min(len(f) - 1, len(clauses(q, g, part, 0, 0)[0]))] = ECHO
+        yield kind, f, y
+
+
+def fitted(kinds: list[str], xs: list[np.ndarray], ys: list[np.ndarray]) -> ClauseCRF:
+    """The CRF of the sequences. Some sound responses are broken off behind the gold answer: those whose end a first model
+    reads as unfinished are left out of the second."""
+    first = ClauseCRF().fit(xs, ys)
+    keep = [i for i, k in enumerate(kinds) if k != "answer" or first.tag(xs[i])[-1] != UNFINISHED]
+    return ClauseCRF().fit([xs[i] for i in keep], [ys[i] for i in keep])
+
+
 def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ClauseCRF:
-    """The CRF of a hash sample of at most about sample_rows pairs."""
+    """The CRF of a hash sample of at most about sample_rows pairs; features are worked out by the tasks."""
+    spark = rows.sparkSession
     every = max(1, -(-rows.count() // sample_rows))
-    drawn = rows.where(F.pmod(F.xxhash64("question_id", "row_name"), F.lit(every)) == 0).select(*COLUMNS, "n_end", "n_ext")
-    xs, ys = [], []
-    for q, g, a, n_end, n_ext in drawn.orderBy(*COLUMNS).limit(2 * sample_rows).toPandas().itertuples(index=False, name=None):
-        text = content(a)
-        if text:
-            f, _, _ = clauses(q or "", g or "", text, n_end, n_ext)
-            tags = weak_tags(f)
-            if tags is not None and len(f) <= 12:
-                xs.append(f), ys.append(tags)
-    return ClauseCRF().fit(xs, ys)
+    drawn = rows.where(F.pmod(F.xxhash64("question_id", "row_name"), F.lit(every)) == 0).select(*COLUMNS)
+    held = [x for r in drawn.orderBy(*COLUMNS).limit(2 * sample_rows).collect() if (x := sample_row(*r))]
+    if not held:
+        return ClauseCRF()
+    shared = spark.sparkContext.broadcast((held, Donors(held)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs, donors = shared.value
+        for b in batches:
+            out = [(k, x.astype(np.uint8).tobytes(), y.astype(np.uint8).tobytes()) for i in b["id"] for k, x, y in tagged(pairs[i], donors, random.Random(int(i)))]
+            yield pd.DataFrame(out, columns=["kind", "x", "y"])
+
+    made = spark.range(len(held)).repartition(max(1, len(held) // 500)).mapInPandas(run, "kind string, x binary, y binary")
+    made = made.groupBy("kind", "x", "y").agg(F.count(F.lit(1)).alias("n")).orderBy("kind", "x", "y").collect()
+    kinds, xs, ys = [], [], []
+    for r in made:
+        x, y = np.frombuffer(r["x"], np.uint8).reshape(-1, len(FEATURES)).astype(float), np.frombuffer(r["y"], np.uint8).astype(np.int64)
+        for at in range(0, len(x), RUN):
+            kinds += [r["kind"]] * r["n"]
+            xs += [x[at : at + RUN]] * r["n"]
+            ys += [y[at : at + RUN]] * r["n"]
+    return fitted(kinds, xs, ys)
 
 
 def broken_pairs(ablation: DataFrame) -> DataFrame:

@@ -1,7 +1,6 @@
 """Edge cases and brute-force checks of the training-data operators."""
 
 import itertools
-import json
 import random
 from datetime import datetime
 
@@ -11,7 +10,7 @@ from compare import connect, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lanefold.llm import MODULES, cooccurrence, groups, leakage, names, packing, pairs, ranking, spam, vectors
+from lanefold.llm import MODULES, cooccurrence, groups, leakage, names, packing, pairs, planted, ranking, spam, vectors
 
 T = datetime(2025, 1, 1)
 
@@ -433,7 +432,32 @@ def test_crf_learns_a_sequence_rule():
     assert all(np.array_equal(crf.tag(x), y) for x, y in zip(xs, ys))
 
 
-def test_prefix_hashes_agree_on_shared_prefixes():
-    a, b = pairs.prefix_hashes("the place of x"), pairs.prefix_hashes("the place of death")
-    assert list(a[:13]) == list(b[:13]) and a[-1] != b[13]
-    assert json.dumps([int(x) for x in a[:2]])
+def test_tags_follow_the_trained_model(spark, monkeypatch):
+    data = [(f"q{i}", "r", f"In which city was Ada Marsh{i} born?", t, a) for i in range(60) for t in ("Oslo",) for a in [["Oslo", "Ada was born in Oslo.", "I cannot say."][i % 3]]]
+    df = spark.createDataFrame(data, "question_id string, row_name string, question string, gold_answer string, predicted_answer string")
+    monkeypatch.setattr(pairs.ClauseCRF, "tag", lambda self, x: np.zeros(len(x), np.int64))
+    assert pairs.broken_pairs(df).count() == 0
+
+
+def test_planted_defects_are_what_they_are_called():
+    rng = random.Random(1)
+    rows_ = [(f"In which city was P{i} born?", "Oslo", "P was born in the city of Oslo.", "Q was born in the city of N", "en", False, True) for i in range(9)]
+    rows_ += [(f"In welcher Stadt wurde P{i} geboren?", "Rom", "P wurde in der Stadt Rom geboren.", "Q wurde in der Stadt N geboren", "de", False, True) for i in range(9)]
+    rows_ += [(f"In which city was P{i} born?", f"T{i}", "I cannot say.", "i cannot say", "en", True, True) for i in range(9)]
+    donors = planted.Donors(rows_)
+    assert donors.endings("Q was born in the city of") == (0, 9) and donors.endings("i cannot say") == (9, 0)
+    assert donors.declining == {"i cannot say"} and set(donors.sound) == {"en", "de"}
+    made = [x for r in rows_ * 30 for x in planted.sequences(r, donors, rng)]
+    for kind, text, _ in made:
+        if kind == "unfinished":
+            assert not text.endswith("Oslo.") and text != "P was born in the city of Oslo"
+        if kind == "refusal":
+            assert text.startswith("I cannot say")
+    assert {k for k, _, _ in made} >= {"answer", "unfinished", "echo", "echo+answer", "foreign", "refusal"}
+    assert planted.other_option("Which came first, The Dawn or The Dusk?", "The Dusk") == "The Dawn" and planted.other_option("Who?", "x") is None
+
+
+def test_long_responses_and_empty_samples_train(spark):
+    long_ = "Ada Marsh was born in Oslo. " * 3000
+    df = spark.createDataFrame([("q", "r", "Where was Ada Marsh born?", "Oslo", long_), ("e", "r", None, None, None)], "question_id string, row_name string, question string, gold_answer string, predicted_answer string")
+    assert {(r["question_id"], r["defect_type"]) for r in pairs.broken_pairs(df).collect()} == {("e", "empty")}
