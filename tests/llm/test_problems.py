@@ -358,6 +358,38 @@ def test_leaks_match_brute_force(spark, monkeypatch):
     assert leakage.leaks(ddf.limit(0), idf).count() == 0 == leakage.leaks(ddf, idf.limit(0)).count()
 
 
+def brute_longest(texts, items, n):
+    out = {}
+    for d, t in enumerate(texts):
+        for i, text in items:
+            w = leakage.words(text)
+            best = (0, 0)
+            for a in range(len(t)):
+                for b in range(len(w)):
+                    k = 0
+                    while a + k < len(t) and b + k < len(w) and t[a + k] == w[b + k]:
+                        k += 1
+                    best = (k, a) if k > best[0] else best
+            if best[0] >= n:
+                out[d, i] = best
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_longest_matches_and_places_match_brute_force_in_repetitive_texts(seed):
+    rng = random.Random(seed)
+    voc, n = [f"w{i}" for i in range(rng.choice([2, 3, 8]))], rng.choice([3, 4, 12])
+    items = [(i, " ".join(rng.choices(voc, k=rng.randint(1, 25)))) for i in range(6)]
+    texts = [items[0][1].split() * 3, []] + [rng.choices(voc + ["zz"], k=rng.randint(0, 40)) for _ in range(6)]
+    got = {(d, i): (k, a) for d, i, k, a in zip(*[x.tolist() for x in leakage.EvalIndex(items, n).search(texts)])}
+    assert got == brute_longest(texts, items, n)
+
+
+def test_a_repeated_word_is_searched_not_paired_up():
+    found = leakage.EvalIndex([(1, "a " * 4000)], 12).search([["a"] * 30_000])
+    assert [x.tolist() for x in found] == [[0], [1], [4000], [0]]
+
+
 def test_words_fold_case_accents_and_marks():
     assert leakage.words("Élan—STRASSE straße x_y 12½") == ["elan", "strasse", "strasse", "x", "y", "12"]
 
