@@ -319,6 +319,27 @@ def test_windows_split_only_long_texts_and_lose_nothing(spark):
     assert packing.pack_windows(packing.pieces(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("limits, binding", [((2048, 64, 4096), 1), ((2048, 512, 300), 2), ((700, 512, 4096), 0)])
+def test_each_limit_binds_in_instruction_data(spark, limits, binding):
+    rng = random.Random(8)
+    rows_ = [(f"q{i}", rng.randint(8, 30), rng.randint(1, 8)) for i in range(4000)]
+    df = spark.createDataFrame(rows_, "question_id string, n_tokens long, n_loss long")
+    out = packing.pack_windows(df, limits, group_items=1000, keys=("question_id",)).toPandas()
+    use = out.groupby("window_id").agg(t=("n_tokens", "sum"), s=("n_tokens", "size"), l=("n_loss", "sum")) / limits
+    assert len(out) == 4000 and (use <= 1).all().all()
+    assert use.sum().idxmax() == "tsl"[binding] and use["tsl"[binding]].mean() > 0.97
+    least = max(-(-sum(r[1] for r in rows_) // limits[0]), -(-4000 // limits[1]), -(-sum(r[2] for r in rows_) // limits[2]))
+    assert len(use) <= 1.03 * least + 1
+
+
+def test_instruction_pairs_are_sized_by_their_answers(spark):
+    rows_ = [("a", "two words", "one", 1), ("a", "two words", "one", 2), ("b", None, "one", 1), ("c", "", None, 1), (None, "x", "y", 1), ("d", "word " * 3000, "x", 1)]
+    got = {r["question_id"]: (r["n_tokens"], r["n_loss"]) for r in packing.instruction_items(spark.createDataFrame(rows_, "question_id string, question string, gold_answer string, n_loss int")).collect()}
+    assert got == {"a": (3, 1), "b": (1, 1)}
+    with pytest.raises(ValueError):
+        packing.pack(np.array([9]), np.array([1]), (8, 1, 8))
+
+
 def test_token_sizes_of_odd_texts(spark):
     df = spark.createDataFrame([(1, "two words"), (2, ""), (3, None), (4, " "), (5, "é" * 20_000), (None, "x")], "doc_id long, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in packing.token_sizes(df).collect()}
