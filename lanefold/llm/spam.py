@@ -1,19 +1,18 @@
 """Problem 10: keyword-stuffed pages and link, tag or product lists, by a prose-trained class n-gram model.
 
-A text becomes a sequence of function-word classes, word classes and punctuation marks. A trigram model over these
-(fewer than 32 symbols, so fewer than 32768 counts whatever the corpus) is trained on the texts with a prose-like share
-of function words. Around every word, two perplexities are taken: that of the class sequence under the prose model, and
-that of the words under the text's own recent words, which is low where words keep coming back. Words in stretches that
-are abnormal in one of them are then checked for what they are made of: links, hashtags, repeated keywords, tag lists or
-product rows. A page is reported when such words make up more than SHARE of it.
+A text becomes a sequence of function-word classes, word classes and punctuation marks; a content word or name that
+stands again within REACH words is a class of its own, so that words that keep coming back show in the sequence. A trigram
+model over these (fewer than 36 symbols, so at most 46656 counts whatever the corpus) is trained on the prose-like
+stretches of all texts. Every word gets the perplexity of the classes around it, as a multiple of that of prose. Only
+words where it is abnormally high or low are looked at further: those that are made of links, hashtags, repeated
+keywords, tag lists or product rows count, which keeps reference lists, tables and refrains out. A page is reported when
+such words make up more than SHARE of it.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,11 +31,11 @@ FUNCTION_WORDS = {
     "D": "later often rather nearby quietly indeed perhaps almost once again never always soon then now here very also only still just even too auch nur noch schon sehr dann später oft hier dort immer wieder fast bald aussi encore toujours souvent très plus tard ici là bientôt presque déjà también siempre muy más tarde aquí allí pronto casi ya todavía nunca",
 }
 FUNCTION_CLASS = {w: c for c, words in reversed(FUNCTION_WORDS.items()) for w in words.split()}
-#: Symbols of the model: the classes above, word classes (content word, capitalised, year, number, code, link, hashtag,
-#: other mark-up), line end, punctuation marks of their own and one for all others.
-SYMBOLS = [*"APCRVD", *"wBYNKUHM", "\n", *".,;:!?|()-–\"#*/", "x"]
+#: Symbols of the model: the classes above, word classes (content word, capitalised, the same two repeated, year, number,
+#: code, link, hashtag, other mark-up), line end, punctuation marks of their own and one for all others.
+SYMBOLS = [*"APCRVD", *"wBrbYNKUHM", "\n", *".,;:!?|()-–\"#*/", "x"]
 NUMBER = {s: i for i, s in enumerate(SYMBOLS)}
-N_SYMBOLS = 32
+N_SYMBOLS = 36
 _HOST = r"[\w-]{1,63}+(?=\.)(?:\.[\w-]{1,63}+){0,6}\.(?:com|net|org|example|test|invalid|info|io|biz)\b(?:/[^\s<>\"')\]]*)?"
 _TOKEN = re.compile(
     r"(?P<url>(?:https?://|www\.)[^\s<>\"')\]]+|\b" + _HOST + r")|(?P<tag><[^>]{0,300}>|\[/?url[^\]]{0,300}\])"
@@ -44,13 +43,14 @@ _TOKEN = re.compile(
 )
 _RUN = re.compile(r"[^\W_]+")
 
-PROSE_SHARE = 0.2
+#: words on either side within which a word counts as repeated, and of which a prose-like stretch has so many function words
+REACH, PROSE_WINDOW, PROSE_SHARE = 25, 12, 0.25
 SMOOTH = 5.0
-WINDOW, ECHO_WINDOW, ECHO_REACH = 5, 7, 25
+WINDOW, ECHO_WINDOW = 5, 7
 MIN_REPEATS = 4
-#: perplexities (nats a symbol) as multiples of that of prose: unusual, and far from any prose
-UNUSUAL, FOREIGN = 1.1, 1.5
-SHARE = 0.42
+#: perplexity (nats a symbol) as a multiple of that of prose, beyond which a stretch is abnormal
+HIGH, LOW = 1.15, 0.8
+SHARE = 0.5
 
 
 _PLAIN_TOKEN = re.compile(re.sub(r"\(\?P<\w+>", "(?:", _TOKEN.pattern))
@@ -88,36 +88,91 @@ def _token(s: str) -> tuple[int, str, float]:
     return out
 
 
-def classify(text: str) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(symbol numbers, lower-cased tokens, words each token holds)."""
-    get = _seen.get
-    rows = [get(s) or _token(s) for s in _PLAIN_TOKEN.findall(text)]
-    if not rows:
-        return np.empty(0, np.int64), [], np.empty(0)
-    kinds, tokens, weight = zip(*rows)
-    return np.array(kinds, np.int64), list(tokens), np.array(weight, float)
-
-
-def _function_share(kinds: np.ndarray, weight: np.ndarray) -> float:
-    return float((kinds < 6).sum() / max(1, (weight > 0).sum()))
-
-
-def _padded(kinds: np.ndarray) -> np.ndarray:
-    edge = [NUMBER["\n"]] * 2
-    return np.concatenate([edge, kinds]).astype(np.int64)
+class Batch:
+    """The texts of a batch as flat arrays: symbol, words held, word identity and text number of every token, and of every word."""
+
+    def __init__(self, texts: Sequence[str]):
+        found = [_PLAIN_TOKEN.findall(t) for t in texts]
+        size = np.array([len(f) for f in found], np.int64)
+        codes, distinct = pd.factorize(np.array([x for f in found for x in f], object))
+        get = _seen.get
+        rows = [get(x) or _token(x) for x in distinct]
+        kind = np.array([r[0] for r in rows], np.int64)
+        name = pd.factorize(np.array([r[1] for r in rows], object))[0].astype(np.int64)
+        weight = np.array([r[2] for r in rows], float)
+        self.n_texts = len(texts)
+        self.text = np.repeat(np.arange(len(texts)), size)
+        self.kind = kind[codes] if len(codes) else np.empty(0, np.int64)
+        token_weight = weight[codes] if len(codes) else np.empty(0)
+        self.at = np.flatnonzero(token_weight > 0)  # tokens that are words
+        self.weight, self.of = token_weight[self.at], self.text[self.at]
+        self.name = name[codes][self.at] if len(codes) else np.empty(0, np.int64)
+        n = len(self.at)
+        place = np.arange(n)
+        # the same word before and behind, by a stable sort of (text, word)
+        self.key = self.of * (len(distinct) + 1) + self.name
+        order = np.argsort(self.key, kind="stable")
+        again = np.flatnonzero(self.key[order][1:] == self.key[order][:-1])
+        gap = place[order[again + 1]] - place[order[again]]
+        self.before = np.zeros(n, bool)
+        self.before[order[again + 1]] = gap <= REACH
+        self.echo = self.before.copy()
+        self.echo[order[again]] |= gap <= REACH
+        for plain, repeated in ("wr", "Bb"):
+            at = self.at[self.before & (self.kind[self.at] == NUMBER[plain])]
+            self.kind[at] = NUMBER[repeated]
+        self.word_kind = self.kind[self.at]
+        first = np.searchsorted(self.of, np.arange(len(texts) + 1))
+        self.first, self.end = first[:-1][self.of], first[1:][self.of]
+        self.place = place
+
+    def around(self, half: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and behind-last word within ``half`` words in the same text, for every word."""
+        return np.maximum(self.first, self.place - half), np.minimum(self.end, self.place + half + 1)
+
+    def share(self, values: np.ndarray, half: int = WINDOW) -> np.ndarray:
+        """Mean of a value of words over the words within ``half``."""
+        lo, hi = self.around(half)
+        total = np.concatenate([[0.0], np.cumsum(values, dtype=float)])
+        return (total[hi] - total[lo]) / np.maximum(1, hi - lo)
+
+    def trigrams(self) -> np.ndarray:
+        """The trigram that ends at each token; a text begins behind two line ends."""
+        edge = NUMBER["\n"]
+        one, two = np.full(len(self.kind), edge), np.full(len(self.kind), edge)
+        one[1:] = np.where(self.text[1:] == self.text[:-1], self.kind[:-1], edge)
+        two[2:] = np.where(self.text[2:] == self.text[:-2], self.kind[:-2], edge)
+        return (two * N_SYMBOLS + one) * N_SYMBOLS + self.kind
+
+    def prose(self) -> np.ndarray:
+        """Whether each token stands in a stretch with a prose-like share of function words."""
+        if not len(self.at):
+            return np.zeros(len(self.kind), bool)
+        good = self.share(self.word_kind < 6, PROSE_WINDOW) >= PROSE_SHARE
+        near = np.maximum(0, np.searchsorted(self.at, np.arange(len(self.kind)), "right") - 1)
+        return good[near] & (self.of[near] == self.text)
+
+
+def slices(texts: Sequence[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+    """(first place, texts) of runs of whole texts of about so many characters."""
+    at, held, total = 0, [], 0
+    for i, t in enumerate(texts):
+        held.append(t or "")
+        total += len(held[-1])
+        if total >= chars:
+            yield at, held
+            at, held, total = i + 1, [], 0
+    if held:
+        yield at, held
 
 
 def count_classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Trigram counts of the prose-like texts of a task: at most N_SYMBOLS^3 rows."""
+    """Trigram counts of the prose-like stretches of a task: at most N_SYMBOLS^3 rows."""
     total = np.zeros(N_SYMBOLS**3, np.int64)
     for batch in batches:
-        held = [np.empty(0, np.int64)]
-        for text in batch["text"]:
-            kinds, _, weight = classify(text)
-            if _function_share(kinds, weight) >= PROSE_SHARE:
-                s = _padded(kinds)
-                held.append((s[:-2] * N_SYMBOLS + s[1:-1]) * N_SYMBOLS + s[2:])
-        total += np.bincount(np.concatenate(held), minlength=len(total))
+        for _, texts in slices(batch["text"]):
+            b = Batch(texts)
+            total += np.bincount(b.trigrams()[b.prose()], minlength=len(total))
     at = np.flatnonzero(total)
     yield pd.DataFrame({"trigram": at, "n": total[at]})
 
@@ -136,85 +191,41 @@ class ClassModel:
         self.nats = -np.log(p3).ravel()
         self.prose = float((c3.ravel() * self.nats).sum() / max(1.0, c3.sum()))
 
-    def score(self, kinds: np.ndarray) -> np.ndarray:
-        s = _padded(kinds)
-        return self.nats[(s[:-2] * N_SYMBOLS + s[1:-1]) * N_SYMBOLS + s[2:]]
-
-
-@lru_cache(None)
-def _among(symbols: str) -> np.ndarray:
-    """By symbol number, whether it is one of the given ones."""
-    return np.array([s in symbols for s in SYMBOLS])
-
-
-def _around(values: np.ndarray, half: int) -> np.ndarray:
-    """Mean of values within ``half`` places."""
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=float)])
-    at = np.arange(len(values))
-    lo, hi = np.maximum(0, at - half), np.minimum(len(values), at + half + 1)
-    return (total[hi] - total[lo]) / (hi - lo)
-
-
-def _echoes(words: list[str]) -> np.ndarray:
-    """1 for each word that stands again within ECHO_REACH words on either side."""
-    out, last = np.zeros(len(words)), {}
-    for i, w in enumerate(words):
-        j = last.get(w)
-        if j is not None and i - j <= ECHO_REACH:
-            out[i] = out[j] = 1
-        last[w] = i
-    return out
-
-
-def judge(text: str, model: ClassModel) -> tuple[float, float, int]:
-    """(share of words in stuffed or listed stretches, class perplexity of the whole text, words).
-
-    A rule is worked out only where the text holds what it asks for (a link, a code, repeated words, a stretch without
-    function words); its outcome is the same as if it always were.
-    """
-    kinds, tokens, weight = classify(text)
-    at = np.flatnonzero(weight > 0)
-    n = len(at)
-    if not n:
-        return 0.0, 0.0, 0
-    nats = model.score(kinds)
-    k, w = kinds[at], weight[at]
-    names = [tokens[i] for i in at]
-    place = np.arange(n)
-    lo, hi = np.maximum(0, place - WINDOW), np.minimum(n, place + WINDOW + 1)
-
-    def share(values: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(values)])
-        return (total[hi] - total[lo]) / (hi - lo)
-
-    def perplexity() -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(nats)])
-        first, last = at[lo], at[hi - 1] + 1
-        return (total[last] - total[first]) / (last - first) / model.prose
-
-    bad = np.zeros(n, bool)
-    if _among("UH")[k].any():
-        bad |= (share(_among("U")[k]) >= 0.15) | (share(_among("H")[k]) >= 0.3)
-    function = share(_among("APCRVD")[k])
-    coded = (function <= 0.12) & (share(_among("K")[k]) >= 0.08) if _among("K")[k].any() else bad & False
-    tagged = (function <= 0.1) & (share(_among("wH")[k]) >= 0.7) if (function <= 0.1).any() else bad & False
-    content = _among("wBKHU")[k]
-    repeats = Counter(x for x, c in zip(names, content) if c)
-    keywords = bad & False
-    if repeats and max(repeats.values()) >= MIN_REPEATS:
-        often = np.array([c and repeats[x] >= MIN_REPEATS for x, c in zip(names, content)], float)
-        keywords = share(often) / np.maximum(share(content), 1e-9) >= 0.5
-    if coded.any() or tagged.any() or keywords.any():
-        ppl = perplexity()
-        bad |= (coded | tagged) & (ppl > UNUSUAL)
-        if keywords.any():
-            echo = _around(_echoes(names), ECHO_WINDOW)
-            bad |= keywords & (((function <= 0.27) & (ppl > UNUSUAL) & (echo >= 0.4)) | ((ppl > FOREIGN) & (echo >= 0.5)) | ((echo >= 0.8) & (function <= 0.35)))
-    return float((w * bad).sum() / w.sum()), float(np.exp(nats.mean())), int(w.sum())
+    def abnormal(self, ratio: np.ndarray) -> np.ndarray:
+        """Whether a perplexity, as a multiple of that of prose, is abnormally high or low."""
+        return (ratio > HIGH) | (ratio < LOW)
+
+
+def among(symbols: str, kinds: np.ndarray) -> np.ndarray:
+    return np.array([s in symbols for s in [*SYMBOLS, *" " * (N_SYMBOLS - len(SYMBOLS))]])[kinds]
+
+
+def judge(texts: Sequence[str], model: ClassModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(share of words in abnormal stuffed or listed stretches, class perplexity, words) of every text."""
+    b = Batch(texts)
+    nats = model.nats[b.trigrams()]
+    n = np.bincount(b.of, b.weight, b.n_texts)
+    tokens = np.bincount(b.text, minlength=b.n_texts)
+    perplexity = np.where(tokens > 0, np.exp(np.bincount(b.text, nats, b.n_texts) / np.maximum(1, tokens)), 0.0)
+    k = b.word_kind
+    total = np.concatenate([[0.0], np.cumsum(nats)])
+    lo, hi = b.around(WINDOW)
+    first, last = b.at[lo], b.at[hi - 1] + 1
+    odd = model.abnormal((total[last] - total[first]) / (last - first) / model.prose)
+    links = (b.share(among("U", k)) >= 0.15) | (b.share(among("H", k)) >= 0.3)
+    function = b.share(among("APCRVD", k))
+    rows = (function <= 0.12) & (b.share(among("K", k)) >= 0.08)
+    tags = (function <= 0.1) & (b.share(among("wrH", k)) >= 0.7)
+    content = among("wrBbKHU", k)
+    _, which, times = np.unique(b.key, return_inverse=True, return_counts=True)
+    often = content & (times[which] >= MIN_REPEATS)
+    keywords = (b.share(often) / np.maximum(b.share(content), 1e-9) >= 0.5) & (function <= 0.45) & (b.share(b.echo, ECHO_WINDOW) >= 0.4)
+    bad = odd & (links | rows | tags | keywords)
+    return np.bincount(b.of, b.weight * bad, b.n_texts) / np.maximum(1, n), perplexity, n.astype(np.int64)
 
 
 def class_model(documents: DataFrame) -> ClassModel:
-    """The model of all prose-like texts; at most N_SYMBOLS^3 counts reach the driver."""
+    """The model of the prose-like stretches of all texts; at most N_SYMBOLS^3 counts reach the driver."""
     texts = documents.select("text").where(F.col("text").isNotNull())
     counts = texts.mapInPandas(count_classes, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).toPandas()
     return ClassModel(counts["trigram"].to_numpy(), counts["n"].to_numpy())
@@ -229,9 +240,9 @@ def page_scores(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [judge(t, model.value) for t in batch["text"]]
-            share, perplexity, n = (list(x) for x in zip(*rows)) if rows else ([], [], [])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "share": share, "perplexity": perplexity, "n_words": n})
+            for at, held in slices(batch["text"]):
+                share, perplexity, n = judge(held, model.value)
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : at + len(held)].to_numpy(), "share": share, "perplexity": perplexity, "n_words": n})
 
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     return texts.mapInPandas(run, "doc_id long, share double, perplexity double, n_words long").where("n_words > 0")

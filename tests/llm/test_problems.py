@@ -435,6 +435,24 @@ def test_stuffed_pages_are_told_from_prose_lists_and_refrains(spark):
     assert spam.page_scores(df.limit(0)).count() == 0
 
 
+def test_nothing_is_found_where_no_stretch_is_abnormal(spark, monkeypatch):
+    pages = [(1, "lamp sale cheap lamp price sale lamp cheap price lamp sale price " * 12), (2, "https://a.example/x lamp " * 30), (3, "The mayor of the town was seen near the river, and it is still there. " * 20)]
+    df = spark.createDataFrame(pages, "doc_id long, text string")
+    assert {r["doc_id"] for r in spam.page_scores(df).where("share > 0.5").collect()} == {1, 2}
+    monkeypatch.setattr(spam.ClassModel, "abnormal", lambda self, ratio: ratio < 0)
+    model = spam.class_model(df)
+    assert not spam.judge([t for _, t in pages], model)[0].any()
+
+
+def test_texts_of_a_batch_do_not_touch():
+    m = spam.ClassModel(np.array([5, 70, 4000]), np.array([3, 1, 9]))
+    texts = ["", "one two", "   ", "lamp " * 40, "x", "The end of it.", "lamp " * 3]
+    whole = spam.judge(texts, m)
+    for i, t in enumerate(texts):
+        assert np.allclose([x[i] for x in whole], [x[0] for x in spam.judge([t], m)])
+    assert [(at, len(h)) for at, h in spam.slices(["ab", None, "c" * 9, "d"], 5)] == [(0, 3), (3, 1)] and list(spam.slices([])) == []
+
+
 def test_class_model_is_a_distribution():
     m = spam.ClassModel(np.array([5, 70, 4000]), np.array([3, 1, 9]))
     assert np.allclose(np.exp(-m.nats.reshape(spam.N_SYMBOLS, spam.N_SYMBOLS, -1)).sum(2), 1)
