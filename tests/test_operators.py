@@ -170,8 +170,21 @@ def test_verification_columns(spark):
 
 
 def test_holm_step_down(spark):
-    t = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "name string, p double")
-    assert {r["name"]: r["p_adjusted"] for r in significance.holm(t, "p", "name").collect()} == {"a": 0.03, "c": 0.06, "b": 0.06}
+    t = spark.createDataFrame([("a", 0.01, "m"), ("b", 0.04, "m"), ("c", 0.03, "m"), ("d", 0.04, "o")], "name string, p double, family string")
+    assert {r["name"]: r["p_adjusted"] for r in significance.holm(t, "p", "name", "family").collect()} == {"a": 0.03, "c": 0.06, "b": 0.06, "d": 0.04}
+
+
+def test_resampling_is_paired_weighted_and_null_safe(spark):
+    import numpy as np
+
+    w = significance.weights(np.arange(1, 400) * 7919, np.arange(1, 400) * 104729, 2000)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w)[np.triu_indices(399, 1)]).mean() < 0.03
+    df = spark.createDataFrame([(f"q{i}", float(i % 2), None if i == 3 else float(i % 2)) for i in range(60)], "question_id string, a double, b double")
+    cols = {"a": F.col("a"), "same": F.col("b") - F.col("a"), "none": F.lit(None).cast("double")}
+    got = {r["key"]: r for r in significance.paired_bootstrap(df, cols, 3000).collect()}
+    assert set(got) == {"a", "same"} and got["same"]["n"] == 59 and got["same"]["delta"] == 0 and got["same"]["p_value"] == 1.0
+    assert 0.35 < got["a"]["ci_low"] < 0.42 and 0.58 < got["a"]["ci_high"] < 0.65 and got["a"]["p_value"] < 0.01
+    assert significance.bootstrap_ci(df.limit(0), cols, 10).count() == 0
 
 
 def test_cost_per_query():
