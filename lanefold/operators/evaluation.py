@@ -36,8 +36,21 @@ TARGETS = [0.5, 0.6, 0.7, 0.8, 0.85, 0.95]
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation records, one per (question_id, row_name); only the columns that a query uses are read and moved."""
-    return load(spark, sf_dir, "agentic_ablation").dropDuplicates(["question_id", "row_name"])
+    """Evaluation records, one per (question_id, row_name): the one finished last.
+
+    Of records finished at the same time each column's greatest value holds. Only the columns that a query uses are read
+    and moved, as unused aggregates are pruned.
+    """
+    r = load(spark, sf_dir, "agentic_ablation")
+    keys = ["question_id", "row_name"]
+    last = lambda c: F.max(F.struct(F.col("finished_at"), F.col(c)))[c].alias(c)
+    return r.groupBy(*keys).agg(*[last(c) for c in r.columns if c not in (*keys, "finished_at")])
+
+
+def retrieved_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(question_id, titles): the distinct sources of each question's retrieval results, in byte order."""
+    r = load(spark, sf_dir, "retrieval_results").where(F.col("query_id").isNotNull() & F.col("source_doc").isNotNull())
+    return r.groupBy(F.col("query_id").alias("question_id")).agg(F.array_sort(F.collect_set("source_doc")).alias("titles"))
 
 
 def rate(c: Column, digits: int = 6) -> Column:
@@ -130,9 +143,12 @@ def by_key(key: str):
 def failure_bucket(present: Column | None = None) -> Column:
     """The bucket of a wrong answer; ``present`` tells whether the gold reached the model.
 
-    Without it, the strict signal counts where it is known, else recall above nothing.
+    Without it, the strict signal counts where it is known, else whether the titles of the retrieved sources (column
+    ``titles``) hold the gold answer.
     """
-    present = F.coalesce(gold_(), F.col("retrieval_recall") > 0, F.lit(False)) if present is None else present
+    gold = normalise_answer(F.col("gold_answer"))
+    held = (gold != "") & normalise_answer(F.array_join("titles", " ")).contains(gold) if present is None else None
+    present = F.coalesce(gold_(), held, F.lit(False)) if present is None else present
     pred = F.lower(strip(F.coalesce("predicted_answer", F.lit(""))))
     yes_no = lambda c: normalise_answer(F.col(c)).isin("yes", "no")
     return (
@@ -144,7 +160,9 @@ def failure_bucket(present: Column | None = None) -> Column:
     )
 
 
-_NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(§{c}§), '\b(a|an|the)\b', ' ', 'g'), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '\s+', ' ', 'g'))"""
+#: RE2 knows word boundaries in ASCII only, so articles are matched with their neighbours, twice for articles in a row.
+_ART = r"(^|[^\p{{L}}\p{{N}}_])(?:a|an|the)([^\p{{L}}\p{{N}}_]|$)"
+_NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(§{c}§), '""" + _ART + r"""', '\1 \2', 'g'), '""" + _ART + r"""', '\1 \2', 'g'), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '\s+', ' ', 'g'))"""
 
 
 def _norm(c: str) -> str:
@@ -156,13 +174,16 @@ def _any(c: str, phrases: list[str]) -> str:
 
 
 _PRED = "lower(§predicted_answer§)"
-_BUCKET = f"""CASE WHEN NOT coalesce(all_gold_retrieved, retrieval_recall > 0, FALSE) THEN 'a_retrieval_miss'
+_TITLES = _REC + ", ti AS (SELECT query_id AS question_id, list_sort(list_distinct(list(source_doc))) AS titles FROM retrieval_results WHERE query_id IS NOT NULL AND source_doc IS NOT NULL GROUP BY 1), wr AS (SELECT r.*, titles FROM r LEFT JOIN ti USING (question_id) WHERE NOT coalesce(exact_match, FALSE))"
+_BUCKET = f"""CASE WHEN NOT coalesce(all_gold_retrieved, {_norm('gold_answer')} <> '' AND contains({_norm("array_to_string(titles, ' ')")}, {_norm('gold_answer')}), FALSE) THEN 'a_retrieval_miss'
     WHEN {_PRED} = '' OR {_any(_PRED, ABSTENTION)} THEN 'd_abstention' WHEN coalesce(f1_score, 0) >= 0.5 THEN 'e_close_miss'
     WHEN ({_norm('gold_answer')} IN ('yes', 'no')) <> ({_norm('predicted_answer')} IN ('yes', 'no')) THEN 'c_format_mismatch' ELSE 'b_grounded_halluc' END"""
 
 
 def wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).where(~F.coalesce(em_(), F.lit(False)))
+    """The records without an exact match, with the titles of their question's retrieved sources."""
+    r = records(spark, sf_dir).where(~F.coalesce(em_(), F.lit(False)))
+    return r.join(retrieved_sources(spark, sf_dir), "question_id", "left")
 
 
 def a13_failure_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,11 +200,11 @@ def a17_bucket_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a15_halluc_subbucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a grounded hallucination names something of its own question (the entity at hand) or is free."""
+    """Whether a grounded hallucination stands in the title of a retrieved source (a wrong entity) or is free."""
     r = wrong(spark, sf_dir).where(failure_bucket() == "b_grounded_halluc")
-    p, q = normalise_answer(F.col("predicted_answer")), normalise_answer(F.col("question"))
-    sub = F.when((p != "") & q.contains(p), "b1_wrong_entity_in_titles").otherwise("b2_freegen_or_other")
-    return r.groupBy("row_name", sub.alias("sub_bucket")).agg(F.count(F.lit(1)).alias("n"))
+    p = normalise_answer(F.col("predicted_answer"))
+    titled = (p != "") & F.coalesce(F.exists("titles", lambda t: normalise_answer(t).contains(p)), F.lit(False))
+    return r.groupBy("row_name", F.when(titled, "b1_wrong_entity_in_titles").otherwise("b2_freegen_or_other").alias("sub_bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def a19_failure_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,13 +266,6 @@ def a22_planner_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("row_name", sides.alias("x")).groupBy("row_name", "x.field", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def latency_columns(c: str) -> list[Column]:
-    """Mean, median, the element at floor(0.95 (n - 1)), and the maximum."""
-    n = F.count(c)
-    p95 = F.element_at(F.array_sort(F.collect_list(c)), (F.floor(0.95 * (n - 1)) + 1).cast("int"))
-    return [n.alias("n_timed"), F.round(F.avg(c), 6).alias("mean_ms"), F.round(F.percentile(c, 0.5), 6).alias("median_ms"), F.round(p95, 6).alias("p95_ms"), F.round(F.max(c), 6).alias("max_ms")]
-
-
 def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per row_name the n of timed records and the wanted places, found by distributed numbering."""
     r = records(spark, sf_dir).where(F.col("time_ms").isNotNull() & ~F.isnan("time_ms")).select("row_name", "question_id", "time_ms")
@@ -331,6 +345,27 @@ def a29_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("row_name").agg(area(1).alias("auroc_em"), area(2).alias("auroc_soft"))
 
 
+def a30_trust_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row accuracy, the confidence distribution, calibration and ranking quality, all from the counts of each level."""
+    level = lambda x: F.coalesce(F.sum(F.when(F.col("level") == x, F.col("n"))), F.lit(0)).alias(f"n_{x}")
+    c = records(spark, sf_dir).groupBy("row_name", level_().alias("level")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(em_(), 1)).alias("em"), F.count(F.when(right_(), 1)).alias("soft"))
+    rank, proxy = (F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[F.col("level")] for m in (RANK, PROXY))
+    below = Window.partitionBy("row_name").orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
+    for k in ("em", "soft"):
+        c = c.withColumn(f"below_{k}", F.coalesce(F.sum(F.col("n") - F.col(k)).over(below), F.lit(0)))
+    gap = lambda k: F.round(F.sum(F.when(proxy.isNotNull(), F.abs(F.col(k) - F.col("n") * proxy))) / F.sum(F.when(proxy.isNotNull(), F.col("n"))), 6).alias(f"ece_{k}")
+    area = lambda k: F.round(F.sum(F.col(k) * (F.col(f"below_{k}") + 0.5 * (F.col("n") - F.col(k)))) / F.nullif(F.sum(k) * F.sum(F.col("n") - F.col(k)), F.lit(0)), 6).alias(f"auroc_{k}")
+    share = lambda k, name: F.round(F.sum(k) / F.sum("n"), 6).alias(name)
+    return c.groupBy("row_name").agg(F.sum("n").alias("n"), share("em", "em_rate"), share("soft", "soft_rate"), *map(level, RANK), gap("em"), gap("soft"), area("em"), area("soft"))
+
+
+def d13_llm_only_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row without retrieval, scored from its stored answers: accuracy, mean F1, error rate, by dataset."""
+    p, g = F.col("predicted_answer"), F.col("gold_answer")
+    r = records(spark, sf_dir).where(F.col("row_name") == ROWS[0])
+    return r.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), rate(exact_match(p, g)).alias("em"), F.round(F.avg(token_f1(p, g)), 6).alias("f1"), rate(F.lower(p).startswith("[error")).alias("error_rate"))
+
+
 def deferral_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per row, worst confidence first, then lower f1, then question_id; _place counts from 1."""
     order = F.create_map(F.lit("error"), F.lit(0), F.lit("low"), F.lit(1), F.lit("medium"), F.lit(2), F.lit("high"), F.lit(3))
@@ -439,8 +474,8 @@ def a46_coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         a02_config_summary, a04_marginal_utility, a13_failure_bucket, a15_halluc_subbucket, a16_bucket_histogram, a17_bucket_comparison, a19_failure_class, a20_transitions, a21_row_summary,
-        a22_planner_routing, a23_answer_flips, a24_latency_stats, a25_within_budget, a26_risk_coverage, a27_contingency, a28_calibration, a29_auroc, a31_deferral_order, a34_knee, a35_cost_targets,
-        a37_time_percentiles, a46_coverage_check, a47_batch_accuracy, a53_coverage_points, m02_answer_metrics, d01_dev_split, d02_split_check, d03_resume, d08_query_cache_keys,
+        a22_planner_routing, a23_answer_flips, a24_latency_stats, a25_within_budget, a26_risk_coverage, a27_contingency, a28_calibration, a29_auroc, a30_trust_bundle, a31_deferral_order, a34_knee, a35_cost_targets,
+        a37_time_percentiles, a46_coverage_check, a47_batch_accuracy, a53_coverage_points, m02_answer_metrics, d13_llm_only_row, d01_dev_split, d02_split_check, d03_resume, d08_query_cache_keys,
     )
 } | {"a05_row_aggregate": by_key("row_name"), "a06_dataset_aggregate": by_key("dataset"), "a10_type_aggregate": by_key("question_type"), "a32_deferral_sweep": sweep}
 
@@ -459,7 +494,19 @@ _CLASS = f"""CASE WHEN r.llm_error THEN 'llm_error' WHEN NOT coalesce(r.all_gold
     WHEN lower(§r.predicted_answer§) <> '' AND contains(lower(r.question), lower(§r.predicted_answer§)) AND lower(§r.predicted_answer§) <> lower(§r.gold_answer§) THEN 'bridge_confusion'
     WHEN b.exact_match THEN 'context_dilution' ELSE 'unclassified' END"""
 _AREA = "round(sum(p{i} * (coalesce(b{i}, 0) + 0.5::DOUBLE * n{i})) / nullif(sum(p{i}) * sum(n{i}), 0), 6) AS {name}"
+_WORDS = "list_filter(string_split({c}, ' '), lambda x: x <> '')"
+_MET = _REC + f""", z AS (SELECT *, {_norm('predicted_answer')} AS p, {_norm('gold_answer')} AS g FROM r), y AS (SELECT *, {_WORDS.format(c='p')} AS pw, {_WORDS.format(c='g')} AS gw FROM z),
+    x AS (SELECT *, list_sum(list_transform(list_distinct(pw), lambda w: least(len(list_filter(pw, lambda a: a = w)), len(list_filter(gw, lambda a: a = w))))) AS common FROM y),
+    m AS (SELECT *, g <> '' AND (p = g OR (contains(g, ' ') AND contains(' ' || p || ' ', ' ' || g || ' ')) OR (g IN ('yes', 'no') AND list_contains(pw[:5], g))) AS em0, CASE WHEN coalesce(common, 0) = 0 THEN 0 ELSE 2 * (common / len(pw)) * (common / len(gw)) / (common / len(pw) + common / len(gw)) END::DOUBLE AS f10 FROM x)"""
 ORACLE = {
+    "m02_answer_metrics": _MET + f""" SELECT question_id, row_name, p AS answer_norm, em0 AS em, round(f10, 6) AS f1, f10 >= 0.6 AS soft_em, CASE WHEN predicted_answer IS NULL OR gold_answer IS NULL THEN NULL ELSE lower(§predicted_answer§) = lower(§gold_answer§) END AS plain_em,
+        starts_with(lower(coalesce(predicted_answer, '')), '[error') OR contains(lower(coalesce(predicted_answer, '')), 'timed out') AS llm_error_text, {_LEVEL} AS level FROM m""",
+    "d13_llm_only_row": _MET + " SELECT dataset, count(*) AS n, round(avg(em0::INT), 6) AS em, round(avg(f10), 6) AS f1, round(avg(coalesce(starts_with(lower(predicted_answer), '[error'), FALSE)::INT), 6) AS error_rate FROM m WHERE row_name = 'row1_llm_only' GROUP BY 1",
+    "a30_trust_bundle": _LV + """, c AS (SELECT row_name, level, count(*) AS n, count(*) FILTER (exact_match) AS em, count(*) FILTER (soft) AS soft, CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS rk, CASE level WHEN 'high' THEN 0.9 WHEN 'medium' THEN 0.7 WHEN 'low' THEN 0.3 END::DOUBLE AS px FROM l GROUP BY 1, 2),
+        b AS (SELECT *, coalesce(sum(n - em) OVER w, 0) AS be, coalesce(sum(n - soft) OVER w, 0) AS bs FROM c WINDOW w AS (PARTITION BY row_name ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT row_name, sum(n)::BIGINT AS n, round(sum(em) / sum(n), 6) AS em_rate, round(sum(soft) / sum(n), 6) AS soft_rate, coalesce(sum(n) FILTER (level = 'high'), 0)::BIGINT AS n_high, coalesce(sum(n) FILTER (level = 'medium'), 0)::BIGINT AS n_medium, coalesce(sum(n) FILTER (level = 'low'), 0)::BIGINT AS n_low, coalesce(sum(n) FILTER (level = 'error'), 0)::BIGINT AS n_error,
+            round(sum(abs(em - n * px)) / sum(n) FILTER (px IS NOT NULL), 6) AS ece_em, round(sum(abs(soft - n * px)) / sum(n) FILTER (px IS NOT NULL), 6) AS ece_soft,
+            round(sum(em * (be + 0.5::DOUBLE * (n - em))) / nullif(sum(em) * sum(n - em), 0), 6) AS auroc_em, round(sum(soft * (bs + 0.5::DOUBLE * (n - soft))) / nullif(sum(soft) * sum(n - soft), 0), 6) AS auroc_soft FROM b GROUP BY 1""",
     "a02_config_summary": _REC + f" SELECT dataset, row_name, question_type, grouping(question_type)::INT AS all_types, {_OUT} FROM r GROUP BY GROUPING SETS ((dataset, row_name), (dataset, row_name, question_type))",
     "a04_marginal_utility": _REC + """, p AS (SELECT dataset, row_name, avg(f1_score) AS f1, avg(coalesce(time_ms, 0)) AS ms FROM r GROUP BY 1, 2),
         d AS (SELECT *, f1 - first_value(f1) OVER w AS df, (ms - first_value(ms) OVER w) / 1000 AS ds, row_number() OVER w AS i FROM p WINDOW w AS (PARTITION BY dataset ORDER BY row_name))
@@ -467,10 +514,10 @@ ORACLE = {
     "a05_row_aggregate": _REC + f" SELECT row_name, {_OUT} FROM r GROUP BY 1",
     "a06_dataset_aggregate": _REC + f" SELECT dataset, {_OUT} FROM r GROUP BY 1",
     "a10_type_aggregate": _REC + f" SELECT question_type, {_OUT} FROM r GROUP BY 1",
-    "a13_failure_bucket": _REC + f" SELECT question_id, row_name, {_BUCKET} AS bucket FROM r WHERE NOT coalesce(exact_match, FALSE)",
-    "a15_halluc_subbucket": _REC + f" SELECT row_name, CASE WHEN {_norm('predicted_answer')} <> '' AND contains({_norm('question')}, {_norm('predicted_answer')}) THEN 'b1_wrong_entity_in_titles' ELSE 'b2_freegen_or_other' END AS sub_bucket, count(*) AS n FROM r WHERE NOT coalesce(exact_match, FALSE) AND {_BUCKET} = 'b_grounded_halluc' GROUP BY 1, 2",
-    "a16_bucket_histogram": _REC + f" SELECT row_name, {_BUCKET} AS bucket, count(*) AS n FROM r WHERE NOT coalesce(exact_match, FALSE) GROUP BY 1, 2",
-    "a17_bucket_comparison": _REC + f" SELECT {_BUCKET} AS bucket, " + ", ".join(f"count(*) FILTER (row_name = '{x}') AS {x}" for x in ROWS) + " FROM r WHERE NOT coalesce(exact_match, FALSE) GROUP BY 1",
+    "a13_failure_bucket": _TITLES + f" SELECT question_id, row_name, {_BUCKET} AS bucket FROM wr",
+    "a15_halluc_subbucket": _TITLES + f" SELECT row_name, CASE WHEN {_norm('predicted_answer')} <> '' AND len(list_filter(coalesce(titles, []), lambda t: contains({_norm('t')}, {_norm('predicted_answer')}))) > 0 THEN 'b1_wrong_entity_in_titles' ELSE 'b2_freegen_or_other' END AS sub_bucket, count(*) AS n FROM wr WHERE {_BUCKET} = 'b_grounded_halluc' GROUP BY 1, 2",
+    "a16_bucket_histogram": _TITLES + f" SELECT row_name, {_BUCKET} AS bucket, count(*) AS n FROM wr GROUP BY 1, 2",
+    "a17_bucket_comparison": _TITLES + f" SELECT {_BUCKET} AS bucket, " + ", ".join(f"count(*) FILTER (row_name = '{x}') AS {x}" for x in ROWS) + " FROM wr GROUP BY 1",
     "a19_failure_class": _REC + f" SELECT r.row_name, {_CLASS} AS class, count(*) AS n FROM r LEFT JOIN (SELECT question_id, exact_match FROM r WHERE row_name = 'row2_navigator') b USING (question_id) WHERE NOT r.exact_match GROUP BY 1, 2",
     "a20_transitions": _PAIR + " SELECT row_a, row_b, CASE WHEN em_a AND em_b THEN 'stayed_correct' WHEN NOT em_a AND NOT em_b THEN 'stayed_wrong' WHEN NOT em_a AND em_b THEN 'gained' ELSE 'lost' END AS transition, count(*) AS n FROM p GROUP BY 1, 2, 3",
     "a21_row_summary": _REC + """ SELECT row_name, count(*) AS n, round(avg(exact_match::INT), 6) AS em, round(avg(coalesce(all_gold_retrieved, FALSE)::INT), 6) AS sf_recall,
