@@ -56,16 +56,16 @@ def token_f1(prediction: Column, gold: Column) -> Column:
     return F.when((F.size(p) == 0) | (F.size(g) == 0) | (common == 0), F.lit(0.0)).otherwise(2 * precision * recall / (precision + recall))
 
 
-def norm_title(c: Column) -> Column:
-    """Without a leading dataset prefix, lower-cased and trimmed."""
-    return F.lower(F.trim(F.regexp_replace(c, r"^[^ _]+_(?=.)", "")))
-
-
 def collapse(c: Column) -> Column:
     """Blanks collapsed, trimmed, lower-cased."""
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
+def norm_title(c: Column) -> Column:
+    """Lower-cased, without a leading dataset prefix (letters up to the first underscore, without a blank), blanks collapsed."""
+    return collapse(F.regexp_replace(F.lower(F.trim(c)), r"^[^ _]+_(?=.)", ""))
+
+
 def confidence_level(c: Column) -> Column:
     """High, medium or low as they are, anything else is error."""
     level = F.lower(strip(F.coalesce(c, F.lit(""))))

@@ -10,47 +10,64 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lanefold.functions.metrics import dcg_at, ndcg_at, recall_at, reciprocal_rank
-from lanefold.functions.text import LEXICAL_STOPS, lexical_tokens
+from lanefold.functions.metrics import dcg_at, ndcg_at, norm_title, recall_at, reciprocal_rank
+from lanefold.functions.text import LEXICAL, LEXICAL_STOPS, lexical_tokens, strip, strip_sql
+from lanefold.operators.skew import attach, numbered
 from lanefold.sources.shared import load, materialise
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.25
 RRF_K, BOOST, TOP_K = 60, 1.2, 20
 LANES = ("vector", "graph", "bm25")
 QUERY_BLOCK = 4096
+PART_POSTINGS = 50_000
 
 
 # --- lexical lane ---------------------------------------------------------------------------------------------------
 
 
-def corpus_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, tokens) of every document with a text."""
-    return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), lexical_tokens(F.col(text_col)).alias("tokens"))
+def tokens_of(rows: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """(name, term): every lexical token of every text; stop words are dropped behind the explode, inside generated code."""
+    found = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"({LEXICAL})"), F.lit(1))
+    return rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias(name), F.explode(found).alias("term")).where(~F.col("term").isin(LEXICAL_STOPS))
 
 
-def bm25_index(terms: DataFrame) -> DataFrame:
-    """(term, df, idf) of a corpus of (doc, tokens); negative idf becomes a quarter of the mean idf."""
-    n = terms.agg(F.count(F.lit(1)).alias("n"))
-    df = terms.select("doc", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, term, tf) of a corpus."""
+    return tokens_of(docs, id_col, text_col, "doc").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bm25_index(post: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """(term, df, idf) of postings and a one-row table (n); negative idf becomes a quarter of the mean idf."""
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.crossJoin(F.broadcast(n_docs)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, IDF_FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, qid: str, qtext: str, did: str, dtext: str, k: int = TOP_K) -> DataFrame:
+def texts_counted(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.where(F.col(text_col).isNotNull()).agg(F.count(F.lit(1)).alias("n"))
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, qid: str, qtext: str, did: str, dtext: str, k: int = TOP_K, post: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank), scores divided by the query's best, positive ones only.
 
-    Only postings of terms that a query holds are counted and moved; documents enter as (doc, length). Ties by doc id on
-    the rounded score. Null texts match nothing; repeated query terms count repeatedly.
+    Only postings of terms that a query holds are moved. A term's postings are dealt to one part per PART_POSTINGS of
+    them and its queries copied to these parts, so no task holds all documents of a frequent term. Ties by doc id on the
+    rounded score. Null texts match nothing; repeated query terms count repeatedly. ``post`` may hold the postings.
     """
-    q = queries.where(F.col(qtext).isNotNull()).select(F.col(qid).alias("query_id"), F.explode(lexical_tokens(F.col(qtext))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    terms = materialise(corpus_terms(docs, did, dtext), "bm25-docs")
-    idf = bm25_index(terms)
-    stats = terms.agg(F.avg(F.size("tokens")).alias("avgdl"))
+    q = tokens_of(queries, qid, qtext, "query_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    post = materialise(postings(docs, did, dtext), "postings") if post is None else post
+    n_docs = texts_counted(docs, dtext)
     wanted = q.select("term").distinct()
-    post = terms.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    held = materialise(bm25_index(post, n_docs).join(wanted, "term", "left_semi").withColumn("parts", F.ceil(F.col("df") / PART_POSTINGS).cast("int")), "query-terms")
+    lengths = post.groupBy("doc").agg(F.sum("tf").alias("dl"))
+    stats = lengths.agg(F.sum("dl").alias("total")).crossJoin(n_docs).select((F.col("total") / F.col("n")).alias("avgdl"))
+    total = held.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    hits = attach(post, held, "term", "df", total).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).join(lengths, "doc")
+    asked = q.join(held.select("term", "parts"), "term").select("query_id", "term", "times", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = q.join(idf, "term").join(post, "term").crossJoin(F.broadcast(stats)).groupBy("query_id", F.col("doc").alias("doc_id")).agg(F.sum(weight).alias("raw"))
+    scored = asked.join(hits, ["term", "part"]).crossJoin(F.broadcast(stats)).groupBy("query_id", F.col("doc").alias("doc_id")).agg(F.sum(weight).alias("raw"))
+    scored = materialise(scored, "lexical-scores")
     best = scored.groupBy("query_id").agg(F.max("raw").alias("best"))
     score = F.round(F.col("raw") / F.col("best"), 6)
     ranked = scored.join(best, "query_id").where((F.col("raw") > 0)).select("query_id", "doc_id", score.alias("score"))
@@ -67,25 +84,35 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.where(norm == 0, 1, norm)
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, qid: str, did: str, vec: str, k: int = TOP_K, threshold: float = 0.0) -> DataFrame:
-    """Exact (query_id, doc_id, similarity, rank), similarity = cosine clamped to [0, 1], at least threshold.
+def dense_topk(queries: DataFrame, corpus: DataFrame, qid: str, did: str, vec: str, k: int = TOP_K, threshold: float = 0.0, metric: str = "cosine") -> DataFrame:
+    """Exact (query_id, doc_id, similarity, rank), of at least threshold.
 
-    Queries are sent in blocks of QUERY_BLOCK (R13: bounded by the block, not the table); each task keeps the best k of
-    its rows per query before anything is shuffled. Null vectors take no part; ties by doc id on the rounded similarity.
+    The similarity is the cosine clamped to [0, 1], or 1 / (1 + distance) with the metric "l2". Queries are numbered by the
+    tasks and sent in blocks of QUERY_BLOCK (R13: bounded by the block, not the table); each task keeps the best k of its
+    rows per query before anything is shuffled. Null vectors take no part; ties by doc id on the rounded similarity.
     """
     spark = corpus.sparkSession
-    ids = [r[0] for r in queries.where(F.col(vec).isNotNull()).select(qid).distinct().orderBy(qid).collect()]
+    asked = queries.where(F.col(vec).isNotNull()).select(F.col(qid).alias("_q"), F.col(vec).alias("_v"), F.lit(1).alias("_one"))
+    asked = numbered(asked, ["_one"], {"_o": F.col("_q")})
+    asked = materialise(asked.select("_q", "_v", F.floor((F.col("_place") - 1) / QUERY_BLOCK).alias("block")), "query-blocks")
+    last = asked.agg(F.max("block")).first()[0]
     found = None
-    for lo in range(0, len(ids), QUERY_BLOCK):
-        block = queries.where(F.col(qid).between(ids[lo], ids[min(len(ids), lo + QUERY_BLOCK) - 1]) & F.col(vec).isNotNull()).select(qid, vec).toPandas()
-        held = spark.sparkContext.broadcast((block[qid].to_numpy(), unit(np.array(block[vec].tolist(), np.float64))))
+    for at in range(0 if last is None else last + 1):
+        block = asked.where(F.col("block") == at).toPandas()
+        held = spark.sparkContext.broadcast((block["_q"].to_numpy(), np.array(block["_v"].tolist(), np.float64)))
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             names, q = held.value
+            u = unit(q)
             for b in batches:
                 if not len(b):
                     continue
-                sims = np.round(np.clip(q @ unit(np.array(b[vec].tolist(), np.float64)).T, 0, 1), 6)
+                x = np.array(b[vec].tolist(), np.float64)
+                if metric == "l2":
+                    apart = np.maximum(0, (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T)
+                    sims = np.round(1 / (1 + np.sqrt(apart)), 6)
+                else:
+                    sims = np.round(np.clip(u @ unit(x).T, 0, 1), 6)
                 docs = b[did].to_numpy()
                 order = np.lexsort((np.broadcast_to(docs, sims.shape), -sims), axis=1)[:, :k]
                 i = np.repeat(np.arange(len(q)), order.shape[1])
@@ -219,13 +246,16 @@ def a52_source_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a07_lane_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per lane, queries served, mean list length and mean overlap with the fused ten best."""
+    """Per lane, queries served, mean list length, mean overlap with the fused ten best, and mean supporting-fact metrics."""
     r = lanes(spark, sf_dir)
     best = r08_rrf_fusion(spark, sf_dir).where("rank <= 10").select("query_id", "chunk_id", F.lit(1).alias("hit"))
     sides = F.explode(F.array(*[F.struct(F.lit(lane).alias("lane"), F.col(f"{lane}_rank").alias("lane_rank")) for lane in LANES]))
     rows = r.select("query_id", "chunk_id", sides.alias("x")).select("query_id", "chunk_id", "x.*").where(F.col("lane_rank").isNotNull()).join(best, ["query_id", "chunk_id"], "left")
     per = rows.groupBy("lane", "query_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
-    return per.groupBy("lane").agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("n"), 6).alias("mean_length"), F.round(F.avg(F.col("hits") / 10), 6).alias("recall_of_fused_10"))
+    served = per.groupBy("lane").agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("n"), 6).alias("mean_length"), F.round(F.avg(F.col("hits") / 10), 6).alias("recall_of_fused_10"))
+    lists = r.select("query_id", "source_doc", sides.alias("x")).where(F.col("x.lane_rank").isNotNull()).select("query_id", "source_doc", F.col("x.lane").alias("lane"))
+    sf = supporting_metrics(titled(lists, ["lane", "query_id"]), gold_titles(spark, sf_dir), ["lane", "query_id"])
+    return served.join(sf.groupBy("lane").agg(*[F.round(F.avg(c), 5).alias(f"sf_{c}") for c in ("precision", "recall", "f1")]), "lane", "left")
 
 
 def d16_lane_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +272,8 @@ def r05_lexical_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r06_term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25_index(corpus_terms(load(spark, sf_dir, "documents"), "doc_id", "text")).withColumn("idf", F.round("idf", 6))
+    d = load(spark, sf_dir, "documents")
+    return bm25_index(postings(d, "doc_id", "text"), texts_counted(d, "text")).withColumn("idf", F.round("idf", 6))
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,6 +286,12 @@ def r01_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_topk(e.where(F.col("vec_id") % 100 == 0), e, "vec_id", "vec_id", "embedding")
 
 
+def r02_l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R02 with the Euclidean metric, over the same queries."""
+    e = load(spark, sf_dir, "embeddings")
+    return dense_topk(e.where(F.col("vec_id") % 100 == 0), e, "vec_id", "vec_id", "embedding", metric="l2")
+
+
 def r03_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared norm of every usable chunk vector before and after normalisation, zero rows guarded."""
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -264,21 +301,71 @@ def r03_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", F.round(norm, 3).alias("norm"), F.round(after, 6).alias("norm_after"))
 
 
-def gold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id): documents that contain an item's text as it stands. The items are a bounded set (broadcast)."""
-    items = load(spark, sf_dir, "eval_items").where(F.length("text") > 0).select("item_id", F.col("text").alias("passage"))
-    docs = load(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
-    return docs.join(F.broadcast(items), F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+def gold_documents(spark: SparkSession, sf_dir: str, post: DataFrame) -> DataFrame:
+    """(item_id, doc_id): documents that contain an item's text, whatever its case.
+
+    A document that contains the text has all of its inner tokens, so candidates are the postings of the inner token with
+    the fewest documents; these are then compared in full. Items without three tokens have no gold.
+    """
+    items = load(spark, sf_dir, "eval_items").where(F.length("text") > 0).select("item_id", F.lower("text").alias("passage"))
+    t = lexical_tokens(F.col("passage"))
+    whole = F.regexp_extract_all("passage", F.lit(f"({LEXICAL})"), F.lit(1))
+    inner = items.where(F.size(whole) >= 3).select("item_id", "passage", F.explode(F.filter(F.array_distinct(F.slice(whole, 2, F.size(whole) - 2)), lambda x: ~x.isin(LEXICAL_STOPS))).alias("term"))
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = inner.join(df, "term").groupBy("item_id", "passage").agg(F.min(F.struct("df", "term"))["term"].alias("term"))
+    docs = load(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", F.lower("text").alias("low"))
+    near = rarest.join(post.select(F.col("doc").alias("doc_id"), "term"), "term").select("item_id", "passage", "doc_id")
+    return near.join(docs, "doc_id").where(F.col("low").contains(F.col("passage"))).select("item_id", "doc_id").distinct()
 
 
 def a51_answer_bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold_documents(spark, sf_dir)
+    """The chunks among each question's results whose text holds the gold answer, whatever its case."""
+    gold = load(spark, sf_dir, "agentic_ablation").groupBy(F.col("question_id").alias("query_id")).agg(F.max("gold_answer").alias("gold"))
+    texts = load(spark, sf_dir, "chunk_extractions").groupBy("chunk_id").agg(F.lower(F.max("text")).alias("low"))
+    rows = lanes(spark, sf_dir).select("query_id", "chunk_id").join(gold.where(F.length(strip(F.col("gold"))) > 0), "query_id").join(texts, "chunk_id")
+    return rows.where(F.col("low").contains(F.lower(strip(F.col("gold"))))).select("query_id", "chunk_id")
+
+
+def gold_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, title): normalised titles of the sources that support a question's gold answer, once each.
+
+    The tables list no supporting facts; the sources of the answer-bearing chunks that any lane returned stand for them.
+    """
+    sources = lanes(spark, sf_dir).select("query_id", "chunk_id", "source_doc")
+    return titled(a51_answer_bearing(spark, sf_dir).join(sources, ["query_id", "chunk_id"]), ["query_id"])
+
+
+def titled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct normalised titles of each list's sources."""
+    return rows.where(F.col("source_doc").isNotNull()).select(*keys, norm_title(F.col("source_doc")).alias("title")).where(F.col("title") != "").distinct()
+
+
+def supporting_metrics(found: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys, n_gold, n_retrieved, precision, recall, f1, all_gold, for every list whose question has gold titles."""
+    wanted = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
+    hits = found.join(gold.withColumn("hit", F.lit(1)), ["query_id", "title"], "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_retrieved"), F.count("hit").alias("n_hits"))
+    m = hits.join(wanted, "query_id")
+    p, r = F.col("n_hits") / F.col("n_retrieved"), F.col("n_hits") / F.col("n_gold")
+    f1 = F.when(F.col("n_hits") > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    return m.select(*keys, "n_gold", "n_retrieved", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1"), (F.col("n_hits") == F.col("n_gold")).alias("all_gold"))
+
+
+def m04_gold_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gold_titles(spark, sf_dir)
+
+
+def m07_supporting_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M06, M07 over the fused list of every question."""
+    return supporting_metrics(titled(r08_rrf_fusion(spark, sf_dir), ["query_id"]), gold_titles(spark, sf_dir), ["query_id"])
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, ranked (documents of the lexical lane in order), gold; judged items only."""
-    ranked = bm25(spark, sf_dir).groupBy(F.col("query_id").alias("item_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ranked"))
-    gold = gold_documents(spark, sf_dir).groupBy("item_id").agg(F.collect_set("doc_id").alias("gold"))
+    docs = load(spark, sf_dir, "documents")
+    post = materialise(postings(docs, "doc_id", "text"), "postings")
+    lane = bm25_topk(load(spark, sf_dir, "eval_items"), docs, "item_id", "text", "doc_id", "text", post=post)
+    ranked = lane.groupBy(F.col("query_id").alias("item_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ranked"))
+    gold = gold_documents(spark, sf_dir, post).groupBy("item_id").agg(F.collect_set("doc_id").alias("gold"))
     return gold.join(ranked, "item_id", "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<bigint>")))
 
 
@@ -301,8 +388,8 @@ def s20_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    r01_dense_topk, r03_normalised, r05_lexical_tokens, r06_term_index, r08_rrf_fusion, r09_fingerprint_dedup, r11_dense_only, r12_graph_only, r15_lane_presets, f02_subquery_fusion,
-    a01_ir_metrics, a07_lane_summary, a09_boost_sweep, a11_graph_rescued, a12_rescue_by_type, a50_crowd_out, a51_answer_bearing, a52_source_ranks, d16_lane_contrast, m09_ranking_metrics, s20_source_rows,
+    r01_dense_topk, r02_l2_topk, r03_normalised, r05_lexical_tokens, r06_term_index, r08_rrf_fusion, r09_fingerprint_dedup, r11_dense_only, r12_graph_only, r15_lane_presets, f02_subquery_fusion,
+    a01_ir_metrics, a07_lane_summary, a09_boost_sweep, a11_graph_rescued, a12_rescue_by_type, a50_crowd_out, a51_answer_bearing, a52_source_ranks, d16_lane_contrast, m04_gold_titles, m07_supporting_facts, m09_ranking_metrics, s20_source_rows,
 )} | {"r07_bm25_topk": bm25}
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in LEXICAL_STOPS) + "]"
@@ -315,7 +402,19 @@ _BM = _IDX + f""", q AS (SELECT item_id, term, count(*) AS times FROM (SELECT it
     s AS (SELECT item_id AS query_id, doc_id, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25 + 0.75::DOUBLE * dl / avgdl))) AS raw FROM q JOIN i USING (term) JOIN tf USING (term), n GROUP BY 1, 2),
     x AS (SELECT query_id, doc_id, raw, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM s),
     b AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE raw > 0 QUALIFY rank <= 20)"""
-_GOLD = "SELECT item_id, doc_id FROM eval_items e JOIN documents d ON contains(d.text, e.text) WHERE length(e.text) > 0"
+_TITLE = "trim(regexp_replace(regexp_replace(lower(trim({c})), '^[^ _]+_(.)', '\\1'), '\\s+', ' ', 'g'))"
+_BEAR = f"""gq AS (SELECT question_id AS query_id, max(gold_answer) AS gold FROM agentic_ablation GROUP BY 1), gx AS (SELECT chunk_id, lower(max(text)) AS low FROM chunk_extractions GROUP BY 1),
+    ab AS (SELECT query_id, chunk_id, source_doc FROM r JOIN gq USING (query_id) JOIN gx USING (chunk_id) WHERE {strip_sql('gold')} <> '' AND contains(low, lower({strip_sql('gold')})))"""
+_SF = f", {_BEAR}, gt AS (SELECT DISTINCT query_id, title FROM (SELECT query_id, {_TITLE.format(c='source_doc')} AS title FROM ab WHERE source_doc IS NOT NULL) WHERE title <> ''), gn AS (SELECT query_id, count(*) AS n_gold FROM gt GROUP BY 1)"
+
+
+def _sf_sql(rows: str, keys: str) -> str:
+    """CTE sm: supporting-fact metrics of the lists in ``rows`` by ``keys``."""
+    return f""", tl AS (SELECT DISTINCT {keys}, {_TITLE.format(c='source_doc')} AS title FROM ({rows}) WHERE source_doc IS NOT NULL), th AS (SELECT {keys}, count(*) AS n_retrieved, count(gt.title) AS h FROM tl LEFT JOIN gt USING (query_id, title) WHERE tl.title <> '' GROUP BY ALL),
+    sm AS (SELECT {keys}, n_gold, n_retrieved, round(h / n_retrieved, 6) AS precision, round(h / n_gold, 6) AS recall, round(CASE WHEN h > 0 THEN 2 * (h / n_retrieved) * (h / n_gold) / (h / n_retrieved + h / n_gold) ELSE 0 END::DOUBLE, 6) AS f1, h = n_gold AS all_gold FROM th JOIN gn USING (query_id))"""
+
+
+_GOLD = "SELECT DISTINCT item_id, doc_id FROM eval_items e JOIN documents d ON contains(lower(d.text), lower(e.text)) WHERE len(regexp_extract_all(lower(e.text), '[a-z0-9]+(?:[''’][a-z]+)?')) >= 3"
 _JUDGE = _BM + f""", gold AS ({_GOLD}), g AS (SELECT item_id, list(DISTINCT doc_id) AS gold FROM gold GROUP BY 1), r AS (SELECT query_id AS item_id, list(doc_id ORDER BY rank) AS ranked FROM b GROUP BY 1),
     j AS (SELECT item_id, gold, coalesce(ranked, []) AS ranked FROM g LEFT JOIN r USING (item_id)),
     h AS (SELECT item_id, gold, unnest(range(1, 21)) AS i, ranked FROM j), v AS (SELECT item_id, i, gold, coalesce(list_contains(gold, ranked[i]), FALSE)::INT AS hit FROM h),
@@ -361,14 +460,18 @@ ORACLE = {
     "m09_ranking_metrics": _JUDGE + " SELECT item_id, round(recall_10, 6) AS recall_10, round(dcg_10, 6) AS dcg_10, round(ndcg_10, 6) AS ndcg_10, round(rr, 6) AS rr FROM m",
     "a07_lane_summary": _ALL + """, u AS (SELECT query_id, chunk_id, 'vector' AS lane FROM r WHERE vector_rank IS NOT NULL UNION ALL SELECT query_id, chunk_id, 'graph' FROM r WHERE graph_rank IS NOT NULL UNION ALL SELECT query_id, chunk_id, 'bm25' FROM r WHERE bm25_rank IS NOT NULL),
         p AS (SELECT lane, u.query_id, count(*) AS n, count(t.rank) AS hits FROM u LEFT JOIN (SELECT query_id, chunk_id, rank FROM t WHERE rank <= 10) t ON t.query_id = u.query_id AND t.chunk_id = u.chunk_id GROUP BY 1, 2)
-        SELECT lane, count(*) AS n_queries, round(avg(n), 6) AS mean_length, round(avg(hits / 10), 6) AS recall_of_fused_10 FROM p GROUP BY 1""",
+        """.rstrip() + _SF + _sf_sql("SELECT lane, query_id, source_doc FROM u JOIN r USING (query_id, chunk_id)", "lane, query_id") + """, y AS (SELECT lane, round(avg(precision), 5) AS sf_precision, round(avg(recall), 5) AS sf_recall, round(avg(f1), 5) AS sf_f1 FROM sm GROUP BY 1)
+        SELECT p.lane, count(*) AS n_queries, round(avg(n), 6) AS mean_length, round(avg(hits / 10), 6) AS recall_of_fused_10, any_value(sf_precision) AS sf_precision, any_value(sf_recall) AS sf_recall, any_value(sf_f1) AS sf_f1 FROM p LEFT JOIN y USING (lane) GROUP BY 1""",
+    "m04_gold_titles": _L + _SF + " SELECT * FROM gt",
+    "m07_supporting_facts": _ALL + _SF + _sf_sql("SELECT query_id, source_doc FROM t WHERE rank <= 20", "query_id") + " SELECT * FROM sm",
+    "r02_l2_topk": "WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(1 / (1 + list_distance(q.embedding::DOUBLE[], d.embedding::DOUBLE[])), 6) AS similarity FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0) SELECT query_id, doc_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM s QUALIFY rank <= 20",
     "a09_boost_sweep": _L + _rrf_sql(_cells({"h": (1.0, 1.0, 1.0)}, (1.0, 1.1, 1.2, 1.5, 2.0))) + " SELECT beta, count(*) AS n_queries, round(avg((method = 'hybrid')::INT), 6) AS hybrid_first, round(avg(rrf), 6) AS mean_rrf FROM t WHERE rank = 1 GROUP BY 1",
     "a11_graph_rescued": _L + ", s AS (SELECT query_id, source_doc, bool_or(graph_rank IS NOT NULL) AS g, bool_or(vector_rank IS NOT NULL OR bm25_rank IS NOT NULL) AS o FROM r WHERE source_doc IS NOT NULL GROUP BY 1, 2) SELECT query_id, source_doc FROM s WHERE g AND NOT o",
     "a12_rescue_by_type": _L + """, s AS (SELECT query_id, source_doc, bool_or(graph_rank IS NOT NULL) AS g, bool_or(vector_rank IS NOT NULL OR bm25_rank IS NOT NULL) AS o FROM r WHERE source_doc IS NOT NULL GROUP BY 1, 2),
         k AS (SELECT query_id, count(*) AS n FROM s WHERE g AND NOT o GROUP BY 1), q AS (SELECT DISTINCT query_id FROM r), ty AS (SELECT question_id AS query_id, max(question_type) AS question_type FROM agentic_ablation GROUP BY 1)
         SELECT question_type, count(*) AS n_queries, count(n) AS n_rescued, round(count(n) / count(*), 6) AS rescue_rate, coalesce(sum(n), 0)::BIGINT AS n_sources FROM q LEFT JOIN ty USING (query_id) LEFT JOIN k USING (query_id) GROUP BY 1""",
     "a50_crowd_out": _L + " SELECT query_id, source_doc, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY query_id), 6) AS share FROM r GROUP BY 1, 2",
-    "a51_answer_bearing": _GOLD,
+    "a51_answer_bearing": _L + ", " + _BEAR + " SELECT query_id, chunk_id FROM ab",
     "a52_source_ranks": _L + " SELECT query_id, source_doc, min(vector_rank)::DOUBLE AS vector_rank, min(graph_rank)::DOUBLE AS graph_rank, min(bm25_rank)::DOUBLE AS bm25_rank FROM r GROUP BY 1, 2",
     "d16_lane_contrast": _L + _rrf_sql(_cells({"with": (1.0, 1.0, 1.0), "without": (1.0, 0.0, 1.0)})) + ", k AS (SELECT query_id, source_doc, bool_or(preset = 'with') AS w, bool_or(preset = 'without') AS o FROM t WHERE rank <= 10 GROUP BY 1, 2) SELECT query_id, source_doc, CASE WHEN w THEN 'gained' ELSE 'lost' END AS change FROM k WHERE w <> o",
     "s20_source_rows": "SELECT source_file, count(DISTINCT chunk_id) AS n_chunks, min(chunk_id) AS first_chunk, max(chunk_id) AS last_chunk FROM chunk_extractions GROUP BY 1",
