@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lanefold.functions.text import canonical_form, canonical_sql, strip, strip_sql
-from lanefold.operators.skew import numbered
+from lanefold.functions.text import canonical_form, canonical_sql, short_hash, strip, strip_sql
+from lanefold.operators.skew import attach_counted, numbered
 from lanefold.sources.shared import load, materialise
 
 #: Hub cap at retrieval, minimum confidence and entities a chunk of co-occurrence, hub rule of cleanup,
@@ -48,7 +48,13 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct chunk to entity edges whose entity is a node."""
     m = load(spark, sf_dir, "mentions").where(F.col("chunk_id").isNotNull() & F.col("entity_id").isNotNull()).select("chunk_id", "entity_id").distinct()
-    return m.join(entities(spark, sf_dir).select("entity_id"), "entity_id", "left_semi").select("chunk_id", "entity_id")
+    return attach_counted(m, entities(spark, sf_dir).select("entity_id"), "entity_id").select("chunk_id", "entity_id")
+
+
+def mention_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_id, n): distinct mention edges of every node that has any; counted before nodes are looked up, so nothing is hot."""
+    m = load(spark, sf_dir, "mentions").where(F.col("chunk_id").isNotNull() & F.col("entity_id").isNotNull()).select("chunk_id", "entity_id").distinct()
+    return m.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).join(entities(spark, sf_dir).select("entity_id"), "entity_id", "left_semi")
 
 
 def chunk_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,12 +144,12 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "entity_id", "left_anti")
 
 
-def keepers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def keepers(nodes: DataFrame, degree: DataFrame) -> DataFrame:
     """(entity_id, keeper, size) of nodes that share canonical form and type with others.
 
-    The keeper has most mentions, then the shortest name, then the smallest id; it is found by aggregation.
+    The keeper has most mentions (``degree``: entity_id, n), then the shortest name, then the smallest id; it is found by
+    aggregation.
     """
-    degree = edges.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
     d = nodes.join(degree, "entity_id", "left").withColumn("canon", canonical_form(F.col("name"))).where(F.col("canon") != "")
     pick = F.min(F.struct((-F.coalesce("n", F.lit(0))).alias("n"), F.length("name").alias("len"), F.col("entity_id").alias("keeper")))
     g = d.groupBy("canon", "entity_type").agg(pick["keeper"].alias("keeper"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -160,7 +166,7 @@ def redirect(edges: DataFrame, keep: DataFrame) -> DataFrame:
 
 def g04_hub_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names with more than HUB_MENTIONS mention edges."""
-    return mentions(spark, sf_dir).join(entities(spark, sf_dir).select("entity_id", "name"), "entity_id").groupBy("name").agg(F.count(F.lit(1)).alias("n_mentions")).where(F.col("n_mentions") > HUB_MENTIONS)
+    return mention_degrees(spark, sf_dir).join(entities(spark, sf_dir).select("entity_id", "name"), "entity_id").groupBy("name").agg(F.sum("n").alias("n_mentions")).where(F.col("n_mentions") > HUB_MENTIONS)
 
 
 def worthy(c: Column) -> Column:
@@ -181,11 +187,20 @@ def relation_weight(c: Column) -> Column:
 
 
 def with_support(edges: DataFrame, ce: DataFrame) -> DataFrame:
-    """Edges with n_support, the chunks that name both ends, and triple_confidence. Only pairs that are edges count."""
-    lists = ce.groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity_id")).alias("e"))
-    both = F.flatten(F.transform("e", lambda a, i: F.transform(F.slice(F.col("e"), i + 2, F.size("e")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    wanted = edges.select(*unordered("src", "dst")).distinct()
-    support = lists.select(F.inline(both)).join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_support"))
+    """Edges with n_support, the chunks that name both ends, and triple_confidence.
+
+    An edge is worked from the end in fewer chunks: its chunks are looked up, and those that name the other end counted. So
+    work is the sum of the smaller degrees, and no pairs of a chunk's entities are formed.
+    """
+    ce = ce.select("chunk_id", "entity_id").distinct()
+    degree = ce.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    ends = edges.select(*unordered("src", "dst")).distinct()
+    for end in "ab":
+        ends = ends.join(degree.select(F.col("entity_id").alias(end), F.col("n").alias(f"n_{end}")), end)
+    fewer = F.col("n_a") <= F.col("n_b")
+    ends = ends.select("a", "b", F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("entity_id"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("other"))
+    named = ends.join(ce, "entity_id").select("a", "b", "chunk_id", F.col("other").alias("entity_id"))
+    support = named.join(ce, ["chunk_id", "entity_id"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_support"))
     e = edges.withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")}).join(support, ["a", "b"], "left").drop("a", "b")
     n, w = F.coalesce("n_support", F.lit(0)), relation_weight(F.col("relation_type"))
     return e.withColumn("n_support", n).withColumn("triple_confidence", F.round(F.when(n <= 0, 0.3 * w).otherwise(F.least(F.lit(1.0), F.log1p(n) / F.log(F.lit(10.0))) * w), 6))
@@ -197,10 +212,11 @@ def g06_triple_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g13_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = next_chunk(spark, sf_dir)
-    parts = {"document_chunks": chunks(spark, sf_dir), "source_documents": w05_source_nodes(spark, sf_dir), "entities": entities(spark, sf_dir), "from_source_edges": c, "next_chunk_edges": c.where(F.col("next_chunk_id").isNotNull()), "mentions_edges": mentions(spark, sf_dir), "related_to_edges": related(spark, sf_dir)}
+    parts = {"document_chunks": chunks(spark, sf_dir), "source_documents": w05_source_nodes(spark, sf_dir), "entities": entities(spark, sf_dir), "from_source_edges": c, "next_chunk_edges": c.where(F.col("next_chunk_id").isNotNull()), "mentions_edges": None, "related_to_edges": related(spark, sf_dir)}
     out = None
     for name, df in parts.items():
-        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("item"), "n")
+        n = mention_degrees(spark, sf_dir).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")) if df is None else df.agg(F.count(F.lit(1)).alias("n"))
+        row = n.select(F.lit(name).alias("item"), "n")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -217,9 +233,8 @@ def g15_unsubsumed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity_id, reason) of nodes that cleanup removes: stop list, then orphans, then hubs."""
-    nodes, m = entities(spark, sf_dir), mentions(spark, sf_dir)
+    nodes, degree = entities(spark, sf_dir), mention_degrees(spark, sf_dir)
     n_chunks = chunks(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_all"))
-    degree = m.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
     d = nodes.join(degree, "entity_id", "left").crossJoin(F.broadcast(n_chunks))
     reason = F.when(canonical_form(F.col("name")).isin(STOPLIST), "stoplist").when(F.col("n").isNull(), "orphan").when(F.col("n") > F.greatest(F.lit(HUB_MIN), F.col("n_all") * HUB_SHARE), "hub")
     return d.select("entity_id", reason.alias("reason")).where(F.col("reason").isNotNull())
@@ -230,11 +245,11 @@ def g16_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g20_duplicate_keepers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keepers(entities(spark, sf_dir), mentions(spark, sf_dir)).select("entity_id", "keeper", "size")
+    return keepers(entities(spark, sf_dir), mention_degrees(spark, sf_dir)).select("entity_id", "keeper", "size")
 
 
 def g22_redirected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redirect(related(spark, sf_dir), keepers(entities(spark, sf_dir), mentions(spark, sf_dir))).withColumn("confidence", F.round("confidence", 6))
+    return redirect(related(spark, sf_dir), keepers(entities(spark, sf_dir), mention_degrees(spark, sf_dir))).withColumn("confidence", F.round("confidence", 6))
 
 
 def g25_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,28 +260,28 @@ def g26_without_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes by type left after the isolated ones are deleted, and their mention edges."""
     e = entities(spark, sf_dir)
     left = e.join(isolated(e, related(spark, sf_dir)).select("entity_id"), "entity_id", "left_anti")
-    n = mentions(spark, sf_dir).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    n = mention_degrees(spark, sf_dir)
     return left.join(n, "entity_id", "left").groupBy("entity_type").agg(F.count(F.lit(1)).alias("n_entities"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_mentions"))
 
 
 def g27_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 100 largest clusters of one canonical form and type."""
-    k = keepers(entities(spark, sf_dir), mentions(spark, sf_dir)).groupBy("canon", "entity_type").agg(F.max("size").alias("size"), F.min("entity_id").alias("first_id"))
+    k = keepers(entities(spark, sf_dir), mention_degrees(spark, sf_dir)).groupBy("canon", "entity_type").agg(F.max("size").alias("size"), F.min("entity_id").alias("first_id"))
     return k.orderBy(F.desc("size"), "canon", "entity_type").limit(100)
 
 
 def g28_top_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 entities in most chunks."""
-    n = mentions(spark, sf_dir).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    n = mention_degrees(spark, sf_dir).withColumnRenamed("n", "n_chunks")
     return n.orderBy(F.desc("n_chunks"), "entity_id").limit(20)
 
 
 def g29_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, densities, isolated and duplicate rates, and the invariants they break."""
-    nodes, m, r = entities(spark, sf_dir), mentions(spark, sf_dir), related(spark, sf_dir)
+    nodes, m, r = entities(spark, sf_dir), mention_degrees(spark, sf_dir), related(spark, sf_dir)
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     k = keepers(nodes, m)
-    row = one(chunks(spark, sf_dir), "chunks").crossJoin(one(nodes, "entities")).crossJoin(one(m, "mentions")).crossJoin(one(r, "relations")).crossJoin(one(isolated(nodes, r), "isolated"))
+    row = one(chunks(spark, sf_dir), "chunks").crossJoin(one(nodes, "entities")).crossJoin(m.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("mentions"))).crossJoin(one(r, "relations")).crossJoin(one(isolated(nodes, r), "isolated"))
     row = row.crossJoin(k.agg(F.count(F.lit(1)).alias("in_clusters"), F.countDistinct("keeper").alias("clusters")))
     per = lambda a, b: F.round(F.col(a) / F.greatest(F.lit(1), F.col(b)), 6)
     row = row.withColumn("duplicates", F.col("in_clusters") - F.col("clusters")).withColumns({
@@ -349,16 +364,20 @@ def e27_question_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return question_entities(q, "question_id", "question")
 
 
-def graph_lane(queries: DataFrame, names: DataFrame, edges: DataFrame, m: DataFrame, hubs: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, chunk_id, hops, matched, confidence, rank) of each query's entities.
+def start_entities(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, entity_id, matched): the entities whose names ``lookup`` finds for each query's keys."""
+    hit = lookup(queries.select("key").distinct(), names.select("name").distinct()).join(names, "name").select("key", "name", "entity_id")
+    return queries.join(hit, "key").select("query_id", "entity_id", F.col("name").alias("matched")).distinct()
+
+
+def graph_lane(start: DataFrame, names: DataFrame, edges: DataFrame, m: DataFrame, hubs: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, chunk_id, hops, matched, confidence, rank) of each query's start entities.
 
-    Hop 0: chunks of the names found by ``lookup``. Hop 2: chunks of names one RELATED_TO edge (either direction) away,
-    hub names left out, with the best triple confidence. A chunk keeps its fewest hops; the k best by hops, confidence and
-    chunk id are ranked. ``names`` (entity_id, name), ``edges`` with triple_confidence, ``m`` (chunk_id, entity_id).
+    Hop 0: chunks of the start entities. Hop 2: chunks of entities one RELATED_TO edge (either direction) away, hub names
+    left out, with the best triple confidence. A chunk keeps its fewest hops; the k best by hops, confidence and chunk id
+    are ranked. ``edges`` have triple_confidence; ``m``: each entity's k first chunks, as no later one can be among the k
+    best of a query: the entity's first k come before it with the same hops and confidence, or are there with fewer hops.
     """
-    distinct_names = names.select("name").distinct()
-    hit = lookup(queries.select("key").distinct(), distinct_names).join(names, "name").select("key", "name", "entity_id")
-    start = queries.join(hit, "key").select("query_id", "entity_id", F.col("name").alias("matched")).distinct()
     hop0 = start.join(m, "entity_id").select("query_id", "chunk_id", F.lit(0).alias("hops"), "matched", F.lit(1.0).alias("confidence"))
     both = edges.select("src", "dst", "triple_confidence").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "triple_confidence"))
     both = both.groupBy("src", "dst").agg(F.max("triple_confidence").alias("confidence"))
@@ -371,15 +390,27 @@ def graph_lane(queries: DataFrame, names: DataFrame, edges: DataFrame, m: DataFr
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def g08_graph_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = entities(spark, sf_dir).where(F.col("name").isNotNull()).select("entity_id", "name")
-    edges = materialise(with_support(related(spark, sf_dir), chunk_entities(spark, sf_dir)), "triples")
-    return graph_lane(e27_question_entities(spark, sf_dir), names, edges, materialise(mentions(spark, sf_dir), "mentions"), g04_hub_names(spark, sf_dir))
+def first_chunks(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Each mentioned entity's k first chunk ids; the window keeps k rows an entity before the shuffle."""
+    m = load(spark, sf_dir, "mentions").where(F.col("chunk_id").isNotNull() & F.col("entity_id").isNotNull()).select("chunk_id", "entity_id").distinct()
+    w = Window.partitionBy("entity_id").orderBy("chunk_id")
+    return m.withColumn("i", F.row_number().over(w)).where(F.col("i") <= k).select("chunk_id", "entity_id")
 
 
-def bfs(starts: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
-    """(start, entity_id, hops): nodes within max_hops undirected steps, with the fewest steps; the start has 0."""
-    both = materialise(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "adjacent")
+def g08_graph_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = materialise(entities(spark, sf_dir).where(F.col("name").isNotNull()).select("entity_id", "name"), "names")
+    start = materialise(start_entities(e27_question_entities(spark, sf_dir), names), "start-entities")
+    wanted = start.select("entity_id").distinct()
+    edges = materialise(related(spark, sf_dir), "triples")
+    touched = edges.join(wanted.withColumnRenamed("entity_id", "src"), "src", "left_semi").unionByName(edges.join(wanted.withColumnRenamed("entity_id", "dst"), "dst", "left_semi")).distinct()
+    return graph_lane(start, names, with_support(touched, chunk_entities(spark, sf_dir)), first_chunks(spark, sf_dir, 5), g04_hub_names(spark, sf_dir))
+
+
+def bfs(starts: DataFrame, edges: DataFrame, max_hops: int, directed: bool = False) -> DataFrame:
+    """(start, entity_id, hops): nodes within max_hops steps, with the fewest steps; the start has 0. Edges are walked both
+    ways unless ``directed``."""
+    out = edges.select("src", "dst")
+    both = materialise((out if directed else out.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))).distinct(), "adjacent")
     seen = starts.select(F.col("entity_id").alias("start"), "entity_id", F.lit(0).alias("hops"))
     front = seen
     for hop in range(1, max_hops + 1):
@@ -394,7 +425,64 @@ def g09_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bfs(load(spark, sf_dir, "gazetteer").select("entity_id"), related(spark, sf_dir), 2)
 
 
+def w08_from_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edge from every chunk to its source document."""
+    return chunks(spark, sf_dir).where(F.col("source_file").isNotNull()).select("chunk_id", "source_file")
+
+
+def g09_chunk_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G09 from a chunk, directed: chunks within two NEXT_CHUNK steps behind every first chunk of a source."""
+    p = next_chunk(spark, sf_dir)
+    edges = p.where(F.col("next_chunk_id").isNotNull()).select(F.col("chunk_id").alias("src"), F.col("next_chunk_id").alias("dst"))
+    return bfs(p.where(F.col("place") == 1).select(F.col("chunk_id").alias("entity_id")), edges, 2, directed=True).withColumnRenamed("entity_id", "chunk_id")
+
+
+def canonical_graph(spark: SparkSession, sf_dir: str, least: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, mentions, triples) built from extractions alone, with ids from canonical form and type.
+
+    Entities under the confidence are left out; mentions are distinct; both ends of a triple are resolved by lower-cased
+    name (the smallest id where a name has several), unresolved triples and self-loops dropped, repeated ones once.
+    """
+    c = load(spark, sf_dir, "chunk_extractions").where(F.col("chunk_id").isNotNull())
+    e = c.select("chunk_id", F.explode("entities").alias("e")).select("chunk_id", "e.name", "e.entity_type", "e.confidence").where((F.col("confidence") >= least) & F.col("name").isNotNull() & F.col("entity_type").isNotNull())
+    canon = canonical_form(F.col("name"))
+    e = e.withColumn("canon", canon).where(F.col("canon") != "").withColumn("entity_id", short_hash(F.concat("canon", F.lit(":"), "entity_type"), 24))
+    nodes = e.groupBy("entity_id").agg(F.min("name").alias("name"), F.min("entity_type").alias("entity_type"), F.max("confidence").alias("confidence"))
+    ids = e.groupBy(F.lower(strip(F.col("name"))).alias("key")).agg(F.min("entity_id").alias("id"))
+    r = c.select("chunk_id", F.explode("relations").alias("r")).select("r.subject_entity", "r.relation_type", "r.object_entity", "r.confidence")
+    s, o = ids.select(F.col("key").alias("s_key"), F.col("id").alias("src")), ids.select(F.col("key").alias("o_key"), F.col("id").alias("dst"))
+    r = r.join(s, F.lower(strip(F.col("subject_entity"))) == F.col("s_key")).join(o, F.lower(strip(F.col("object_entity"))) == F.col("o_key")).where(F.col("src") != F.col("dst"))
+    return nodes, e.select("chunk_id", "entity_id").distinct(), r.groupBy("src", "relation_type", "dst").agg(F.max("confidence").alias("confidence"))
+
+
+def w25_canonical_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, m, _ = canonical_graph(spark, sf_dir)
+    n = m.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return nodes.join(n, "entity_id").withColumn("confidence", F.round("confidence", 6))
+
+
+def w25_canonical_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_graph(spark, sf_dir)[2].withColumn("confidence", F.round("confidence", 6))
+
+
+def g32_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities, mention edges and related pairs of every entity type, most entities first by the reader's sort."""
+    e, r = entities(spark, sf_dir), related(spark, sf_dir)
+    kind = e.select("entity_id", "entity_type")
+    per = e.join(mention_degrees(spark, sf_dir), "entity_id", "left").groupBy("entity_type").agg(F.count(F.lit(1)).alias("n_entities"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_mentions"))
+    out = r.groupBy(F.col("src").alias("entity_id")).agg(F.count(F.lit(1)).alias("n")).join(kind, "entity_id").groupBy("entity_type").agg(F.sum("n").alias("n_relations"))
+    return per.join(out, "entity_type", "left").withColumn("n_relations", F.coalesce("n_relations", F.lit(0)))
+
+
+def baseline_report(metrics: DataFrame) -> str:
+    """The one-row baseline as text, one line a measure, invariants last."""
+    row = metrics.first().asDict()
+    lines = [f"{k.replace('_', ' ')}: {v}" for k, v in row.items() if k != "violations"]
+    return "\n".join(["graph baseline", *lines, f"invariants broken: {row['violations'] or 'none'}"])
+
+
 QUERIES = {f.__name__: f for f in (
+    w08_from_source, w25_canonical_nodes, w25_canonical_triples, g09_chunk_walk, g32_inspect,
     w04_chunk_nodes, w05_source_nodes, w06_entity_nodes, w09_next_chunk, w10_mentions, w22_related_to, g02_name_variants, g03_subphrases, g04_hub_names, g05_graph_worthy, g06_triple_confidence, g08_graph_lane, g09_traversal,
     g11_context_chunks, g13_statistics, g14_cooccurrence, g15_unsubsumed, g16_cleanup, g20_duplicate_keepers, g22_redirected, g25_isolated, g26_without_isolated, g27_duplicate_clusters, g28_top_entities, g29_baseline, g33_edge_sample, e27_question_entities,
 )}
@@ -425,11 +513,18 @@ _G = f"""WITH RECURSIVE ch AS (SELECT chunk_id, max(source_file) AS source_file,
 _QE = f"""qq AS (SELECT DISTINCT question_id, question FROM agentic_ablation WHERE question IS NOT NULL),
     qk AS (SELECT DISTINCT question_id AS query_id, key FROM (SELECT question_id, unnest(list_concat(list_filter(regexp_extract_all(question, '[\\p{{Lu}}][\\p{{L}}&''-]+(?:\\s+[\\p{{Lu}}][\\p{{L}}&''-]+)*'), lambda x: length(x) > 2), regexp_extract_all(question, '"([^"]+)"', 1))) AS key FROM qq)
         WHERE length({_S('key')}) >= 3 AND lower({_S('key')}) NOT IN ({_NO}) AND NOT regexp_matches(regexp_replace(replace(lower({_S('key')}), ',', ''), 's+$', ''), '^[0-9]+$'))"""
+_CG = f""", cg AS (SELECT chunk_id, name, entity_type, confidence, lower({_S('name')}) AS key, substring(sha256({canonical_sql('name')} || ':' || entity_type), 1, 24) AS entity_id FROM (SELECT chunk_id, e.name AS name, e.entity_type AS entity_type, e.confidence AS confidence FROM ex WHERE chunk_id IS NOT NULL) WHERE confidence >= 0.5 AND name IS NOT NULL AND entity_type IS NOT NULL AND {canonical_sql('name')} <> ''),
+    ci AS (SELECT key, min(entity_id) AS id FROM cg GROUP BY 1)"""
 _TOKS = f"list_filter(regexp_split_to_array({_S('name')}, '\\s+'), lambda x: x <> '')"
 ORACLE = {
     "w04_chunk_nodes": _G + " SELECT * FROM ch",
     "w05_source_nodes": _G + " SELECT source_file, count(*) AS total_chunks FROM ch WHERE source_file IS NOT NULL GROUP BY 1",
     "w06_entity_nodes": _G + " SELECT entity_id, name, entity_type, round(confidence, 6) AS confidence FROM en",
+    "w08_from_source": _G + " SELECT chunk_id, source_file FROM ch WHERE source_file IS NOT NULL",
+    "w25_canonical_nodes": _G + _CG + " SELECT entity_id, min(name) AS name, min(entity_type) AS entity_type, round(max(confidence), 6) AS confidence, count(DISTINCT chunk_id) AS n_chunks FROM cg GROUP BY 1",
+    "w25_canonical_triples": _G + _CG + f" SELECT s.id AS src, r.relation_type AS relation_type, o.id AS dst, round(max(r.confidence), 6) AS confidence FROM rx JOIN ci s ON lower({_S('r.subject_entity')}) = s.key JOIN ci o ON lower({_S('r.object_entity')}) = o.key WHERE s.id <> o.id GROUP BY 1, 2, 3",
+    "g09_chunk_walk": _G + " SELECT x.chunk_id AS start, y.chunk_id, (y.place - 1)::INT AS hops FROM nx x JOIN nx y ON x.source_file = y.source_file WHERE x.place = 1 AND y.place <= 3",
+    "g32_inspect": _G + ", rn AS (SELECT src AS entity_id, count(*) AS n FROM re GROUP BY 1) SELECT entity_type, count(*) AS n_entities, coalesce(sum(dg.n), 0)::BIGINT AS n_mentions, coalesce(sum(rn.n), 0)::BIGINT AS n_relations FROM en LEFT JOIN dg USING (entity_id) LEFT JOIN rn USING (entity_id) GROUP BY 1",
     "w09_next_chunk": _G + " SELECT source_file, place, chunk_id, next_chunk_id FROM nx",
     "w10_mentions": _G + " SELECT * FROM me",
     "w22_related_to": _G + " SELECT src, relation_type, dst, round(confidence, 6) AS confidence, n_chunks FROM re",

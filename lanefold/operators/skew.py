@@ -38,6 +38,14 @@ def attach(rows: DataFrame, unique: DataFrame, key: str, weight: str, total: int
     return hot.unionByName(rest)
 
 
+def attach_counted(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``attach`` for a table whose keys' numbers of rows are not known yet: they are counted by partial aggregation first."""
+    counts = materialise(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_weight")), "key-counts")
+    total = counts.agg(F.coalesce(F.sum("_weight"), F.lit(0))).first()[0]
+    held = materialise(counts.join(unique, key), "counted")
+    return attach(rows, held, key, "_weight", total, how).drop("_weight")
+
+
 def offset_chunks(rows: DataFrame, keys: Sequence[str], chunk_rows: int, within: Sequence[str] = ()) -> DataFrame:
     """rows with ``_row`` (0-based number in key order) and ``_chunk`` = _row div chunk_rows.
 
@@ -58,13 +66,11 @@ def offset_chunks(rows: DataFrame, keys: Sequence[str], chunk_rows: int, within:
     ordered = materialise(
         counts.repartitionByRange(*keys, "_pid").withColumn("_part", F.spark_partition_id()), "offset-counts"
     )
-    sums = ordered.groupBy("_part").agg(F.sum("_n").alias("n")).collect()  # one row per partition
-    starts, at = [F.lit(-1), F.lit(0).cast("long")], 0
-    for r in sorted(sums, key=lambda r: r["_part"]):
-        starts += [F.lit(r["_part"]), F.lit(at).cast("long")]
-        at += r["n"]
+    parts = ordered.groupBy("_part").agg(F.sum("_n").alias("_sum"))
+    parts = parts.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # one row a partition
     before = Window.partitionBy("_part").orderBy(*keys, "_pid").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.create_map(*starts)[F.col("_part")] + F.coalesce(F.sum("_n").over(before), F.lit(0))
+    first = F.col("_start") + F.coalesce(F.sum("_n").over(before), F.lit(0))
+    ordered = ordered.join(F.broadcast(parts), "_part")
     offsets = ordered.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_pid").alias("_p"), (first - F.col("_base")).alias("_shift")
     )
