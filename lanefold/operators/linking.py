@@ -1,4 +1,4 @@
-"""Entity linking by vectors: deterministic hashed vectors, a blocked similarity join, and merged groups per type."""
+"""Entity linking by vectors: deterministic hashed vectors, an exact similarity join of names, and merged groups per type."""
 
 from __future__ import annotations
 
@@ -9,12 +9,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lanefold.functions.text import canonical_form
-from lanefold.operators.graph import entities, mentions
+from lanefold.operators.graph import _G, entities, mentions
 from lanefold.sources.shared import materialise
 
-DIM, THRESHOLD, LENGTH_RATIO, SIGNATURES, BITS = 256, 0.92, 0.4, 12, 10
+DIM, THRESHOLD, LENGTH_RATIO = 256, 0.92, 0.4
 
 
 def hashed_vector(text: str, dim: int = DIM) -> np.ndarray:
@@ -29,17 +30,43 @@ def hashed_vector(text: str, dim: int = DIM) -> np.ndarray:
 
 
 def embedded(names: DataFrame, text_col: str) -> DataFrame:
-    """names with ``unit`` (float32 bytes) and one key per random-hyperplane signature."""
-    planes = np.random.default_rng(17).standard_normal((SIGNATURES * BITS, DIM)).astype(np.float32)
+    """Names with ``unit``, the hashed vector of the text as float32 bytes; null is the empty text."""
     fields = names.schema.simpleString()[len("struct<"):-1].replace(":", " ")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.stack([hashed_vector(t or "") for t in b[text_col]]) if len(b) else np.zeros((0, DIM), np.float32)
-            bits = (x @ planes.T > 0).reshape(len(b), SIGNATURES, BITS) @ (1 << np.arange(BITS))
-            yield b.assign(unit=[r.tobytes() for r in x], keys=[[f"{i}:{k}" for i, k in enumerate(r)] for r in bits])
+            yield b.assign(unit=[hashed_vector(t or "").tobytes() for t in b[text_col]])
 
-    return names.mapInPandas(run, f"{fields}, unit binary, keys array<string>")
+    return names.mapInPandas(run, f"{fields}, unit binary")
+
+
+def trigram_counts(names: DataFrame) -> DataFrame:
+    """(entity_type, canon, gram, c): the letter trigrams of each padded name with their counts."""
+    padded = F.concat(F.lit("^"), F.col("canon"), F.lit("$"))
+    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
+    return names.select("entity_type", "canon", F.explode(grams).alias("gram")).groupBy("entity_type", "canon", "gram").agg(F.count(F.lit(1)).alias("c"))
+
+
+def similar_names(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(entity_type, a, b, cosine), a < b: all pairs of names of a type whose trigram vectors agree at ``threshold``, exactly.
+
+    Prefix filtering: a name's trigrams are taken from the rarest on while what is left of the vector, that trigram
+    included, has a norm of at least threshold times the whole. Two names without a common one of these have all they
+    share in what is left behind the earlier end of the two, which is below the threshold. Lengths must agree at
+    LENGTH_RATIO.
+    """
+    grams = materialise(trigram_counts(names), "name-grams")
+    often = grams.groupBy("entity_type", "gram").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("entity_type", "canon").orderBy("n", "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("entity_type", "canon"))
+    ranked = grams.join(often, ["entity_type", "gram"]).select("*", F.sum(F.col("c") * F.col("c")).over(order).alias("left"), whole.alias("norm"))
+    keys = materialise(ranked.where(F.col("left") >= F.lit(threshold**2 - 1e-9) * F.col("norm")).select("entity_type", "gram", "canon", "norm"), "name-prefixes")
+    a, b = (keys.select("entity_type", "gram", F.col("canon").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab")
+    met = a.join(b, ["entity_type", "gram"]).where((F.col("a") < F.col("b")) & (F.least(F.length("a"), F.length("b")) >= LENGTH_RATIO * F.greatest(F.length("a"), F.length("b"))))
+    met = met.select("entity_type", "a", "b", "norm_a", "norm_b").distinct()
+    x, y = (grams.select("entity_type", "gram", F.col("canon").alias(s), F.col("c").alias(f"c_{s}")) for s in "ab")
+    dots = met.join(x, ["entity_type", "a"]).join(y, ["entity_type", "b", "gram"]).groupBy("entity_type", "a", "b", "norm_a", "norm_b").agg(F.sum(F.col("c_a") * F.col("c_b")).alias("dot"))
+    return dots.select("entity_type", "a", "b", F.round(F.col("dot") / F.sqrt(F.col("norm_a") * F.col("norm_b")), 9).alias("cosine")).where(F.col("cosine") >= threshold)
 
 
 def min_label_groups(edges: DataFrame) -> DataFrame:
@@ -63,27 +90,15 @@ def min_label_groups(edges: DataFrame) -> DataFrame:
 
 
 def linked_entities(nodes: DataFrame, edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(entity_id, keeper) of entities of one type whose name vectors agree at ``threshold`` and lengths at 0.4.
+    """(entity_id, keeper, size) of entities of one type whose names are linked by ``similar_names``, directly or through others.
 
-    Equal names are one row of the join. Names meet where one of SIGNATURES signatures of BITS hyperplanes is equal, which
-    holds for 97 % of pairs at the threshold and for more above it; each pair that meets is then verified exactly. The keeper of a group has most mentions, then the smallest id.
+    Trigram vectors stand in for a model's; equal names are one row of the join. The keeper of a group has most mentions,
+    then the smallest id. Null names and types take no part.
     """
     named = nodes.withColumn("canon", canonical_form(F.col("name"))).where((F.col("canon") != "") & F.col("entity_type").isNotNull())
-    names = named.select("entity_type", "canon").distinct()
-    v = materialise(embedded(names, "canon").withColumn("id", F.concat_ws("\u0001", "entity_type", "canon")), "name-vectors")
-    keyed = v.select("entity_type", "id", F.length("canon").alias("len"), F.explode("keys").alias("key"))
-    b = keyed.select("entity_type", "key", F.col("id").alias("id_b"), F.col("len").alias("len_b"))
-    pairs = keyed.join(b, ["entity_type", "key"]).where((F.col("id") < F.col("id_b")) & (F.least("len", "len_b") / F.greatest("len", "len_b") >= LENGTH_RATIO)).select("id", "id_b").distinct()
-    pairs = pairs.join(v.select("id", F.col("unit").alias("ua")), "id").join(v.select(F.col("id").alias("id_b"), F.col("unit").alias("ub")), "id_b")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            if len(p):
-                x, y = (np.frombuffer(b"".join(p[c]), np.float32).reshape(-1, DIM) for c in ("ua", "ub"))
-                p = p[np.einsum("ij,ij->i", x, y) >= threshold]
-            yield pd.DataFrame({"a": p["id"], "b": p["id_b"]})
-
-    groups = min_label_groups(materialise(pairs.mapInPandas(verify, "a string, b string"), "name-links"))
+    pairs = similar_names(named.select("entity_type", "canon").distinct(), threshold)
+    tag = lambda c: F.concat_ws("\u0001", "entity_type", c)
+    groups = min_label_groups(materialise(pairs.select(tag("a").alias("a"), tag("b").alias("b")), "name-links"))
     grouped = named.withColumn("id", F.concat_ws("\u0001", "entity_type", "canon")).join(groups, "id", "left").withColumn("g", F.coalesce("group", "id"))
     degree = edges.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
     grouped = grouped.join(degree, "entity_id", "left").select("entity_id", "g", F.coalesce("n", F.lit(0)).alias("n"))
@@ -96,4 +111,11 @@ def g24_linked_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"g24_linked_entities": g24_linked_entities}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "g24_linked_entities": _G + """, nm AS (SELECT DISTINCT entity_type, canon FROM cf WHERE canon <> '' AND entity_type IS NOT NULL), tg AS (SELECT entity_type, canon, substring(p, i, 3) AS gram, count(*) AS c FROM (SELECT *, '^' || canon || '$' AS p, unnest(range(1, length('^' || canon || '$') - 1)) AS i FROM nm) GROUP BY 1, 2, 3),
+        no AS (SELECT entity_type, canon, sum(c * c) AS q FROM tg GROUP BY 1, 2), dt AS (SELECT x.entity_type, x.canon AS a, y.canon AS b, sum(x.c * y.c) AS d FROM tg x JOIN tg y ON x.entity_type = y.entity_type AND x.gram = y.gram AND x.canon < y.canon GROUP BY 1, 2, 3),
+        lk AS (SELECT dt.entity_type, a, b FROM dt JOIN no x ON x.entity_type = dt.entity_type AND x.canon = a JOIN no y ON y.entity_type = dt.entity_type AND y.canon = b WHERE round(d / sqrt(x.q * y.q), 9) >= 0.92 AND least(length(a), length(b)) >= 0.4 * greatest(length(a), length(b))),
+        ed AS (SELECT entity_type, a, b FROM lk UNION SELECT entity_type, b, a FROM lk), rc AS (SELECT entity_type, canon AS a, canon AS b FROM nm UNION SELECT rc.entity_type, rc.a, ed.b FROM rc JOIN ed ON ed.entity_type = rc.entity_type AND ed.a = rc.b),
+        gr AS (SELECT entity_type, a AS canon, min(b) AS g FROM rc GROUP BY 1, 2), mb AS (SELECT cf.entity_id, cf.n, gr.entity_type, g FROM cf JOIN gr ON gr.entity_type = cf.entity_type AND gr.canon = cf.canon)
+        SELECT entity_id, first_value(entity_id) OVER (PARTITION BY entity_type, g ORDER BY n DESC, entity_id) AS keeper, count(*) OVER (PARTITION BY entity_type, g) AS size FROM mb QUALIFY size > 1""",
+}

@@ -17,6 +17,23 @@ def test_linking_merges_near_names_of_one_type_only(spark):
     assert got == {"1": "2", "2": "2", "3": "2"}
 
 
+def test_similar_names_match_brute_force(spark):
+    from collections import Counter
+
+    rng = random.Random(6)
+    words = ["institute", "marine", "research", "north", "film", "aa", "ab"]
+    base = [" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(60)]
+    names = sorted({n for b in base for n in (b, b + "s", b.replace("m", "n", 1), b[:-1] or "x", b + " " + b)})
+    grams = lambda n: Counter(f"^{n}$"[i : i + 3] for i in range(len(n)))
+    def cosine(a, b):
+        x, y = grams(a), grams(b)
+        return sum(x[g] * y[g] for g in x) / (sum(c * c for c in x.values()) * sum(c * c for c in y.values())) ** 0.5
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if round(cosine(a, b), 9) >= 0.92 and min(len(a), len(b)) >= 0.4 * max(len(a), len(b))}
+    df = spark.createDataFrame([("ORG", n) for n in names] + [("GPE", names[0])], "entity_type string, canon string")
+    got = [(r["a"], r["b"]) for r in linking.similar_names(df).collect()]
+    assert len(want) > 30 and sorted(got) == sorted(want)
+
+
 def test_min_label_groups_of_a_long_chain(spark):
     ids = [f"n{i:03d}" for i in range(200)]
     pairs = list(zip(ids, ids[1:])) + [("x", "y")]

@@ -7,7 +7,7 @@ from compare import connect, rows
 
 MODULES = [
     "operators.mentions", "operators.evaluation", "operators.retrieval", "operators.graph", "operators.chunking", "operators.filters",
-    "plans.planner", "operators.verification", "operators.extraction", "operators.significance", "streaming.events",
+    "plans.planner", "operators.verification", "operators.extraction", "operators.significance", "operators.linking", "streaming.events",
 ]
 
 
