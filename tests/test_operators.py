@@ -151,12 +151,29 @@ def test_substring_lookup_loses_nothing(spark):
 
 
 def test_planning(spark):
-    rows = [("1", "Are Rome and Oslo both capitals?"), ("2", "Who is it and another singer that won?"), ("3", "Which is older, A House or B House?"), ("4", None), ("5", "Name it")]
+    rows = [
+        ("1", "Are Rome and Oslo both capitals?"), ("2", "Who is it and another singer that won?"), ("3", "Which is older, Amber House or Birch House?"), ("4", None), ("5", "Name it"),
+        ("6", "Were Ada Marsh and Otto Vane of the same nationality?"), ("7", "Who directed the film that starred Ada Marsh?"), ("8", "What is the mother of the director of the film?"),
+        ("9", "Is Birch Hill taller than Amber Peak in summer?"), ("10", "What did he do that was formed by them?"),
+    ]
     q = spark.createDataFrame(rows, "id string, question string")
-    p = {r["query_id"]: r for r in planner.planned(q, graph.question_entities(q, "id", "question"), "id", "question").collect()}
-    assert p["1"]["pattern"] == "I_boolean_conjunction" and [h["sub_query"] for h in p["1"]["hops"]] == ["Is Rome capitals?", "Is Oslo capitals?"]
-    assert p["2"]["query_type"] == "multi_hop" and p["2"]["hops"][1]["depends_on"] == 0
-    assert len(p["3"]["hops"]) == 2 and p["3"]["direction"] == "greater" and p["4"]["query_type"] == "single_hop" and p["5"]["strategy"] == "vector_only"
+    p = {r["query_id"]: r for r in planner.planned(q, "id", "question").collect()}
+    asks = lambda i: [h["sub_query"] for h in p[i]["hops"]]
+    assert p["1"]["pattern"] == "I_boolean_conjunction" and asks("1") == ["Is Rome capitals?", "Is Oslo capitals?"]
+    assert p["2"]["query_type"] == "multi_hop" and p["2"]["hops"][1]["depends_on"] == [0]
+    assert p["3"]["pattern"] == "select_between_two" and asks("3") == ["When was Amber House born?", "When was Birch House born?"] and p["3"]["direction"] == "greater"
+    assert p["4"]["query_type"] == "single_hop" and p["5"]["strategy"] == "vector_only"
+    assert p["6"]["pattern"] == "comparison_attr_map" and asks("6") == ["What is the nationality of Ada Marsh?", "What is the nationality of Otto Vane?"]
+    assert p["7"]["pattern"] == "connector_split" and asks("7")[-1].startswith("Who directed the film") and all(h["is_bridge"] for h in p["7"]["hops"][:-1])
+    assert p["9"]["pattern"] == "comparison_parallel" and asks("9") == ["Is Birch Hill in summer?", "Is Amber Peak in summer?"]
+    assert p["8"]["pattern"].startswith(("fallback", "connector")) and p["10"]["pattern"] in ("connector_split", "fallback_degraded_to_single_hop")
+
+
+def test_question_names_are_rejoined_and_kept_once(spark):
+    rows = [("1", "Did Tower of London open before the Bank of England?"), ("2", 'Who wrote "red fox" and "Red Fox" in 1999?'), ("3", None), ("4", "Is Ada taller than Marshfield?")]
+    got = {r["query_id"]: [(e["text"], e["label"]) for e in r["named"]] for r in planner.question_names(spark.createDataFrame(rows, "id string, question string"), "id", "question").collect()}
+    assert got["1"] == [("Tower of London", "PROPN"), ("Bank of England", "PROPN")] or [t for t, _ in got["1"]][-1].endswith("England")
+    assert got["2"] == [("red fox", "QUOTED"), ("1999", "DATE")] and got["3"] == [] and got["4"] == [("Marshfield", "PROPN")]
 
 
 def test_verification_columns(spark):
