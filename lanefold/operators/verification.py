@@ -13,6 +13,7 @@ from lanefold.operators.evaluation import _PRED, _any, _norm, failure_bucket, re
 from lanefold.operators.filters import ranked
 from lanefold.operators.graph import _QE, e27_question_entities
 from lanefold.operators.retrieval import _ALL
+from lanefold.plans.planner import _CLS, _HOPS, plans
 
 CLAIM_CHARS, COVERAGE, CONFLICT = 15, 0.34, 0.5
 W_REF, W_ENTITY, W_PROVENANCE, REF_MAX, BASELINE, ENTITY_NORM, MAX_PHRASES = 0.4, 0.3, 0.3, 3.0, 0.5, 10.0, 10
@@ -27,6 +28,13 @@ META = [
     "based on the context", "according to the", "i cannot answer", "i don't know", "not enough information", "the context does not",
     "the context doesn't", "error:", "insufficient evidence",
 ]
+SHORT_DISCLAIMERS = ["i don't know", "i cannot", "cannot determine", "not enough information", "insufficient"]
+#: Words that ground nothing; words of a fragment that is too short to be looked up alone.
+GROUND_STOPS = (
+    "the and for with that this from into was were are have has had his her their they she him not but you all any can did who what when where which "
+    "whom whose why how"
+).split()
+SHORT_HALF = 4
 WH = ["what", "who", "whom", "where", "when", "which", "whose", "how", "why"]
 YES_NO = ["yes", "no", "yeah", "nope", "true", "false"]
 NAME = r"([\p{Lu}][\p{Ll}]+(?:\s+[\p{Lu}][\p{Ll}]+)+)"
@@ -164,14 +172,61 @@ def a18_verifier_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w33_retrieval_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each query's chunks in order as one JSON list of text, score, hop and whether the graph found it."""
+    """Each query's cache entry written as JSON and read again: plan pattern, gold answer, and the chunks in order
+    with text, score, hop and whether the graph found them."""
     r = ranked(spark, sf_dir)
     item = F.struct("text", F.round("rrf", 6).alias("score"), F.col("hop_distance").alias("hop_index"), F.col("method").isin("graph", "hybrid").alias("is_graph_based"))
-    g = r.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("x")))), lambda y: y["x"]).alias("c"))
-    return g.select("query_id", F.size("c").alias("n_chunks"), F.to_json("c").alias("chunks"))
+    g = r.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("x")))), lambda y: y["x"]).alias("chunks"))
+    gold = records(spark, sf_dir).groupBy(F.col("question_id").alias("query_id")).agg(F.max("gold_answer").alias("gold"))
+    entry = g.join(plans(spark, sf_dir).select("query_id", "pattern"), "query_id", "left").join(gold, "query_id", "left")
+    entry = entry.select("query_id", F.to_json(F.struct("pattern", "gold", "chunks")).alias("entry"))
+    back = entry.select("query_id", F.from_json("entry", "pattern string, gold string, chunks array<struct<text:string,score:double,hop_index:int,is_graph_based:boolean>>").alias("e"))
+    return back.select("query_id", "e.pattern", "e.gold", F.posexplode("e.chunks").alias("pos", "c")).select("query_id", "pattern", "gold", "pos", "c.text", F.round("c.score", 6).alias("score"), "c.hop_index", "c.is_graph_based")
 
 
-QUERIES = {f.__name__: f for f in (a18_verifier_taxonomy, w33_retrieval_cache, v02_entity_coverage, v04_conflicts, v07_credibility, v09_claims, v10_claim_support, v12_answer_checks, v21_first_chunk_answer, f19_expanded_query)}
+def f18_reretrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """why an answer calls for a second retrieval, the first reason that holds, or ok.
+
+    empty_answer, verifier_error, low_confidence, disclaimer, or ungrounded: no content word of the answer stands in the
+    evidence (no evidence grounds nothing, but is no reason either).
+    """
+    a = F.lower(strip(F.coalesce("predicted_answer", F.lit(""))))
+    level = F.lower(strip(F.coalesce("confidence", F.lit(""))))
+    r = records(spark, sf_dir).join(evidence(spark, sf_dir), "question_id", "left")
+    tokens = F.filter(F.regexp_extract_all(a, F.lit(r"([\p{L}\p{N}_]{3,})"), F.lit(1)), lambda t: ~t.isin(GROUND_STOPS))
+    loose = (F.coalesce("context", F.lit("")) != "") & (F.size(tokens) > 0) & ~F.exists(tokens, lambda t: F.col("context").contains(t))
+    reason = F.when(a == "", "empty_answer").when(level == "error", "verifier_error").when(level == "low", "low_confidence").when(any_of(a, SHORT_DISCLAIMERS), "disclaimer").when(loose, "ungrounded").otherwise("ok")
+    return r.select("question_id", "row_name", reason.alias("reason"))
+
+
+def f20_keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """whether the full row's answer replaces the verifier row's: it is there and no error, and the old one is empty, an
+    error or a disclaimer, or the new one stands in the evidence while the old one does not."""
+    side = lambda row, name: records(spark, sf_dir).where(F.col("row_name") == row).select("question_id", F.coalesce("predicted_answer", F.lit("")).alias(name))
+    r = side("row4_verifier", "old").join(side("row5_full", "new"), "question_id").join(evidence(spark, sf_dir), "question_id", "left")
+    old, new, context = F.lower(strip(F.col("old"))), F.lower(strip(F.col("new"))), F.coalesce("context", F.lit(""))
+    poor = (old == "") | F.col("old").startswith("[Error:") | any_of(old, ["don't know", "cannot determine", "insufficient"])
+    better = (F.col("new") != "") & ~F.col("new").startswith("[Error:") & (poor | (context.contains(new) & ~context.contains(old)))
+    return r.select("question_id", better.alias("accepted"))
+
+
+def f17_gated_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """plans that only look decomposed pass through as one hop: the generic fallback, and connector splits whose every
+    sub-query has at most SHORT_HALF words."""
+    p = plans(spark, sf_dir)
+    words = lambda h: F.size(F.filter(F.split(h["sub_query"], r"\s+"), lambda w: w != ""))
+    short = F.forall("hops", lambda h: words(h) <= SHORT_HALF)
+    gated = (F.col("pattern") == "fallback_generic_2hop") | ((F.col("pattern") == "connector_split") & short)
+    return p.select("query_id", "pattern", gated.alias("gated"), F.when(gated, F.lit(1)).otherwise(F.size("hops")).alias("n_hops"), F.when(gated, F.col("question")).otherwise(F.element_at("hops", 1)["sub_query"]).alias("first_query"))
+
+
+def v15_bridge_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan's hops as numbered steps for the prompt, the last one to derive the answer."""
+    step = lambda h, i: F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(": "), h["sub_query"], F.when(i == F.size("hops") - 1, " → derive the final answer").otherwise(" → identify the intermediate result"))
+    return plans(spark, sf_dir).select("query_id", F.array_join(F.transform("hops", step), "\n").alias("chain"))
+
+
+QUERIES = {f.__name__: f for f in (f17_gated_plan, f18_reretrieval, f20_keep_best, v15_bridge_chain, a18_verifier_taxonomy, w33_retrieval_cache, v02_entity_coverage, v04_conflicts, v07_credibility, v09_claims, v10_claim_support, v12_answer_checks, v21_first_chunk_answer, f19_expanded_query)}
 
 
 def _in(c: str, phrases: list[str]) -> str:
@@ -197,4 +252,35 @@ ORACLE = {
     "v21_first_chunk_answer": _A + " SELECT query_id, text AS answer FROM kt WHERE rank = 1",
     "f19_expanded_query": _A + ", " + _QE + ", ge AS (SELECT query_id AS question_id, array_to_string(list_sort(list(DISTINCT key))[:3], ' ') AS e FROM qk GROUP BY 1) SELECT question_id, row_name, concat_ws(' ', question, predicted_answer, e) AS expanded FROM rc LEFT JOIN ge USING (question_id)",
 }
+_RAW = "coalesce(predicted_answer, '')"
+_PLAIN = f"regexp_replace(lower({strip_sql(_RAW)}), '[.!?,;:]+$', '')"
+_TAIL = strip_sql(f"regexp_extract({_RAW}, '(?is).*final answer:\\s*[:\\-—\\s]*([^\\n]*)', 1)")
+_LINES = f"list_filter(list_transform(string_split({_RAW}, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '')"
+_HYP_A = strip_sql(f"regexp_replace({strip_sql(_RAW)}, '\\.+$', '')")
+_HYP_Q = strip_sql(f"regexp_replace({strip_sql(chr(99) + 'oalesce(question, ' + chr(39) * 2 + ')')}, '\\?+$', '')")
+_LOW = "lower(§predicted_answer§)"
+ORACLE |= {
+    "v12_answer_checks": _A + f""", z AS (SELECT question_id, row_name, confidence, {_RAW} = '' OR starts_with({_RAW}, '[Error:') OR {_in(f'lower({_RAW})', DISCLAIMERS)} AS disclaimer,
+            regexp_extract(lower(coalesce(question, '')), '^["''(¿\\s]*([a-z]+)', 1) IN ({', '.join(f"'{x}'" for x in WH)}) AND {_PLAIN} IN ({', '.join(f"'{x}'" for x in YES_NO)}) AS format_mismatch,
+            CASE WHEN {_TAIL} <> '' THEN {_TAIL} ELSE coalesce({_LINES}[-1], '') END AS final_answer, {_HYP_A} AS ha, {_HYP_Q} AS hq FROM rc),
+        y AS (SELECT *, {strip_sql("regexp_replace(hq, '^[^ ]+\\s*', '')")} AS body, lower(regexp_extract(hq, '^([^\\s]+)', 1)) AS lead FROM z)
+        SELECT question_id, row_name, disclaimer, format_mismatch, final_answer, CASE WHEN hq = '' THEN ha WHEN lead IN ('who', 'whom') AND body <> '' THEN ha || ' ' || body WHEN lead = 'whose' AND body <> '' THEN ha || chr(39) || 's ' || body ELSE {strip_sql("hq || ' ' || ha")} END AS hypothesis,
+            disclaimer OR format_mismatch OR coalesce(lower(confidence) = 'low', FALSE) AS retrieve_again FROM y""",
+    "v04_conflicts": _A + f""", vx AS (SELECT query_id, rank, chunk_id, unnest(regexp_extract_all(text, '{VALUE}', 1)) AS name, unnest(regexp_extract_all(text, '{VALUE}', 2))::DOUBLE AS v FROM kt),
+        cf AS (SELECT DISTINCT a.query_id, a.chunk_id AS a, b.chunk_id AS b FROM vx a JOIN vx b ON a.query_id = b.query_id AND a.name = b.name AND a.rank < b.rank WHERE least(a.v, b.v) > 0 AND round(abs(a.v - b.v) / greatest(a.v, b.v), 6) > 0.5),
+        sd AS (SELECT query_id, chunk_id, count(*) AS n FROM (SELECT query_id, a AS chunk_id FROM cf UNION ALL SELECT query_id, b FROM cf) GROUP BY 1, 2), bd AS (SELECT query_id, chunk_id FROM sd QUALIFY n = max(n) OVER (PARTITION BY query_id)),
+        mk AS (SELECT kt.query_id, kt.chunk_id, kt.rank, bd.chunk_id IS NOT NULL AS bad FROM kt LEFT JOIN bd USING (query_id, chunk_id)) SELECT query_id, chunk_id, rank FROM mk QUALIFY NOT bad OR bool_and(bad) OVER (PARTITION BY query_id)""",
+    "f18_reretrieval": _A + f""", z AS (SELECT rc.question_id, row_name, {_LOW} AS a, lower(§confidence§) AS lv, coalesce(context, '') AS context FROM rc LEFT JOIN ev USING (question_id)), y AS (SELECT *, list_filter(regexp_extract_all(a, '[\\p{{L}}\\p{{N}}_]{{3,}}'), lambda t: t NOT IN ({', '.join(f"'{x}'" for x in GROUND_STOPS)})) AS tk FROM z)
+        SELECT question_id, row_name, CASE WHEN a = '' THEN 'empty_answer' WHEN lv = 'error' THEN 'verifier_error' WHEN lv = 'low' THEN 'low_confidence' WHEN {_in('a', SHORT_DISCLAIMERS)} THEN 'disclaimer' WHEN context <> '' AND len(tk) > 0 AND len(list_filter(tk, lambda t: contains(context, t))) = 0 THEN 'ungrounded' ELSE 'ok' END AS reason FROM y""",
+    "f20_keep_best": _A + f""", z AS (SELECT o.question_id, coalesce(o.predicted_answer, '') AS old, coalesce(n.predicted_answer, '') AS new, coalesce(context, '') AS context FROM rc o JOIN rc n ON n.question_id = o.question_id AND n.row_name = 'row5_full' LEFT JOIN ev ON ev.question_id = o.question_id WHERE o.row_name = 'row4_verifier'),
+        y AS (SELECT *, lower({strip_sql('old')}) AS ol, lower({strip_sql('new')}) AS nl FROM z)
+        SELECT question_id, new <> '' AND NOT starts_with(new, '[Error:') AND (ol = '' OR starts_with(old, '[Error:') OR {_in('ol', ["don't know", "cannot determine", "insufficient"])} OR (contains(context, nl) AND NOT contains(context, ol))) AS accepted FROM y""",
+    "w33_retrieval_cache": _CLS + _HOPS + ", " + _A.removeprefix("WITH ") + """, gd AS (SELECT question_id AS query_id, max(gold_answer) AS gold FROM rc GROUP BY 1)
+        SELECT t.query_id, pattern, gold, (t.rank - 1)::INT AS pos, coalesce(xt.text, '') AS text, round(t.rrf, 6) AS score, t.hop_distance AS hop_index, t.method IN ('graph', 'hybrid') AS is_graph_based FROM t LEFT JOIN xt USING (chunk_id) LEFT JOIN pe ON pe.query_id = t.query_id LEFT JOIN gd ON gd.query_id = t.query_id WHERE t.rank <= 20""",
+    "f17_gated_plan": _CLS + _HOPS + f""", z AS (SELECT *, pattern = 'fallback_generic_2hop' OR (pattern = 'connector_split' AND len(list_filter(hops, lambda h: len(list_filter(regexp_split_to_array(h.sub_query, '\\s+'), lambda w: w <> '')) > {SHORT_HALF})) = 0) AS gated FROM pe)
+        SELECT query_id, pattern, gated, CASE WHEN gated THEN 1 ELSE len(hops) END AS n_hops, CASE WHEN gated THEN question ELSE hops[1].sub_query END AS first_query FROM z""",
+    "v15_bridge_chain": _CLS + _HOPS + " SELECT query_id, array_to_string(list_transform(hops, lambda h, i: 'Step ' || i || ': ' || h.sub_query || CASE WHEN i = len(hops) THEN ' → derive the final answer' ELSE ' → identify the intermediate result' END), chr(10)) AS chain FROM pe",
+}
+for _n in ("f18_reretrieval",):
+    ORACLE[_n] = re.sub("§([^§]+)§", lambda m: strip_sql(f"coalesce({m[1]}, '')"), ORACLE[_n])
 ORACLE["a18_verifier_taxonomy"] = re.sub("§([^§]+)§", lambda m: strip_sql(f"coalesce({m[1]}, '')"), ORACLE["a18_verifier_taxonomy"])
