@@ -113,20 +113,47 @@ def test_headers_run_on_and_reset():
     assert out[2][0]["section"] == "1.2 Details here" and out[3][0]["section"] is None
 
 
-def test_contradictions():
-    drop = filters.contradicting
-    assert drop(["Someone was born in the year 1000.", "Someone was born in the year 3000."], [0.9, 0.4]) == {1}
-    assert drop(["Population 1000 versus target.", "Population 3000 versus target."], [0.5, 0.5]) == {1}
-    assert drop(["They won 3 to 1", "They won 3 to 1"], [0.9, 0.4]) == set()
-    assert drop(["7 November 1867 a day", "7 November 1918 a day"], [0.9, 0.4]) == set()
+LISTS = "query_id string, rank int, chunk_id string, text string, score double"
 
 
-def test_context_folds():
+def kept(filtered):
+    return sorted((r["query_id"], r["rank"]) for r in filtered.collect())
+
+
+def test_contradictions(spark):
+    years = [("y", 1, "a", "Someone was born in the year 1000.", 0.9), ("y", 2, "b", "Someone was born in the year 3000.", 0.4)]
+    counts = [("c", 1, "a", "Population 1000 versus target.", 0.5), ("c", 2, "b", "Population 3000 versus target.", 0.5)]
+    small = [("s", 1, "a", "They won 3 to 1", 0.9), ("s", 2, "b", "They won 3 to 1", 0.4)]
+    dates = [("d", 1, "a", "7 November 1867 a day", 0.9), ("d", 2, "b", "7 November 1918 a day", 0.4), ("e", 1, "a", "", 0.1)]
+    df = spark.createDataFrame(years + counts + small + dates, LISTS)
+    assert kept(filters.without_contradicting(df)) == [("c", 1), ("d", 1), ("d", 2), ("e", 1), ("s", 1), ("s", 2), ("y", 1)]
+    assert filters.without_contradicting(df.limit(0)).count() == 0
+
+
+def test_redundancy_is_judged_against_kept_rows_only(spark):
+    t = [f"w{i}" for i in range(20)]
+    rows = [("q", 1, "a", " ".join(t), 1.0), ("q", 2, "b", " ".join(t[1:] + ["x"]), 0.9), ("q", 3, "c", " ".join(t[3:] + ["x", "y", "z"]), 0.8), ("q", 4, "d", " ".join(t), 0.7), ("p", 1, "a", "", 0.5), ("p", 2, "b", "", 0.4)]
+    df = spark.createDataFrame(rows, LISTS)
+    assert kept(filters.without_redundant(df)) == [("p", 1), ("p", 2), ("q", 1), ("q", 3)]
+    assert kept(filters.relevant(df)) == [("p", 1), ("p", 2), ("q", 1), ("q", 2), ("q", 3), ("q", 4)]
+
+
+def test_tiers_keep_the_best_and_at_least_five(spark):
+    rows = [("q", i, f"c{i}", t, 1 / i) for i, t in enumerate(["nothing", "none", "about Otto Vane", "Vane alone", "the Quillfeather mill", "bridge over the river", "x", "y"], 1)]
+    asked = spark.createDataFrame([("q", "Which bridge crosses the river at Quillfeather?", ["Otto Vane", "Quillfeather"])], "query_id string, question string, entities array<string>")
+    got = [(r["rank"], r["tier"]) for r in filters.tiered(spark.createDataFrame(rows, LISTS), asked).orderBy("place").collect()]
+    assert got == [(3, 0), (5, 0), (6, 1), (1, 2), (2, 2)]
+
+
+def test_context_folds(spark):
     t = "First part here. Paris is named here. Last part of it all, which goes on for a while."
-    assert filters.shrink(t, ["Paris"], 40).startswith("Paris")
-    assert "Paris" in filters.truncate(t, "Where is Paris?", 45)
-    assert filters.shrink("short", ["x"]) == "short"
-    assert filters.reorder("red fox", ["blue", "a red fox"]) == [1, 0]
+    assert one(spark, filters.shrunk(F.col("t"), F.array(F.lit("Paris")), 40), t=t).startswith("Paris")
+    assert one(spark, filters.truncated(F.col("t"), filters.question_words(F.lit("Where is Paris?")), 45), t=t) == "Paris is named here."
+    assert one(spark, filters.truncated(F.col("t"), filters.question_words(F.lit("Where is Paris?")), 10), t=t) == t[:10]
+    assert one(spark, filters.shrunk(F.col("t"), F.array(F.lit("x")), 800), t="short") == "short"
+    rows = spark.createDataFrame([("q", 1, "a", "blue", 1.0), ("q", 2, "b", "a red fox", 0.5)], LISTS)
+    asked = spark.createDataFrame([("q", "red fox")], "query_id string, question string")
+    assert [r["chunk_id"] for r in filters.reordered(rows, asked).orderBy("place").collect()] == ["b", "a"]
 
 
 def test_graph_support_redirect_and_traversal(spark):
