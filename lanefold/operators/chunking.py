@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lanefold.functions.text import chunk_id, strip, strip_sql, word_tokens
+from lanefold.operators.skew import numbered
 from lanefold.sources.shared import load
 
 MIN_SENTENCE, WINDOW, OVERLAP, MIN_CHARS, MAX_CHARS = 5, 3, 1, 50, 2000
 SIZE, SIZE_OVERLAP, SNAP, MIN_BOUNDARY = 1024, 128, 0.8, 200
 MIN_LENGTH, MIN_WORDS, MAX_TRANSCRIPT, MIN_DIVERSITY, MIN_ENTROPY, MAX_BLANK = 100, 15, 0.3, 0.3, 2.0, 0.4
+#: window configurations of the sweep: sentences and overlap
+SWEEP = ((3, 1), (5, 1), (2, 0))
+#: Separators from the coarsest to single letters, and patterns of boundaries.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 BOUNDARIES = (r"\n\n+", r"\.\s*\n(?=[A-ZÀ-ɏ])", r"[.!?]\s*\n\s*\n", r":\s*\n")
 #: Header lines of chapters, sections and subsections.
@@ -120,7 +124,7 @@ def c03_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d07_chunking_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks and their lengths under several window configurations."""
     out = None
-    for width, overlap in ((3, 1), (5, 1), (2, 0)):
+    for width, overlap in SWEEP:
         part = window_chunks(texts(spark, sf_dir), width, overlap).agg(F.count(F.lit(1)).alias("n_chunks"), F.round(F.avg(F.length("chunk")), 6).alias("mean_chars"))
         part = part.select(F.lit(f"{width}:{overlap}").alias("config"), "n_chunks", "mean_chars")
         out = part if out is None else out.unionByName(part)
@@ -284,6 +288,37 @@ def c10_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunker(texts(spark, sf_dir), lambda t: [(b,) for b in boundaries(t)], "boundary int")
 
 
+def c11_semantic_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunker(texts(spark, sf_dir), lambda t: [(p,) for p in semantic_pieces(t)], "chunk string")
+
+
+#: The strategies of the dispatcher; without a sentence model "sentence_spacy" is the window chunker's own fallback.
+STRATEGIES = ("sentence", "sentence_spacy", "semantic", "fixed", "recursive")
+
+
+def chunk_documents(docs: DataFrame, strategy: str, model=None) -> DataFrame:
+    """(doc_id, chunk_index, chunk, global_chunk_id) under a strategy; an unknown one raises ValueError.
+
+    ``model`` may be a sentence model's cut (text to chunks) for sentence_spacy; without it, or where it fails to load, the
+    plain sentence groups stand in. global_chunk_id numbers all chunks by document and index from 0.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown chunking strategy: {strategy}")
+    groups = lambda t: [(" ".join(kept[i : i + WINDOW]),) for kept in [[p.strip() for p in re.split(r"(?<=[.!?])\s+(?=[A-Z])", t) if len(p.strip()) >= MIN_SENTENCE]] for i in range(0, len(kept), WINDOW)]
+    cuts = {
+        "sentence": groups, "sentence_spacy": groups if model is None else (lambda t: [(p,) for p in model(t)]), "semantic": lambda t: [(row[-1],) for row in semantic_rows(t)],
+        "fixed": lambda t: [(p,) for _, _, p in fixed_pieces(t)], "recursive": lambda t: [(p,) for p in recursive_pieces(t)],
+    }
+    kept = chunker(docs, lambda t: [r for r in cuts[strategy](t) if len(r[0]) >= MIN_CHARS], "chunk string")
+    placed = numbered(kept.withColumn("_all", F.lit(1)), ["_all"], {"_d": F.col("doc_id"), "_i": F.col("chunk_index")})
+    return placed.select("doc_id", "chunk_index", "chunk", (F.col("_place") - 1).alias("global_chunk_id"))
+
+
+def c24_dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence strategy over all documents, through the dispatcher."""
+    return chunk_documents(texts(spark, sf_dir), "sentence").select("doc_id", "global_chunk_id", "chunk")
+
+
 def c13_semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunker(texts(spark, sf_dir), semantic_rows, "chapter string, section string, subsection string, level int, importance double, diversity double, chunk string")
 
@@ -316,16 +351,47 @@ def c21_chunk_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "group_no", (F.round("x", 6) + 0.0).alias("importance"))
 
 
-QUERIES = {f.__name__: f for f in (c01_sentences, c03_window_chunks, c07_sentence_groups, c08_fixed_chunks, c09_recursive_chunks, c10_boundaries, c13_semantic_chunks, c16_quality_gate, c21_chunk_importance, d07_chunking_sweep)}
+QUERIES = {f.__name__: f for f in (c01_sentences, c03_window_chunks, c07_sentence_groups, c08_fixed_chunks, c09_recursive_chunks, c10_boundaries, c11_semantic_pieces, c13_semantic_chunks, c24_dispatched, c16_quality_gate, c21_chunk_importance, d07_chunking_sweep)}
 
 _SEN = rf"""WITH t AS (SELECT doc_id, regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g') AS x FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
     p AS (SELECT doc_id, unnest(string_split(x, chr(1))) AS raw, generate_subscripts(string_split(x, chr(1)), 1) - 1 AS pos FROM t),
     s AS (SELECT doc_id, pos::INT AS pos, {strip_sql('raw')} AS sentence FROM p WHERE length({strip_sql('raw')}) >= 5)"""
 _GRP = _SEN + """, o AS (SELECT *, (floor((row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) / 3))::INT AS group_no FROM s),
     g AS (SELECT doc_id, group_no, count(*) AS n_sentences, string_agg(sentence, ' ' ORDER BY pos) AS chunk FROM o GROUP BY 1, 2 HAVING length(string_agg(sentence, ' ' ORDER BY pos)) >= 50)"""
+_JOIN = lambda a, b: f"array_to_string(list_transform(l[{a}:{b}], lambda q: q.t), ' ')"
+
+def _win(width: int, overlap: int, x: str) -> str:
+    """CTE x8: the windows of a configuration over the kept sentences s."""
+    step = max(1, width - overlap)
+    return rf""", {x}l_ AS (SELECT doc_id, list({{'i': pos, 't': sentence}} ORDER BY pos) AS l, count(*) AS n FROM s GROUP BY 1), {x}0 AS (SELECT doc_id, l, n, unnest(range(0, n, {step})) AS a FROM {x}l_),
+    {x}1 AS (SELECT *, CASE WHEN length({_JOIN('a + 1', f'least(a + {width}, n)')}) < 50 AND least(a + {width}, n) < n THEN least(a + {width}, n) + 1 ELSE least(a + {width}, n) END AS e FROM {x}0),
+    {x}2 AS (SELECT *, a + list_max(list_filter(range(1, e - a + 1), lambda j: j = 1 OR length({_JOIN('a + 1', 'a + j')}) <= 2000)) AS z FROM {x}1), {x}3 AS (SELECT *, length({_JOIN('a + 1', 'z')}) >= 50 AS ok FROM {x}2),
+    {x}4 AS (SELECT *, NOT coalesce(a > 0 AND a = n - 1 AND lag(ok) OVER w AND lag(e) OVER w >= n, FALSE) AS free FROM {x}3 WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+    {x}5 AS (SELECT doc_id, l[a + 1].i AS sentence_start, l[z].i AS sentence_end, FALSE AS is_final, {_JOIN('a + 1', 'z')} AS chunk, a FROM {x}4 WHERE ok AND free), {x}l AS (SELECT doc_id, max_by(sentence_end, a) AS last FROM {x}5 GROUP BY 1),
+    {x}6 AS (SELECT doc_id, list_filter(l, lambda z: z.i > last) AS l FROM {x}l_ JOIN {x}l USING (doc_id)), {x}7 AS (SELECT doc_id, l[1].i AS sentence_start, l[-1].i AS sentence_end, TRUE AS is_final, {_JOIN('1', 'len(l)')} AS chunk, 1000000000 AS a FROM {x}6 WHERE len(l) > 0),
+    {x}8 AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS position FROM (SELECT * FROM {x}5 UNION ALL SELECT * FROM {x}7 WHERE length(chunk) >= 50))"""
+
+
+_WIN = _SEN + _win(WINDOW, OVERLAP, "w")
+_MARKED = {"1": r"regexp_replace(text, '(\n\n+)', '\1' || chr(1), 'g')", "2": r"regexp_replace(text, '(\.\s*\n)([A-ZÀ-ɏ])', '\1' || chr(1) || '\2', 'g')", "3": r"regexp_replace(text, '([.!?]\s*\n\s*\n)', '\1' || chr(1), 'g')", "4": r"regexp_replace(text, '(:\s*\n)', '\1' || chr(1), 'g')"}
+_BOUND = "WITH RECURSIVE dt AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), mk AS (" + " UNION ALL ".join(f"SELECT doc_id, string_split({m}, chr(1)) AS p FROM dt" for m in _MARKED.values()) + rf"""),
+    ps AS (SELECT doc_id, list_sum(list_transform(p[1:j], lambda z: length(z)))::BIGINT AS pos FROM (SELECT doc_id, p, unnest(range(1, len(p))) AS j FROM mk)), pl AS (SELECT doc_id, list(DISTINCT pos ORDER BY pos) AS ps FROM ps GROUP BY 1),
+    bd AS (SELECT dt.doc_id, text, list_reduce(coalesce(ps, []), lambda a, x: CASE WHEN x >= 200 AND x - a[-1] >= {SNAP * SIZE} THEN list_append(a, x) ELSE a END, [0::BIGINT]) AS b FROM dt LEFT JOIN pl USING (doc_id)),
+    bb AS (SELECT doc_id, text, CASE WHEN b[-1] = length(text) THEN b ELSE list_append(b, length(text)) END AS b FROM bd)"""
 ORACLE = {
+    "d07_chunking_sweep": _SEN + "".join(_win(*c, f"v{i}_") for i, c in enumerate(SWEEP)) + " UNION ALL ".join(f" SELECT '{a}:{b}' AS config, count(*) AS n_chunks, round(avg(length(chunk)), 6) AS mean_chars FROM v{i}_8" for i, (a, b) in enumerate(SWEEP)),
+    "c03_window_chunks": _WIN + " SELECT w8.doc_id, substring(sha256(coalesce(d.source, 'unknown') || '/' || w8.doc_id || ':' || position || ':' || substring(chunk, 1, 50)), 1, 20) AS chunk_id, position, sentence_start, sentence_end, is_final, chunk FROM w8 JOIN documents d ON d.doc_id = w8.doc_id",
+    "c08_fixed_chunks": rf"""WITH RECURSIVE dt AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL AND regexp_matches(text, '[^\s\p{{Z}}]')),
+        fx AS (SELECT doc_id, text, n, 0::BIGINT AS a, {{e0}} AS e FROM (SELECT *, 0::BIGINT AS s FROM dt) UNION ALL SELECT doc_id, text, n, s, {{e0}} FROM (SELECT doc_id, text, n, greatest(e - {SIZE_OVERLAP}, a + 1) AS s FROM fx) WHERE s < n - {MIN_CHARS}),
+        pc AS (SELECT doc_id, a, e, {strip_sql('substring(text, a + 1, e - a)')} AS chunk FROM fx) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS chunk_index, a::INT AS char_start, e::INT AS char_end, chunk FROM pc WHERE length(chunk) >= {MIN_CHARS}""".replace(
+        "{e0}", f"CASE WHEN s + {SIZE} < n AND contains(substring(text, s + 1, {SIZE}), ' ') AND {SIZE} - instr(reverse(substring(text, s + 1, {SIZE})), ' ') > {SIZE * SNAP} THEN s + {SIZE} - instr(reverse(substring(text, s + 1, {SIZE})), ' ') ELSE s + {SIZE} END"),
+    "c10_boundaries": _BOUND + " SELECT doc_id, (j - 1)::INT AS chunk_index, b[j]::INT AS boundary FROM (SELECT doc_id, b, unnest(range(1, len(b) + 1)) AS j FROM bb)",
+    "c11_semantic_pieces": _BOUND + rf""", sg AS (SELECT doc_id, text, j, b[j] AS s, b[j + 1] AS e FROM (SELECT doc_id, text, b, unnest(range(1, len(b))) AS j FROM bb)),
+        wp AS (SELECT *, length(regexp_extract(substring(text, 1, s - {SIZE_OVERLAP} + 1), '(?s)^(.*)\s[^\s]*$', 1)) AS p FROM sg), st AS (SELECT *, CASE WHEN j > 1 AND s >= {SIZE_OVERLAP} THEN p + length(regexp_extract(substring(text, p + 1, s - p), '^\s*')) ELSE s END AS f FROM wp),
+        pc AS (SELECT doc_id, j, {strip_sql('substring(text, f + 1, e - f)')} AS chunk FROM st) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1)::INT AS chunk_index, chunk FROM pc WHERE length(chunk) >= {MIN_CHARS}""",
     "c01_sentences": _SEN + " SELECT * FROM s",
     "c07_sentence_groups": _GRP + " SELECT * FROM g",
+    "c24_dispatched": _GRP + " SELECT doc_id, row_number() OVER (ORDER BY doc_id, group_no) - 1 AS global_chunk_id, chunk FROM g",
     "c16_quality_gate": r"""WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM d), c AS (SELECT doc_id, w, count(*) AS c FROM w GROUP BY 1, 2),
         s AS (SELECT doc_id, sum(c)::BIGINT AS n, count(*) AS types, sum(c * log2(c)) AS s FROM c GROUP BY 1),
         x AS (SELECT doc_id, text, coalesce(n, 0) AS n, round(coalesce(types / n, 0), 6) AS diversity, round(coalesce(log2(n) - s / n, 0), 6) AS entropy FROM d LEFT JOIN s USING (doc_id))
