@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 from typing import Protocol
 
@@ -122,6 +125,29 @@ def _fields(ddl: str) -> list[str]:
     return [f"{f.name}:{f.dataType.simpleString()}" for f in StructType.fromDDL(ddl)]
 
 
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """A saved questions.json, one array of question objects."""
+    return spark.read.schema("id string, question string, answer string, question_type string, level string, supporting_facts array<array<string>>").json(path, multiLine=True)
+
+
+def write_questions(questions: DataFrame, path: str, per_file: int = 500) -> None:
+    """Questions as JSON arrays, per_file to a file."""
+    json_arrays(questions, F.xxhash64("id"), path, per_file)
+
+
+def json_arrays(rows: DataFrame, key: Column, path: str, per_file: int = 500, wrap: Callable[[Column], Column] = lambda c: c) -> None:
+    """Rows as files of one JSON document each, of about per_file rows by the key's hash."""
+    n = max(1, -(-rows.count() // per_file))
+    held = rows.select(F.pmod(key, F.lit(n)).cast("int").alias("part"), F.struct(*rows.columns).alias("x"))
+    docs = held.groupBy("part").agg(F.collect_list("x").alias("x")).select("part", F.to_json(wrap(F.col("x"))).alias("value"))
+    docs.write.partitionBy("part").text(path)
+
+
+def article_info(articles: DataFrame, first: int = 20) -> dict:
+    """Number of articles and the first titles in byte order."""
+    return {"count": articles.count(), "titles": [r[0] for r in articles.select("title").orderBy("title").limit(first).collect()]}
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation records of JSON lines; broken lines are dropped, and a path that is not there has none."""
     if not exists(spark, path):
@@ -129,13 +155,45 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).json(path, mode="DROPMALFORMED").where(F.col("question_id").isNotNull())
 
 
-def write_vectors(vectors: DataFrame, path: str, vec: str, dim: int | None = None) -> int:
+def fs_of(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, swapped in by an atomic rename: readers see the old or the new content."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, fresh = fs_of(spark, f"{path}.{uuid.uuid4().hex[:8]}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    rename[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fresh, target, rename)
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """The content of a small text file; None if it is not there."""
+    if not exists(spark, path):
+        return None
+    fs, p = fs_of(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_vectors(vectors: DataFrame, path: str, vec: str, dim: int | None = None, metric: str = "cosine") -> int:
     """Appends normalised vectors; the first write fixes the dimension, another one raises ValueError.
 
-    A zero vector stays zero. Returns the dimension.
+    A zero vector stays zero. The store's dimension, metric and number of rows stand in a JSON file beside the data (W02).
+    Returns the dimension.
     """
     spark = vectors.sparkSession
-    held = spark.read.parquet(path).select(F.max(F.size(vec))).first()[0] if exists(spark, path) else dim
+    meta = json.loads(get_text(spark, f"{path}/_meta.json") or "{}")
+    held = meta.get("dim") or dim
     sizes = [r[0] for r in vectors.where(F.col(vec).isNotNull()).select(F.size(vec)).distinct().limit(2).collect()]
     want = held or (sizes[0] if sizes else 0)
     if any(s != want for s in sizes):
@@ -143,22 +201,87 @@ def write_vectors(vectors: DataFrame, path: str, vec: str, dim: int | None = Non
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     unit = F.transform(vec, lambda x: (x / F.when(norm == 0, F.lit(1.0)).otherwise(norm)).cast("float"))
     vectors.withColumn(vec, unit).write.mode("append").parquet(path)
+    put_text(spark, f"{path}/_meta.json", json.dumps({"dim": want, "metric": metric, "count": spark.read.parquet(path).count()}))
     return want
 
 
-def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], order: str) -> None:
-    """The table at path with the new rows, one per key, that of the greatest ``order``; atomic by table swap.
+#: The key columns of every node and edge type.
+NODE_KEYS = {"DocumentChunk": ["chunk_id"], "SourceDocument": ["source_file"], "Entity": ["entity_id"]}
+EDGE_KEYS = {"FROM_SOURCE": ["chunk_id", "source_file"], "NEXT_CHUNK": ["chunk_id", "next_chunk_id"], "MENTIONS": ["chunk_id", "entity_id"], "RELATED_TO": ["src", "relation_type", "dst"]}
+BUCKETS = 64
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current rows of an upserted table; None before the first commit."""
+    manifest = json.loads(get_text(spark, f"{path}/_manifest.json") or "{}")
+    return _parts(spark, manifest).drop("_bucket") if manifest else None
 
-    The new version is written beside the old one and then renamed, so readers see one or the other.
+
+def _parts(spark: SparkSession, manifest: dict[str, str]) -> DataFrame:
+    """The rows of every part from the version that the manifest names for it: at most BUCKETS versions."""
+    out = None
+    for version in sorted(set(manifest.values())):
+        rows = spark.read.parquet(version).where(F.col("_bucket").isin([int(b) for b, v in manifest.items() if v == version]))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+class Transaction:
+    """Upserts into several tables that show all together at commit, or not at all.
+
+    A table is kept in BUCKETS parts by the hash of its keys. An upsert writes new versions of the touched parts only; the
+    table's manifest, which names the version of every part, is swapped at commit by an atomic rename. Rollback, or an
+    error inside the ``with`` block, deletes the new versions; a crash leaves the old manifests in force.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    both = spark.read.parquet(path).unionByName(new) if exists(spark, path) else new
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    both.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i").write.mode("overwrite").parquet(path + "_next")
-    target, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + "_next")
-    fs = target.getFileSystem(conf)
-    fs.delete(target, True)
-    fs.rename(fresh, target)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.staged = spark, {}
+
+    def __enter__(self) -> Transaction:
+        return self
+
+    def __exit__(self, kind, value, trace) -> None:
+        self.commit() if kind is None else self.rollback()
+
+    def upsert(self, new: DataFrame, path: str, keys: list[str], order: str) -> None:
+        """One row per key, that of the greatest ``order``, among the new rows and those of the touched parts."""
+        manifest = self.staged.get(path) or json.loads(get_text(self.spark, f"{path}/_manifest.json") or "{}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+        fresh = new.withColumn("_bucket", bucket)
+        touched = sorted(str(r[0]) for r in fresh.select("_bucket").distinct().collect())  # at most BUCKETS
+        old = {t: manifest[t] for t in touched if t in manifest}
+        both = _parts(self.spark, old).unionByName(fresh) if old else fresh
+        w = Window.partitionBy("_bucket", *keys).orderBy(F.desc(order))
+        version = f"{path}/v-{uuid.uuid4().hex[:12]}"
+        both.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i").write.parquet(version)
+        self.staged[path] = {**manifest, **{t: version for t in touched}}
+
+    def nodes(self, kind: str, new: DataFrame, root: str, order: str) -> None:
+        """Nodes of a type; an unknown type raises KeyError."""
+        self.upsert(new, f"{root}/{kind}", NODE_KEYS[kind], order)
+
+    def edges(self, kind: str, new: DataFrame, root: str, order: str) -> None:
+        """Edges of a type; an unknown type raises KeyError."""
+        self.upsert(new, f"{root}/{kind}", EDGE_KEYS[kind], order)
+
+    def commit(self) -> None:
+        for path, manifest in self.staged.items():
+            put_text(self.spark, f"{path}/_manifest.json", json.dumps(manifest))
+        self.staged = {}
+
+    def rollback(self) -> None:
+        for path, manifest in self.staged.items():
+            kept = set(json.loads(get_text(self.spark, f"{path}/_manifest.json") or "{}").values())
+            for version in set(manifest.values()) - kept:
+                fs, p = fs_of(self.spark, version)
+                fs.delete(p, True)
+        self.staged = {}
+
+
+def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], order: str) -> None:
+    """One upsert as a transaction of its own."""
+    with Transaction(spark) as t:
+        t.upsert(new, path, keys, order)
 
 
 def clear(spark: SparkSession, path: str) -> None:
@@ -167,13 +290,36 @@ def clear(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A phase's table; built and written once, read where its output is complete."""
-    if not exists(spark, path + "/_SUCCESS"):
+def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], fingerprint: str = "") -> DataFrame:
+    """A phase's table; built once, and again where the fingerprint of its inputs and settings has changed."""
+    if not exists(spark, path + "/_SUCCESS") or (get_text(spark, path + "/_fingerprint") or "") != fingerprint:
         build().write.mode("overwrite").parquet(path)
+        put_text(spark, path + "/_fingerprint", fingerprint)
     return spark.read.parquet(path)
 
 
+def staged_import(spark: SparkSession, root: str, phases: list[tuple[str, Callable[[dict[str, DataFrame]], DataFrame]]], settings: str = "") -> dict[str, DataFrame]:
+    """Phases in order, each a table built from the ones before it; a phase whose settings or predecessors have changed
+    is built again, and so are all behind it."""
+    done: dict[str, DataFrame] = {}
+    mark = settings
+    for name, build in phases:
+        mark = hashlib.sha256(f"{mark}/{name}".encode()).hexdigest()[:16]
+        done[name] = stage(spark, f"{root}/{name}", lambda build=build: build(done), mark)
+    return done
+
+
+def latest_run(spark: SparkSession, root: str, prefix: str, dataset: str | None = None) -> str | None:
+    """The newest folder prefix_[dataset_]* under root/runs or root; None if there is none."""
+    head = f"{prefix}_{dataset}_" if dataset else f"{prefix}_"
+    found = []
+    for place in (f"{root}/runs", root):
+        if exists(spark, place):
+            fs, p = fs_of(spark, place)
+            found += [(f.getModificationTime(), f.getPath().toString()) for f in fs.listStatus(p) if f.isDirectory() and f.getPath().getName().startswith(head)]
+    return max(found)[1] if found else None
+
+
 def write_records(records: DataFrame, path: str) -> None:
     """JSON lines, one folder per configuration."""
     records.write.mode("append").partitionBy("row_name").json(path)
@@ -188,6 +334,19 @@ def write_summary(rows: DataFrame, path: str, limit: int = 1000) -> str:
     return "\n".join(lines)
 
 
+def latex_table(rows: DataFrame, limit: int = 1000) -> str:
+    """The summary as a LaTeX tabular."""
+    clean = lambda v: "" if v is None else latex_escape(str(v))
+    head = " & ".join(clean(c) for c in rows.columns)
+    body = [" & ".join(clean(v) for v in r) + r" \\" for r in rows.limit(limit).collect()]
+    return "\n".join([r"\begin{tabular}{" + "l" * len(rows.columns) + "}", head + r" \\ \hline", *body, r"\end{tabular}"])
+
+
+def latex_escape(text: str) -> str:
+    """Text with the letters that LaTeX reserves escaped."""
+    return "".join({"&": r"\&", "%": r"\%", "_": r"\_", "#": r"\#", "$": r"\$", "{": r"\{", "}": r"\}"}.get(c, c) for c in text)
+
+
 def without_cached(texts: DataFrame, cache: DataFrame, key: str, model: str) -> DataFrame:
     """Texts whose (hash, model) the cache lacks, with their hash."""
     keyed = texts.withColumn("text_hash", F.sha2(F.col(key), 256))

@@ -280,10 +280,22 @@ def test_exports_and_stores(spark, tmp_path):
     t = str(tmp_path / "ent")
     for seq, name in ((1, "old"), (2, "new")):
         loaders.upsert(spark, spark.createDataFrame([("e", name, seq)], "id string, name string, seq int"), t, ["id"], "seq")
-    assert [row["name"] for row in spark.read.parquet(t).collect()] == ["new"]
+    assert [row["name"] for row in loaders.read_table(spark, t).collect()] == ["new"]
+    with pytest.raises(RuntimeError):
+        with loaders.Transaction(spark) as tx:
+            tx.upsert(spark.createDataFrame([("e", "broken", 3), ("f", "x", 1)], "id string, name string, seq int"), t, ["id"], "seq")
+            raise RuntimeError
+    assert [row["name"] for row in loaders.read_table(spark, t).collect()] == ["new"] and loaders.read_table(spark, str(tmp_path / "no")) is None
+    with pytest.raises(KeyError):
+        loaders.Transaction(spark).nodes("Planet", spark.range(1), t, "id")
+    assert json.loads(loaders.get_text(spark, store + "/_meta.json")) == {"dim": 2, "metric": "cosine", "count": 2}
     calls = []
     build = lambda: calls.append(1) or spark.range(3)
     assert loaders.stage(spark, str(tmp_path / "st"), build).count() == 3 == loaders.stage(spark, str(tmp_path / "st"), build).count() and len(calls) == 1
+    assert loaders.stage(spark, str(tmp_path / "st"), build, "other").count() == 3 and len(calls) == 2
+    (tmp_path / "runs" / "sweep_a_1").mkdir(parents=True)
+    assert loaders.latest_run(spark, str(tmp_path), "sweep", "a").endswith("sweep_a_1") and loaders.latest_run(spark, str(tmp_path), "none") is None
+    assert r"a\_b" in loaders.latex_table(spark.createDataFrame([("a_b", None)], "x string, y string"))
     assert "| 0 |" in loaders.write_summary(spark.range(1), str(tmp_path / "sum"))
     loaders.clear(spark, t)
     assert not loaders.exists(spark, t)

@@ -7,7 +7,7 @@ from compare import connect, rows
 
 MODULES = [
     "operators.mentions", "operators.evaluation", "operators.retrieval", "operators.graph", "operators.chunking", "operators.filters",
-    "plans.planner", "operators.verification", "operators.extraction", "operators.significance", "operators.linking", "streaming.events",
+    "plans.planner", "operators.verification", "operators.extraction", "operators.significance", "operators.linking", "streaming.events", "sources.round_trips",
 ]
 
 
@@ -23,4 +23,5 @@ def test_oracles(spark, sf, module):
 def test_queries_without_statement_run(spark, sf, module):
     m = importlib.import_module(f"lanefold.{module}")
     for name in set(m.QUERIES) - set(m.ORACLE):
-        assert m.QUERIES[name](spark, sf).count() >= 0, name
+        rows_ = m.QUERIES[name](spark, sf).toPandas()
+        assert len(rows_) and not rows_.duplicated([c for c in rows_ if not rows_[c].map(lambda v: isinstance(v, (list, dict))).any()]).all(), name
