@@ -26,27 +26,32 @@ def _shift(vertex: F.Column, seed: int) -> F.Column:
     return -F.log(u) / F.lit(BETA)
 
 
-def _salted(pairs: DataFrame) -> tuple[DataFrame, int]:
-    """(a, b, cost, salt, parts) with self-loops of cost 0: an end of many edges is spread over ``parts`` salts.
+def _graph(pairs: DataFrame) -> tuple[DataFrame, int, bool]:
+    """(edges both ways and self-loops of cost 0, number of edges, whether an end has more than one part).
 
-    The loops let one join move both the messages of neighbours and a vertex's own state. A vertex has one part per
-    PART_EDGES of its edges, so the copies of its state stay below vertices + edges / PART_EDGES in all.
+    Columns a, b, cost, salt, parts. The loops let one aggregation move both the messages of neighbours and a vertex's own
+    state. A vertex has one part per PART_EDGES of its edges, and an edge of such a vertex the salt of one of them; there
+    are at most edges / PART_EDGES of these vertices, so the join that marks them is small on one side.
     """
     both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    sided = materialise(pairs.select(F.explode(both).alias("e")).select("e.*"), "edges")
-    n = sided.count()
-    degrees = materialise(sided.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "degrees")
-    parts = F.ceil(F.col("degree") / PART_EDGES).cast("int")
-    edges = attach(sided, degrees, "a", "degree", n).select(
-        "a", "b", F.lit(1).alias("cost"), F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"), parts.alias("parts")
-    )
-    loops = degrees.select("a", F.col("a").alias("b"), F.lit(0).alias("cost"), F.lit(0).alias("salt"), parts.alias("parts"))
-    return materialise(edges.unionByName(loops), "salted"), n
-
-
-def _copies(state: DataFrame) -> DataFrame:
-    """One copy of a vertex's state for each of its salts."""
-    return state.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).withColumnRenamed("v", "a")
+    sided = pairs.select(F.explode(both).alias("e")).select("e.*")
+    degrees = sided.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART_EDGES).cast("int").alias("parts"))
+    marked = sided.join(degrees.where("parts > 1"), "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    edges = marked.select("a", "b", F.lit(1).alias("cost"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("salt"), "parts")
+    loops = degrees.select("a", F.col("a").alias("b"), F.lit(0).alias("cost"), F.lit(0).alias("salt"), "parts")
+    table = materialise(edges.unionByName(loops), "graph")
+    n = table.agg(F.count(F.when(F.col("cost") == 1, 1)).alias("edges"), F.coalesce(F.max("parts"), F.lit(1)).alias("parts")).first()
+    return table, n["edges"], n["parts"] > 1
+
+
+def _sent(edges: DataFrame, state: DataFrame, heavy: bool) -> DataFrame:
+    """The state of each edge's first end at the edge. Ends of one part meet on the vertex alone, by which the state is
+    already partitioned; those of several parts on vertex and salt, with one copy of the state a part."""
+    light = edges.where("parts = 1").select("a", "b", "cost").join(state.drop("parts").withColumnRenamed("v", "a"), "a")
+    if not heavy:
+        return light
+    copies = state.where("parts > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).drop("parts").withColumnRenamed("v", "a")
+    return light.unionByName(edges.where("parts > 1").select("a", "b", "cost", "salt").join(copies, ["a", "salt"]).drop("salt"))
 
 
 def connected_groups(links: DataFrame, a: str, b: str, steps: int = STEPS) -> DataFrame:
@@ -57,36 +62,37 @@ def connected_groups(links: DataFrame, a: str, b: str, steps: int = STEPS) -> Da
     """
     pair = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b"))
     pairs = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges, n_edges = _salted(pairs)
-    least = edges.where("cost = 0").select(F.col("a").alias("v"), F.col("a").alias("least"))
-    levels: list[tuple[DataFrame, DataFrame, int]] = []
+    edges, n_edges, heavy = _graph(pairs)
+    levels: list[DataFrame] = []
     while n_edges:
         own = edges.where("cost = 0").select(F.col("a").alias("v"), F.col("a").alias("centre"), "parts")
         state = own.select("v", "centre", (-_shift(F.col("v"), len(levels))).alias("key"), "parts")
         for _ in range(steps):
-            sent = edges.select("a", "b", "cost", "salt").join(_copies(state), ["a", "salt"])
-            state = sent.groupBy(F.col("b").alias("v")).agg(
-                F.min(F.struct((F.col("key") + F.col("cost")).alias("key"), "centre")).alias("m"), F.max(F.when(F.col("cost") == 0, F.col("parts"))).alias("parts")
-            ).select("v", "m.centre", "m.key", "parts")
+            best = F.min(F.struct((F.col("key") + F.col("cost")).alias("key"), "centre")).alias("m")
+            kept = own.select("v", "parts") if heavy else None
+            state = _sent(edges, state, heavy).groupBy(F.col("b").alias("v")).agg(best).select("v", "m.centre", "m.key")
+            state = state.join(kept, "v") if heavy else state.withColumn("parts", F.lit(1))
         # a centre may itself have been taken over by another cluster: its followers are still connected through it
-        assign = materialise(state.join(least, "v").select("v", "centre", "least", "parts"), "assigned")
-        clusters = materialise(assign.groupBy("centre").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("members")), "clusters")
-        levels.append((assign, clusters, assign.count()))
-        ends = edges.where("cost = 1").select("a", "b", "salt").join(_copies(assign.select("v", "centre", "parts")), ["a", "salt"])
+        assign = materialise(state.select("v", "centre", "parts"), "assigned")
+        levels.append(assign)
+        ends = _sent(edges.where("cost = 1"), assign, heavy)
         cut = ends.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("centre").alias("a"), F.max("centre").alias("b"))
-        edges, n_edges = _salted(cut.where(F.col("a") != F.col("b")).select("a", "b").distinct())
-        least = clusters.select(F.col("centre").alias("v"), "least")
-    group = None
-    for assign, clusters, n in reversed(levels):
-        # a cluster without edges to others is a whole group; the others have their group from the round after
-        final = clusters
-        if group is not None:
-            final = clusters.join(group.select(F.col("id").alias("centre"), "group_id"), "centre", "left").select(
-                "centre", "members", F.coalesce("group_id", "least").alias("least")
-            )
-        found = attach(assign.select("v", "centre"), final, "centre", "members", n)
-        group = materialise(found.select(F.col("v").alias("id"), F.col("least").alias("group_id")), "groups")
-    return pairs.select(F.col("a").alias("id"), F.col("b").alias("group_id")) if group is None else group
+        edges, n_edges, heavy = _graph(cut.where(F.col("a") != F.col("b")).select("a", "b").distinct())
+    # from the last round to the first, each vertex takes over what its centre has become
+    final = None
+    for assign in reversed(levels):
+        here = assign.select(F.col("v").alias("id"), "centre")
+        if final is not None:
+            sizes = here.groupBy("centre").agg(F.count(F.lit(1)).alias("n"))
+            known = sizes.join(final.select(F.col("id").alias("centre"), "top"), "centre")
+            moved = attach(here, materialise(known, "moved"), "centre", "n", assign.count(), "left")
+            here = moved.select("id", F.coalesce("top", "centre").alias("centre"))
+        final = here.select("id", F.col("centre").alias("top"))
+    if final is None:
+        return pairs.select(F.col("a").alias("id"), F.col("b").alias("group_id"))
+    final = materialise(final, "tops")
+    sizes = materialise(final.groupBy("top").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n")), "groups")
+    return attach(final, sizes, "top", "n", final.count()).select("id", "group_id")
 
 
 def entity_groups(matches: DataFrame) -> DataFrame:
