@@ -282,6 +282,9 @@ _GRAMS = """
         FROM (SELECT id, gram FROM g WHERE side = 'd') d JOIN (SELECT id, gram FROM g WHERE side = 'i') i USING (gram)
     )"""
 ORACLE = {
+    "p9_matches": _GRAMS.rsplit(", f AS (", 1)[0].replace("SELECT side, id, array_to_string", "SELECT side, id, i, array_to_string") + """, m AS (SELECT d.id AS doc_id, k.id AS item_id, d.i AS a, d.i - k.i AS diagonal FROM (SELECT * FROM g WHERE side = 'd') d JOIN (SELECT * FROM g WHERE side = 'i') k USING (gram)),
+        r AS (SELECT *, a - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY a) AS island FROM (SELECT DISTINCT * FROM m)), l AS (SELECT doc_id, item_id, count(*) + 11 AS n_words, min(a) - 1 AS first_word FROM r GROUP BY doc_id, item_id, diagonal, island)
+        SELECT doc_id, item_id, n_words, first_word FROM l QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, first_word) = 1""",
     "p9_found": _GRAMS + " SELECT doc_id, item_id FROM f",
     "p9_clean": _GRAMS + " SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f)",
 }

@@ -128,4 +128,20 @@ _LEAD = """
         FROM u JOIN s USING (query_id, lane) JOIN k USING (query_id, lane) GROUP BY 1, 2
     )"""
 
-ORACLE = {"p7_found": _LEAD + " SELECT query_id, chunk_id FROM w WHERE wins >= 3 AND fair"}
+_CLOSE = """
+    WITH b AS (
+        SELECT query_id, chunk_id, max(vector_score) AS v, max(bm25_score) AS t, max(graph_score) AS g, max(rrf_score) AS r
+        FROM retrieval_results WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2
+    ), u AS (SELECT query_id, chunk_id, lane, x FROM b UNPIVOT INCLUDE NULLS (x FOR lane IN (v, t, g, r))),
+    o AS (SELECT query_id, lane, list(x ORDER BY x) FILTER (x IS NOT NULL) AS xs FROM u GROUP BY 1, 2),
+    q AS (SELECT query_id, lane, xs[1] AS low, xs[-1] AS most, xs[ceil(0.25 * len(xs))::INT] AS q1, xs[ceil(0.75 * len(xs))::INT] AS q3 FROM o),
+    f AS (SELECT query_id, lane, most, greatest(low, q1 - 3 * (q3 - q1)) AS lo, least(most, q3 + 3 * (q3 - q1)) AS hi FROM q),
+    w AS (SELECT query_id, chunk_id, lane, coalesce(least(greatest(x, lo), hi) - lo, 0) AS w, (x = most)::INT AS best FROM u JOIN f USING (query_id, lane)),
+    n AS (SELECT query_id, lane, sqrt(sum(w * w)) AS norm, max(w) AS top FROM w GROUP BY 1, 2),
+    d AS (SELECT query_id, chunk_id, sum(0.25::DOUBLE * pow((top - w) / CASE WHEN norm > 0 THEN norm ELSE 1 END, 0.25)) AS di, sum(0.25::DOUBLE * pow(w / CASE WHEN norm > 0 THEN norm ELSE 1 END, 0.25)) AS da, sum(coalesce(best, 0)) AS n_best FROM w JOIN n USING (query_id, lane) GROUP BY 1, 2),
+    c AS (SELECT query_id, chunk_id, n_best, round(CASE WHEN pow(di, 4) + pow(da, 4) > 0 THEN pow(da, 4) / (pow(di, 4) + pow(da, 4)) ELSE 0 END, 9) AS closeness FROM d)"""
+
+ORACLE = {
+    "p7_found": _LEAD + " SELECT query_id, chunk_id FROM w WHERE wins >= 3 AND fair",
+    "p7_ranking": _CLOSE + " SELECT query_id, chunk_id, closeness, row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC, n_best DESC, chunk_id) AS rank FROM c",
+}
