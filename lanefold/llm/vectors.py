@@ -2,7 +2,8 @@
 
 Directions are laid out several times; a layout is a random-projection tree whose split points come from a bounded
 sample down to MAX_DEPTH levels, and from all rows of a branch below them. So its cells have about CELL rows at any input
-size, every row is indexed in every layout, and the number of layouts follows the whole depth. In a cell, M
+size, every row is indexed in every layout, and the number of layouts follows the whole depth. Layouts are searched
+AT_ONCE at a time, each lot leaving only the k best others of every row, so that disk holds one lot's rows. In a cell, M
 random single projections are kept as sorted arrays. A query-centred window in each array is widened in rounds (virtual
 rehashing); each other vector inside a window is a collision, and vectors that reach the collision threshold are
 verified by their exact cosine. Exact copies are represented once, so a large group of them fills no cell.
@@ -19,13 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lanefold.operators.skew import attach_counted
 from lanefold.sources.shared import load, materialise
 
 K = 5
 CELL = 1024
 #: levels whose cuts come from the sample; a branch below them is worked on by one task, which halves it further
-MAX_DEPTH = 10
+MAX_DEPTH = 12
 SAMPLE_ROWS = 65_536
+AT_ONCE = 4
 M = 32
 THRESHOLD = 7
 WINDOWS = (64, 32, 16)
@@ -48,9 +51,10 @@ def fit_trees(sample: np.ndarray, depth: int, layouts: int, seed: int = 7) -> tu
         node = np.ones(len(sample), np.int64)
         for level in range(depth):
             p = sample @ directions[:, t * depth + level]
-            for x in range(1 << level, 2 << level):
-                at = node == x
-                cuts[t, x] = np.median(p[at]) if at.any() else 0
+            order = np.lexsort((p, node))
+            first = np.searchsorted(node[order], np.arange(1 << level, (2 << level) + 1))
+            some = np.flatnonzero(first[1:] > first[:-1])
+            cuts[t, (1 << level) + some] = p[order[(first[some] + first[some + 1] - 1) // 2]]
             node = 2 * node + (p > cuts[t, node])
     return directions, cuts
 
@@ -156,15 +160,8 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int
     sampled = reps.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("unit").limit(2 * SAMPLE_ROWS).toPandas()["unit"]
     sample = np.frombuffer(b"".join(sampled), np.float32).reshape(-1, dim)
     directions, cuts = fit_trees(sample, depth, layouts)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = np.frombuffer(b"".join(batch["unit"]), np.float32).reshape(-1, dim)
-            cell = cells_of(x, directions, cuts, depth) if depth else np.ones((len(x), 1), np.int64)
-            for t in range(layouts):
-                yield pd.DataFrame({"layout": t, "cell": cell[:, t], "rep": batch["rep"], "unit": batch["unit"]})
+    ranked = Window.partitionBy("rep").orderBy(F.desc("cosine"), "near")
+    best = lambda met: met.groupBy("rep", "near").agg(F.max("cosine").alias("cosine")).withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k).select("rep", "near", "cosine")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         if whole == depth:
@@ -181,17 +178,34 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int
             out.append(pd.DataFrame({"rep": rep[at[q]], "near": rep[at[o]], "cosine": c.astype(float)}))
         return pd.concat(out[1:] or out)
 
-    placed = reps.mapInPandas(place, "layout int, cell long, rep string, unit binary")
-    met = placed.groupBy("layout", "cell").applyInPandas(search, "rep string, near string, cosine double")
-    ranked = Window.partitionBy("rep").orderBy(F.desc("cosine"), "near")
-    pairs = met.groupBy("rep", "near").agg(F.max("cosine").alias("cosine"))
-    pairs = pairs.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k).select("rep", "near", "cosine")
+    def lot(first: int, last: int) -> DataFrame:
+        """The k best others of every row within layouts first to last - 1."""
+        used, own = directions[:, first * depth : last * depth], cuts[first:last]
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x = np.frombuffer(b"".join(batch["unit"]), np.float32).reshape(-1, dim)
+                cell = cells_of(x, used, own, depth) if depth else np.ones((len(x), 1), np.int64)
+                for t in range(last - first):
+                    yield pd.DataFrame({"layout": first + t, "cell": cell[:, t], "rep": batch["rep"], "unit": batch["unit"]})
+
+        placed = reps.mapInPandas(place, "layout int, cell long, rep string, unit binary")
+        return best(placed.groupBy("layout", "cell").applyInPandas(search, "rep string, near string, cosine double"))
+
+    met = None
+    for first in range(0, layouts, AT_ONCE):
+        part = materialise(lot(first, min(layouts, first + AT_ONCE)), "near")
+        met = part if met is None else met.unionByName(part)
+        spark.sparkContext._jvm.System.gc()  # lets the shuffle files of the lot be removed
+    pairs = best(met)
     listed = heads.groupBy("same").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"))  # k+1 ids at most
     others = pairs.join(listed.select(F.col("rep").alias("near"), "ids"), "near").select("rep", "ids", "cosine")
     own = listed.where(F.size("ids") > 1).select("rep", "ids", F.lit(1.0).alias("cosine"))
     options = own.unionByName(others).groupBy("rep").agg(F.collect_list(F.struct("cosine", "ids")).alias("o"))  # k+1 lists
     options = options.join(listed.select("rep", "same"), "rep").select("same", "o")
-    expanded = units.select("id", "same").join(options, "same").select("id", F.explode("o").alias("o"))
+    expanded = attach_counted(units.select("id", "same"), options, "same").select("id", F.explode("o").alias("o"))
     expanded = expanded.select("id", "o.cosine", F.explode("o.ids").alias("other")).where(F.col("other") != F.col("id"))
     final = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     top = expanded.withColumn("place", F.row_number().over(final)).where(F.col("place") <= k)
