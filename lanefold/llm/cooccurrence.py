@@ -169,8 +169,8 @@ def cooccurrence(chunks: DataFrame, min_together: int = 1, min_ratio: float = 0.
     )
     n = F.lit(n_chunks).cast("long")
     return summed.where(
-        (F.col("together") >= min_together) & (F.col("together") * n >= F.lit(min_ratio) * F.col("count_a") * F.col("count_b"))
-    ).withColumn("n_chunks", n).withColumn("ratio", F.col("together") * n / (F.col("count_a") * F.col("count_b")))
+        (F.col("together") >= min_together) & (F.col("together").cast("double") * n >= F.lit(float(min_ratio)) * F.col("count_a") * F.col("count_b"))
+    ).withColumn("n_chunks", n).withColumn("ratio", F.col("together").cast("double") * n / (F.col("count_a").cast("double") * F.col("count_b")))
 
 
 def p3_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
