@@ -28,7 +28,7 @@ CELL = 1024
 #: levels whose cuts come from the sample; a branch below them is worked on by one task, which halves it further
 MAX_DEPTH = 12
 SAMPLE_ROWS = 65_536
-AT_ONCE = 4
+AT_ONCE = 10
 M = 32
 THRESHOLD = 7
 WINDOWS = (64, 32, 16)
