@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from lanefold.functions.metrics import dcg_at, ndcg_at, norm_title, recall_at, reciprocal_rank
 from lanefold.functions.text import LEXICAL, LEXICAL_STOPS, lexical_tokens, strip, strip_sql
 from lanefold.operators.skew import attach, numbered
+from lanefold.plans.settings import DEFAULTS, cell
 from lanefold.sources.shared import load, materialise
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.25
@@ -164,6 +165,28 @@ def r08_rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(fused, "rrf", ["query_id"], TOP_K).select("query_id", "chunk_id", "rrf", "method", "rank", "source_doc", "hop_distance")
 
 
+def configured(spark: SparkSession, sf_dir: str, settings: dict) -> DataFrame:
+    """The fused lists under settings: mode, weights, whether the lexical lane runs, smoothing, bonus and length.
+
+    Mode "vector" or "graph" leaves the other lanes out; an unknown mode raises ValueError.
+    """
+    rag, mode = settings["rag"], settings["rag"]["retrieval_mode"]
+    if mode not in ("vector", "graph", "hybrid"):
+        raise ValueError(f"unknown retrieval mode: {mode}")
+    on = {"vector": mode != "graph", "graph": mode != "vector", "bm25": mode == "hybrid" and rag["enable_bm25"]}
+    weights = _weights(*[rag[f"{lane}_weight"] if on[lane] else 0.0 for lane in LANES])
+    fused = rrf(lanes(spark, sf_dir), weights, F.lit(rag["cross_source_boost"]), rag["rrf_k"])
+    return top(fused, "rrf", ["query_id"], settings["vector_store"]["top_k_vectors"])
+
+
+#: the settings of the r14 query: a narrower list, a weaker graph lane and less smoothing than the defaults
+R14_CHANGES = {"rag.graph_weight": 0.5, "rag.rrf_k": 30, "rag.cross_source_boost": 1.5, "vector_store.top_k_vectors": 10}
+
+
+def r14_configured_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return configured(spark, sf_dir, cell(DEFAULTS, R14_CHANGES)).select("query_id", "chunk_id", "rrf", "method", "rank")
+
+
 #: Lane presets as weights of vector, graph and lexical lane. R10: a graph weight without a vector weight means
 #: graph mode, which leaves the lexical lane out; no weight of either means the lexical lane alone.
 PRESETS = {"dense": (1.0, 0.0, 0.0), "bm25": (0.0, 0.0, 1.0), "graph": (0.0, 1.0, 0.0), "hybrid": (1.0, 1.0, 1.0), "hybrid_005": (1.0, 0.05, 1.0)}
@@ -388,7 +411,7 @@ def s20_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    r01_dense_topk, r02_l2_topk, r03_normalised, r05_lexical_tokens, r06_term_index, r08_rrf_fusion, r09_fingerprint_dedup, r11_dense_only, r12_graph_only, r15_lane_presets, f02_subquery_fusion,
+    r01_dense_topk, r02_l2_topk, r03_normalised, r05_lexical_tokens, r06_term_index, r08_rrf_fusion, r09_fingerprint_dedup, r11_dense_only, r12_graph_only, r14_configured_fusion, r15_lane_presets, f02_subquery_fusion,
     a01_ir_metrics, a07_lane_summary, a09_boost_sweep, a11_graph_rescued, a12_rescue_by_type, a50_crowd_out, a51_answer_bearing, a52_source_ranks, d16_lane_contrast, m04_gold_titles, m07_supporting_facts, m09_ranking_metrics, s20_source_rows,
 )} | {"r07_bm25_topk": bm25}
 
@@ -451,6 +474,7 @@ ORACLE = {
         SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY vector_rank, chunk_id) AS rank FROM k WHERE i = 1""",
     "r11_dense_only": _L + " SELECT query_id, chunk_id, round(vector_score, 6) AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY vector_rank, chunk_id) AS rank FROM r WHERE vector_rank IS NOT NULL QUALIFY rank <= 20",
     "r12_graph_only": _L + ", g AS (SELECT *, round(greatest(0, graph_score), 6) AS score FROM r WHERE graph_rank IS NOT NULL) SELECT query_id, chunk_id, score, hop_distance, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, chunk_id) AS rank FROM g QUALIFY rank <= 20",
+    "r14_configured_fusion": _L + _rrf_sql(_cells({"x": (1.0, 0.5, 1.0)}, (1.5,))).replace("(60 + ", "(30 + ").replace("beta / 61", "beta / 31") + " SELECT query_id, chunk_id, rrf, method, rank FROM t WHERE rank <= 10",
     "r15_lane_presets": _L + _rrf_sql(_cells(PRESETS)) + " SELECT preset, query_id, chunk_id, rrf, method, rank FROM t WHERE rank <= 10",
     "f02_subquery_fusion": _L + """, u AS (SELECT query_id, chunk_id, source_doc, 'vector' AS sq, vector_score AS s FROM r UNION ALL SELECT query_id, chunk_id, source_doc, 'graph', graph_score FROM r UNION ALL SELECT query_id, chunk_id, source_doc, 'bm25', bm25_score FROM r),
         p AS (SELECT *, row_number() OVER (PARTITION BY query_id, sq ORDER BY s DESC, chunk_id) - 1 AS place FROM u WHERE s IS NOT NULL AND NOT isnan(s)),

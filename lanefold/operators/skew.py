@@ -46,6 +46,25 @@ def attach_counted(rows: DataFrame, unique: DataFrame, key: str, how: str = "inn
     return attach(rows, held, key, "_weight", total, how).drop("_weight")
 
 
+def block_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, block_rows: int = 1000) -> DataFrame:
+    """All pairs of a left and a right row with equal keys, hot keys cut into square blocks.
+
+    A key with more than block_rows right rows is dealt into parts on both sides by the hash of the ids, and every pair of
+    parts meets as a block of its own, about block_rows right rows at most. There are at most right rows / block_rows such
+    keys, so the join that marks them is small on one side. Null keys meet nothing.
+    """
+    keys = list(keys)
+    hot = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows).select(*keys, F.ceil(F.col("_n") / block_rows).cast("int").alias("_parts"))
+    hot = materialise(hot, "hot-keys")
+
+    def dealt(rows: DataFrame, own: str, other: str, id_col: str) -> DataFrame:
+        parts = F.coalesce("_parts", F.lit(1))
+        marked = rows.join(hot, keys, "left").withColumn("_parts", parts)
+        return marked.select(*rows.columns, F.pmod(F.xxhash64(id_col), "_parts").cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias(other))
+
+    return dealt(left, "_i", "_j", left_id).join(dealt(right, "_j", "_i", right_id), [*keys, "_i", "_j"]).drop("_i", "_j")
+
+
 def offset_chunks(rows: DataFrame, keys: Sequence[str], chunk_rows: int, within: Sequence[str] = ()) -> DataFrame:
     """rows with ``_row`` (0-based number in key order) and ``_chunk`` = _row div chunk_rows.
 

@@ -70,12 +70,54 @@ def test_model_stages(spark):
 
 def test_settings(tmp_path, monkeypatch):
     p = tmp_path / "s.json"
-    p.write_text(json.dumps({"retrieval": {"rrf_k": 10, "odd": 1}}))
+    p.write_text(json.dumps({"rag": {"rrf_k": 10, "odd": 1}}))
     monkeypatch.setenv("OLLAMA_HOST", "http://x")
     s, notes = settings.load_settings(str(p))
-    assert s.retrieval.rrf_k == 10 and s.model_server == "http://x" and "unknown key retrieval.odd" in notes
-    assert settings.load_settings(str(tmp_path / "none"))[0].retrieval.rrf_k == 60
-    assert settings.differences(settings.Settings(), s) == {"retrieval.rrf_k": (60, 10)}
+    assert s["rag"]["rrf_k"] == 10 and s["llm"]["base_url"] == "http://x" and "unknown key rag.odd" in notes and "missing key llm.timeout" in notes
+    assert len(settings.flat(settings.DEFAULTS)) - len(settings.OPTIONAL) == 37
+    base, notes = settings.load_settings(str(tmp_path / "none"))
+    assert base["rag"]["rrf_k"] == 60 and notes[0].startswith("defaults")
+    assert settings.differences(base, settings.cell(base, {"rag.rrf_k": 10})) == {"rag.rrf_k": (60, 10)}
+    with pytest.raises(KeyError):
+        settings.cell(base, {"rag.nope": 1})
     assert settings.parse_configs("3:1, 5:2") == [(3, 1), (5, 2)]
-    with pytest.raises(ValueError):
-        settings.parse_configs("2:2")
+    for bad in ("2:2", "x"):
+        with pytest.raises(ValueError):
+            settings.parse_configs(bad)
+    assert settings.expand_bitwidths("m:1b", ["q8_0", " ", "Q4_K_M"]) == [{"tag": "m:1b-q8_0", "bitwidth": "q8_0", "base": "m:1b"}, {"tag": "m:1b", "bitwidth": "Q4_K_M", "base": "m:1b"}]
+
+
+def test_indented_settings(tmp_path):
+    p = tmp_path / "s.yaml"
+    p.write_text("# head\nrag:\n  rrf_k: 30   # close\n  retrieval_mode: 'graph'\nentity_extraction:\n  gliner:\n    confidence_threshold: 0.4\n    entity_types:\n      - person\n      - city\nagent:\n  enable_verifier: false\n")
+    s, notes = settings.load_settings(str(p))
+    assert (s["rag"]["rrf_k"], s["rag"]["retrieval_mode"], s["entity_extraction"]["gliner"]["confidence_threshold"], s["agent"]["enable_verifier"]) == (30, "graph", 0.4, False)
+    assert s["entity_extraction"]["gliner"]["entity_types"] == ["person", "city"] and "unknown key entity_extraction.gliner.entity_types" in notes
+    (tmp_path / "bad.yaml").write_text("no colon here\n")
+    assert settings.load_settings(str(tmp_path / "bad.yaml"))[1][0].startswith("defaults")
+
+
+def test_relations_from_given_parses(spark):
+    from lanefold.operators import parsing
+
+    t = [
+        # Ada Marsh directed Dawn and wrote Dusk
+        ("d", 0, 0, 1, "Ada", "Ada", "PROPN", "compound"), ("d", 0, 1, 2, "Marsh", "Marsh", "PROPN", "nsubj"), ("d", 0, 2, 2, "directed", "direct", "VERB", "ROOT"), ("d", 0, 3, 2, "Dawn", "Dawn", "PROPN", "dobj"),
+        ("d", 0, 4, 2, "and", "and", "CCONJ", "cc"), ("d", 0, 5, 2, "wrote", "write", "VERB", "conj"), ("d", 0, 6, 5, "Dusk", "Dusk", "PROPN", "dobj"),
+        # Dawn was founded by Ada Marsh
+        ("e", 0, 0, 2, "Dawn", "Dawn", "PROPN", "nsubjpass"), ("e", 0, 1, 2, "was", "be", "AUX", "auxpass"), ("e", 0, 2, 2, "founded", "found", "VERB", "ROOT"), ("e", 0, 3, 2, "by", "by", "ADP", "agent"),
+        ("e", 0, 4, 5, "Ada", "Ada", "PROPN", "compound"), ("e", 0, 5, 3, "Marsh", "Marsh", "PROPN", "pobj"),
+        # the mother of Marsh
+        ("f", 0, 0, 1, "the", "the", "DET", "det"), ("f", 0, 1, 1, "mother", "mother", "NOUN", "ROOT"), ("f", 0, 2, 1, "of", "of", "ADP", "prep"), ("f", 0, 3, 2, "Marsh", "Marsh", "PROPN", "pobj"),
+    ]
+    tokens = spark.createDataFrame(t, "doc string, sent int, i int, head int, text string, lemma string, pos string, dep string")
+    names = spark.createDataFrame([("ada marsh", "A"), ("dawn pictures", "D"), ("dusk", "U"), ("x", "X")], "canon string, entity_id string")
+    got = {tuple(r) for r in parsing.svo_relations(tokens, names).select("doc", "src", "relation_type", "dst").collect()}
+    assert got == {("d", "A", "direct", "D"), ("d", "A", "write", "U"), ("e", "A", "found", "D")}
+    assert [tuple(r) for r in parsing.passive_agents(tokens).collect()] == [("e", "Who found Dawn?")]
+    named = spark.createDataFrame([("f", "Ada Marsh")], "doc string, name string")
+    assert [tuple(r) for r in parsing.relational_nouns(tokens, named).collect()] == [("f", "Who is the mother of Ada Marsh?")]
+    assert parsing.svo_relations(tokens.limit(0), names).count() == 0
+    raw = spark.createDataFrame([("c", "Ada Marsh", "wrote", "Dusk", -0.1), ("c", "Adam", "wrote", "it", 0.2), ("c", "Ada", "wrote", "it", -5.0)], "chunk_id string, subject string, relation string, object string, score double")
+    kept = parsing.sure_triples(raw, spark.createDataFrame([("c", "Ada")], "chunk_id string, name string")).collect()
+    assert [(r["subject"], r["probability"]) for r in kept] == [("Ada Marsh", pytest.approx(0.904837))]

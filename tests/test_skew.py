@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanefold.operators.mentions import entity_profile, heavy_entities
-from lanefold.operators.skew import attach, extension_sums, numbered, offset_chunks, prefix_sums
+from lanefold.operators.skew import attach, attach_counted, block_join, extension_sums, numbered, offset_chunks, prefix_sums
 
 
 def edges(spark, rows):
@@ -59,3 +59,19 @@ def test_extension_sums_match_brute_force(spark):
     got = {r["t"]: r["x"] for r in extension_sums(df, "t", "n", "x").collect()}
     assert got == {t: sum(j + 1 for j, u in enumerate(texts) if u != t and u.startswith(t)) for t in texts}
     assert extension_sums(df.limit(0), "t", "n", "x").count() == 0
+
+
+def test_block_join_pairs_everything_once_also_in_a_hot_key(spark):
+    rows = [("hot", f"h{i}") for i in range(90)] + [("k", "a"), ("k", "b"), (None, "n"), ("lone", "l")]
+    df = spark.createDataFrame(rows, "k string, id string")
+    got = [(r["a"], r["b"]) for r in block_join(df.withColumnRenamed("id", "a"), df.withColumnRenamed("id", "b"), ["k"], "a", "b", 20).collect()]
+    want = {(a, b) for k, a in rows for m, b in rows if k is not None and k == m}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert block_join(df.limit(0).withColumnRenamed("id", "a"), df.withColumnRenamed("id", "b"), ["k"], "a", "b").count() == 0
+
+
+def test_attach_counted_keeps_every_row(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(3000)] + [("k", 1), ("none", 2), (None, 3)], "k string, v int")
+    names = spark.createDataFrame([("hot", "H"), ("k", "K"), ("unused", "U")], "k string, name string")
+    got = attach_counted(rows, names, "k").groupBy("k", "name").count().collect()
+    assert {(r["k"], r["name"], r["count"]) for r in got} == {("hot", "H", 3000), ("k", "K", 1)}
