@@ -3,29 +3,27 @@
 Names become lists of plain tokens (case, accents, titles, legal marks and known short forms resolved). Distinct lists
 are the classes that are compared. Distinct tokens are joined with each other on what is left of them without a letter or two,
 long ones on their q-gram sets: a token's grams are ordered by their frequency, and only the rarest ones needed for the
-least overlap are joined. Both ways meet every pair that ``close`` accepts. So each token learns all
-its near spellings. A class is then compared with others that share one of its weighty tokens or any near spelling of it,
-and a leading letter of another token; the soft token similarity weighs tokens by rarity and matches equal, misspelt,
-shortened, initial and acronym tokens. Links are made from the surest kind to the weakest, and a shortened name is only
-linked where its longer names are one entity. Linked classes are consolidated by the groups operator.
+least overlap are joined. Both ways meet every pair that ``close`` accepts. So each token learns all its near spellings.
+Two classes are a candidate pair if they share a weighty token, as spelt by one of them, and a mark of another token: one
+of its near spellings, its beginning, or its initial where one side has only that. Pairs are made in blocks, so no task
+holds a frequent name, and each is verified on its own: the soft token similarity weighs tokens by rarity and matches
+equal, misspelt, shortened, initial and acronym tokens. Links are followed from the surest kind to the weakest, and a
+shortened name is only linked where its longer names are one entity.
 """
 
 from __future__ import annotations
 
-
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lanefold.llm.groups import connected_groups
-from lanefold.operators.skew import attach
+from lanefold.operators.skew import attach, block_join
 from lanefold.sources.shared import load, materialise
 
 TYPES = ("PERSON", "ORGANIZATION")
@@ -34,6 +32,8 @@ MOST_SHORTENED, LEAST_GRAMS, Q = 18, 17, 4
 KEY_SHARE = 0.6
 THRESHOLD = 0.6
 LONG = 9
+#: classes of a block of candidate pairs, letters of an acronym
+BLOCK_ROWS, ACRONYM = 500, 6
 
 #: Forms of address, words without weight in names of organisations, legal forms, and common short forms.
 TITLES = set("dr doctor prof professor rev reverend capt captain hon honourable honorable sir dame lady lord mr mrs ms miss mx fr sr jr herr frau col gen lt maj sgt phd md esq".split())
@@ -156,6 +156,7 @@ def soft(a: str, b: str, kind: str) -> float:
 
 
 SURE, SUBSET, WEAK = 3, 2, 1
+LEVELS = (SUBSET, SUBSET, WEAK, WEAK, WEAK)
 
 
 def compare(x: list[str], y: list[str], kind: str, weight: dict[str, float], key: tuple[str, ...]) -> tuple[int, bool]:
@@ -197,69 +198,6 @@ def compare(x: list[str], y: list[str], kind: str, weight: dict[str, float], key
     return (SUBSET, not left) if left or right else (SURE, False)
 
 
-def link_bucket(rows: list[tuple[str, list[str], dict[str, float], str]], kind: str, key: str) -> list[tuple[str, str]]:
-    """Links (class, class) among the classes of one bucket; rows: (class, tokens, weights, spelling of the key token).
-
-    Classes that spell the key as it stands are compared with all others. Two of the others meet in their own buckets; here
-    they are only compared where both could be the longer name of one that spells the key, to know whether they are one.
-    """
-    n = len(rows)
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    own = [r[3] == key for r in rows]
-    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    foreign: dict[tuple[int, int], int] = {}
-    longer: dict[int, set[int]] = defaultdict(set)
-
-    def judge(i: int, j: int) -> tuple[int, int, int]:
-        link, i_less = compare(rows[i][1], rows[j][1], kind, rows[i][2] | rows[j][2], (rows[i][3], rows[j][3]))
-        return (link, i, j) if i_less else (link, j, i)
-
-    centre = [i for i in range(n) if own[i]]
-    for i in centre:
-        for j in range(n):
-            if rows[i][0] == rows[j][0] or own[j] and j < i:
-                continue
-            link, less, more = judge(min(i, j), max(i, j))
-            if link == SURE or link and own[less]:
-                found[link].append((less, more))
-            elif link:
-                foreign[less, more] = link
-            if link and link != SURE and own[less]:
-                longer[less].add(more)
-    done = set()
-    for targets in longer.values():
-        for i, j in combinations(sorted(targets), 2):
-            if (i, j) in done or rows[i][0] == rows[j][0] or own[i] and own[j]:
-                continue
-            done.add((i, j))
-            if own[i] or own[j]:
-                for less, more in ((i, j), (j, i)):
-                    if (less, more) in foreign:
-                        found[foreign[less, more]].append((less, more))
-            else:
-                link, less, more = judge(i, j)
-                if link:
-                    found[link].append((less, more))
-    for i, j in found[SURE]:
-        root[find(i)] = find(j)
-    for level in (SUBSET, WEAK, WEAK, WEAK):
-        targets = defaultdict(set)
-        for less, more in found[level]:
-            if find(less) != find(more):
-                targets[find(less)].add(find(more))
-        for less, more in targets.items():
-            if len(more) == 1:
-                root[find(less)] = find(more.pop())
-    return [(rows[i][0], rows[find(i)][0]) for i in range(n) if find(i) != i]
-
-
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         lists = [tokens(n, k) for n, k in zip(b["name"], b["entity_type"])]
@@ -318,22 +256,90 @@ def similar_tokens(vocabulary: DataFrame) -> DataFrame:
     return near_pairs.unionByName(near_pairs.select("entity_type", F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of each bucket; rows come sorted by bucket."""
-    held: list = []
-    at = None
-    for b in [*batches, None]:
+def marks(x: Column, near: Column) -> Column:
+    """(mark, short) of a token beside the key. Any two tokens that ``soft`` matches share a mark: equal and close ones one of
+    their spellings, a shortened one its beginning, a contracted one its ends, initials and acronyms the first letter.
+
+    Marks of a first letter count only where one of the two is an initial, or short enough for an acronym.
+    """
+    n = F.length(x)
+    person = F.col("entity_type") == "PERSON"
+    mark = lambda c, short=False: F.struct(c.alias("mark"), F.lit(short).alias("short"))
+    whole = F.transform(F.array_union(F.array(x), near), lambda s: mark(F.concat(F.lit("="), s)))
+    start = F.when(n >= 3, F.array(mark(F.concat(F.lit("^"), F.substring(x, 1, 3)))))
+    ends = F.when((n >= 3) & ~person, F.array(mark(F.concat(F.lit("~"), F.substring(x, 1, 1), F.substring(x, -1, 1)))))
+    first = F.array(F.struct(F.concat(F.lit("i"), F.substring(x, 1, 1)).alias("mark"), F.when(person, n == 1).otherwise(n.between(2, ACRONYM)).alias("short")))
+    none = F.array().cast("array<struct<mark:string,short:boolean>>")
+    return F.concat(whole, F.coalesce(start, none), F.coalesce(ends, none), first)
+
+
+def candidate_pairs(listed: DataFrame) -> DataFrame:
+    """(entity_type, a, spelling_a, b, spelling_b): distinct pairs of classes with the spellings of the key token they share.
+
+    ``listed``: entity_type, sig, t (tokens), top (greatest weight), w (token to weight and near spellings).
+    """
+    keyed = listed.select("entity_type", "sig", "t", "w", "top", F.explode(F.array_distinct("t")).alias("spelling"))
+    keyed = keyed.where((F.col("w")[F.col("spelling")]["weight"] >= F.col("top") * KEY_SHARE) & (F.length("spelling") > 2))
+    others = F.array_distinct(F.filter("t", lambda x: x != F.col("spelling")))
+    found = F.array_distinct(F.flatten(F.transform(others, lambda x: marks(x, F.col("w")[x]["near"]))))
+    near = F.array_union(F.array("spelling"), F.col("w")[F.col("spelling")]["near"])
+    rows = keyed.select("entity_type", "sig", "spelling", F.explode(found).alias("m"), near.alias("near"))
+    rows = rows.select("entity_type", "sig", "spelling", "m.mark", "m.short", F.explode("near").alias("key"))
+    rows = materialise(rows.groupBy("entity_type", "key", "mark", "sig", "spelling").agg(F.max("short").alias("short")), "name-marks")
+    keys = ["entity_type", "key", "mark"]
+    own = rows.where(F.col("spelling") == F.col("key")).select(*keys, F.col("sig").alias("x"), F.col("spelling").alias("spelling_x"), F.col("short").alias("short_x"))
+    every = rows.select(*keys, F.col("sig").alias("y"), F.col("spelling").alias("spelling_y"), F.col("short").alias("short_y"))
+    met = block_join(own, every, keys, "x", "y", BLOCK_ROWS).where((F.col("x") != F.col("y")) & (~F.col("mark").startswith("i") | F.col("short_x") | F.col("short_y")))
+    turned = F.col("x") > F.col("y")
+    pick = lambda p, q, name: F.when(turned, F.col(q)).otherwise(F.col(p)).alias(name)
+    return met.select("entity_type", pick("x", "y", "a"), pick("spelling_x", "spelling_y", "spelling_a"), pick("y", "x", "b"), pick("spelling_y", "spelling_x", "spelling_b")).distinct()
+
+
+def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in batches:
         out = []
-        rows = b[["entity_type", "key", "letter", "sig", "spelling", "weights"]].itertuples(index=False, name=None) if b is not None else [(None,) * 6]
-        for kind, key, letter, sig, spelling, weights in rows:
-            if (kind, key, letter) != at:
-                if len(held) > 1:
-                    out += [(at[0], *x) for x in link_bucket(held, at[0], at[1])]
-                held, at = [], (kind, key, letter)
-            if sig is not None:
-                parts = sig.split(" ")
-                held.append((sig, parts, dict(zip(parts, map(float, weights))), spelling))
-        yield pd.DataFrame(out, columns=["entity_type", "a", "b"])
+        for kind, a, sa, wa, b, sb, wb in p[["entity_type", "a", "spelling_a", "weights_a", "b", "spelling_b", "weights_b"]].itertuples(index=False, name=None):
+            x, y = a.split(" "), b.split(" ")
+            weight = dict(zip(x, map(float, wa))) | dict(zip(y, map(float, wb)))
+            link, less = compare(x, y, kind, weight, (sa, sb))
+            if link:
+                out.append((kind, *((a, b) if less else (b, a)), link))
+        yield pd.DataFrame(out, columns=["entity_type", "less", "more", "link"])
+
+
+def verified_links(pairs: DataFrame, listed: DataFrame) -> DataFrame:
+    """(less, more, link) of the pairs that ``compare`` links, the surest link of each; names are tagged with their type."""
+    side = lambda s: listed.select("entity_type", F.col("sig").alias(s), F.col("weights").alias(f"weights_{s}"))
+    judged = pairs.join(side("a"), ["entity_type", "a"]).join(side("b"), ["entity_type", "b"]).mapInPandas(_judged, "entity_type string, less string, more string, link int")
+    tag = lambda c: F.concat_ws("\u0001", "entity_type", c)
+    tagged = judged.select(tag("less").alias("less"), tag("more").alias("more"), "link")
+    best = tagged.groupBy(F.least("less", "more").alias("x"), F.greatest("less", "more").alias("y")).agg(F.max(F.struct("link", "less", "more")).alias("l"))
+    return best.select("l.less", "l.more", "l.link")
+
+
+def merged(links: DataFrame) -> DataFrame:
+    """(id, group_id) of linked names: the sure links' groups, then in LEVELS passes the group of a shortened name joins that of
+    its longer names where these are one group."""
+    groups = connected_groups(links.where(F.col("link") == SURE), "less", "more")
+    weak = materialise(links.where(F.col("link") != SURE), "weak-links")
+    ids = weak.select(F.col("less").alias("id")).unionByName(weak.select(F.col("more").alias("id"))).unionByName(groups.select("id")).distinct()
+    groups = materialise(ids.join(groups, "id", "left").select("id", F.coalesce("group_id", "id").alias("g")), "name-groups")
+    total = groups.count()
+    for level in LEVELS if total else ():
+        less, more = groups.select(F.col("id").alias("less"), F.col("g").alias("from")), groups.select(F.col("id").alias("more"), F.col("g").alias("to"))
+        moves = weak.where(F.col("link") == level).join(less, "less").join(more, "more").where(F.col("from") != F.col("to")).groupBy("from").agg(F.min("to").alias("to"), F.max("to").alias("last"))
+        moves = materialise(moves.where(F.col("to") == F.col("last")).select("from", "to"), "moves")
+        if moves.isEmpty():
+            continue
+        back = moves.select(F.col("from").alias("to"), F.col("to").alias("from"), F.lit(True).alias("_both"))
+        moves = moves.join(back, ["from", "to"], "left").where(F.col("_both").isNull() | (F.col("from") > F.col("to"))).select("from", "to")
+        for _ in range(2):  # a longer name's group may itself move on
+            ahead = moves.select(F.col("from").alias("to"), F.col("to").alias("_next"))
+            moves = moves.join(ahead, "to", "left").select("from", F.coalesce("_next", "to").alias("to"))
+        sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n")).join(moves.withColumnRenamed("from", "g"), "g", "left")
+        groups = attach(groups, materialise(sizes, "group-moves"), "g", "n", total).select("id", F.coalesce("to", "g").alias("g"))
+        groups = materialise(groups, "name-groups")
+    return groups.withColumnRenamed("g", "group_id")
 
 
 def variant_groups(entities: DataFrame) -> DataFrame:
@@ -362,16 +368,9 @@ def variant_groups(entities: DataFrame) -> DataFrame:
     weighed = weighed.withColumn("weight", F.when(F.length("token") == 1, 0.5).otherwise(F.log(F.lit(float(n + 1)) / F.col("soft_df")) + 0.1))
     per = weighed.groupBy("entity_type", "sig").agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct("weight", "near")))).alias("w"), F.max("weight").alias("top"))
     parts = F.split("sig", " ")
-    listed = per.select("entity_type", "sig", "top", "w", parts.alias("t"), F.transform(parts, lambda x: F.col("w")[x]["weight"]).alias("weights"))
-    keyed = listed.select("entity_type", "sig", "t", "weights", "top", "w", F.explode(F.array_distinct("t")).alias("spelling"))
-    keyed = keyed.where((F.col("w")[F.col("spelling")]["weight"] >= F.col("top") * KEY_SHARE) & (F.length("spelling") > 2))
-    letters = F.flatten(F.transform(F.filter("t", lambda x: x != F.col("spelling")), lambda x: F.array(F.substring(x, 1, 1), F.substring(x, 2, 1))))
-    spelt = keyed.withColumn("key", F.explode(F.array_union(F.array("spelling"), F.col("w")[F.col("spelling")]["near"])))
-    buckets = spelt.select("entity_type", "key", "sig", "spelling", "weights", F.explode(F.filter(F.array_distinct(letters), lambda c: c != "")).alias("letter"))
-    links = buckets.repartition("entity_type", "key", "letter").sortWithinPartitions("entity_type", "key", "letter", "sig")
-    links = materialise(links.mapInPandas(_buckets, "entity_type string, a string, b string").distinct(), "name-links")
-    tagged = links.select(*[F.concat_ws("\u0001", "entity_type", c).alias(c) for c in ("a", "b")])
-    groups = connected_groups(tagged, "a", "b")
+    listed = materialise(per.select("entity_type", "sig", "top", "w", parts.alias("t"), F.transform(parts, lambda x: F.col("w")[x]["weight"]).alias("weights")), "name-weights")
+    links = materialise(verified_links(candidate_pairs(listed), listed), "name-links")
+    groups = merged(links)
     sig = F.concat_ws("\u0001", "entity_type", "sig")
     grouped = named.select("entity_id", sig.alias("sig")).join(groups.withColumnRenamed("id", "sig"), "sig", "left").select("entity_id", F.coalesce("group_id", "sig").alias("g"))
     smallest = grouped.groupBy("g").agg(F.min("entity_id").alias("group_id"), F.countDistinct("entity_id").alias("n")).where("n > 1")
@@ -379,9 +378,9 @@ def variant_groups(entities: DataFrame) -> DataFrame:
 
 
 def variant_pairs(groups: DataFrame) -> DataFrame:
-    """All pairs (entity_id_a, entity_id_b), a < b, of the members of each group."""
-    b = groups.select(F.col("entity_id").alias("entity_id_b"), "group_id")
-    return groups.withColumnRenamed("entity_id", "entity_id_a").join(b, "group_id").where("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b").distinct()
+    """All pairs (entity_id_a, entity_id_b), a < b, of the members of each group; a large group is paired in blocks."""
+    a, b = (groups.select("group_id", F.col("entity_id").alias(f"entity_id_{s}")) for s in "ab")
+    return block_join(a, b, ["group_id"], "entity_id_a", "entity_id_b").where("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b").distinct()
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

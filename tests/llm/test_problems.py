@@ -165,6 +165,43 @@ def test_similar_tokens_match_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_candidates_cover_every_pair_that_compare_links(spark, monkeypatch):
+    monkeypatch.setattr(names, "BLOCK_ROWS", 7)
+    rng = random.Random(12)
+    first = ["Robert", "Bob", "R.", "Rob", "Roberta", "Rowan", "Margaret", "Peggy", "M."]
+    last = ["Quillfeather", "Quillfaether", "Quilfeather", "Sandhurst", "Sandhursd"]
+    people = sorted({f"{rng.choice(first)} {rng.choice(['', 'James ', 'J. '])}{rng.choice(last)}" for _ in range(150)})
+    firms = ["Quillfeather Association for Marine Research", "Quillfeather AMR", "Quillfeather Assn Marine Research", "Quillfeather Dept. of Law", "Quillfeather Department of Law", "Quillfeather Football Club", "Quillfeather FC", "Sandhurst Steel Ltd", "Sandhurst Stl Limited"]
+    listed = []
+    for kind, group in (("PERSON", people), ("ORGANIZATION", firms)):
+        sigs = sorted({" ".join(names.tokens(n, kind)) for n in group})
+        voc = sorted({t for x in sigs for t in x.split()})
+        near = {t: [u for u in voc if u != t and len(u) > 2 and len(t) > 2 and names.close(t, u)] for t in voc}
+        weight = {t: 0.5 if len(t) == 1 else 3.0 if t[:2] in ("qu", "sa") else 2.0 for t in voc}
+        listed += [(kind, x, x.split(), [weight[t] for t in x.split()], max(weight[t] for t in x.split()), {t: (weight[t], near[t]) for t in x.split()}) for x in sigs]
+    df = spark.createDataFrame(listed, "entity_type string, sig string, t array<string>, weights array<double>, top double, w map<string, struct<weight:double,near:array<string>>>")
+    got = {(r["entity_type"], r["a"], r["spelling_a"], r["b"], r["spelling_b"]) for r in names.candidate_pairs(df).collect()}
+    keys = lambda r: [t for t in set(r[2]) if r[5][t][0] >= names.KEY_SHARE * r[4] and len(t) > 2]
+    linked = 0
+    for x, y in itertools.combinations(listed, 2):
+        if x[0] != y[0]:
+            continue
+        for ka in keys(x):
+            for kb in keys(y):
+                if (ka == kb or kb in x[5][ka][1]) and names.compare(x[2], y[2], x[0], {t: v[0] for t, v in (x[5] | y[5]).items()}, (ka, kb))[0]:
+                    linked += 1
+                    assert (x[0], x[1], ka, y[1], kb) in got
+    assert linked > 200 and len(got) < len(listed) ** 2
+
+
+def test_a_name_of_many_is_linked_where_it_belongs(spark):
+    rng = random.Random(5)
+    firsts = sorted({"".join(rng.choice("bcdfglmnprstvz") + rng.choice("aeiou") for _ in range(4)).title() for _ in range(900)})
+    rows_ = [(f"n{i:04d}", f"{f} Quillfeather", "PERSON", None, "") for i, f in enumerate(firsts)] + [("x1", f"Quillfeather, {firsts[7]}", "PERSON", None, ""), ("x2", f"{firsts[7][0]}. Quillfeather", "PERSON", None, "")]
+    got = {r["entity_id"]: r["group_id"] for r in names.variant_groups(spark.createDataFrame(rows_, ENTITIES)).collect()}
+    assert got.get("x1") == "n0007" and "x2" not in got
+
+
 def test_variants_of_nothing(spark):
     assert names.variant_groups(spark.createDataFrame([], ENTITIES)).count() == 0
 
