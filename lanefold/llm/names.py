@@ -256,16 +256,17 @@ def similar_tokens(vocabulary: DataFrame) -> DataFrame:
     return near_pairs.unionByName(near_pairs.select("entity_type", F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def marks(x: Column, near: Column) -> Column:
-    """(mark, short) of a token beside the key. Any two tokens that ``soft`` matches share a mark: equal and close ones one of
-    their spellings, a shortened one its beginning, a contracted one its ends, initials and acronyms the first letter.
+def marks(x: Column, spellings: Column) -> Column:
+    """(mark, short) of a token beside the key. Two tokens that ``soft`` matches share a mark where one of them comes with all
+    its near spellings: equal and close ones the other's spelling, a shortened one its beginning, a contracted one its ends,
+    initials and acronyms the first letter.
 
     Marks of a first letter count only where one of the two is an initial, or short enough for an acronym.
     """
     n = F.length(x)
     person = F.col("entity_type") == "PERSON"
     mark = lambda c, short=False: F.struct(c.alias("mark"), F.lit(short).alias("short"))
-    whole = F.transform(F.array_union(F.array(x), near), lambda s: mark(F.concat(F.lit("="), s)))
+    whole = F.transform(spellings, lambda s: mark(F.concat(F.lit("="), s)))
     start = F.when(n >= 3, F.array(mark(F.concat(F.lit("^"), F.substring(x, 1, 3)))))
     ends = F.when((n >= 3) & ~person, F.array(mark(F.concat(F.lit("~"), F.substring(x, 1, 1), F.substring(x, -1, 1)))))
     first = F.array(F.struct(F.concat(F.lit("i"), F.substring(x, 1, 1)).alias("mark"), F.when(person, n == 1).otherwise(n.between(2, ACRONYM)).alias("short")))
@@ -281,14 +282,13 @@ def candidate_pairs(listed: DataFrame) -> DataFrame:
     keyed = listed.select("entity_type", "sig", "t", "w", "top", F.explode(F.array_distinct("t")).alias("spelling"))
     keyed = keyed.where((F.col("w")[F.col("spelling")]["weight"] >= F.col("top") * KEY_SHARE) & (F.length("spelling") > 2))
     others = F.array_distinct(F.filter("t", lambda x: x != F.col("spelling")))
-    found = F.array_distinct(F.flatten(F.transform(others, lambda x: marks(x, F.col("w")[x]["near"]))))
-    near = F.array_union(F.array("spelling"), F.col("w")[F.col("spelling")]["near"])
-    rows = keyed.select("entity_type", "sig", "spelling", F.explode(found).alias("m"), near.alias("near"))
-    rows = rows.select("entity_type", "sig", "spelling", "m.mark", "m.short", F.explode("near").alias("key"))
-    rows = materialise(rows.groupBy("entity_type", "key", "mark", "sig", "spelling").agg(F.max("short").alias("short")), "name-marks")
+    near = lambda x: F.array_union(F.array(x), F.col("w")[x]["near"])
     keys = ["entity_type", "key", "mark"]
-    own = rows.where(F.col("spelling") == F.col("key")).select(*keys, F.col("sig").alias("x"), F.col("spelling").alias("spelling_x"), F.col("short").alias("short_x"))
-    every = rows.select(*keys, F.col("sig").alias("y"), F.col("spelling").alias("spelling_y"), F.col("short").alias("short_y"))
+    # one side stands with its tokens as they are spelt, the other with all their near spellings
+    own = keyed.select("entity_type", F.col("spelling").alias("key"), F.col("sig").alias("x"), F.col("spelling").alias("spelling_x"), F.explode(F.array_distinct(F.flatten(F.transform(others, lambda x: marks(x, F.array(x)))))).alias("m"))
+    own = own.select("entity_type", "key", "m.mark", "x", "spelling_x", F.col("m.short").alias("short_x"))
+    every = keyed.select("entity_type", F.col("sig").alias("y"), F.col("spelling").alias("spelling_y"), near(F.col("spelling")).alias("near"), F.explode(F.array_distinct(F.flatten(F.transform(others, lambda x: marks(x, near(x)))))).alias("m"))
+    every = every.select("entity_type", F.explode("near").alias("key"), "m.mark", "y", "spelling_y", F.col("m.short").alias("short_y"))
     met = block_join(own, every, keys, "x", "y", BLOCK_ROWS).where((F.col("x") != F.col("y")) & (~F.col("mark").startswith("i") | F.col("short_x") | F.col("short_y")))
     turned = F.col("x") > F.col("y")
     pick = lambda p, q, name: F.when(turned, F.col(q)).otherwise(F.col(p)).alias(name)
@@ -319,27 +319,27 @@ def verified_links(pairs: DataFrame, listed: DataFrame) -> DataFrame:
 
 def merged(links: DataFrame) -> DataFrame:
     """(id, group_id) of linked names: the sure links' groups, then in LEVELS passes the group of a shortened name joins that of
-    its longer names where these are one group."""
-    groups = connected_groups(links.where(F.col("link") == SURE), "less", "more")
-    weak = materialise(links.where(F.col("link") != SURE), "weak-links")
-    ids = weak.select(F.col("less").alias("id")).unionByName(weak.select(F.col("more").alias("id"))).unionByName(groups.select("id")).distinct()
-    groups = materialise(ids.join(groups, "id", "left").select("id", F.coalesce("group_id", "id").alias("g")), "name-groups")
-    total = groups.count()
-    for level in LEVELS if total else ():
-        less, more = groups.select(F.col("id").alias("less"), F.col("g").alias("from")), groups.select(F.col("id").alias("more"), F.col("g").alias("to"))
-        moves = weak.where(F.col("link") == level).join(less, "less").join(more, "more").where(F.col("from") != F.col("to")).groupBy("from").agg(F.min("to").alias("to"), F.max("to").alias("last"))
-        moves = materialise(moves.where(F.col("to") == F.col("last")).select("from", "to"), "moves")
+    its longer names where these are one group. Passes work on one row a sure group, so a large group is not moved about."""
+    sure = connected_groups(links.where(F.col("link") == SURE), "less", "more")
+    weak = links.where(F.col("link") != SURE)
+    ids = links.select(F.explode(F.array("less", "more")).alias("id")).distinct()
+    base = materialise(ids.join(sure, "id", "left").select("id", F.coalesce("group_id", "id").alias("g")), "sure-groups")
+    less, more = base.select(F.col("id").alias("less"), F.col("g").alias("a")), base.select(F.col("id").alias("more"), F.col("g").alias("b"))
+    steps = materialise(weak.join(less, "less").join(more, "more").where(F.col("a") != F.col("b")).select("link", "a", "b").distinct(), "weak-links")
+    now = steps.select(F.explode(F.array("a", "b")).alias("g")).distinct().withColumn("to", F.col("g"))
+    for level in LEVELS:
+        a, b = now.select(F.col("g").alias("a"), F.col("to").alias("here")), now.select(F.col("g").alias("b"), F.col("to").alias("there"))
+        moves = steps.where(F.col("link") == level).join(a, "a").join(b, "b").where(F.col("here") != F.col("there")).groupBy("here").agg(F.min("there").alias("there"), F.max("there").alias("last"))
+        moves = materialise(moves.where(F.col("there") == F.col("last")).select("here", "there"), "moves")
         if moves.isEmpty():
             continue
-        back = moves.select(F.col("from").alias("to"), F.col("to").alias("from"), F.lit(True).alias("_both"))
-        moves = moves.join(back, ["from", "to"], "left").where(F.col("_both").isNull() | (F.col("from") > F.col("to"))).select("from", "to")
-        for _ in range(2):  # a longer name's group may itself move on
-            ahead = moves.select(F.col("from").alias("to"), F.col("to").alias("_next"))
-            moves = moves.join(ahead, "to", "left").select("from", F.coalesce("_next", "to").alias("to"))
-        sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n")).join(moves.withColumnRenamed("from", "g"), "g", "left")
-        groups = attach(groups, materialise(sizes, "group-moves"), "g", "n", total).select("id", F.coalesce("to", "g").alias("g"))
-        groups = materialise(groups, "name-groups")
-    return groups.withColumnRenamed("g", "group_id")
+        # a longer name's group may itself move on; of two that would move to each other the greater one does
+        ahead = moves.select(F.col("here").alias("there"), F.col("there").alias("next"))
+        moves = moves.join(ahead, "there", "left").where(F.col("next").isNull() | (F.col("next") != F.col("here")) | (F.col("here") > F.col("there")))
+        moves = moves.select(F.col("here").alias("to"), F.when(F.col("next") == F.col("here"), F.col("there")).otherwise(F.coalesce("next", "there")).alias("moved"))
+        now = materialise(now.join(moves, "to", "left").select("g", F.coalesce("moved", "to").alias("to")), "group-moves")
+    sizes = base.groupBy("g").agg(F.count(F.lit(1)).alias("n")).join(now, "g", "left")
+    return attach(base, materialise(sizes, "group-sizes"), "g", "n", base.count()).select("id", F.coalesce("to", "g").alias("group_id"))
 
 
 def variant_groups(entities: DataFrame) -> DataFrame:
