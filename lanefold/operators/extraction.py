@@ -121,6 +121,16 @@ def e28_query_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("question_id", text.alias("stripped"), year.alias("year"), junk(F.col("question")).alias("junk"))
 
 
+def e30_query_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question's capitalised runs and quoted strings without junk, the first of each lower-cased form, in order."""
+    q = load(spark, sf_dir, "agentic_ablation").where(F.col("question").isNotNull()).select("question_id", "question").distinct()
+    runs = F.regexp_extract_all("question", F.lit(r"([\p{Lu}][\p{L}&'-]+(?:\s+[\p{Lu}][\p{L}&'-]+)*)"), F.lit(1))
+    keys = F.filter(F.concat(runs, F.regexp_extract_all("question", F.lit('"([^"]+)"'), F.lit(1))), lambda x: ~junk(x))
+    form = lambda x: F.lower(strip(x))
+    once = F.filter("keys", lambda x, i: ~F.exists(F.slice("keys", 1, i), lambda y: form(y) == form(x)))
+    return q.withColumn("keys", keys).select("question_id", F.posexplode(once).alias("pos", "key"))
+
+
 def e31_outer_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mention spans of a chunk that no longer span contains."""
     e = load(spark, sf_dir, "chunk_extractions").select("chunk_id", F.explode("entities").alias("e")).where(F.size("e.mention_span") == 2)
@@ -172,7 +182,7 @@ def e04_label_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("entity_type").agg(F.max(label_type(F.col("entity_type"))).alias("canonical_type"), F.count(F.lit(1)).alias("n"), F.round(F.avg(raised), 8).alias("mean_raised"))
 
 
-QUERIES = {f.__name__: f for f in (e01_pattern_entities, e04_label_types, e06_normal_names, e10_triples, e25_extraction_summary, e28_query_spans, e31_outer_spans, f21_bridge_entities)}
+QUERIES = {f.__name__: f for f in (e01_pattern_entities, e04_label_types, e06_normal_names, e10_triples, e25_extraction_summary, e28_query_spans, e30_query_names, e31_outer_spans, f21_bridge_entities)}
 
 _JUNK = ", ".join(f"'{x}'" for x in JUNK)
 _KEEP = " OR ".join(f"ends_with(s, '{a}')" for a in ABBREVIATIONS)
@@ -193,6 +203,11 @@ ORACLE = {
         y AS (SELECT *, regexp_extract(s, '\p{{L}}\s+(1\d{{3}}|20\d{{2}})\s+\p{{L}}', 1) AS year FROM q)
         SELECT question_id, CASE WHEN year <> '' THEN regexp_replace(s, '(\p{{L}})\s+(?:1\d{{3}}|20\d{{2}})\s+(\p{{L}})', '\1 \2', 'g') ELSE s END AS stripped, year, low IN ({_JUNK}) OR length(low) < 3 OR NOT regexp_matches(low, '\p{{L}}')
             OR len(list_filter(regexp_split_to_array(low, '\s+'), lambda w: NOT regexp_matches(w, '^[\d.,]+s?$') AND w NOT IN ({', '.join(f"'{x}'" for x in MEASURES)}))) = 0 AS junk FROM y""",
+    "e30_query_names": rf"""WITH q AS (SELECT DISTINCT question_id, list_concat(regexp_extract_all(question, '[\p{{Lu}}][\p{{L}}&''-]+(?:\s+[\p{{Lu}}][\p{{L}}&''-]+)*'), regexp_extract_all(question, '"([^"]+)"', 1)) AS k FROM agentic_ablation WHERE question IS NOT NULL),
+        j AS (SELECT question_id, list_filter(k, lambda x: NOT (lower({strip_sql('x')}) IN ({_JUNK}) OR length(lower({strip_sql('x')})) < 3 OR NOT regexp_matches(lower({strip_sql('x')}), '\p{{L}}')
+            OR len(list_filter(regexp_split_to_array(lower({strip_sql('x')}), '\s+'), lambda w: NOT regexp_matches(w, '^[\d.,]+s?$') AND w NOT IN ({', '.join(f"'{x}'" for x in MEASURES)}))) = 0)) AS k FROM q),
+        o AS (SELECT question_id, list_filter(k, lambda x, i: len(list_filter(k[1:i - 1], lambda y: lower({strip_sql('y')}) = lower({strip_sql('x')}))) = 0) AS k FROM j)
+        SELECT question_id, (generate_subscripts(k, 1) - 1)::INT AS pos, unnest(k) AS key FROM o""",
     "e31_outer_spans": """WITH s AS (SELECT DISTINCT chunk_id, e.entity_id AS entity_id, e.mention_span[1] AS a, e.mention_span[2] AS z FROM (SELECT chunk_id, unnest(entities) AS e FROM chunk_extractions) WHERE len(e.mention_span) = 2)
         SELECT * FROM s WHERE entity_id IS NOT NULL AND a IS NOT NULL AND z IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s o WHERE o.chunk_id = s.chunk_id AND o.entity_id IS NOT NULL AND o.a <= s.a AND s.z <= o.z AND o.z - o.a > s.z - s.a)""",
     "f21_bridge_entities": _ALL + rf""", kx AS (SELECT query_id, chunk_id, rank FROM t WHERE rank <= 5), xt AS (SELECT chunk_id, max(text) AS text FROM chunk_extractions GROUP BY 1), qs AS (SELECT question_id AS query_id, max(question) AS question FROM agentic_ablation WHERE question IS NOT NULL GROUP BY 1),

@@ -515,6 +515,12 @@ _QE = f"""qq AS (SELECT DISTINCT question_id, question FROM agentic_ablation WHE
         WHERE length({_S('key')}) >= 3 AND lower({_S('key')}) NOT IN ({_NO}) AND NOT regexp_matches(regexp_replace(replace(lower({_S('key')}), ',', ''), 's+$', ''), '^[0-9]+$'))"""
 _CG = f""", cg AS (SELECT chunk_id, name, entity_type, confidence, lower({_S('name')}) AS key, substring(sha256({canonical_sql('name')} || ':' || entity_type), 1, 24) AS entity_id FROM (SELECT chunk_id, e.name AS name, e.entity_type AS entity_type, e.confidence AS confidence FROM ex WHERE chunk_id IS NOT NULL) WHERE confidence >= 0.5 AND name IS NOT NULL AND entity_type IS NOT NULL AND {canonical_sql('name')} <> ''),
     ci AS (SELECT key, min(entity_id) AS id FROM cg GROUP BY 1)"""
+#: CTE lo: (key, name) by the lookup's stages.
+_LOOKUP = """, ks AS (SELECT DISTINCT key FROM qk), nm AS (SELECT DISTINCT name FROM en WHERE name IS NOT NULL),
+        kz AS (SELECT key, list_filter(regexp_split_to_array(key, '\\s+'), lambda x: x <> '') AS t FROM ks), ki AS (SELECT key, t, unnest(range(1, len(t))) AS i FROM kz), kj AS (SELECT key, t, i, unnest(range(i + 1, len(t) + 1)) AS j FROM ki),
+        kp AS (SELECT key, array_to_string(t[i:j], ' ') AS p FROM kj), kq AS (SELECT DISTINCT key, p FROM kp WHERE length(p) >= 4), kr AS (SELECT key, p FROM kq QUALIFY row_number() OVER (PARTITION BY key ORDER BY length(p) DESC, p) <= 20),
+        fo AS (SELECT key, name, 0 AS stage FROM ks JOIN nm ON key = name UNION ALL SELECT key, name, 1 FROM ks JOIN nm ON contains(name, key) UNION ALL SELECT key, name, 2 FROM kr JOIN nm ON p = name),
+        lo AS (SELECT DISTINCT key, name FROM fo QUALIFY stage = min(stage) OVER (PARTITION BY key))"""
 _TOKS = f"list_filter(regexp_split_to_array({_S('name')}, '\\s+'), lambda x: x <> '')"
 ORACLE = {
     "w04_chunk_nodes": _G + " SELECT * FROM ch",
@@ -538,11 +544,7 @@ ORACLE = {
     "g04_hub_names": _G + " SELECT * FROM hub",
     "g05_graph_worthy": _G + f" SELECT entity_id, length({_S('name')}) >= 3 AND lower({_S('name')}) NOT IN ({_NO}) AND NOT regexp_matches(regexp_replace(replace(lower({_S('name')}), ',', ''), 's+$', ''), '^[0-9]+$') AS worthy FROM (SELECT entity_id, coalesce(name, '') AS name FROM en)",
     "g06_triple_confidence": _G + " SELECT src, relation_type, dst, n_support, triple_confidence FROM tc",
-    "g08_graph_lane": _G + ", " + _QE + """, ks AS (SELECT DISTINCT key FROM qk), nm AS (SELECT DISTINCT name FROM en WHERE name IS NOT NULL),
-        kt AS (SELECT key, list_filter(regexp_split_to_array(key, '\\s+'), lambda x: x <> '') AS t FROM ks), ki AS (SELECT key, t, unnest(range(1, len(t))) AS i FROM kt), kj AS (SELECT key, t, i, unnest(range(i + 1, len(t) + 1)) AS j FROM ki),
-        kp AS (SELECT key, array_to_string(t[i:j], ' ') AS p FROM kj), kq AS (SELECT DISTINCT key, p FROM kp WHERE length(p) >= 4), kr AS (SELECT key, p FROM kq QUALIFY row_number() OVER (PARTITION BY key ORDER BY length(p) DESC, p) <= 20),
-        fo AS (SELECT key, name, 0 AS stage FROM ks JOIN nm ON key = name UNION ALL SELECT key, name, 1 FROM ks JOIN nm ON contains(name, key) UNION ALL SELECT key, name, 2 FROM kr JOIN nm ON p = name),
-        lo AS (SELECT DISTINCT key, name FROM fo QUALIFY stage = min(stage) OVER (PARTITION BY key)),
+    "g08_graph_lane": _G + ", " + _QE + _LOOKUP + """,
         st AS (SELECT DISTINCT query_id, entity_id, name AS matched FROM qk JOIN lo USING (key) JOIN en USING (name)),
         bo AS (SELECT src, dst, max(c) AS c FROM (SELECT src, dst, triple_confidence AS c FROM tc UNION ALL SELECT dst, src, triple_confidence FROM tc) GROUP BY 1, 2),
         sp AS (SELECT query_id, dst, max(c) AS c, min(matched) AS matched FROM st JOIN bo ON entity_id = src JOIN en b ON b.entity_id = dst WHERE b.name NOT IN (SELECT name FROM hub) GROUP BY 1, 2),

@@ -11,9 +11,10 @@ from lanefold.functions.metrics import ABSTENTION, normalise_answer
 from lanefold.functions.text import strip, strip_sql
 from lanefold.operators.evaluation import _PRED, _any, _norm, failure_bucket, records
 from lanefold.operators.filters import ranked
-from lanefold.operators.graph import _QE, e27_question_entities
+from lanefold.operators.graph import _G, _LOOKUP, _QE, e27_question_entities, entities, lookup, mention_degrees
 from lanefold.operators.retrieval import _ALL
 from lanefold.plans.planner import _CLS, _HOPS, plans
+from lanefold.sources.shared import materialise
 
 CLAIM_CHARS, COVERAGE, CONFLICT = 15, 0.34, 0.5
 W_REF, W_ENTITY, W_PROVENANCE, REF_MAX, BASELINE, ENTITY_NORM, MAX_PHRASES = 0.4, 0.3, 0.3, 3.0, 0.5, 10.0, 10
@@ -184,6 +185,29 @@ def w33_retrieval_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("query_id", "e.pattern", "e.gold", F.posexplode("e.chunks").alias("pos", "c")).select("query_id", "pattern", "gold", "pos", "c.text", F.round("c.score", 6).alias("score"), "c.hop_index", "c.is_graph_based")
 
 
+def graph_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V02 with a graph: (query_id, n_entities, n_found): a question's entities, and those that lead to a mentioned node."""
+    keys = e27_question_entities(spark, sf_dir)
+    names = entities(spark, sf_dir).where(F.col("name").isNotNull()).select("entity_id", "name")
+    alive = mention_degrees(spark, sf_dir).select("entity_id").join(names, "entity_id").select("name").distinct()
+    found = lookup(keys.select("key").distinct(), names.select("name").distinct()).join(alive, "name", "left_semi").select("key", F.lit(1).alias("hit")).distinct()
+    return keys.join(found, "key", "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_entities"), F.count("hit").alias("n_found"))
+
+
+def v01_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question's evidence before generation: chunks, entity coverage in the graph, chunks lost to contradictions, and
+    the status: insufficient_evidence, contradiction_detected (which holds over it), or passed."""
+    r = materialise(ranked(spark, sf_dir), "ranked")
+    left = without_conflicts(r, conflicts(r)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_left"))
+    q = records(spark, sf_dir).select(F.col("question_id").alias("query_id")).distinct()
+    v = q.join(r.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chunks")), "query_id", "left").join(left, "query_id", "left").join(graph_coverage(spark, sf_dir), "query_id", "left")
+    n, e = F.coalesce("n_chunks", F.lit(0)), F.coalesce("n_entities", F.lit(0))
+    lost = n - F.coalesce("n_left", F.lit(0))
+    covered = (e == 0) | (F.round(F.col("n_found") / F.col("n_entities"), 6) >= COVERAGE)
+    status = F.when(n == 0, "insufficient_evidence").when(lost > 0, "contradiction_detected").when(~covered, "insufficient_evidence").otherwise("passed")
+    return v.select("query_id", n.alias("n_chunks"), e.alias("n_entities"), F.coalesce("n_found", F.lit(0)).alias("n_found"), lost.alias("n_lost"), status.alias("status"))
+
+
 def f18_reretrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """why an answer calls for a second retrieval, the first reason that holds, or ok.
 
@@ -226,7 +250,7 @@ def v15_bridge_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans(spark, sf_dir).select("query_id", F.array_join(F.transform("hops", step), "\n").alias("chain"))
 
 
-QUERIES = {f.__name__: f for f in (f17_gated_plan, f18_reretrieval, f20_keep_best, v15_bridge_chain, a18_verifier_taxonomy, w33_retrieval_cache, v02_entity_coverage, v04_conflicts, v07_credibility, v09_claims, v10_claim_support, v12_answer_checks, v21_first_chunk_answer, f19_expanded_query)}
+QUERIES = {f.__name__: f for f in (v01_validation, f17_gated_plan, f18_reretrieval, f20_keep_best, v15_bridge_chain, a18_verifier_taxonomy, w33_retrieval_cache, v02_entity_coverage, v04_conflicts, v07_credibility, v09_claims, v10_claim_support, v12_answer_checks, v21_first_chunk_answer, f19_expanded_query)}
 
 
 def _in(c: str, phrases: list[str]) -> str:
@@ -259,6 +283,10 @@ _LINES = f"list_filter(list_transform(string_split({_RAW}, chr(10)), lambda x: {
 _HYP_A = strip_sql(f"regexp_replace({strip_sql(_RAW)}, '\\.+$', '')")
 _HYP_Q = strip_sql(f"regexp_replace({strip_sql(chr(99) + 'oalesce(question, ' + chr(39) * 2 + ')')}, '\\?+$', '')")
 _LOW = "lower(§predicted_answer§)"
+_CONF = f""", vx AS (SELECT query_id, rank, chunk_id, unnest(regexp_extract_all(text, '{VALUE}', 1)) AS name, unnest(regexp_extract_all(text, '{VALUE}', 2))::DOUBLE AS v FROM kt),
+        cf AS (SELECT DISTINCT a.query_id, a.chunk_id AS a, b.chunk_id AS b FROM vx a JOIN vx b ON a.query_id = b.query_id AND a.name = b.name AND a.rank < b.rank WHERE least(a.v, b.v) > 0 AND round(abs(a.v - b.v) / greatest(a.v, b.v), 6) > 0.5),
+        sd AS (SELECT query_id, chunk_id, count(*) AS n FROM (SELECT query_id, a AS chunk_id FROM cf UNION ALL SELECT query_id, b FROM cf) GROUP BY 1, 2), bd AS (SELECT query_id, chunk_id FROM sd QUALIFY n = max(n) OVER (PARTITION BY query_id)),
+        """
 ORACLE |= {
     "v12_answer_checks": _A + f""", z AS (SELECT question_id, row_name, confidence, {_RAW} = '' OR starts_with({_RAW}, '[Error:') OR {_in(f'lower({_RAW})', DISCLAIMERS)} AS disclaimer,
             regexp_extract(lower(coalesce(question, '')), '^["''(¿\\s]*([a-z]+)', 1) IN ({', '.join(f"'{x}'" for x in WH)}) AND {_PLAIN} IN ({', '.join(f"'{x}'" for x in YES_NO)}) AS format_mismatch,
@@ -266,10 +294,12 @@ ORACLE |= {
         y AS (SELECT *, {strip_sql("regexp_replace(hq, '^[^ ]+\\s*', '')")} AS body, lower(regexp_extract(hq, '^([^\\s]+)', 1)) AS lead FROM z)
         SELECT question_id, row_name, disclaimer, format_mismatch, final_answer, CASE WHEN hq = '' THEN ha WHEN lead IN ('who', 'whom') AND body <> '' THEN ha || ' ' || body WHEN lead = 'whose' AND body <> '' THEN ha || chr(39) || 's ' || body ELSE {strip_sql("hq || ' ' || ha")} END AS hypothesis,
             disclaimer OR format_mismatch OR coalesce(lower(confidence) = 'low', FALSE) AS retrieve_again FROM y""",
-    "v04_conflicts": _A + f""", vx AS (SELECT query_id, rank, chunk_id, unnest(regexp_extract_all(text, '{VALUE}', 1)) AS name, unnest(regexp_extract_all(text, '{VALUE}', 2))::DOUBLE AS v FROM kt),
-        cf AS (SELECT DISTINCT a.query_id, a.chunk_id AS a, b.chunk_id AS b FROM vx a JOIN vx b ON a.query_id = b.query_id AND a.name = b.name AND a.rank < b.rank WHERE least(a.v, b.v) > 0 AND round(abs(a.v - b.v) / greatest(a.v, b.v), 6) > 0.5),
-        sd AS (SELECT query_id, chunk_id, count(*) AS n FROM (SELECT query_id, a AS chunk_id FROM cf UNION ALL SELECT query_id, b FROM cf) GROUP BY 1, 2), bd AS (SELECT query_id, chunk_id FROM sd QUALIFY n = max(n) OVER (PARTITION BY query_id)),
-        mk AS (SELECT kt.query_id, kt.chunk_id, kt.rank, bd.chunk_id IS NOT NULL AS bad FROM kt LEFT JOIN bd USING (query_id, chunk_id)) SELECT query_id, chunk_id, rank FROM mk QUALIFY NOT bad OR bool_and(bad) OVER (PARTITION BY query_id)""",
+    "v04_conflicts": _A + _CONF + """mk AS (SELECT kt.query_id, kt.chunk_id, kt.rank, bd.chunk_id IS NOT NULL AS bad FROM kt LEFT JOIN bd USING (query_id, chunk_id)) SELECT query_id, chunk_id, rank FROM mk QUALIFY NOT bad OR bool_and(bad) OVER (PARTITION BY query_id)""",
+    "v01_validation": _G + ", " + _QE + _LOOKUP + ", " + _A.removeprefix("WITH ") + _CONF + """mk AS (SELECT kt.query_id, kt.rank, bd.chunk_id IS NOT NULL AS bad FROM kt LEFT JOIN bd USING (query_id, chunk_id)),
+        lf AS (SELECT query_id, count(*) AS n_chunks, CASE WHEN bool_and(bad) THEN 0 ELSE count(*) FILTER (bad) END AS n_lost FROM mk GROUP BY 1), hk AS (SELECT DISTINCT key FROM lo JOIN en USING (name) JOIN me USING (entity_id)),
+        gc AS (SELECT qk.query_id, count(*) AS n_entities, count(hk.key) AS n_found FROM qk LEFT JOIN hk USING (key) GROUP BY 1), vq AS (SELECT DISTINCT question_id AS query_id FROM rc),
+        vv AS (SELECT query_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_entities, 0) AS n_entities, coalesce(n_found, 0) AS n_found, coalesce(n_lost, 0) AS n_lost FROM vq LEFT JOIN lf USING (query_id) LEFT JOIN gc USING (query_id))
+        SELECT *, CASE WHEN n_chunks = 0 THEN 'insufficient_evidence' WHEN n_lost > 0 THEN 'contradiction_detected' WHEN n_entities > 0 AND round(n_found / n_entities, 6) < 0.34 THEN 'insufficient_evidence' ELSE 'passed' END AS status FROM vv""",
     "f18_reretrieval": _A + f""", z AS (SELECT rc.question_id, row_name, {_LOW} AS a, lower(§confidence§) AS lv, coalesce(context, '') AS context FROM rc LEFT JOIN ev USING (question_id)), y AS (SELECT *, list_filter(regexp_extract_all(a, '[\\p{{L}}\\p{{N}}_]{{3,}}'), lambda t: t NOT IN ({', '.join(f"'{x}'" for x in GROUND_STOPS)})) AS tk FROM z)
         SELECT question_id, row_name, CASE WHEN a = '' THEN 'empty_answer' WHEN lv = 'error' THEN 'verifier_error' WHEN lv = 'low' THEN 'low_confidence' WHEN {_in('a', SHORT_DISCLAIMERS)} THEN 'disclaimer' WHEN context <> '' AND len(tk) > 0 AND len(list_filter(tk, lambda t: contains(context, t))) = 0 THEN 'ungrounded' ELSE 'ok' END AS reason FROM y""",
     "f20_keep_best": _A + f""", z AS (SELECT o.question_id, coalesce(o.predicted_answer, '') AS old, coalesce(n.predicted_answer, '') AS new, coalesce(context, '') AS context FROM rc o JOIN rc n ON n.question_id = o.question_id AND n.row_name = 'row5_full' LEFT JOIN ev ON ev.question_id = o.question_id WHERE o.row_name = 'row4_verifier'),
