@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -36,6 +37,37 @@ def halving(stage: Stage, least: int = 1) -> Stage:
     return run
 
 
+def captured(stage: Stage) -> Stage:
+    """A stage whose rows that fail come out with the error in ``error`` instead of ending the batch; a batch that fails is
+    tried row by row. The stage's own columns are null for a failed row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def each(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            try:
+                yield from [part.assign(error=None) for part in stage(iter([b]))]
+            except Exception as e:  # noqa: BLE001 - any error of a model is the row's
+                if len(b) <= 1:
+                    yield b.assign(error=f"{type(e).__name__}: {e}")
+                else:
+                    for at in range(len(b)):
+                        yield from each(b.iloc[at : at + 1])
+
+        for b in batches:
+            yield from each(b)
+
+    return run
+
+
+def profiled(build: Callable[[], DataFrame], budget_seconds: float = 60.0) -> dict:
+    """Seconds, rows, exchanges of the plan and whether the budget held, of one query run in full."""
+    began = time.perf_counter()
+    df = build()
+    rows = df.count()
+    seconds = time.perf_counter() - began
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {"seconds": round(seconds, 3), "rows": rows, "exchanges": plan.count("Exchange "), "within_budget": seconds <= budget_seconds}
+
+
 def resolved_references(texts: DataFrame, text_col: str, stage: Stage | None = None) -> DataFrame:
     """Texts with pronouns put back to names by a model; without one the texts stay as they are."""
     if stage is None:

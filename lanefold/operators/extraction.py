@@ -114,6 +114,13 @@ def lead_and_year(c: Column) -> tuple[Column, Column]:
     return F.when(year != "", F.regexp_replace(s, r"(\p{L})\s+(?:1\d{3}|20\d{2})\s+(\p{L})", "$1 $2")).otherwise(s), year
 
 
+def e16_chunk_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chunk's entities once by lower-cased name and type, with the best confidence."""
+    e = load(spark, sf_dir, "chunk_extractions").where(F.col("chunk_id").isNotNull()).select("chunk_id", F.explode("entities").alias("e"))
+    key = F.lower(strip(F.coalesce("e.name", F.lit(""))))
+    return e.where(key != "").groupBy("chunk_id", key.alias("key"), F.col("e.entity_type").alias("entity_type")).agg(F.round(F.max("e.confidence"), 6).alias("confidence"))
+
+
 def e28_query_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E28 to E30, E32, E33 over the distinct questions."""
     q = load(spark, sf_dir, "agentic_ablation").where(F.col("question").isNotNull()).select("question_id", "question").distinct()
@@ -182,7 +189,7 @@ def e04_label_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("entity_type").agg(F.max(label_type(F.col("entity_type"))).alias("canonical_type"), F.count(F.lit(1)).alias("n"), F.round(F.avg(raised), 8).alias("mean_raised"))
 
 
-QUERIES = {f.__name__: f for f in (e01_pattern_entities, e04_label_types, e06_normal_names, e10_triples, e25_extraction_summary, e28_query_spans, e30_query_names, e31_outer_spans, f21_bridge_entities)}
+QUERIES = {f.__name__: f for f in (e01_pattern_entities, e04_label_types, e06_normal_names, e10_triples, e16_chunk_entities, e25_extraction_summary, e28_query_spans, e30_query_names, e31_outer_spans, f21_bridge_entities)}
 
 _JUNK = ", ".join(f"'{x}'" for x in JUNK)
 _KEEP = " OR ".join(f"ends_with(s, '{a}')" for a in ABBREVIATIONS)
@@ -197,6 +204,7 @@ ORACLE = {
     "e10_triples": f"""WITH c AS (SELECT chunk_id, max(relations) AS r, max(list_transform(entities, lambda x: x.name)) AS names FROM chunk_extractions WHERE len(relations) > 0 GROUP BY 1), u AS (SELECT chunk_id, names, unnest(r) AS r FROM c WHERE len(names) >= 2),
         t AS (SELECT chunk_id, names, {strip_sql('r.subject_entity')} AS subject, {strip_sql('r.object_entity')} AS object, {strip_sql('r.relation_type')} AS relation FROM u)
         SELECT DISTINCT chunk_id, subject, object, relation FROM t WHERE subject <> '' AND object <> '' AND relation <> '' AND len(list_filter(names, lambda n: n IS NOT NULL AND (contains(lower(subject), lower(n)) OR contains(lower(object), lower(n))))) > 0""",
+    "e16_chunk_entities": f"SELECT chunk_id, lower({strip_sql('e.name')}) AS key, e.entity_type AS entity_type, round(max(e.confidence), 6) AS confidence FROM (SELECT chunk_id, unnest(entities) AS e FROM chunk_extractions WHERE chunk_id IS NOT NULL) WHERE lower({strip_sql("coalesce(e.name, '')")}) <> '' GROUP BY 1, 2, 3",
     "e25_extraction_summary": """WITH u AS (SELECT DISTINCT chunk_id, e FROM (SELECT chunk_id, unnest(entities) AS e FROM chunk_extractions))
         SELECT coalesce(e.entity_type, '?') AS entity_type, count(*) AS n, count(DISTINCT e.entity_id) AS n_ids, round(min(e.confidence), 6) AS lowest, round(max(e.confidence), 6) AS highest, round(avg(e.confidence), 6) AS mean, min(e.confidence) = max(e.confidence) AS constant FROM u GROUP BY 1""",
     "e28_query_spans": rf"""WITH q AS (SELECT DISTINCT question_id, question, regexp_replace({strip_sql('question')}, '{LEADING}', '') AS s, lower({strip_sql('question')}) AS low FROM agentic_ablation WHERE question IS NOT NULL),

@@ -284,8 +284,8 @@ _HYP_A = strip_sql(f"regexp_replace({strip_sql(_RAW)}, '\\.+$', '')")
 _HYP_Q = strip_sql(f"regexp_replace({strip_sql(chr(99) + 'oalesce(question, ' + chr(39) * 2 + ')')}, '\\?+$', '')")
 _LOW = "lower(§predicted_answer§)"
 _CONF = f""", vx AS (SELECT query_id, rank, chunk_id, unnest(regexp_extract_all(text, '{VALUE}', 1)) AS name, unnest(regexp_extract_all(text, '{VALUE}', 2))::DOUBLE AS v FROM kt),
-        cf AS (SELECT DISTINCT a.query_id, a.chunk_id AS a, b.chunk_id AS b FROM vx a JOIN vx b ON a.query_id = b.query_id AND a.name = b.name AND a.rank < b.rank WHERE least(a.v, b.v) > 0 AND round(abs(a.v - b.v) / greatest(a.v, b.v), 6) > 0.5),
-        sd AS (SELECT query_id, chunk_id, count(*) AS n FROM (SELECT query_id, a AS chunk_id FROM cf UNION ALL SELECT query_id, b FROM cf) GROUP BY 1, 2), bd AS (SELECT query_id, chunk_id FROM sd QUALIFY n = max(n) OVER (PARTITION BY query_id)),
+        cq AS (SELECT DISTINCT a.query_id, a.chunk_id AS a, b.chunk_id AS b FROM vx a JOIN vx b ON a.query_id = b.query_id AND a.name = b.name AND a.rank < b.rank WHERE least(a.v, b.v) > 0 AND round(abs(a.v - b.v) / greatest(a.v, b.v), 6) > 0.5),
+        sd AS (SELECT query_id, chunk_id, count(*) AS n FROM (SELECT query_id, a AS chunk_id FROM cq UNION ALL SELECT query_id, b FROM cq) GROUP BY 1, 2), bd AS (SELECT query_id, chunk_id FROM sd QUALIFY n = max(n) OVER (PARTITION BY query_id)),
         """
 ORACLE |= {
     "v12_answer_checks": _A + f""", z AS (SELECT question_id, row_name, confidence, {_RAW} = '' OR starts_with({_RAW}, '[Error:') OR {_in(f'lower({_RAW})', DISCLAIMERS)} AS disclaimer,

@@ -68,6 +68,21 @@ def test_model_stages(spark):
     assert len(pd.concat(hooks.halving(small)(iter([pd.DataFrame({"x": range(5)})])))) == 5
 
 
+def test_failed_rows_are_captured_and_queries_profiled(spark):
+    def stage(batches):
+        for b in batches:
+            if (b["v"] == 3).any():
+                raise ValueError("three")
+            yield b.assign(twice=b["v"] * 2.0)
+
+    df = spark.range(6).selectExpr("cast(id as int) as v").coalesce(1)
+    full = lambda batches: (p.reindex(columns=["v", "twice", "error"]) for p in hooks.captured(stage)(batches))
+    got = {r["v"]: (r["twice"], r["error"]) for r in df.mapInPandas(full, "v int, twice double, error string").collect()}
+    assert got[3][1] == "ValueError: three" and got[2] == (4.0, None) and len(got) == 6
+    seen = hooks.profiled(lambda: df.groupBy("v").count())
+    assert seen["rows"] == 6 and seen["within_budget"] and seen["exchanges"] >= 1
+
+
 def test_settings(tmp_path, monkeypatch):
     p = tmp_path / "s.json"
     p.write_text(json.dumps({"rag": {"rrf_k": 10, "odd": 1}}))
