@@ -272,7 +272,7 @@ def semantic_rows(text: str) -> list[tuple]:
     for (state, level, clean), weight in zip(headed(pieces), importance(pieces)):
         reason, diversity = quality(clean)
         if reason == "passed":
-            rows.append((state["chapter"], state["section"], state["subsection"], level, round(weight, 4), round(diversity, 4), clean))
+            rows.append((state["chapter"], state["section"], state["subsection"], level, round(weight, 6), round(diversity, 6), clean))
     return rows
 
 
@@ -378,6 +378,26 @@ _BOUND = "WITH RECURSIVE dt AS (SELECT doc_id, text FROM documents WHERE text IS
     ps AS (SELECT doc_id, list_sum(list_transform(p[1:j], lambda z: length(z)))::BIGINT AS pos FROM (SELECT doc_id, p, unnest(range(1, len(p))) AS j FROM mk)), pl AS (SELECT doc_id, list(DISTINCT pos ORDER BY pos) AS ps FROM ps GROUP BY 1),
     bd AS (SELECT dt.doc_id, text, list_reduce(coalesce(ps, []), lambda a, x: CASE WHEN x >= 200 AND x - a[-1] >= {SNAP * SIZE} THEN list_append(a, x) ELSE a END, [0::BIGINT]) AS b FROM dt LEFT JOIN pl USING (doc_id)),
     bb AS (SELECT doc_id, text, CASE WHEN b[-1] = length(text) THEN b ELSE list_append(b, length(text)) END AS b FROM bd)"""
+_PIECES = _BOUND + rf""", sg AS (SELECT doc_id, text, j, b[j] AS s, b[j + 1] AS e FROM (SELECT doc_id, text, b, unnest(range(1, len(b))) AS j FROM bb)),
+        wp AS (SELECT *, length(regexp_extract(substring(text, 1, s - {SIZE_OVERLAP} + 1), '(?s)^(.*)\s[^\s]*$', 1)) AS p FROM sg), st AS (SELECT *, CASE WHEN j > 1 AND s >= {SIZE_OVERLAP} THEN p + length(regexp_extract(substring(text, p + 1, s - p), '^\s*')) ELSE s END AS f FROM wp),
+        pc AS (SELECT doc_id, j, {strip_sql('substring(text, f + 1, e - f)')} AS chunk FROM st), pk AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS j, chunk FROM pc WHERE length(chunk) >= {MIN_CHARS})"""
+_PAT = {level: [p.replace("'", "''") for p in ps] for level, ps in HEADERS.items()}
+_HDR = lambda level, x, glue: "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN regexp_extract({x}, '{p}', 1) || '{glue}' || regexp_extract({x}, '{p}', 2)" for p in _PAT[level]) + " END"
+_ANY = lambda level, x: "(" + " OR ".join(f"regexp_matches({x}, '{p}')" for p in _PAT[level]) + ")"
+_SEMANTIC = _PIECES + rf""", ln AS (SELECT doc_id, j, i, {strip_sql('line')} AS line FROM (SELECT doc_id, j, unnest(string_split(chunk, chr(10))) AS line, generate_subscripts(string_split(chunk, chr(10)), 1) AS i FROM pk)),
+        hv AS (SELECT doc_id, j, i, {_HDR('chapter', 'line', '. ')} AS ch, {_HDR('section', 'line', ' ')} AS se, {_HDR('subsection', 'line', ' ')} AS su FROM ln),
+        hp AS (SELECT *, j * 1000000 + i AS pos FROM hv WHERE ch IS NOT NULL OR se IS NOT NULL OR su IS NOT NULL),
+        h1 AS (SELECT pk.doc_id, pk.j, max(pos) FILTER (ch IS NOT NULL) AS pch, arg_max(ch, pos) FILTER (ch IS NOT NULL) AS chapter FROM pk LEFT JOIN hp ON hp.doc_id = pk.doc_id AND hp.j <= pk.j GROUP BY 1, 2),
+        h2 AS (SELECT h1.doc_id, h1.j, any_value(pch) AS pch, any_value(chapter) AS chapter, max(pos) FILTER (se IS NOT NULL AND pos >= coalesce(pch, 0)) AS pse, arg_max(se, pos) FILTER (se IS NOT NULL AND pos >= coalesce(pch, 0)) AS section FROM h1 LEFT JOIN hp ON hp.doc_id = h1.doc_id AND hp.j <= h1.j GROUP BY 1, 2),
+        ls AS (SELECT doc_id, j, pos AS last_se FROM (SELECT h1.doc_id, h1.j, max(pos) FILTER (se IS NOT NULL) AS pos FROM h1 LEFT JOIN hp ON hp.doc_id = h1.doc_id AND hp.j <= h1.j GROUP BY 1, 2)),
+        h3 AS (SELECT h2.doc_id, h2.j, any_value(chapter) AS chapter, any_value(section) AS section, arg_max(su, pos) FILTER (su IS NOT NULL AND pos >= coalesce(pch, 0) AND pos >= coalesce(last_se, 0)) AS subsection FROM h2 JOIN ls USING (doc_id, j) LEFT JOIN hp ON hp.doc_id = h2.doc_id AND hp.j <= h2.j GROUP BY 1, 2),
+        fl AS (SELECT doc_id, j, chunk, {strip_sql("string_split(chunk, chr(10))[1]")} AS first FROM pk), lv AS (SELECT *, CASE WHEN {_ANY('chapter', 'first')} THEN 1 WHEN {_ANY('section', 'first')} THEN 2 WHEN {_ANY('subsection', 'first')} THEN 3 ELSE 0 END AS level FROM fl),
+        cl AS (SELECT doc_id, j, level, CASE WHEN level > 0 THEN {strip_sql("array_to_string(string_split(chunk, chr(10))[2:], chr(10))")} ELSE chunk END AS clean FROM lv),
+        tw AS (SELECT doc_id, j, unnest(regexp_extract_all(lower(chunk), '[\p{{L}}\p{{N}}_]+')) AS w FROM pk), tf AS (SELECT doc_id, j, w, count(*) AS n FROM tw WHERE length(w) > 2 AND w NOT IN ({', '.join(f"'{x}'" for x in STOPS)}) GROUP BY 1, 2, 3),
+        df AS (SELECT doc_id, w, count(*) AS df FROM tf GROUP BY 1, 2), np AS (SELECT doc_id, count(*) AS np FROM pk GROUP BY 1), im AS (SELECT doc_id, j, round(sum(n * ln(np / df)) / sum(n), 6) AS importance FROM tf JOIN df USING (doc_id, w) JOIN np USING (doc_id) GROUP BY 1, 2),
+        qw AS (SELECT *, regexp_extract_all(lower(clean), '[\p{{L}}\p{{N}}_]+') AS ws FROM cl), qc AS (SELECT *, list_transform(list_distinct(ws), lambda x: len(list_filter(ws, lambda y: y = x))) AS cs FROM qw),
+        qq AS (SELECT *, len(cs) / len(ws) AS diversity, -list_sum(list_transform(cs, lambda c: c / len(ws) * log2(c / len(ws)))) AS bits, len(regexp_extract_all(clean, '(?:^|\n)\s*[\p{{L}}\p{{N}}_]{{1,3}}\s*:\s*[^\n]{{10,}}')) / len(string_split(clean, chr(10))) AS spoken, (length(clean) - length(translate(clean, ' ' || chr(9), ''))) / greatest(1, length(clean)) AS blank FROM qc),
+        ok AS (SELECT * FROM qq WHERE length(clean) >= {MIN_LENGTH} AND len(ws) >= {MIN_WORDS} AND spoken <= {MAX_TRANSCRIPT} AND diversity >= {MIN_DIVERSITY} AND bits >= {MIN_ENTROPY} AND blank <= {MAX_BLANK})"""
 ORACLE = {
     "d07_chunking_sweep": _SEN + "".join(_win(*c, f"v{i}_") for i, c in enumerate(SWEEP)) + " UNION ALL ".join(f" SELECT '{a}:{b}' AS config, count(*) AS n_chunks, round(avg(length(chunk)), 6) AS mean_chars FROM v{i}_8" for i, (a, b) in enumerate(SWEEP)),
     "c03_window_chunks": _WIN + " SELECT w8.doc_id, substring(sha256(coalesce(d.source, 'unknown') || '/' || w8.doc_id || ':' || position || ':' || substring(chunk, 1, 50)), 1, 20) AS chunk_id, position, sentence_start, sentence_end, is_final, chunk FROM w8 JOIN documents d ON d.doc_id = w8.doc_id",
@@ -386,9 +406,8 @@ ORACLE = {
         pc AS (SELECT doc_id, a, e, {strip_sql('substring(text, a + 1, e - a)')} AS chunk FROM fx) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS chunk_index, a::INT AS char_start, e::INT AS char_end, chunk FROM pc WHERE length(chunk) >= {MIN_CHARS}""".replace(
         "{e0}", f"CASE WHEN s + {SIZE} < n AND contains(substring(text, s + 1, {SIZE}), ' ') AND {SIZE} - instr(reverse(substring(text, s + 1, {SIZE})), ' ') > {SIZE * SNAP} THEN s + {SIZE} - instr(reverse(substring(text, s + 1, {SIZE})), ' ') ELSE s + {SIZE} END"),
     "c10_boundaries": _BOUND + " SELECT doc_id, (j - 1)::INT AS chunk_index, b[j]::INT AS boundary FROM (SELECT doc_id, b, unnest(range(1, len(b) + 1)) AS j FROM bb)",
-    "c11_semantic_pieces": _BOUND + rf""", sg AS (SELECT doc_id, text, j, b[j] AS s, b[j + 1] AS e FROM (SELECT doc_id, text, b, unnest(range(1, len(b))) AS j FROM bb)),
-        wp AS (SELECT *, length(regexp_extract(substring(text, 1, s - {SIZE_OVERLAP} + 1), '(?s)^(.*)\s[^\s]*$', 1)) AS p FROM sg), st AS (SELECT *, CASE WHEN j > 1 AND s >= {SIZE_OVERLAP} THEN p + length(regexp_extract(substring(text, p + 1, s - p), '^\s*')) ELSE s END AS f FROM wp),
-        pc AS (SELECT doc_id, j, {strip_sql('substring(text, f + 1, e - f)')} AS chunk FROM st) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1)::INT AS chunk_index, chunk FROM pc WHERE length(chunk) >= {MIN_CHARS}""",
+    "c11_semantic_pieces": _PIECES + " SELECT doc_id, (j - 1)::INT AS chunk_index, chunk FROM pk",
+    "c13_semantic_chunks": _SEMANTIC + " SELECT ok.doc_id, (row_number() OVER (PARTITION BY ok.doc_id ORDER BY ok.j) - 1)::INT AS chunk_index, chapter, section, subsection, level, coalesce(importance, 0) AS importance, round(diversity, 6) AS diversity, clean AS chunk FROM ok JOIN h3 ON h3.doc_id = ok.doc_id AND h3.j = ok.j LEFT JOIN im ON im.doc_id = ok.doc_id AND im.j = ok.j",
     "c01_sentences": _SEN + " SELECT * FROM s",
     "c07_sentence_groups": _GRP + " SELECT * FROM g",
     "c24_dispatched": _GRP + " SELECT doc_id, row_number() OVER (ORDER BY doc_id, group_no) - 1 AS global_chunk_id, chunk FROM g",
