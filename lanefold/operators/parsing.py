@@ -13,23 +13,26 @@ from pyspark.sql.window import Window
 from lanefold.functions.text import canonical_form
 from lanefold.operators.graph import containing
 
-#: Labels of subjects, objects and agents, verbs without a relation, least letters of a lemma, confidence.
-SUBJECTS, PASSIVE, OBJECTS, AGENTS = ["nsubj", "csubj"], ["nsubjpass", "nsubj:pass"], ["dobj", "obj", "attr", "oprd"], ["agent", "obl:agent"]
-NOISE_VERBS = "be have do say make get go take come see know think become seem use give find tell ask show try leave call keep let begin help".split()
+#: Labels of subjects, patients, objects and agents, parts of speech of a phrase's head, verbs without a relation.
+SUBJECTS, PASSIVE, OBJECTS, AGENTS = ["nsubj"], ["nsubjpass", "nsubj:pass"], ["dobj", "obj"], ["agent", "obl:agent"]
+HEADS = ["NOUN", "PROPN"]
+NOISE_VERBS = "be have do say tell make".split()
+#: Least letters of a lemma, confidence of a triple, least letters of a name found inside another.
 MIN_LEMMA, CONFIDENCE, MIN_NAME = 3, 0.7, 4
 KEYS = ["doc", "sent"]
 
 
 def side(tokens: DataFrame, name: str, deps: list[str]) -> DataFrame:
     """(doc, sent, head, name): the first dependent with one of the labels of each head."""
-    d = tokens.where(F.col("dep").isin(deps))
+    d = tokens.where(F.col("dep").isin(deps) & F.col("pos").isin(HEADS))
     return d.groupBy(*KEYS, "head").agg(F.min("i").alias(name))
 
 
 def phrases(tokens: DataFrame) -> DataFrame:
-    """(doc, sent, i, phrase): every noun with its compounds and modifiers in front, in order."""
-    own = tokens.select(*KEYS, F.col("i").alias("root"), "i", "text")
-    inner = tokens.where(F.col("dep").isin("compound", "amod", "flat", "nmod", "poss")).select(*KEYS, F.col("head").alias("root"), "i", "text")
+    """(doc, sent, i, phrase): every noun with the compounds in front of it, in order."""
+    nouns = tokens.where(F.col("pos").isin(HEADS))
+    own = nouns.select(*KEYS, F.col("i").alias("root"), "i", "text")
+    inner = nouns.where(F.col("dep") == "compound").select(*KEYS, F.col("head").alias("root"), "i", "text")
     parts = own.unionByName(inner.where(F.col("i") < F.col("root")))
     return parts.groupBy(*KEYS, "root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ").alias("phrase")).withColumnRenamed("root", "i")
 
@@ -41,9 +44,13 @@ def clauses(tokens: DataFrame) -> DataFrame:
     agent = tokens.where(F.col("dep") == "pobj").select(*KEYS, F.col("head").alias("by"), F.col("i").alias("pobj"))
     by = tokens.where(F.col("dep").isin(AGENTS)).select(*KEYS, F.col("head").alias("verb_"), F.col("i").alias("by"))
     doer = by.join(agent, [*KEYS, "by"], "left").groupBy(*KEYS, F.col("verb_").alias("head")).agg(F.min(F.coalesce("pobj", "by")).alias("doer"))
+    inner = tokens.where((F.col("dep") == "pobj") & F.col("pos").isin(HEADS)).select(*KEYS, F.col("head").alias("prep"), F.col("i").alias("pobj"))
+    preps = tokens.where(F.col("dep") == "prep").select(*KEYS, "head", F.col("i").alias("prep")).join(inner, [*KEYS, "prep"])
+    behind = preps.groupBy(*KEYS, "head").agg(F.min(F.struct("prep", "pobj"))["pobj"].alias("behind"))
     out = verbs
-    for sides in (side(tokens, "subject", SUBJECTS), side(tokens, "object", OBJECTS), side(tokens, "patient", PASSIVE), doer):
+    for sides in (side(tokens, "subject", SUBJECTS), side(tokens, "object", OBJECTS), behind, side(tokens, "patient", PASSIVE), doer):
         out = out.join(sides.withColumnRenamed("head", "verb"), [*KEYS, "verb"], "left")
+    out = out.withColumn("object", F.coalesce("object", "behind"))  # without a direct object the first one behind a preposition
     active, passive = F.col("subject").isNotNull() & F.col("object").isNotNull(), F.col("patient").isNotNull() & F.col("doer").isNotNull()
     out = out.select(*KEYS, "verb", "lemma", "head", "dep", F.when(active, F.col("subject")).when(passive, F.col("doer")).alias("s"), F.when(active, F.col("object")).when(passive, F.col("patient")).alias("o"), F.col("subject").alias("own_s"), F.col("object").alias("own_o"))
     heads = out.select(*KEYS, F.col("verb").alias("head"), F.coalesce("s", "own_s").alias("head_s"), F.coalesce("o", "own_o").alias("head_o"))

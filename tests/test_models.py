@@ -79,7 +79,7 @@ def test_failed_rows_are_captured_and_queries_profiled(spark):
     full = lambda batches: (p.reindex(columns=["v", "twice", "error"]) for p in hooks.captured(stage)(batches))
     got = {r["v"]: (r["twice"], r["error"]) for r in df.mapInPandas(full, "v int, twice double, error string").collect()}
     assert got[3][1] == "ValueError: three" and got[2] == (4.0, None) and len(got) == 6
-    seen = hooks.profiled(lambda: df.groupBy("v").count())
+    seen = hooks.profiled(lambda: df.repartition(3).groupBy("v").count())
     assert seen["rows"] == 6 and seen["within_budget"] and seen["exchanges"] >= 1
 
 
@@ -122,13 +122,15 @@ def test_relations_from_given_parses(spark):
         # Dawn was founded by Ada Marsh
         ("e", 0, 0, 2, "Dawn", "Dawn", "PROPN", "nsubjpass"), ("e", 0, 1, 2, "was", "be", "AUX", "auxpass"), ("e", 0, 2, 2, "founded", "found", "VERB", "ROOT"), ("e", 0, 3, 2, "by", "by", "ADP", "agent"),
         ("e", 0, 4, 5, "Ada", "Ada", "PROPN", "compound"), ("e", 0, 5, 3, "Marsh", "Marsh", "PROPN", "pobj"),
+        # Ada Marsh worked in Dawn
+        ("g", 0, 0, 1, "Ada", "Ada", "PROPN", "compound"), ("g", 0, 1, 2, "Marsh", "Marsh", "PROPN", "nsubj"), ("g", 0, 2, 2, "worked", "work", "VERB", "ROOT"), ("g", 0, 3, 2, "in", "in", "ADP", "prep"), ("g", 0, 4, 3, "Dawn", "Dawn", "PROPN", "pobj"),
         # the mother of Marsh
         ("f", 0, 0, 1, "the", "the", "DET", "det"), ("f", 0, 1, 1, "mother", "mother", "NOUN", "ROOT"), ("f", 0, 2, 1, "of", "of", "ADP", "prep"), ("f", 0, 3, 2, "Marsh", "Marsh", "PROPN", "pobj"),
     ]
     tokens = spark.createDataFrame(t, "doc string, sent int, i int, head int, text string, lemma string, pos string, dep string")
     names = spark.createDataFrame([("ada marsh", "A"), ("dawn pictures", "D"), ("dusk", "U"), ("x", "X")], "canon string, entity_id string")
     got = {tuple(r) for r in parsing.svo_relations(tokens, names).select("doc", "src", "relation_type", "dst").collect()}
-    assert got == {("d", "A", "direct", "D"), ("d", "A", "write", "U"), ("e", "A", "found", "D")}
+    assert got == {("d", "A", "direct", "D"), ("d", "A", "write", "U"), ("e", "A", "found", "D"), ("g", "A", "work", "D")}
     assert [tuple(r) for r in parsing.passive_agents(tokens).collect()] == [("e", "Who found Dawn?")]
     named = spark.createDataFrame([("f", "Ada Marsh")], "doc string, name string")
     assert [tuple(r) for r in parsing.relational_nouns(tokens, named).collect()] == [("f", "Who is the mother of Ada Marsh?")]
