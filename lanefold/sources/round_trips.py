@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanefold.operators import graph
 from lanefold.sources import loaders
-from lanefold.sources.shared import load, shared_dir
-
-
-def place(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lanefold/{tag}-{uuid.uuid4().hex[:12]}"
+from lanefold.sources.shared import load, place
 
 
 def s05_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,10 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/lanefold/{spark.sparkContext.applicationId}"
+
+
+def place(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the application's folder."""
+    return f"{own_folder(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the application's intermediate tables; results that have not been written or collected by then can't be read."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df below the shared folder and return the table read from there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lanefold/{tag}-{uuid.uuid4().hex[:12]}"
+    path = place(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

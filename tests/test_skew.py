@@ -75,3 +75,15 @@ def test_attach_counted_keeps_every_row(spark):
     names = spark.createDataFrame([("hot", "H"), ("k", "K"), ("unused", "U")], "k string, name string")
     got = attach_counted(rows, names, "k").groupBy("k", "name").count().collect()
     assert {(r["k"], r["name"], r["count"]) for r in got} == {("hot", "H", 3000), ("k", "K", 1)}
+
+
+def test_intermediate_tables_can_be_released(spark):
+    from pathlib import Path
+
+    from lanefold.sources import shared
+
+    kept = shared.materialise(spark.range(3), "x")
+    folder = Path(shared.own_folder(spark).removeprefix("file://"))
+    assert kept.count() == 3 and any(folder.iterdir())
+    shared.release(spark)
+    assert not folder.exists() and shared.materialise(spark.range(2), "x").count() == 2
