@@ -175,6 +175,7 @@ FEATURES = [
     "foreign_script", "foreign_words", "foreign_only", "own_words", "foreign_elsewhere", "no_function_words",
     "last", "open_end", "comma_end", "function_end", "cut_word", "goes_on", "mostly_goes_on", "ends_here", "single",
     "whole_name", "ellipsis_end", "open_bracket", "hanging", "stub_end", "answer_after_copy", "mostly_foreign", "mostly_own",
+    "yes_or_no",
 ]
 NUMBER = {f: i for i, f in enumerate(FEATURES)}
 
@@ -258,7 +259,7 @@ def clauses(question: str, gold: str, text: str, n_end: int, n_ext: int) -> tupl
         on = lambda name, yes=True, f=f: f.__setitem__(NUMBER[name], float(bool(yes)))
         final = k == len(info) - 1
         share = sum(x["copied"]) / max(1, len(x["copied"]))
-        on("bias"), on("single", len(info) == 1)
+        on("bias"), on("single", len(info) == 1), on("yes_or_no", all(w in YES_NO for w in x["low"]))
         on("refusal_cue", x["cues"]), on("two_refusal_cues", x["cues"] > 1), on("cue_elsewhere", n_cued > (x["cues"] > 0))
         on("has_value", x["value"]), on("value_elsewhere", n_valued > x["value"]), on("gold_here", g_words and all(w in x["low"] for w in g_words))
         on("copy_all", share == 1), on("copy_most", share >= 0.8), on("copy_some", share >= 0.5), on("question_covered", covered >= 0.75), on("rest_beside_copy", not copied_all)

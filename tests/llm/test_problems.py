@@ -540,11 +540,13 @@ def test_crf_learns_a_sequence_rule():
     assert all(np.array_equal(crf.tag(x), y) for x, y in zip(xs, ys))
 
 
-def test_tags_follow_the_trained_model(spark, monkeypatch):
-    data = [(f"q{i}", "r", f"In which city was Ada Marsh{i} born?", t, a) for i in range(60) for t in ("Oslo",) for a in [["Oslo", "Ada was born in Oslo.", "I cannot say."][i % 3]]]
-    df = spark.createDataFrame(data, "question_id string, row_name string, question string, gold_answer string, predicted_answer string")
-    monkeypatch.setattr(pairs.ClauseCRF, "tag", lambda self, x: np.zeros(len(x), np.int64))
-    assert pairs.broken_pairs(df).count() == 0
+@pytest.mark.parametrize("tag, name", [(pairs.ANSWER, None), (pairs.REFUSAL, "refusal"), (pairs.ECHO, "question_copy"), (pairs.FOREIGN, "wrong_language"), (pairs.UNFINISHED, "truncated")])
+def test_defects_follow_the_tags_alone(tag, name):
+    crf = pairs.ClauseCRF()
+    crf.w[pairs.NUMBER["bias"], tag] = 9
+    for answer in ("Oslo is the city.", "I cannot say.", "Where was Ada born?", "Sie wurde in Oslo geboren, so", "no"):
+        assert pairs.defect("Where was Ada born?", "Oslo", answer, 3, 0, crf) == name
+    assert pairs.defect("Where was Ada born?", "Oslo", "n/a", 0, 0, crf) == "empty"
 
 
 def test_planted_defects_are_what_they_are_called():
