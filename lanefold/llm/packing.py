@@ -1,7 +1,7 @@
 """Problem 8: filling fixed-capacity windows with texts, by vector bin packing.
 
 A text is sized in tokens of a public tokenizer; one longer than a window is cut into full windows and a remainder, no
-other text is split. Items are dealt by hash into packing groups of bounded size, and each group is packed on its own:
+other text is split. A question and answer pair beyond a window's limits is cut likewise. Items are dealt by hash into packing groups of bounded size, and each group is packed on its own:
 the open window takes, again and again, the item that fits and has the largest dot product with the window's remaining
 room in tokens, segments and loss-bearing tokens. The items of windows that stay underfull are dealt anew in later
 rounds, where the groups' leftovers meet.
@@ -154,22 +154,44 @@ def p8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_windows(pieces(sizes))
 
 
-def instruction_items(records: DataFrame, tokenizer: str = TOKENIZER, limits: tuple[int, int, int] = PAIR_LIMITS) -> DataFrame:
-    """(question_id, n_tokens, n_loss) of each question with its gold answer; only the answer's tokens bear loss.
+def pair_sizes(records: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(question_id, n_prompt, n_loss): the tokens of each question and of its gold answer; only the answer's bear loss.
 
-    Repeated questions count once (of differing ones the greatest holds). Pairs without a token, and pairs that no window
-    can hold, are left out: an instruction pair is never split.
+    Repeated questions count once (of differing ones the greatest holds). Pairs without a token are left out, as there is
+    nothing to place.
     """
     pair = records.where(F.col("question_id").isNotNull()).groupBy("question_id").agg(F.max(F.struct("question", "gold_answer")).alias("x"))
     sizes = counted(pair.select("question_id", "x.question", "x.gold_answer"), {"question": "n_prompt", "gold_answer": "n_loss"}, tokenizer)
-    out = sizes.select("question_id", (F.col("n_prompt") + F.col("n_loss")).alias("n_tokens"), "n_loss")
-    return out.where(F.col("n_tokens").between(1, limits[0]) & (F.col("n_loss") <= limits[2]))
+    return sizes.where(F.col("n_prompt") + F.col("n_loss") > 0)
+
+
+def instruction_items(records: DataFrame, tokenizer: str = TOKENIZER, limits: tuple[int, int, int] = PAIR_LIMITS) -> DataFrame:
+    """(question_id, n_tokens, n_loss) of the pairs that a window holds whole; pair_pieces has the others too."""
+    out = pair_sizes(records, tokenizer).select("question_id", (F.col("n_prompt") + F.col("n_loss")).alias("n_tokens"), "n_loss")
+    return out.where((F.col("n_tokens") <= limits[0]) & (F.col("n_loss") <= limits[2]))
+
+
+def pair_pieces(sizes: DataFrame, limits: tuple[int, int, int] = PAIR_LIMITS) -> DataFrame:
+    """One row per item: question_id, piece, token_start, n_tokens, n_loss. Only a pair that no window can hold has two or more.
+
+    Such a pair is cut, each piece as long as a window holds: full windows of the question, its end with the answer's
+    beginning, and what is left of the answer. Every token is in one piece, and bears loss there if it is the answer's.
+    """
+    window, _, most = limits
+    prompt, n = F.col("n_prompt"), F.col("n_prompt") + F.col("n_loss")
+    full, step = F.floor(prompt / window), min(window, most)
+    mixed = prompt + F.least(F.col("n_loss"), window - prompt % window, F.lit(most))
+    last = full + F.ceil((n - mixed) / step) - F.when(mixed == full * window, 1).otherwise(0)
+    cut = sizes.withColumn("piece", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    start = F.when(F.col("piece") <= full, F.col("piece") * window).otherwise(mixed + (F.col("piece") - full - 1) * step)
+    end = F.when(F.col("piece") < full, (F.col("piece") + 1) * window).otherwise(F.least(n, mixed + (F.col("piece") - full) * step))
+    return cut.select("question_id", "piece", start.cast("long").alias("token_start"), (end - start).cast("long").alias("n_tokens"), F.greatest(end - F.greatest(start, prompt), F.lit(0)).cast("long").alias("n_loss"))
 
 
 def p8_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question and answer pairs in windows under the three limits of PAIR_LIMITS."""
-    items = materialise(instruction_items(load(spark, sf_dir, "agentic_ablation")), "pair-sizes")
-    return pack_windows(items, PAIR_LIMITS, keys=("question_id",))
+    """Every question and answer pair's pieces with their windows, under the three limits of PAIR_LIMITS."""
+    sizes = materialise(pair_sizes(load(spark, sf_dir, "agentic_ablation")), "pair-sizes")
+    return pack_windows(pair_pieces(sizes), PAIR_LIMITS, keys=("question_id", "piece"))
 
 
 QUERIES = {"p8_windows": p8_windows, "p8_instructions": p8_instructions}

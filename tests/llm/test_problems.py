@@ -377,6 +377,25 @@ def test_instruction_pairs_are_sized_by_their_answers(spark):
         packing.pack(np.array([9]), np.array([1]), (8, 1, 8))
 
 
+def test_pairs_beyond_a_window_are_cut_and_lose_nothing(spark, tmp_path):
+    limits = (10, 96, 4)
+    sizes = [(f"{p}-{a}", p, a) for p in range(24) for a in range(24) if p + a]
+    df = spark.createDataFrame(sizes, "question_id string, n_prompt long, n_loss long")
+    got = {k: list(g.itertuples()) for k, g in packing.pair_pieces(df, limits).toPandas().sort_values("piece").groupby("question_id")}
+    for k, p, a in sizes:
+        ends = list(itertools.accumulate(r.n_tokens for r in got[k]))
+        assert [r.token_start for r in got[k]] == [0, *ends[:-1]] and ends[-1] == p + a and sum(r.n_loss for r in got[k]) == a, k
+        assert [r.piece for r in got[k]] == list(range(len(ends))) and (len(ends) == 1) == (p + a <= 10 and a <= 4), k
+        for r, end in zip(got[k], ends):
+            assert 1 <= r.n_tokens <= 10 and r.n_loss <= 4 and r.n_loss == max(0, end - max(r.token_start, p)), k
+    rows_ = [("a", "two words", "one"), ("b", "word " * 3000, "x"), ("c", "x", "word " * 600), ("d", "", None)]
+    spark.createDataFrame(rows_, "question_id string, question string, gold_answer string").write.parquet(f"{tmp_path}/agentic_ablation.parquet")
+    out = packing.p8_instructions(spark, str(tmp_path)).toPandas()
+    assert set(out.question_id) == {"a", "b", "c"} and out[out.piece > 0].groupby("question_id").size().to_dict() == {"b": 1, "c": 1}
+    use = out.groupby("window_id").agg(t=("n_tokens", "sum"), s=("n_tokens", "size"), l=("n_loss", "sum"))
+    assert (use <= packing.PAIR_LIMITS).all().all() and use.t.sum() > 3600 and use.l.sum() > 600
+
+
 def test_token_sizes_of_odd_texts(spark):
     df = spark.createDataFrame([(1, "two words"), (2, ""), (3, None), (4, " "), (5, "é" * 20_000), (None, "x")], "doc_id long, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in packing.token_sizes(df).collect()}
