@@ -174,15 +174,16 @@ def a18_verifier_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w33_retrieval_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query's cache entry written as JSON and read again: plan pattern, gold answer, and the chunks in order
-    with text, score, hop and whether the graph found them."""
+    with text, score, hop and whether the graph found them. The score is scaled and rounded as SQL does it: F.round with digits
+    goes by the shortest decimal form, and so takes 0.0651745, a double just below the tie, upwards."""
     r = ranked(spark, sf_dir)
-    item = F.struct("text", F.round("rrf", 6).alias("score"), F.col("hop_distance").alias("hop_index"), F.col("method").isin("graph", "hybrid").alias("is_graph_based"))
+    item = F.struct("text", (F.round(F.col("rrf") * 1e6) / 1e6).alias("score"), F.col("hop_distance").alias("hop_index"), F.col("method").isin("graph", "hybrid").alias("is_graph_based"))
     g = r.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("x")))), lambda y: y["x"]).alias("chunks"))
     gold = records(spark, sf_dir).groupBy(F.col("question_id").alias("query_id")).agg(F.max("gold_answer").alias("gold"))
     entry = g.join(plans(spark, sf_dir).select("query_id", "pattern"), "query_id", "left").join(gold, "query_id", "left")
     entry = entry.select("query_id", F.to_json(F.struct("pattern", "gold", "chunks")).alias("entry"))
     back = entry.select("query_id", F.from_json("entry", "pattern string, gold string, chunks array<struct<text:string,score:double,hop_index:int,is_graph_based:boolean>>").alias("e"))
-    return back.select("query_id", "e.pattern", "e.gold", F.posexplode("e.chunks").alias("pos", "c")).select("query_id", "pattern", "gold", "pos", "c.text", F.round("c.score", 6).alias("score"), "c.hop_index", "c.is_graph_based")
+    return back.select("query_id", "e.pattern", "e.gold", F.posexplode("e.chunks").alias("pos", "c")).select("query_id", "pattern", "gold", "pos", "c.text", "c.score", "c.hop_index", "c.is_graph_based")
 
 
 def graph_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

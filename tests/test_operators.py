@@ -1,7 +1,9 @@
 import json
 import math
+from pathlib import Path
 
 import pytest
+from compare import connect
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -203,6 +205,18 @@ def test_question_names_are_rejoined_and_kept_once(spark):
     assert got["2"] == [("red fox", "QUOTED"), ("1999", "DATE")] and got["3"] == [] and got["4"] == [("Marshfield", "PROPN")]
 
 
+def test_cached_scores_at_a_tie_are_those_of_the_statement(spark, sf, tmp_path):
+    for f in Path(sf).glob("*.parquet"):
+        if f.stem != "retrieval_results":
+            (tmp_path / f.name).symlink_to(f)
+    made = "SELECT * REPLACE (5 AS vector_rank, 9 AS graph_rank, 4 AS bm25_rank) FROM retrieval_results"
+    connect(sf).execute(f"COPY ({made}) TO '{tmp_path}/retrieval_results.parquet' (FORMAT parquet)")
+    keys = ["query_id", "pos"]
+    got = verification.w33_retrieval_cache(spark, str(tmp_path)).select(*keys, "score").toPandas()
+    want = connect(tmp_path).execute(f"SELECT query_id, pos, score FROM ({verification.ORACLE['w33_retrieval_cache']})").df()
+    assert len(want) and got.sort_values(keys).values.tolist() == want.sort_values(keys).values.tolist()
+
+
 def test_verification_columns(spark):
     assert one(spark, verification.final_answer(F.col("a")), a="Step 1\nFINAL ANSWER: Oslo\nmore") == "Oslo"
     assert one(spark, verification.final_answer(F.col("a")), a="x\n\nlast ") == "last"
