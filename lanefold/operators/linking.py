@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lanefold.functions.text import canonical_form
-from lanefold.operators.graph import _G, entities, mentions
-from lanefold.sources.shared import materialise
+from lanefold.operators.graph import _G, entities
+from lanefold.sources.shared import load, materialise
 
 DIM, THRESHOLD, LENGTH_RATIO = 256, 0.92, 0.4
+COUNTED, LONG = 65_536, 100
 
 
 def hashed_vector(text: str, dim: int = DIM) -> np.ndarray:
@@ -40,32 +42,111 @@ def embedded(names: DataFrame, text_col: str) -> DataFrame:
     return names.mapInPandas(run, f"{fields}, unit binary")
 
 
-def trigram_counts(names: DataFrame) -> DataFrame:
-    """(entity_type, canon, gram, c): the letter trigrams of each padded name with their counts."""
-    padded = F.concat(F.lit("^"), F.col("canon"), F.lit("$"))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
-    return names.select("entity_type", "canon", F.explode(grams).alias("gram")).groupBy("entity_type", "canon", "gram").agg(F.count(F.lit(1)).alias("c"))
+def trigrams(name: str) -> list[str]:
+    """The letter trigrams of the padded name."""
+    padded = f"^{name}$"
+    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+
+
+def frequent_trigrams(names: DataFrame) -> dict[str, dict[str, int]]:
+    """By type how often the COUNTED most frequent trigrams of all stand in its names, without those that stand there once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for kind, own in b.groupby("entity_type")["canon"]:
+                held: Counter = Counter()
+                for name in own:
+                    held.update(trigrams(name))
+                yield pd.DataFrame({"entity_type": kind, "gram": list(held), "n": list(held.values())})
+
+    counts = names.select("entity_type", "canon").mapInPandas(run, "entity_type string, gram string, n long")
+    counts = counts.groupBy("entity_type", "gram").agg(F.sum("n").alias("n")).where("n > 1")
+    found: dict[str, dict[str, int]] = {}
+    for r in counts.orderBy(F.desc("n"), "entity_type", "gram").limit(COUNTED).collect():
+        found.setdefault(r["entity_type"], {})[r["gram"]] = r["n"]
+    return found
+
+
+def name_keys(names: DataFrame, least: float) -> DataFrame:
+    """(key, id, bits, norm): the keys under which names (id, entity_type, canon) of a cosine of ``least`` or more meet.
+
+    A type's trigrams are put in one order, rare ones first. A key is two trigrams of a name such that the first of them
+    with all from the second on has a norm of at least ``least`` times the whole: if two names share these two first, all
+    they share lies there, so both have the key. For names that share one trigram only a key is one trigram with such a
+    norm. A name's keys grow with the square of its length, so names above LONG letters meet under single trigrams
+    instead, those that have such a norm with all behind them; so do names of LENGTH_RATIO times LONG or more, which may
+    meet one. ``bits`` has the bit of each trigram's hash set; ``norm`` is squared.
+    """
+    counted = names.sparkSession.sparkContext.broadcast(frequent_trigrams(names))
+
+    def place(kind: str, gram: str) -> tuple[int, str, int, int]:
+        h = xxhash.xxh64_intdigest(f"{kind}\0{gram}")
+        return counted.value.get(kind, {}).get(gram, 0), gram, h, 1 << (h >> 58)
+
+    def keys_of(kind: str, name: str, placed: Callable, first: list[int], second: list[int]) -> tuple[int, int, float]:
+        """Adds the hashes of the keys' two trigrams, 0 for none; gives the number of keys, the bits and the norm."""
+        counts, before = Counter(trigrams(name)), len(first)
+        order = sorted([placed(kind, g) for g in counts])
+        squares, hashes, bits = [counts[g] ** 2 for _, g, _, _ in order], [h for _, _, h, _ in order], 0
+        for _, _, _, bit in order:
+            bits |= bit
+        norm, top, single = sum(squares), max(squares), len(name) >= LENGTH_RATIO * LONG
+        need, left = least * least * norm, norm
+        for j, h in enumerate(hashes):  # left: of the trigrams from j on
+            if squares[j] >= need or (single and left >= need):
+                first.append(h)
+                second.append(0)
+            if len(name) <= LONG:
+                for i in range(j):
+                    if squares[i] + left >= need:
+                        first.append(hashes[i])
+                        second.append(h)
+            left -= squares[j]
+            if top + left < need:
+                break
+        return len(first) - before, bits, float(norm)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        placed = lru_cache(262_144)(place)
+        for b in batches:
+            first: list[int] = []
+            second: list[int] = []
+            held = [keys_of(kind, name, placed, first, second) for kind, name in zip(b["entity_type"], b["canon"])]
+            times = [n for n, _, _ in held]
+            key = np.array(first, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array(second, np.uint64)
+            bits = np.array([x for _, x, _ in held], np.uint64).view(np.int64).repeat(times)
+            yield pd.DataFrame({"key": key.view(np.int64), "id": b["id"].to_numpy(np.int64).repeat(times), "bits": bits, "norm": np.array([x for _, _, x in held], np.float64).repeat(times)})
+
+    return names.mapInPandas(run, "key long, id long, bits long, norm double")
 
 
 def similar_names(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(entity_type, a, b, cosine), a < b: all pairs of names of a type whose trigram vectors agree at ``threshold``, exactly.
 
-    Prefix filtering: a name's trigrams are taken from the rarest on while what is left of the vector, that trigram
-    included, has a norm of at least threshold times the whole. Two names without a common one of these have all they
-    share in what is left behind the earlier end of the two, which is below the threshold. Lengths must agree at
-    LENGTH_RATIO.
+    Names meet under ``name_keys``. Vectors of a given cosine have a squared distance of the two squared norms less twice
+    the cosine times both norms, and every trigram by which they differ adds one or more to it; so does every bit by which
+    their bits differ, so pairs with more such bits are dropped where they meet. Only the pairs that are left move on, as
+    two numbers, and are verified by their names. Lengths must agree at LENGTH_RATIO.
     """
-    grams = materialise(trigram_counts(names), "name-grams")
-    often = grams.groupBy("entity_type", "gram").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("entity_type", "canon").orderBy("n", "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("entity_type", "canon"))
-    ranked = grams.join(often, ["entity_type", "gram"]).select("*", F.sum(F.col("c") * F.col("c")).over(order).alias("left"), whole.alias("norm"))
-    keys = materialise(ranked.where(F.col("left") >= F.lit(threshold**2 - 1e-9) * F.col("norm")).select("entity_type", "gram", "canon", "norm"), "name-prefixes")
-    a, b = (keys.select("entity_type", "gram", F.col("canon").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "ab")
-    met = a.join(b, ["entity_type", "gram"]).where((F.col("a") < F.col("b")) & (F.least(F.length("a"), F.length("b")) >= LENGTH_RATIO * F.greatest(F.length("a"), F.length("b"))))
-    met = met.select("entity_type", "a", "b", "norm_a", "norm_b").distinct()
-    x, y = (grams.select("entity_type", "gram", F.col("canon").alias(s), F.col("c").alias(f"c_{s}")) for s in "ab")
-    dots = met.join(x, ["entity_type", "a"]).join(y, ["entity_type", "b", "gram"]).groupBy("entity_type", "a", "b", "norm_a", "norm_b").agg(F.sum(F.col("c_a") * F.col("c_b")).alias("dot"))
+    least = threshold - 1e-9  # the cosine is rounded
+    names = materialise(names.select(F.monotonically_increasing_id().alias("id"), "entity_type", "canon"), "names")
+    keys = name_keys(names, least)
+    a, b = (keys.select("key", F.col("id").alias(f"id_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("norm").alias(f"norm_{x}")) for x in "ab")
+    distance = F.col("norm_a") + F.col("norm_b") - F.lit(2 * least) * F.sqrt(F.col("norm_a") * F.col("norm_b"))
+    met = a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= distance))
+    met = met.select("id_a", "id_b").distinct()
+    x, y = (names.select(F.col("id").alias(f"id_{s}"), F.col("entity_type").alias(f"type_{s}"), F.col("canon").alias(f"name_{s}")) for s in "ab")
+    met = met.join(x, "id_a").join(y, "id_b").where("type_a = type_b")
+    met = met.select(F.col("type_a").alias("entity_type"), F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"))
+    met = met.where(F.least(F.length("a"), F.length("b")) >= LENGTH_RATIO * F.greatest(F.length("a"), F.length("b")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        norm = lambda x: float(sum(c * c for c in x.values()))
+        for d in batches:
+            held = [(Counter(trigrams(a)), Counter(trigrams(b))) for a, b in zip(d["a"], d["b"])]
+            yield d.assign(dot=[float(sum(c * y[g] for g, c in x.items())) for x, y in held], norm_a=[norm(x) for x, _ in held], norm_b=[norm(y) for _, y in held])
+
+    dots = met.mapInPandas(run, "entity_type string, a string, b string, dot double, norm_a double, norm_b double")
     return dots.select("entity_type", "a", "b", F.round(F.col("dot") / F.sqrt(F.col("norm_a") * F.col("norm_b")), 9).alias("cosine")).where(F.col("cosine") >= threshold)
 
 
@@ -93,21 +174,25 @@ def linked_entities(nodes: DataFrame, edges: DataFrame, threshold: float = THRES
     """(entity_id, keeper, size) of entities of one type whose names are linked by ``similar_names``, directly or through others.
 
     Trigram vectors stand in for a model's; equal names are one row of the join. The keeper of a group has most mentions,
-    then the smallest id. Null names and types take no part.
+    then the smallest id. Null names and types take no part; edges of other entities count for nothing.
     """
-    named = nodes.withColumn("canon", canonical_form(F.col("name"))).where((F.col("canon") != "") & F.col("entity_type").isNotNull())
+    named = nodes.where(F.col("entity_type").isNotNull()).select("entity_id", "entity_type", canonical_form(F.col("name")).alias("canon"))
+    named = materialise(named, "named").where(F.col("canon") != "")  # tested as read, so that it is made once
     pairs = similar_names(named.select("entity_type", "canon").distinct(), threshold)
     tag = lambda c: F.concat_ws("\u0001", "entity_type", c)
     groups = min_label_groups(materialise(pairs.select(tag("a").alias("a"), tag("b").alias("b")), "name-links"))
-    grouped = named.withColumn("id", F.concat_ws("\u0001", "entity_type", "canon")).join(groups, "id", "left").withColumn("g", F.coalesce("group", "id"))
+    grouped = named.select("entity_id", tag("canon").alias("id")).join(groups, "id", "left").select("entity_id", F.coalesce("group", "id").alias("g"))
+    sizes = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    grouped = materialise(grouped.join(sizes, "g"), "linked")
     degree = edges.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
-    grouped = grouped.join(degree, "entity_id", "left").select("entity_id", "g", F.coalesce("n", F.lit(0)).alias("n"))
-    best = grouped.groupBy("g").agg(F.min(F.struct((-F.col("n")).alias("n"), "entity_id"))["entity_id"].alias("keeper"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    grouped = materialise(grouped.join(degree, "entity_id", "left").withColumn("n", F.coalesce("n", F.lit(0))), "linked-degrees")
+    best = grouped.groupBy("g").agg(F.min(F.struct((-F.col("n")).alias("n"), "entity_id"))["entity_id"].alias("keeper"))
     return grouped.join(best, "g").select("entity_id", "keeper", "size")
 
 
 def g24_linked_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked_entities(entities(spark, sf_dir), mentions(spark, sf_dir))
+    m = load(spark, sf_dir, "mentions").where(F.col("chunk_id").isNotNull() & F.col("entity_id").isNotNull()).select("chunk_id", "entity_id").distinct()
+    return linked_entities(entities(spark, sf_dir), m)
 
 
 QUERIES = {"g24_linked_entities": g24_linked_entities}

@@ -34,6 +34,38 @@ def test_similar_names_match_brute_force(spark):
     assert len(want) > 30 and sorted(got) == sorted(want)
 
 
+def test_similar_names_match_brute_force_for_long_and_repetitive_names(spark):
+    from collections import Counter
+
+    rng = random.Random(8)
+    long = ["".join(rng.choices("abcdefg ", k=k)).strip() for k in (60, 95, 99, 101, 104, 150, 240)]
+    names = sorted({n for b in long for n in (b, b[:-2], b[:40] + "x" + b[41:], b + " ab", b[: len(b) // 2])} | {"a" * k for k in (1, 2, 3, 4, 7, 12, 30, 80, 110, 160)} | {"ab" * k for k in (2, 5, 40, 60)} | {"a" * k + "b" for k in (9, 30)})
+    grams = {n: Counter(f"^{n}$"[i : i + 3] for i in range(len(n))) for n in names}
+    norm = {n: sum(c * c for c in grams[n].values()) for n in names}
+    cosine = lambda a, b: sum(grams[a][g] * grams[b][g] for g in grams[a]) / (norm[a] * norm[b]) ** 0.5
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if round(cosine(a, b), 9) >= 0.92 and min(len(a), len(b)) >= 0.4 * max(len(a), len(b))}
+    got = [(r["a"], r["b"]) for r in linking.similar_names(spark.createDataFrame([("ORG", n) for n in names], "entity_type string, canon string")).collect()]
+    assert any(len(a) <= 100 < len(b) or len(b) <= 100 < len(a) for a, b in want) and len(want) > 30 and sorted(got) == sorted(want)
+
+
+def test_similar_names_move_little_where_many_names_share_letters(spark):
+    rng = random.Random(9)
+    word = lambda k: "".join(rng.choices(["ba", "do", "ki", "lu", "me", "no", "ra", "su"], k=k))
+    names = sorted({f"{word(3)} {word(2)} institute" for _ in range(2000)})
+    df = spark.createDataFrame([("ORG", n) for n in names], "entity_type string, canon string")
+    sc = spark.sparkContext
+
+    def stages():
+        none = sc._gateway.new_array(sc._jvm.double, 0)
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        held = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (held.apply(i) for i in range(held.size()))}
+
+    before = stages()
+    linking.similar_names(df).collect()
+    assert sum(n for k, n in stages().items() if k not in before) < 100 * len(names)
+
+
 def test_min_label_groups_of_a_long_chain(spark):
     ids = [f"n{i:03d}" for i in range(200)]
     pairs = list(zip(ids, ids[1:])) + [("x", "y")]
